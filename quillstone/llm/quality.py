@@ -80,15 +80,35 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def score(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns, ``held_out``, ``score`` and ``predicted`` for every row of ``docs``."""
-    stats = materialize(statistics(docs, keep), "quality-stats")
-    marks = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_q"))
+def _marks(labels: DataFrame) -> DataFrame:
+    return labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_q"))
+
+
+def fit_on(stats: DataFrame, labels: DataFrame) -> tuple[float, list[tuple[tuple, float]]]:
+    """The ensemble fitted on the rows of ``stats`` whose labels may be learned."""
     sample = (
-        stats.where(~held_out()).join(marks, "doc_id").select(F.xxhash64("doc_id").alias("_o"), "doc_id", "_q", *FEATURES)
+        stats.where(~held_out()).join(_marks(labels), "doc_id").select(F.xxhash64("doc_id").alias("_o"), "doc_id", "_q", *FEATURES)
         .orderBy("_o", "doc_id").limit(SAMPLE).collect()
     )
     data = np.array([r[2:] for r in sample], dtype=float).reshape(-1, len(FEATURES) + 1)
-    bias, weighted = fit(data[:, 1:], data[:, 0])
+    return fit(data[:, 1:], data[:, 0])
+
+
+def score(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` columns, ``held_out``, ``score`` and ``predicted`` for every row of ``docs``."""
+    stats = materialize(statistics(docs, keep), "quality-stats")
+    bias, weighted = fit_on(stats, labels)
     s = F.round(score_column(bias, weighted), 6)
     return stats.select(*keep, held_out().alias("held_out"), s.alias("score"), (s >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are predicted good, all columns.
+
+    The model is fitted on the documents' narrow statistics; the rules are then
+    applied to every row where it stands, so texts are not shuffled."""
+    bias, weighted = fit_on(materialize(statistics(docs, ["doc_id"]), "quality-stats"), labels)
+    names = [f"_d{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]))
+    scored = statistics(plain, names).where(F.round(score_column(bias, weighted), 6) >= 0.5)
+    return scored.select(*names).toDF(*docs.columns)

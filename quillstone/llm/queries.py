@@ -5,17 +5,68 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import mixing, quality, sharding
-from quillstone.llm.common import read
+from quillstone.llm import decontam, media, mixing, pii, quality, secretscan, sharding, simhash, substring, warc
+from quillstone.llm.common import read, text_or_empty
 
 SHARDS = 24
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", text_or_empty().cast("binary").alias("payload"))
+    digest = F.sha2(media.padded(F.col("payload")), 256)
+    path = media.write_store(docs.select(digest.alias("digest"), "payload"))
+    page = F.concat(F.lit("<article><p>Payload of a document</p><figure><img src='sha256:"), digest, F.lit("'><figcaption>"),
+                    F.octet_length("payload").cast("string"), F.lit(" bytes</figcaption></figure></article>"))
+    pages = docs.select("doc_id", F.octet_length("payload").cast("long").alias("n_bytes"), page.alias("html"))
+    sequences = media.interleave(pages, ["doc_id", "n_bytes"])
+    found = media.resolve(sequences, ["doc_id", "n_bytes"], media.store_features(spark, path))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", *[F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap")], "token_offset")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_rows(read(spark, sf_dir, "documents"), SHARDS)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _count(kind: str, spans="spans"):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def _digest(kinds: list[str]):
+    return F.sha2(pii.joined(F.filter("spans", lambda s: s["kind"].isin(kinds))).cast("binary"), 256).alias("base_sha256")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(read(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", *[_count(k) for k in pii.BASE], _digest(pii.BASE), pii.joined(F.col("spans")).alias("spans"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = [r.kind for r in secretscan.BASE]
+    found = secretscan.scan(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[_count(k) for k in kinds], _digest(kinds), pii.joined(F.col("spans")).alias("spans"))
+
+
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring.remove_repeats(read(spark, sf_dir, "documents"), with_text=False)
+    return done.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "lang", "n_chars", "copy", F.round("rate", 6).alias("rate"), "mix_key", "text")
@@ -25,9 +76,32 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ["doc_id"])
 
 
-QUERIES = {"op3_sharding": op3_sharding, "op9_mixing": op9_mixing, "op10_quality": op10_quality}
+QUERIES = {
+    "op1_media": op1_media, "op2_decontamination": op2_decontamination, "op4_pii": op4_pii, "op5_secrets": op5_secrets,
+    "op3_sharding": op3_sharding, "op6_substrings": op6_substrings, "op7_warc": op7_warc, "op8_simhash": op8_simhash,
+    "op9_mixing": op9_mixing, "op10_quality": op10_quality,
+}
 
 ORACLE_SQL = {
+    "op6_substrings": """
+with w as (select doc_id, [x for x in string_split_regex(coalesce(text, ''), '[\\x20\\t-\\r]+') if x <> ''] as words from documents),
+win as (select doc_id, i, list_aggregate(words[i:i + 12], 'string_agg', ' ') as k from (select doc_id, words, unnest(range(1, len(words) - 11)) as i from w)),
+firsts as (select k, min(doc_id) as first from win group by k),
+gone as (select doc_id, list(distinct i + j) as p from (select doc_id, i from win join firsts using (k) where first < doc_id), range(0, 13) r(j) group by doc_id),
+kept as (select w.doc_id, len(words) as n, [words[i] for i in range(1, len(words) + 1) if not coalesce(list_contains(p, i), false)] as left_words
+         from w left join gone using (doc_id))
+select doc_id, n::bigint as n_words, (n - len(left_words))::bigint as n_removed, sha256(coalesce(array_to_string(left_words, ' '), '')) as kept_sha256
+from kept""",
+    "op7_warc": """
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+f as (select h, min(page_id) as first from p group by h),
+v as (select p.*, f.first, [('0x' || substr(p.h, 5 * i + 1, 5))::int for i in range(0, 8)] as x from p join f using (h))
+select page_id, octet_length(encode(html))::bigint as payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((y >> 15) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((y >> 10) & 31) + 1, 1)
+         || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((y >> 5) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (y & 31) + 1, 1) for y in x], '') as payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to
+from v""",
     "op9_mixing": """
 with recursive docs as (select doc_id, source, lang, n_chars, text, coalesce(source, '') as s from documents),
 counts as (select s, count(*) as n, sqrt(count(*)::double) as w from docs group by s),
