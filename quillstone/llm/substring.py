@@ -143,19 +143,30 @@ def chunk_of(docs: DataFrame, chunks: int, id_col: str, text_col: str) -> DataFr
 
 def _load(table: pa.Table) -> tuple[np.ndarray, Tokens]:
     """Ids (null as the largest) and tokens of a chunk, sorted by id and text."""
-    ids = np.array([NULL_ID if x is None else x for x in table["id"].to_pylist()], dtype=np.int64)
+    ids, order = _order(table)
+    return ids, Tokens([table["text"][i].as_py() for i in order])
+
+
+def _order(table: pa.Table) -> tuple[np.ndarray, list[int]]:
+    """The chunk's own order of its rows, the same in every stage: by id, then text."""
+    ids = [NULL_ID if x is None else x for x in table["id"].to_pylist()]
     texts = table["text"].to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
-    return ids[order], Tokens([texts[i] for i in order])
+    return np.array(ids, dtype=np.int64)[order], order
 
 
 def _blobs(hashes: np.ndarray, buckets: int, *columns: np.ndarray):
-    """Splits sorted hashes, and columns beside them, by bucket: (bucket, blob...)."""
+    """Splits columns that stand beside sorted hashes by bucket: (bucket, blob...)."""
     width = (1 << 64) // buckets + 1
-    cut = np.searchsorted(hashes, np.array([i * width for i in range(buckets)] , dtype=_U))
+    cut = np.searchsorted(hashes, np.array([i * width for i in range(buckets)], dtype=_U))
     cut = np.r_[cut, len(hashes)]
     for b in np.flatnonzero(np.diff(cut)).tolist():
-        yield b, *[c[cut[b]:cut[b + 1]].tobytes() for c in (hashes, *columns)]
+        yield b, *[c[cut[b]:cut[b + 1]].tobytes() for c in columns]
+
+
+def short(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and 32 bits of a hash: enough to nominate candidates, as a clash only adds one."""
+    return (hashes // _U((1 << 64) // buckets + 1)) << _U(32) | hashes & _U(0xFFFFFFFF)
 
 
 def _concat(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
@@ -172,10 +183,10 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 _SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hash", pa.binary()), ("many", pa.binary())])
 _HOT = pa.schema([("chunk", pa.int32()), ("hash", pa.binary())])
-_EDGES = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hash", pa.binary()), ("doc", pa.binary()), ("at", pa.binary()), ("last", pa.binary())])
-#: Sources of edges (blobs), and verified segments (the rest), both addressed to a chunk.
-_MAIL = pa.schema([("chunk", pa.int32()), ("hash", pa.binary()), ("doc", pa.binary()), ("at", pa.binary()), ("home", pa.binary()), ("source", pa.int64()), ("offset", pa.int32()), ("length", pa.int32()), ("digest", pa.binary())])
-_ASKED = pa.schema([("home", pa.int32()), ("chunk", pa.int32()), ("source", pa.int64()), ("at", pa.int32()), ("length", pa.int32()), ("digest", pa.binary())])
+_EDGES = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hash", pa.binary()), ("doc", pa.binary()), ("at", pa.binary()), ("many", pa.binary())])
+_SOURCES = pa.schema([("chunk", pa.int32()), ("hash", pa.binary()), ("doc", pa.binary()), ("at", pa.binary()), ("home", pa.binary())])
+_ASKED = pa.schema([("home", pa.int32()), ("chunk", pa.int32()), ("source", pa.int64()), ("offset", pa.int32()), ("length", pa.int32()), ("digest", pa.binary()), ("places", pa.binary())])
+_VERIFIED = pa.schema([("chunk", pa.int32()), ("length", pa.int32()), ("places", pa.binary())])
 _DONE = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("n_segments", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())])
 
 
@@ -192,12 +203,13 @@ def send_minimizers(table: pa.Table, chunk: int, buckets: int) -> pa.Table:
     least, ids = least[order], ids[order]
     first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]]) if len(least) else np.empty(0, np.int64)
     last = np.r_[first[1:], len(least)] - 1 if len(first) else first
-    return _table([(b, chunk, h, m) for b, h, m in _blobs(least[first], buckets, ids[first] != ids[last])], _SENT)
+    low = (least[first] & _U(0xFFFFFFFF)).astype(np.uint32)
+    return _table([(b, chunk, h, m) for b, h, m in _blobs(least[first], buckets, low, ids[first] != ids[last])], _SENT)
 
 
 def hot_minimizers(table: pa.Table) -> pa.Table:
     """Per chunk, which of its minimizers occur in more than one document (or chunk)."""
-    hashes, row = _concat(table["hash"], _U)
+    hashes, row = _concat(table["hash"], np.uint32)
     many, _ = _concat(table["many"], np.bool_)
     order = np.argsort(hashes, kind="stable")
     h = hashes[order]
@@ -205,8 +217,8 @@ def hot_minimizers(table: pa.Table) -> pa.Table:
     hot = np.empty(len(h), dtype=bool)
     hot[order] = same | np.r_[same[1:], False] if len(h) else same
     hot |= many
-    chunks = table["chunk"].to_pylist()
-    return _table([(chunks[r], hashes[hot & (row == r)].tobytes()) for r in np.unique(row[hot]).tolist()], _HOT)
+    chunks, bucket = table["chunk"].to_pylist(), _U(table["bucket"][0].as_py() << 32)
+    return _table([(chunks[r], (bucket | hashes[hot & (row == r)].astype(_U)).tobytes()) for r in np.unique(row[hot]).tolist()], _HOT)
 
 
 def edges_of(tokens: Tokens, at: np.ndarray) -> np.ndarray:
@@ -214,42 +226,44 @@ def edges_of(tokens: Tokens, at: np.ndarray) -> np.ndarray:
 
 
 def send_edges(table: pa.Table, hot: pa.Table, chunk: int, buckets: int) -> pa.Table:
-    """A chunk's distinct edges around hot minimizers, each with its first and last document."""
+    """A chunk's distinct edges around hot minimizers, each with its first document and
+    whether the chunk has a later one."""
     ids, tokens = _load(table)
     least, at = tokens.minimizers()
     known = np.sort(_concat(hot["hash"], _U)[0])
     if not len(known) or not len(least):
         return _table([], _EDGES)
-    found = np.minimum(np.searchsorted(known, least), len(known) - 1)
-    at = at[known[found] == least]
+    wanted = short(least, buckets)
+    found = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    at = at[known[found] == wanted]
     edges = edges_of(tokens, at)
     doc, own = ids[tokens.doc[at]], (at - tokens.first[tokens.doc[at]]).astype(np.int32)
     order = np.lexsort((own, doc, edges))
     edges, doc, own = edges[order], doc[order], own[order]
     first = np.flatnonzero(np.r_[True, edges[1:] != edges[:-1]]) if len(edges) else np.empty(0, np.int64)
     last = np.r_[first[1:], len(edges)] - 1 if len(first) else first
-    return _table([(b, chunk, *x) for b, *x in _blobs(edges[first], buckets, doc[first], own[first], doc[last])], _EDGES)
+    return _table([(b, chunk, *x) for b, *x in _blobs(edges[first], buckets, edges[first], doc[first], own[first], doc[last] != doc[first])], _EDGES)
 
 
 def edge_sources(table: pa.Table) -> pa.Table:
     """Per chunk, the sources of its edges that some larger document of the chunk repeats."""
     hashes, row = _concat(table["hash"], _U)
-    doc, at, last = (_concat(table[c], k)[0] for c, k in (("doc", np.int64), ("at", np.int32), ("last", np.int64)))
+    doc, at, many = (_concat(table[c], k)[0] for c, k in (("doc", np.int64), ("at", np.int32), ("many", np.bool_)))
     chunks = np.array(table["chunk"].to_pylist(), dtype=np.int32)
     if not len(hashes):
-        return _table([], _MAIL)
+        return _table([], _SOURCES)
     order = np.lexsort((at, doc, hashes))
     group = np.cumsum(np.r_[True, hashes[order][1:] != hashes[order][:-1]]) - 1
     best = order[np.r_[True, group[1:] != group[:-1]]][group]
     source = np.empty(len(hashes), dtype=np.int64)
     source[order] = best
-    use = last > doc[source]
+    use = many | (doc > doc[source])
     out = []
     for r in np.unique(row[use]).tolist():
         mine = np.flatnonzero(use & (row == r))
         s = source[mine]
-        out.append((int(chunks[r]), hashes[mine].tobytes(), doc[s].tobytes(), at[s].tobytes(), chunks[row[s]].tobytes(), None, None, None, None))
-    return _table(out, _MAIL)
+        out.append((int(chunks[r]), hashes[mine].tobytes(), doc[s].tobytes(), at[s].tobytes(), chunks[row[s]].tobytes()))
+    return _table(out, _SOURCES)
 
 
 def repeated_paths(ids: np.ndarray, tokens: Tokens, sources: pa.Table):
@@ -275,59 +289,55 @@ def repeated_paths(ids: np.ndarray, tokens: Tokens, sources: pa.Table):
     return [at[first], np.diff(np.r_[first, len(at)]), doc[first], word[first], home[first]]
 
 
-def _segments(tokens: Tokens, paths):
-    for at, edges, doc, word, home in zip(*[p.tolist() for p in paths]):
-        length = edges + WINDOW - 1
-        yield at, length, doc, word, home, tokens.digest(at, length)
-
-
 def ask_sources(table: pa.Table, sources: pa.Table, chunk: int) -> pa.Table:
-    """The distinct segments of a chunk, addressed to the chunks of their sources."""
+    """The distinct segments of a chunk with all places of theirs, addressed to the chunks of their sources."""
     ids, tokens = _load(table)
-    asked = {(home, chunk, doc, word, length, digest) for _, length, doc, word, home, digest in _segments(tokens, repeated_paths(ids, tokens, sources))}
-    return _table(sorted(asked), _ASKED)
+    asked: dict[tuple, list[int]] = {}
+    for at, edges, doc, word, home in zip(*[p.tolist() for p in repeated_paths(ids, tokens, sources)]):
+        length = edges + WINDOW - 1
+        asked.setdefault((home, chunk, doc, word, length, tokens.digest(at, length)), []).append(at)
+    return _table([(*k, np.array(asked[k], dtype=np.int64).tobytes()) for k in sorted(asked)], _ASKED)
 
 
 def answer(table: pa.Table, asked: pa.Table) -> pa.Table:
     """The asked segments whose words the source document of this chunk really has."""
     if not len(asked) or not len(table):
-        return _table([], _MAIL)
+        return _table([], _VERIFIED)
     ids, tokens = _load(table)
     seen: dict[tuple, set[bytes]] = {}
     out = []
-    for r in sorted(asked.to_pylist(), key=lambda r: (r["source"], r["at"], r["length"])):
-        key = (r["source"], r["at"], r["length"])
+    for r in sorted(asked.to_pylist(), key=lambda r: (r["source"], r["offset"], r["length"])):
+        key = (r["source"], r["offset"], r["length"])
         if key not in seen:
             seen[key] = set()
             for d in range(int(np.searchsorted(ids, key[0])), int(np.searchsorted(ids, key[0], side="right"))):
                 if key[1] + key[2] <= tokens.count[d]:
                     seen[key].add(tokens.digest(int(tokens.first[d]) + key[1], key[2]))
         if r["digest"] in seen[key]:
-            out.append((r["chunk"], None, None, None, None, *key, r["digest"]))
-    return _table(out, _MAIL)
+            out.append((r["chunk"], r["length"], r["places"]))
+    return _table(out, _VERIFIED)
 
 
-def finish(table: pa.Table, mail: pa.Table, with_text: bool) -> pa.Table:
+def finish(table: pa.Table, verified: pa.Table, with_text: bool) -> pa.Table:
     """Removes the words of the verified segments."""
-    ids, tokens = _load(table)
-    paths = repeated_paths(ids, tokens, mail.filter(mail["hash"].is_valid()))
-    verified = mail.filter(mail["digest"].is_valid())
-    good = set(zip(*[verified[c].to_pylist() for c in ("source", "offset", "length", "digest")]))
-    gone = np.zeros(len(tokens.word) + 1, dtype=np.int64)
-    used = np.zeros(len(ids), dtype=np.int64)
-    for at, length, doc, word, _, digest in _segments(tokens, paths):
-        if (doc, word, length, digest) in good:
-            gone[at] += 1
-            gone[at + length] -= 1
-            used[tokens.doc[at]] += 1
+    ids, order = _order(table)
+    texts = [table["text"][i].as_py() for i in order]
+    words = [t.split() for t in texts]
+    first = np.r_[0, np.cumsum([len(w) for w in words])].astype(np.int64)
+    gone, starts = np.zeros(first[-1] + 1, dtype=np.int64), []
+    for length, places in zip(verified["length"].to_pylist(), verified["places"]):
+        at = np.frombuffer(places.as_buffer(), dtype=np.int64)
+        starts.append(at)
+        np.add.at(gone, at, 1)
+        np.add.at(gone, at + length, -1)
+    used = np.bincount(np.searchsorted(first, np.concatenate(starts), side="right") - 1, minlength=len(ids)) if starts else np.zeros(len(ids), int)
     keep = np.cumsum(gone)[:-1] == 0
     out = []
-    for d in range(len(ids)):
-        a, b = int(tokens.first[d]), int(tokens.first[d + 1])
-        words, kept = tokens.texts[d].split(), keep[a:b]
+    for d, w in enumerate(words):
+        kept = keep[first[d]:first[d + 1]]
         n = int(kept.sum())
-        text = b" ".join(words if n == b - a else [w for w, k in zip(words, kept.tolist()) if k])
-        out.append((None if ids[d] == NULL_ID else int(ids[d]), b - a, b - a - n, int(used[d]), text.decode() if with_text else None, hashlib.sha256(text).hexdigest()))
+        text = b" ".join(w if n == len(w) else [x for x, k in zip(w, kept.tolist()) if k])
+        out.append((None if ids[d] == NULL_ID else int(ids[d]), len(w), len(w) - n, int(used[d]), text.decode() if with_text else None, hashlib.sha256(text).hexdigest()))
     return _table(out, _DONE)
 
 
@@ -338,15 +348,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     One plan: the exchange that deals the texts by chunk is written once and read
     by every chunk stage."""
     size = docs.agg(F.sum(F.octet_length(text_or_empty(text_col)).cast("long"))).first()[0] or 0
-    chunks, buckets = max(1, -(-size // CHUNK_BYTES)), max(4, shuffle_partitions(docs.sparkSession))
+    buckets = max(4, shuffle_partitions(docs.sparkSession))
+    chunks = max(buckets, -(-size // CHUNK_BYTES))
     dealt = chunk_of(docs, chunks, id_col, text_col).groupBy("chunk")
     one = lambda key: int(key[0].as_py())
 
     sent = dealt.applyInArrow(lambda key, t: send_minimizers(t, one(key), buckets), _ddl(_SENT))
     hot = sent.groupBy("bucket").applyInArrow(hot_minimizers, _ddl(_HOT))
     edges = dealt.cogroup(hot.groupBy("chunk")).applyInArrow(lambda key, t, h: send_edges(t, h, one(key), buckets), _ddl(_EDGES))
-    sources = edges.groupBy("bucket").applyInArrow(edge_sources, _ddl(_MAIL))
+    sources = edges.groupBy("bucket").applyInArrow(edge_sources, _ddl(_SOURCES))
     asked = dealt.cogroup(sources.groupBy("chunk")).applyInArrow(lambda key, t, s: ask_sources(t, s, one(key)), _ddl(_ASKED))
-    verified = dealt.cogroup(asked.groupBy("home")).applyInArrow(answer, _ddl(_MAIL))
-    mail = sources.unionByName(verified).groupBy("chunk")
-    return dealt.cogroup(mail).applyInArrow(lambda t, m: finish(t, m, with_text), _ddl(_DONE)).withColumnRenamed("id", id_col)
+    verified = dealt.cogroup(asked.groupBy("home")).applyInArrow(answer, _ddl(_VERIFIED))
+    done = dealt.cogroup(verified.groupBy("chunk")).applyInArrow(lambda t, v: finish(t, v, with_text), _ddl(_DONE))
+    return done.withColumnRenamed("id", id_col)
