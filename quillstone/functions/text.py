@@ -13,16 +13,19 @@ from pyspark.sql import functions as F
 from quillstone.functions import vocabulary as V
 
 SPACE = r"[\s\x1c-\x1f]"
+#: Every character of Unicode white space, and the four separators U+001C to U+001F.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 PREFIX_CHARACTERS = "-•0123456789.) "
 
 
-def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+def let(c: Column, body) -> Column:
+    """``body(c)`` with ``c`` evaluated once; chained rewrites would otherwise inline it at every use."""
+    return F.element_at(F.transform(F.array(c), body), 1)
 
 
-def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U){SPACE}+\z", "")
+def strip(c: Column) -> Column:
+    return F.trim(c, F.lit(BLANKS))
 
 
 def lines(c: Column) -> Column:
@@ -32,8 +35,7 @@ def lines(c: Column) -> Column:
 
 def universal_lines(c: Column) -> Column:
     """Split at every line boundary; no line after a final one, none for empty text."""
-    parts = F.split(c, LINE_BREAKS, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(c, LINE_BREAKS, -1), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))
 
 
 def unlines(c: Column) -> Column:
@@ -44,7 +46,7 @@ def unlines(c: Column) -> Column:
 
 
 def drop_lines(c: Column, condition) -> Column:
-    return unlines(F.filter(lines(c), lambda x: ~condition(strip(x))))
+    return unlines(F.filter(lines(c), lambda x: ~let(strip(x), condition)))
 
 
 def _is_gazette_header(s: Column) -> Column:
@@ -82,12 +84,15 @@ def strip_line_starts(c: Column) -> Column:
 
 def filter_lines_in_context(c: Column, drop) -> Column:
     """``drop(stripped, previous stripped, next stripped)`` over the original lines; edges are empty."""
-    stripped = F.transform(lines(c), strip)
-    before = F.concat(F.array(F.lit("")), stripped)
-    after = F.concat(F.slice(stripped, F.lit(2), F.greatest(F.size(stripped) - 1, F.lit(0))), F.array(F.lit("")))
-    rows = F.arrays_zip(lines(c).alias("x"), stripped.alias("s"), F.slice(before, F.lit(1), F.size(stripped)).alias("p"), after.alias("n"))
-    kept = F.filter(rows, lambda r: ~drop(r["s"], r["p"], r["n"]))
-    return unlines(F.transform(kept, lambda r: r["x"]))
+
+    def pick(raw, stripped):
+        n = F.size(stripped)
+        before = F.slice(F.concat(F.array(F.lit("")), stripped), F.lit(1), n)
+        after = F.concat(F.slice(stripped, F.lit(2), F.greatest(n - 1, F.lit(0))), F.array(F.lit("")))
+        rows = F.arrays_zip(raw.alias("x"), stripped.alias("s"), before.alias("p"), after.alias("n"))
+        return unlines(F.transform(F.filter(rows, lambda r: ~drop(r["s"], r["p"], r["n"])), lambda r: r["x"]))
+
+    return let(lines(c), lambda raw: let(F.transform(raw, strip), lambda stripped: pick(raw, stripped)))
 
 
 def remove_page_numbers(c: Column) -> Column:
@@ -116,12 +121,14 @@ def dedupe_adjacent_lines(c: Column) -> Column:
     """A line equal to the last non-blank line goes; blank lines are transparent."""
     state = "struct<last:string,out:array<string>>"
 
-    def step(a, x):
-        s = strip(x)
+    def merge(a, x, s):
         same = (s != "") & s.eqNullSafe(a["last"])
         kept = F.struct(F.when(s != "", s).otherwise(a["last"]).alias("last"), F.concat(a["out"], F.array(x)).alias("out")).cast(state)
         return F.when(same, a).otherwise(kept)
 
+    def step(a, x):
+        return let(strip(x), lambda s: merge(a, x, s))
+
     start = F.struct(F.lit(None).cast("string").alias("last"), F.array().alias("out")).cast(state)
     return strip(F.aggregate(universal_lines(c), start, step, lambda a: unlines(a["out"])))
 
@@ -194,7 +201,7 @@ def remove_running_lines(c: Column) -> Column:
     def drop(s):
         return s.rlike(r"(?U)^Version en vigueur du \d{2}/\d{2}/\d{4}\z") | s.rlike(r"(?U)^\d{1,3}\z") | s.rlike(r"(?U)^(?:Première|Deuxième|Troisième|Quatrième)\s+partie\s*[:\-–]")
 
-    kept = F.filter(universal_lines(c), lambda x: ~drop(strip(x)))
+    kept = F.filter(universal_lines(c), lambda x: ~let(strip(x), drop))
     return unlines(F.transform(kept, lambda x: F.when(strip(x) == "", F.lit("")).otherwise(x)))
 
 

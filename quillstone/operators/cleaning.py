@@ -7,6 +7,7 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -61,26 +62,33 @@ def remove_sections(texts: pd.Series) -> pd.Series:
     return texts.map(drop_sections, na_action="ignore")
 
 
-@F.pandas_udf(StringType())
-def _hyphens_and_sections(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: drop_sections(_obsolete.sub("", join_hyphens(t))), na_action="ignore")
+def rewritten(docs: DataFrame, text_col: str, function) -> DataFrame:
+    """``docs`` with the texts rewritten in one Arrow pass."""
+    at, names = docs.columns.index(text_col), docs.columns
+
+    def run(batches):
+        for b in batches:
+            made = pa.array([None if t is None else function(t) for t in b.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], made, *b.columns[at + 1:]], names=names)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def normalize_unicode(c: Column) -> Column:
     return T.clean_characters(nfc(c))
 
 
-def before_hyphens(c: Column) -> Column:
-    """The native steps between the two Python steps, in their fixed order."""
-    for step in (T.remove_gazette_headers, T.remove_page_numbers, T.remove_separator_lines, T.remove_single_symbol_lines, T.strip_line_starts, T.remove_legislative_notes, T.remove_noise_lines, T.split_inline_conditions):
-        c = step(c)
-    return c
+NATIVE_STEPS = (
+    T.clean_characters, T.remove_gazette_headers, T.remove_page_numbers, T.remove_separator_lines, T.remove_single_symbol_lines,
+    T.strip_line_starts, T.remove_legislative_notes, T.remove_noise_lines, T.split_inline_conditions,
+)
 
 
 def clean_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The whole chain; steps are staged as columns, so none is evaluated twice."""
-    out = docs.withColumn("_c", normalize_unicode(F.col(text_col)))
-    for step in (T.remove_gazette_headers, T.remove_page_numbers, T.remove_separator_lines, T.remove_single_symbol_lines, T.strip_line_starts, T.remove_legislative_notes, T.remove_noise_lines, T.split_inline_conditions):
-        out = out.withColumn("_c", step(F.col("_c")))
-    out = out.withColumn("_c", _hyphens_and_sections(F.col("_c")))
-    return out.withColumn(text_col, T.normalize_spaces(T.remove_markers(F.col("_c")))).drop("_c")
+    """The whole chain in its fixed order: NFC, native steps, hyphens and sections, native rest."""
+    out = rewritten(docs, text_col, lambda t: unicodedata.normalize("NFC", t))
+    c = F.col(text_col)
+    for step in NATIVE_STEPS:
+        c = step(c)
+    out = rewritten(out.withColumn(text_col, c), text_col, lambda t: drop_sections(_obsolete.sub("", join_hyphens(t))))
+    return out.withColumn(text_col, T.normalize_spaces(T.remove_markers(F.col(text_col))))
