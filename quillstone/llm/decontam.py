@@ -1,13 +1,14 @@
 """Benchmark decontamination: BM25 with block-max WAND.
 
 The test items are the indexed collection and every training passage is a
-query.  An item's term impacts are its BM25 weights over its self-score, so a
+query.  Terms are pairs of adjacent words: single words are so common to all
+text that their upper bounds would prune nothing.  An item's term impacts are its BM25 weights over its self-score, so a
 score is the share of the item's BM25 mass that the passage holds, and one
 threshold fits all items.  Passages are windows of ``WINDOW`` tokens at every
 ``STRIDE``; items longer than ``STRIDE`` tokens are indexed in parts, so that
 each part lies whole in some passage.  All (passage, part) pairs at or above the
-threshold are retrieved with block-max WAND, after a bound on the rare terms
-discards passages that cannot reach it; then the overlap with the item's
+threshold are retrieved with block-max WAND, after the sum of its terms' upper
+bounds discards a passage that cannot reach it; then the overlap with the item's
 question and with its answer is verified on token n-grams.
 
 The index is built on the driver and shipped with the task closure, in blocks
@@ -40,8 +41,6 @@ LEAST_TOKENS = 8
 BLOCK_ITEMS = 20000
 POSTINGS_BLOCK = 64
 NGRAM, OVERLAP = 5, 0.6
-#: Terms in more than this share of the parts count as common in the first bound.
-COMMON = 0.05
 _tokens = re.compile(r"\w+").findall
 _sentence = re.compile(r"(?<=[.!?])\s+")
 
@@ -86,30 +85,42 @@ class Index:
             size = math.ceil(len(words) / pieces)
             parts += [(i, words[k:k + size]) for k in range(0, len(words), size)]
         self.part_item = [i for i, _ in parts]
-        df = Counter(t for _, w in parts for t in set(w))
-        mean = sum(len(w) for _, w in parts) / max(1, len(parts))
-        idf = {t: math.log(1 + (len(parts) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
-        self.vocabulary = {t: k + 1 for k, t in enumerate(sorted(df))}
-        n_terms = len(self.vocabulary) + 1
-        self.docs: list[list[int]] = [[] for _ in range(n_terms)]
-        self.impacts: list[list[float]] = [[] for _ in range(n_terms)]
-        common_mass = 0.0
-        limit = max(1, COMMON * len(parts))
-        for p, (_, words) in enumerate(parts):
-            raw = {t: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(words) / mean)) for t, f in Counter(words).items()}
+        self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in parts for w in ws}))}
+        self.base = len(self.vocabulary) + 1
+        pairs = [self._pairs(np.array([self.vocabulary[w] for w in ws])).tolist() for _, ws in parts]
+        df = Counter(t for p in pairs for t in set(p))
+        mean = sum(map(len, pairs)) / max(1, len(pairs))
+        idf = {t: math.log(1 + (len(pairs) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+        self.terms = np.array(sorted(df), dtype=np.int64)
+        number = {t: k for k, t in enumerate(self.terms.tolist())}
+        self.docs: list[list[int]] = [[] for _ in number]
+        self.impacts: list[list[float]] = [[] for _ in number]
+        for p, own in enumerate(pairs):
+            raw = {t: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(own) / mean)) for t, f in Counter(own).items()}
             total = sum(raw.values())
-            common_mass = max(common_mass, sum(w for t, w in raw.items() if df[t] > limit) / total)
             for t, w in raw.items():
-                k = self.vocabulary[t]
-                self.docs[k].append(p)
-                self.impacts[k].append(w / total)
+                self.docs[number[t]].append(p)
+                self.impacts[number[t]].append(w / total)
         self.top = [max(x, default=0.0) for x in self.impacts]
         cut = range(0, 1 << 62, POSTINGS_BLOCK)
         self.block_last = [[d[min(len(d), a + POSTINGS_BLOCK) - 1] for a in cut[:math.ceil(len(d) / POSTINGS_BLOCK)]] for d in self.docs]
         self.block_top = [[max(x[a:a + POSTINGS_BLOCK]) for a in cut[:math.ceil(len(x) / POSTINGS_BLOCK)]] for x in self.impacts]
-        self.rare = np.array([w if len(d) <= limit else 0.0 for w, d in zip(self.top, self.docs)])
-        #: A passage whose rare terms weigh less than this cannot reach the threshold.
-        self.rare_bound = THRESHOLD - common_mass - 1e-9
+        self.bounds = np.array(self.top + [0.0])
+
+    def _pairs(self, ids: np.ndarray) -> np.ndarray:
+        """Codes of adjacent words; with an unknown word (0) the code is of no term."""
+        return ids[:-1] * self.base + ids[1:]
+
+    def term_numbers(self, words: list[str]) -> np.ndarray:
+        """Term number at every position but the last; ``len(terms)`` where there is none."""
+        ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), dtype=np.int64, count=len(words))
+        out = np.full(max(0, len(words) - 1), len(self.terms), dtype=np.int64)
+        at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+        codes = self._pairs(ids)[at]
+        found = np.minimum(np.searchsorted(self.terms, codes), len(self.terms) - 1)
+        known = self.terms[found] == codes
+        out[at[known]] = found[known]
+        return out
 
     def search(self, terms: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
         """All parts whose score is at least ``threshold``, by block-max WAND."""
@@ -155,27 +166,27 @@ class Index:
             cursors = alive
         return out
 
-    def passages(self, ids: np.ndarray) -> list[int]:
-        """Starts of the windows whose rare terms can reach the threshold."""
-        weight = self.rare[ids]
-        if weight.sum() < self.rare_bound:
+    def passages(self, numbers: np.ndarray) -> list[int]:
+        """Starts of the windows whose terms' upper bounds reach the threshold."""
+        bound = self.bounds[numbers]
+        if bound.sum() < THRESHOLD - 1e-9:
             return []
-        sums = np.add.reduceat(weight, np.arange(0, len(ids), STRIDE))
+        sums = np.add.reduceat(bound, np.arange(0, len(numbers), STRIDE))
         both = sums.copy()
         both[:-1] += sums[1:]
         last = max(1, len(sums) - WINDOW // STRIDE + 1)
-        return (np.flatnonzero(both[:last] >= self.rare_bound) * STRIDE).tolist()
+        return (np.flatnonzero(both[:last] >= THRESHOLD - 1e-9) * STRIDE).tolist()
 
     def matches(self, text: str) -> list[tuple[int, float, float, float, int]]:
         """(item, score, question overlap, answer overlap, token offset) of every verified item."""
         words = tokenize(text)
-        if not words or not self.items:
+        if len(words) < 2 or not self.items:
             return []
-        ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), dtype=np.int64, count=len(words))
+        numbers = self.term_numbers(words)
         best: dict[int, tuple] = {}
-        for start in self.passages(ids):
-            terms = np.unique(ids[start:start + WINDOW])
-            for part, score in self.search(terms[terms > 0].tolist()):
+        for start in self.passages(numbers):
+            terms = np.unique(numbers[start:start + WINDOW])
+            for part, score in self.search(terms[terms < len(self.terms)].tolist()):
                 item = self.part_item[part]
                 raw, n = self.items[item]
                 around = words[max(0, start - n):start + WINDOW + n]
