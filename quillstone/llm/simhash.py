@@ -234,11 +234,138 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str =
     return rows.join(classes(rows, radius, id_col), "fp").select(id_col, "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str = "doc_id") -> DataFrame:
-    """The documents, all columns, one of each component: that with the smallest id.
+# --- near duplicates by similarity -------------------------------------------
+#
+# A link at a Jaccard similarity of 0.8 differs in about 15 % of the bits, which
+# is far outside the radius that 64 bits can be searched at exactly.  So the
+# similarity form takes WIDE words of 64 bits: TABLES samples of SAMPLED bits
+# deal the points to shards, in a shard the distance of one word nominates pairs,
+# and the distance of all words decides.
 
-    Rows of equal id are one document and one of them stays."""
-    found = near_duplicates(docs, k, radius, id_col)
+WIDE, TABLES, SAMPLED = 8, 96, 20
+#: Bits of one word that nominated pairs may differ in (3.5 deviations over the mean at 0.8).
+NOMINATE = 20
+
+
+def most_bits(similarity: float) -> int:
+    """Differing bits of the wide fingerprint at the similarity: equal-sized sets of Jaccard
+    similarity s have cosine 2s / (1 + s), and a bit differs with probability angle / pi."""
+    return round(WIDE * 64 * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(text: bytes, k: int) -> np.ndarray:
+    """``WIDE`` words of majority bits over the set of k-word shingles."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(WIDE, dtype=np.uint64)
+    buf = b" ".join(words)
+    if len(words) <= k:
+        made = xxhash.xxh3_128_digest(buf, SEED)
+    else:
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+        end = np.cumsum(size) - 1
+        start = end - size + 1
+        digest = xxhash.xxh3_128_digest
+        made = b"".join({digest(buf[s:e], SEED) for s, e in zip(start[: len(words) - k + 1].tolist(), end[k - 1:].tolist())})
+    pair = np.frombuffer(made, dtype=np.uint64).reshape(-1, 2)
+    seen = np.zeros(WIDE * 8 * 256, dtype=np.int64)
+    place = np.arange(WIDE * 8) * 256
+    with np.errstate(over="ignore"):
+        for at in range(0, len(pair), 4096):
+            some = pair[at:at + 4096]
+            octets = _mix(some[:, :1] + some[:, 1:] * np.arange(1, WIDE + 1, dtype=np.uint64)).view(np.uint8).reshape(len(some), -1)
+            seen += np.bincount((octets + place).ravel(), minlength=len(seen))
+    ones = seen.reshape(-1, 256) @ _BITS
+    return np.packbits(ones.ravel() * 2 > len(pair)).view(np.uint64)
+
+
+def sampled_keys(fp: np.ndarray) -> np.ndarray:
+    """``TABLES`` keys of ``SAMPLED`` bits each; the samples are fixed."""
+    bits = np.unpackbits(fp.view(np.uint8))
+    return bits[_SAMPLES] @ (1 << np.arange(SAMPLED, dtype=np.int64)) | np.arange(TABLES, dtype=np.int64) << 40
+
+
+_SAMPLES = np.stack([np.random.default_rng(j).choice(WIDE * 64, SAMPLED, replace=False) for j in range(TABLES)])
+
+
+def nominated(keys: np.ndarray, nodes: np.ndarray, points: np.ndarray):
+    """At most one partner for every point of a shard: the first vantage point near it.
+    Equal keys stand together.  Dense groups have few vantage points, and the work is
+    a distance per point and vantage point, never a pair per two members."""
+    out_a, out_b = [], []
+    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    size = np.diff(np.r_[start, len(keys)])
+    pair = start[size == 2]
+    near = pair[distance(points[pair], points[pair + 1]) <= NOMINATE]
+    out_a.append(nodes[near])
+    out_b.append(nodes[near + 1])
+    for s, m in zip(start[size > 2].tolist(), size[size > 2].tolist()):
+        order = np.argsort(nodes[s:s + m], kind="stable")
+        own, at = nodes[s:s + m][order], points[s:s + m][order]
+        while len(own) > 1:
+            close = distance(at[1:], at[0]) <= NOMINATE
+            out_a.append(own[1:][close])
+            out_b.append(np.full(int(close.sum()), own[0]))
+            own, at = own[1:][~close], at[1:][~close]
+    a, b = np.concatenate(out_a), np.concatenate(out_b)
+    return a[a != b], b[a != b]
+
+
+def similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document row: id and component_id, where documents link whose
+    fingerprints say that their sets of k-word shingles have the similarity."""
+    names = [f"w{i}" for i in range(WIDE)]
+    kept = docs.select(id_col)
+
+    def run(batches):
+        for b in batches:
+            fps = np.array([wide_fingerprint(t.as_buffer().to_pybytes(), k) for t in b.column(1)], dtype=np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(fps[:, i].copy()) for i in range(WIDE)]], names=[id_col, *names])
+
+    schema = f"`{id_col}` {kept.schema[0].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names)
+    rows = materialize(docs.select(id_col, text_or_empty(text_col).cast("binary").alias("_text")).mapInArrow(run, schema).withColumn("fp", F.xxhash64(*names)), "simhash-wide")
+    points = materialize(rows.groupBy("fp", *names).agg(F.min(id_col).alias("_first")), "simhash-points")
+
+    def keyed(batches):
+        for b in batches:
+            fps = np.stack([b.column(1 + i).to_numpy() for i in range(WIDE)], 1).view(np.uint64) if b.num_rows else np.empty((0, WIDE), np.uint64)
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) * TABLES + 1, TABLES, dtype=np.int32)), pa.array(np.concatenate([sampled_keys(x) for x in fps]) if len(fps) else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), keys], names=["fp", "w0", "keys"])
+
+    def pairs(batches):
+        keys, nodes, at = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        for b in batches:
+            keys, nodes = np.r_[keys, b.column(2).to_numpy()], np.r_[nodes, b.column(0).to_numpy()]
+            at = np.r_[at, b.column(1).to_numpy().view(np.uint64)]
+            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last shard may go on
+            a, c = nominated(keys[:cut], nodes[:cut], at[:cut])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["a", "b"])
+            keys, nodes, at = keys[cut:], nodes[cut:], at[cut:]
+        a, c = nominated(keys, nodes, at)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["a", "b"])
+
+    dealt = points.select("fp", *names).mapInArrow(keyed, "fp long, w0 long, keys array<long>").select("fp", "w0", F.explode("keys").alias("key"))
+    found = dealt.repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key").mapInArrow(pairs, "a long, b long").distinct()
+    left, right = points.select(F.col("fp").alias("a"), F.array(*names).alias("x")), points.select(F.col("fp").alias("b"), F.array(*names).alias("y"))
+    differ = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(1, WIDE)), F.bit_count(F.col("x")[0].bitwiseXOR(F.col("y")[0])))
+    linked = found.join(left, "a").join(right, "b").where(differ <= most_bits(similarity)).select("a", "b")
+    roots = components(linked)
+    rooted = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "_first", F.coalesce("root", "fp").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
+    return rows.select(id_col, "fp").join(rooted.join(named, "root").select("fp", "component_id"), "fp").select(id_col, "component_id")
+
+
+def deduplicate(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id") -> DataFrame:
+    """The documents, all columns, one of each group of near duplicates: that with the smallest id.
+
+    Rows of equal id are one document and stay or go together."""
+    found = similar(docs, k, similarity, id_col)
     # a written table: broadcast only if its true size is under the session's threshold
     gone = materialize(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "simhash-gone")
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)

@@ -359,11 +359,31 @@ def test_simhash_components_against_brute_force(spark, docs, empty):
     assert len(got) == len(texts)
     for r in got:
         assert r.fp % (1 << 64) == fps[r.doc_id] and r.component_id == smallest[root[fps[r.doc_id]]]
-    kept = simhash.deduplicate(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(smallest.values())
     assert simhash.near_duplicates(empty).count() == 0 and simhash.deduplicate(empty).count() == 0
 
 
+def test_similar_documents_go_and_others_stay(spark, docs):
+    rng = random.Random(12)
+    texts = [words(rng, rng.randint(60, 300)) for _ in range(80)]
+    near, far = [], []
+    for t in texts[:40]:
+        w = t.split()
+        for k in rng.sample(range(5, len(w) - 5), max(1, len(w) // 120)):
+            w[k] = "other"
+        near.append(" ".join(w))
+    for t in texts[40:]:
+        far.append(" ".join(t.split()[: len(t.split()) // 2]) + " " + words(rng, 100))
+    rows = frame(spark, texts + near + far + texts[:5] + [None, "", "  "])
+    kept = simhash.deduplicate(rows)
+    got = {r.doc_id for r in kept.collect()}
+    assert kept.columns == rows.columns
+    shingles = lambda t: {tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)}
+    similarity = lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+    expect_gone = {80 + i for i in range(40) if similarity(texts[i], near[i]) >= 0.85}
+    assert len(expect_gone) > 25 and not got & expect_gone
+    assert set(range(80)) <= got and set(range(120, 160)) <= got and got & set(range(160, 170)) == {165}
+
+
 def test_links_of_dense_and_chained_points(spark):
     rng = random.Random(6)
     points = [rng.getrandbits(64) for _ in range(300)]
