@@ -240,9 +240,11 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str =
 # is far outside the radius that 64 bits can be searched at exactly.  So the
 # similarity form takes WIDE words of 64 bits: TABLES samples of SAMPLED bits
 # deal the points to shards, in a shard the distance of one word nominates pairs,
-# and the distance of all words decides.
+# and the distance of all words accepts or rejects them, but for the pairs within
+# MARGIN of the similarity, whose shingle sets are compared.
 
 WIDE, TABLES, SAMPLED = 8, 96, 20
+MARGIN = 0.1
 #: Bits of one word that nominated pairs may differ in (3.5 deviations over the mean at 0.8).
 NOMINATE = 20
 
@@ -317,9 +319,47 @@ def nominated(keys: np.ndarray, nodes: np.ndarray, points: np.ndarray):
     return a[a != b], b[a != b]
 
 
+def shingle_set(text: bytes, k: int) -> np.ndarray:
+    """Sorted hashes of the set of k-word shingles."""
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    made = {xxhash.xxh64_digest(b" ".join(words[i:i + k]), SEED) for i in range(max(1, len(words) - k + 1))}
+    return np.sort(np.frombuffer(b"".join(made), dtype=np.uint64))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
+
+
+def _compared(docs: DataFrame, points: DataFrame, doubtful: DataFrame, k: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """The doubtful pairs whose shingle sets really have the similarity."""
+    nodes = doubtful.select(F.col("a").alias("fp")).union(doubtful.select("b")).distinct()
+    # a written table: broadcast only if its true size is under the session's threshold
+    wanted = materialize(points.join(nodes, "fp", "left_semi").select("fp", F.col("_first").alias(id_col)), "simhash-doubtful")
+
+    def sets(batches):
+        for b in batches:
+            made = [shingle_set(t.as_buffer().to_pybytes(), k).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["fp", "shingles"])
+
+    texts = docs.select(id_col, text_or_empty(text_col).cast("binary").alias("_text")).join(wanted, id_col).select("fp", "_text")
+    sized = texts.mapInArrow(sets, "fp long, shingles binary").dropDuplicates(["fp"])
+
+    def compare(batches):
+        for b in batches:
+            load = lambda x: np.frombuffer(x.as_buffer(), dtype=np.uint64)
+            keep = [jaccard(load(x), load(y)) >= similarity for x, y in zip(b.column(2), b.column(3))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = sized.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), sized.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
+    return doubtful.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
 def similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document row: id and component_id, where documents link whose
-    fingerprints say that their sets of k-word shingles have the similarity."""
+    """One row per document row: id and component_id, where documents link whose sets
+    of k-word shingles have the similarity; a null id takes no part in comparisons."""
     names = [f"w{i}" for i in range(WIDE)]
     kept = docs.select(id_col)
 
@@ -354,8 +394,10 @@ def similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
     found = dealt.repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key").mapInArrow(pairs, "a long, b long").distinct()
     left, right = points.select(F.col("fp").alias("a"), F.array(*names).alias("x")), points.select(F.col("fp").alias("b"), F.array(*names).alias("y"))
     differ = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(1, WIDE)), F.bit_count(F.col("x")[0].bitwiseXOR(F.col("y")[0])))
-    linked = found.join(left, "a").join(right, "b").where(differ <= most_bits(similarity)).select("a", "b")
-    roots = components(linked)
+    close = materialize(found.join(left, "a").join(right, "b").withColumn("differ", differ).where(F.col("differ") <= most_bits(max(0.0, similarity - MARGIN))).select("a", "b", "differ"), "simhash-close")
+    sure = F.col("differ") <= most_bits(min(1.0, similarity + MARGIN))
+    checked = _compared(docs, points, close.where(~sure).select("a", "b"), k, similarity, id_col, text_col)
+    roots = components(close.where(sure).select("a", "b").unionByName(checked))
     rooted = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "_first", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
     return rows.select(id_col, "fp").join(rooted.join(named, "root").select("fp", "component_id"), "fp").select(id_col, "component_id")
