@@ -2,7 +2,8 @@
 
 Bytes, tokens and rows are balanced jointly: each placement unit goes to the
 shard where the dot product of its (bytes, tokens, rows) vector with the
-shard's residual capacity is highest, largest units first.
+shard's residual capacity is highest, largest units first.  At the end, swaps of
+units with equal row counts level the bytes.
 
 A group is the set of rows with equal text and is the unit of placement.  The
 placement itself runs on the driver over a bounded number of units, whatever
@@ -94,6 +95,34 @@ def pack(vectors: np.ndarray, shards: int, weights=WEIGHTS) -> np.ndarray:
     return out
 
 
+def level(vectors: np.ndarray, out: np.ndarray, shards: int, rounds: int = 2000) -> np.ndarray:
+    """Swaps units of equal row counts between the fullest and the emptiest shard, as
+    long as that brings their bytes closer; rows and the number of units stay."""
+    size, rows, out = vectors[:, 0], vectors[:, 2], out.copy()
+    load = np.bincount(out, size, minlength=shards)
+    for _ in range(rounds):
+        high, low = int(np.argmax(load)), int(np.argmin(load))
+        gap = load[high] - load[low]
+        best = None
+        a, b = np.flatnonzero(out == high), np.flatnonzero(out == low)
+        for n in np.intersect1d(rows[a], rows[b]):
+            u, v = a[rows[a] == n], b[rows[b] == n]
+            v = v[np.argsort(size[v], kind="stable")]
+            at = np.searchsorted(size[v], size[u] - gap / 2)
+            for k in (np.maximum(at - 1, 0), np.minimum(at, len(v) - 1)):
+                left = np.abs(gap - 2 * (size[u] - size[v[k]]))
+                i = int(np.argmin(left))
+                if left[i] < gap and (best is None or left[i] < best[0]):
+                    best = (left[i], u[i], v[k[i]])
+        if best is None:
+            break
+        _, x, y = best
+        out[x], out[y] = low, high
+        load[high] += size[y] - size[x]
+        load[low] += size[x] - size[y]
+    return out
+
+
 def plan(rows: DataFrame, shards: int) -> tuple[list, DataFrame]:
     """Hot groups, and the table (_unit, shard, _offset) that places every unit."""
     spark = rows.sparkSession
@@ -105,7 +134,7 @@ def plan(rows: DataFrame, shards: int) -> tuple[list, DataFrame]:
     if not units:
         return hot, spark.createDataFrame([], "_unit long, shard int, _offset long")
     vectors = np.array([[u.b, u.t, u.n] for u in units], dtype=float)
-    where = pack(vectors, shards)
+    where = level(vectors, pack(vectors, shards), shards)
     seen, placed = [0] * shards, []
     for u, k in zip(units, where.tolist()):
         placed.append((u["_unit"], k, seen[k]))
