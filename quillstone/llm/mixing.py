@@ -44,8 +44,8 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
     else:
         table = docs.sparkSession.createDataFrame([(k or "", float(v)) for k, v in weights.items()], "_source string, _w double")
         weighted = counts.join(table, "_source", "left").fillna(0.0, ["_w"])
-    totals = weighted.agg(F.sum("_n").alias("_total"), F.sum("_w").alias("_sum"))
-    return weighted.crossJoin(F.broadcast(totals)).select("_source", (F.col("_w") / F.col("_sum") * F.col("_total") / F.col("_n")).alias("rate"))
+    rows, weight = weighted.agg(F.sum("_n"), F.sum("_w")).first()
+    return weighted.select("_source", (F.col("_w") / F.lit(weight or 1.0) * F.lit(float(rows or 0)) / F.col("_n")).alias("rate"))
 
 
 def poisson_count(rate, *key):
