@@ -5,8 +5,8 @@ conjunctive rule, an L1-penalised logistic regression weighs the rules, and the
 rules that keep a weight are compiled into one Spark column expression.
 
 Statistics are computed for every document over its whole text; the trees and
-weights are fitted on at most ``SAMPLE`` labelled rows (a documented bound),
-those with the smallest hash of doc_id.
+weights are fitted on about ``SAMPLE`` labelled rows at most (a documented bound),
+those with a small hash of doc_id.
 
 Null text counts as empty; an empty text has all statistics zero and a score
 like any other.  Repeated rows get equal scores.  Without labels of both
@@ -86,11 +86,11 @@ def _marks(labels: DataFrame) -> DataFrame:
 
 def fit_on(stats: DataFrame, labels: DataFrame) -> tuple[float, list[tuple[tuple, float]]]:
     """The ensemble fitted on the rows of ``stats`` whose labels may be learned."""
-    sample = (
-        stats.where(~held_out()).join(_marks(labels), "doc_id").select(F.xxhash64("doc_id").alias("_o"), "doc_id", "_q", *FEATURES)
-        .orderBy("_o", "doc_id").limit(SAMPLE).collect()
-    )
-    data = np.array([r[2:] for r in sample], dtype=float).reshape(-1, len(FEATURES) + 1)
+    known = stats.where(~held_out()).join(_marks(labels), "doc_id").select("doc_id", "_q", *FEATURES)
+    n = known.count()
+    if n > SAMPLE:  # by hash, so that the tasks together send about SAMPLE rows
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.lit(int(SAMPLE / n * (1 << 40))))
+    data = np.array([r[1:] for r in sorted(known.collect(), key=lambda r: r["doc_id"])], dtype=float).reshape(-1, len(FEATURES) + 1)
     return fit(data[:, 1:], data[:, 0])
 
 
