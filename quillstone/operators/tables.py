@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -85,14 +86,16 @@ def cell_at(row: list, i: int) -> str:
     return clean_cell(row[i]) if row and i < len(row) else ""
 
 
+@lru_cache(1 << 14)
 def has_key(s: str) -> bool:
     return bool(_key_word.search(s.upper()))
 
 
-def coefficients(s: str) -> list[str]:
+@lru_cache(1 << 14)
+def coefficients(s: str) -> tuple[str, ...]:
     """The numeric lines of a cell, inner spaces removed."""
     squeezed = (line.strip().replace(" ", "") for line in s.split("\n"))
-    return [x for x in squeezed if _number.match(x)]
+    return tuple(x for x in squeezed if _number.match(x))
 
 
 def tidy_keys(s: str) -> str:
@@ -106,10 +109,12 @@ def tidy_keys(s: str) -> str:
     return " ".join(out)
 
 
+@lru_cache(1 << 14)
 def folded(s: str | None) -> str:
     return " ".join(clean_cell(s).lower().split()).translate(_folded)
 
 
+@lru_cache(1 << 14)
 def header_role(s: str | None) -> str | None:
     """The role that a header cell names."""
     t = folded(s)
@@ -280,7 +285,7 @@ class BillingTable:
         else:
             self.lines.append(text)
 
-    def _priced(self, row: Row, prices: list[str]):
+    def _priced(self, row: Row, prices: tuple[str, ...]):
         own, name = _filled(row.key), row.designation.replace("\n", " ").strip()
         if "designation" in folded(name):
             name = ""
@@ -413,20 +418,16 @@ def fold_document(pages: list[tuple[str, list]], mode: str) -> str:
     return "\n\n".join(p for i, p in enumerate(done) if p.strip() or i < len(done) - 1).strip()
 
 
-def _grid(x) -> list:
-    return [[list(r) if r is not None else None for r in g] if g is not None else [] for g in (x if x is not None else [])]
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def classify(tables: pd.Series) -> pd.Series:
+@F.arrow_udf(ArrayType(StringType()))
+def classify(tables: pa.Array) -> pa.Array:
     """Kind of every table of a page; roles are not inherited from other pages."""
-    return tables.map(lambda x: [kind_of(g) for g in _grid(x)])
+    return pa.array([[kind_of(g or []) for g in x or []] for x in tables.to_pylist()], pa.list_(pa.string()))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def format_billing(tables: pd.Series) -> pd.Series:
+@F.arrow_udf(ArrayType(StringType()))
+def format_billing(tables: pa.Array) -> pa.Array:
     """Billing lines of all tables of a page."""
-    return tables.map(lambda x: [line for g in _grid(x) if g for line in BillingTable(g).format()])
+    return pa.array([[line for g in x or [] if g for line in BillingTable(g).format()] for x in tables.to_pylist()], pa.list_(pa.string()))
 
 
 def document_mode(pages: DataFrame, sample: int = 3) -> DataFrame:
@@ -437,15 +438,33 @@ def document_mode(pages: DataFrame, sample: int = 3) -> DataFrame:
 
 
 def fold_pages(pages: DataFrame, mode: str = "ngap") -> DataFrame:
-    """doc_id, text, from (doc_id, page_no, text, tables).  A document whose fold fails keeps
-    its message in ``error``; the others are not touched."""
+    """doc_id, text, error, from (doc_id, page_no, text, tables).  A document whose fold
+    fails keeps its message in ``error``; the others are not touched.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("page_no")
+    Pages are dealt and sorted by document and folded as a stream: a task holds one
+    document's pages at a time."""
+    result = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("error", pa.string())])
+
+    def fold(doc, own):
         try:
-            text, error = fold_document([(t or "", _grid(g)) for t, g in zip(frame["text"], frame["tables"])], mode), None
+            return doc, fold_document([(t or "", [g or [] for g in x or []]) for t, x in own], mode), None
         except Exception as e:  # noqa: BLE001  isolation per document
-            text, error = None, f"{type(e).__name__}: {e}"
-        return pd.DataFrame({"doc_id": [frame["doc_id"].iloc[0]], "text": [text], "error": [error]})
-
-    return pages.select("doc_id", "page_no", "text", "tables").groupBy("doc_id").applyInPandas(run, "doc_id long, text string, error string")
+            return doc, None, f"{type(e).__name__}: {e}"
+
+    def run(batches):
+        doc, own = None, []
+        for b in batches:
+            done = []
+            for d, t, x in zip(*[b.column(i).to_pylist() for i in (0, 2, 3)]):
+                if own and d != doc:
+                    done.append(fold(doc, own))
+                    own = []
+                doc = d
+                own.append((t, x))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*done)) or [[]] * 3, result)], schema=result)
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(fold(doc, own), result)], schema=result)
+
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pages.select("doc_id", "page_no", "text", "tables").repartition(tasks, "doc_id").sortWithinPartitions("doc_id", "page_no")
+    return rows.mapInArrow(run, "doc_id long, text string, error string")

@@ -512,7 +512,7 @@ def chunk_ngap_acts(spark, sf_dir):
 
 def _pages(spark, sf_dir) -> DataFrame:
     grids = _grids(spark, sf_dir).select(F.floor(F.col("o_orderkey") / 8).alias("doc_id"), (F.col("o_orderkey") % 8).cast("int").alias("page_no"), F.transform("grid", lambda r: F.array(r[1], r[3], F.coalesce(r[2], F.lit("SFI")))).alias("grid"))
-    return grids.select("doc_id", "page_no", F.concat(F.lit("page de texte "), F.col("page_no").cast("string")).alias("text"), F.array("grid").alias("tables"))
+    return grids.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").select("doc_id", "page_no", F.concat(F.lit("page de texte "), F.col("page_no").cast("string")).alias("text"), F.array("grid").alias("tables"))
 
 
 @query("table_classify")
