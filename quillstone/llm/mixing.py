@@ -69,13 +69,16 @@ def poisson_count(rate, *key):
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 2.0, source_col: str = "source") -> DataFrame:
     """The documents repeated to the target mix, with ``copy`` (from 1), ``rate`` and
-    ``mix_key``, shuffled globally."""
-    rates = materialize(source_rates(docs, weights, temperature, source_col), "mix-rates")
+    ``mix_key``, shuffled globally.  Columns of those names in ``docs`` stay; ours then
+    have the prefix ``mix_``."""
+    rates = materialize(source_rates(docs, weights, temperature, source_col).withColumnsRenamed({"_source": "_mixed", "rate": "_rate"}), "mix-rates")
     # rates is a written table: it is broadcast only if its size is under the session's threshold
     counted = (
-        docs.withColumn("_source", F.coalesce(F.col(source_col), F.lit(""))).join(rates, "_source").drop("_source")
-        .withColumn("_count", poisson_count(F.col("rate"), F.col("doc_id")))
+        docs.withColumn("_mixed", F.coalesce(F.col(source_col), F.lit(""))).join(rates, "_mixed").drop("_mixed")
+        .withColumn("_count", poisson_count(F.col("_rate"), F.col("doc_id")))
     )
-    copies = counted.where("_count > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_count")))).drop("_count")
-    keyed = copies.withColumn("mix_key", _key(F.lit(SEED), F.col("doc_id"), F.lit("copy"), F.col("copy")))
-    return keyed.repartition("mix_key").sortWithinPartitions("mix_key")
+    copies = counted.where("_count > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_count"))))
+    keyed = copies.withColumn("_key", _key(F.lit(SEED), F.col("doc_id"), F.lit("copy"), F.col("_copy")))
+    named = {c: c if c not in docs.columns else f"mix_{c}" for c in ("copy", "rate", "mix_key")}
+    ours = [F.col(i).alias(named[c]) for i, c in (("_copy", "copy"), ("_rate", "rate"), ("_key", "mix_key"))]
+    return keyed.repartition("_key").sortWithinPartitions("_key").select(*docs.columns, *ours)

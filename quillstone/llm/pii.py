@@ -215,12 +215,14 @@ def joined(spans: Column) -> Column:
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with every selected span replaced by its kind in brackets;
     of overlapping spans the first covers the others."""
-    spanned = find_spans(docs, docs.columns, text_col)
-    text = text_or_empty(text_col)
+    names = [f"_d{i}" for i in range(len(docs.columns))]
+    own = names[docs.columns.index(text_col)]
+    spanned = find_spans(docs.toDF(*names), names, own)
+    text = text_or_empty(own)
 
     def step(acc, s):
         cut = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]"))
         return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), cut.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
 
     clean = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return spanned.withColumn(text_col, F.when(F.col(text_col).isNotNull(), clean)).drop("spans")
+    return spanned.withColumn(own, F.when(F.col(own).isNotNull(), clean)).select(*names).toDF(*docs.columns)

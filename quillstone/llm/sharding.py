@@ -158,15 +158,11 @@ def shard_rows(docs: DataFrame, shards: int) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, shards: int) -> DataFrame:
-    """The documents, whole, with a ``shard`` column; texts are not shuffled."""
+    """The documents, whole, with a ``shard`` column (replacing any of that name); texts are not shuffled."""
     rows = materialize(measures(docs), "shard-measures")
     hot, placed = plan(rows, shards)
-    keyed = docs.withColumns({"_group": F.xxhash64(text_or_empty()), "_id": F.col("doc_id").cast("long")})
-    table = docs.sparkSession.createDataFrame(hot, "_group long, _first long, _slices long") if hot else None
-    lot = F.pmod(F.col("_group"), F.lit(LOTS)).cast("long")
-    if table is not None:
-        keyed = keyed.join(F.broadcast(table), "_group", "left").withColumn(
-            "_unit", F.coalesce(F.col("_first") + F.pmod(F.xxhash64("_id", "_group"), F.col("_slices")), lot))
-    else:
-        keyed = keyed.withColumn("_unit", lot)
-    return keyed.join(F.broadcast(placed), "_unit").select(*docs.columns, "shard")
+    names = [f"_d{i}" for i in range(len(docs.columns))]
+    keyed = docs.toDF(*names).withColumns({
+        "_group": F.xxhash64(text_or_empty(names[docs.columns.index("text")])), "doc_id": F.col(names[docs.columns.index("doc_id")]).cast("long")})
+    found = _with_units(keyed, hot).join(F.broadcast(placed), "_unit")
+    return found.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns) if c != "shard"], "shard")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import common, decontam, media, mixing, pii, quality, secretscan, sharding, simhash, substring, warc
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, chunk string, size long, fp string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, chunk string, size long, fp string, shard int, rate double, spans string"
 
 
 def words(rng, n):
@@ -37,7 +37,7 @@ def corpus(seed=1, n=60):
 
 
 def frame(spark, texts, schema=DOCS, start=0):
-    rows = [(start + i, t, "en", f"s{i % 3}" if i % 5 else None, len(t) if t else None, "c", 7, "z") for i, t in enumerate(texts)]
+    rows = [(start + i, t, "en", f"s{i % 3}" if i % 5 else None, len(t) if t else None, "c", 7, "z", 99, 0.5, "s") for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, schema).repartition(4)
 
 
@@ -152,7 +152,7 @@ def test_shards_are_balanced_and_slots_gapless(spark, hot):
             where[texts[r.doc_id] or ""].add(r.shard)
         assert all(len(v) == 1 for v in where.values())
     whole = sharding.shard_documents(docs, 8)
-    assert whole.columns == [*docs.columns, "shard"]
+    assert whole.columns == [*[c for c in docs.columns if c != "shard"], "shard"]
     assert {(r.doc_id, r.shard) for r in whole.collect()} == {(r.doc_id, r.shard) for r in rows}
 
 
@@ -429,7 +429,7 @@ def test_poisson_counts_and_shares(spark, docs, empty):
     again = mixing.mix(rows.repartition(7), weights={"hot": 1.0, "s0": 1.0, "s1": 1.0, "s2": 1.0, "s3": 1.0})
     assert collections.Counter(r.doc_id for r in again.collect()) == counts
     assert mixing.mix(empty).count() == 0
-    assert set(mixing.mix(docs).columns) == {*docs.columns, "copy", "rate", "mix_key"}
+    assert set(mixing.mix(docs).columns) == {*docs.columns, "copy", "mix_rate", "mix_key"}
     rare = spark.createDataFrame([(0, "a", "r")] + [(i, "b", "c") for i in range(1, 2001)], "doc_id long, text string, source string")
     assert abs(mixing.mix(rare, weights={"r": 1.0, "c": 1.0}).where("source = 'r'").count() - 1000) < 150
 
