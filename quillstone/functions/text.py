@@ -286,6 +286,12 @@ def reply_lines(reply: Column, question: Column) -> Column:
     return F.when(F.size(parsed) > 0, parsed).otherwise(F.array(question))
 
 
+def rewritten_question(reply: Column, question: Column) -> Column:
+    """The first line of a chat reply without its bullet; the question if nothing is left."""
+    first = F.ltrim(strip(F.get(F.split(strip(reply), "\n", -1), F.lit(0))), F.lit(PREFIX_CHARACTERS))
+    return F.coalesce(F.nullif(first, F.lit("")), question)
+
+
 def priority_label(c: Column) -> Column:
     out = F.when(c.isNull() | (c == 0), F.lit(V.NO_LABEL))
     for k, v in V.PRIORITY_LABELS.items():

@@ -432,7 +432,7 @@ def format_billing(tables: pa.Array) -> pa.Array:
 
 def document_mode(pages: DataFrame, sample: int = 3) -> DataFrame:
     """doc_id, mode: from the text of the first ``sample`` pages."""
-    head = pages.where(F.col("page_no") < F.lit(sample) + F.col("_first")) if "_first" in pages.columns else pages.where(F.col("page_no") <= sample)
+    head = pages.where(F.col("page_no") <= sample)  # pages count from 1
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "\n")
     return head.groupBy("doc_id").agg(F.when(T.is_billing_document(joined), F.lit("ngap")).otherwise(F.lit("generic")).alias("mode"))
 

@@ -37,11 +37,22 @@ def ingest(spark: SparkSession, directory: str, registry_path: str | None = None
     return done.join(enriched, done["path"] == enriched["filepath"]).withColumnRenamed("mode", "extraction_mode").withColumn("doc_id", F.col("source")).drop("path")
 
 
+def ingest_file(spark: SparkSession, path: str, registry_path: str | None = None, mode: str | None = None, extractor=None) -> DataFrame:
+    """One file; another kind is a ``ValueError``, a missing one a ``FileNotFoundError``."""
+    documents.check_file(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        raise FileNotFoundError(path)
+    return ingest(spark, path, registry_path, mode, extractor)
+
+
 def build_index(spark: SparkSession, directory: str, out: str, cache: str, registry_path: str | None = None, mode: str | None = None, strategy: str = "semantic", chunk_size: int = 800, overlap: int = 150, least: int = 150, most: int = 1500, embedder=None, extractor=None) -> dict:
     """Ingest, chunk, embed, write; the counts of each step.  Nothing to read gives an empty index."""
     embedder = embedder or providers.HashEmbedder()
+    documents.check_directory(spark, directory)
     docs = ingest(spark, directory, registry_path, mode, extractor)
     counts = documents.ingest_counts(docs).first().asDict()
+    counts["skipped"] += documents.other_files(spark, directory)
     chunks = chunking.chunk_documents(docs.where("error is null").drop("error"), strategy, chunk_size, overlap, least, most)
     embedded = providers.embed_chunks(chunks, cache, embedder)
     key = F.concat_ws("#", "doc_id", F.col("chunk_index").cast("string"))

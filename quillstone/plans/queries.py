@@ -229,6 +229,8 @@ NOISE = {
     "conditions": f"case doc_id % 3 when 1 then text || ' | condition: x' || {_N} || 'a |NOTE : y' when 2 then text || '  |  Remarque: z' else text end",
     "ingest_marks": f"case doc_id % 3 when 1 then text || {_N} || '--- Cotations extraites ---' || {_N} || 'x' when 2 then text || {_N} || '-- Cotations extraites --' else text end",
     "adjacent": f"case doc_id % 3 when 1 then 'abc' || {_N} || ' abc ' || {_N} || {_N} || 'abc' || {_N} || text when 2 then 'abc' || {_N} || 'abd' || {_N} || 'abc' || {_N} || text else text end",
+    "broken": f"case doc_id % 3 when 1 then text || {_N} || 'infir-' || {_N} || 'mier,' || {_N} || 'Suite' || {_N} || '1' when 2 then text || '.' || {_N} || 'é-' || {_N} || 'à' || {_N} || 'x' else text end",
+    "articles": f"case doc_id % 3 when 1 then text || {_N} || 'Article 11 - Soins infirmiers à domicile pour un patient, quel que soit son âge x' || {_N} || 'y Article 12 – fin' when 2 then text || ' Article 11 - Soins infirmiers à domicile pour un patient, quel que soit son âge' else text end",
     "signals": "case doc_id % 5 when 1 then text || ' AMI 4' when 2 then text || ' famille, coéfficient, Lettre  clé ngap' when 3 then text || ' AMX et SFI' else text end",
     "acts": f"case doc_id % 3 when 1 then text || {_N} || '- a : coefficient 1, lettre clé AMI' || {_N} || ' - b : coefficient 2,5' || {_N} || '- c : Coefficient 3' when 2 then text || {_N} || '- a : coefficient 1, lettre clé AMI sfi' else text end",
     "keys": "case doc_id % 5 when 0 then 'ami ou xyz AMX' when 1 then 'AMI ou' || chr(10) || ' AMI AMI , SFI;' when 2 then 'rien' when 3 then 'TE2 ou ou K' else 'pAMI' end",
@@ -311,6 +313,12 @@ r as (select doc_id, trim(coalesce(string_agg(x, chr(10) order by i) filter (whe
 select doc_id, length(x)::bigint as n, md5(x) as h from r""")
 
 
+_cleaner("broken_line_join", "broken", T.join_broken_lines, _sql(
+    "broken", "regexp_replace(regexp_replace(t, '([\\w\\pL])-\\n([\\w\\pL])', '\\1\\2', 'g'), '(?i)([a-zàâçéèêëîïôûùüÿñæœ,;])\\n([a-zàâçéèêëîïôûùüÿñæœ])', '\\1 \\2', 'g')"))
+_cleaner("obsolete_article_removal", "articles", T.remove_obsolete_articles, _sql(
+    "articles", "regexp_replace(t, '(?s)Article\\s+11\\s*[-–—]\\s*Soins\\s+infirmiers\\s+.{0,5}domicile\\s+pour\\s+un\\s+patient,\\s+quel\\s+que\\s+soit\\s+son\\s+.ge.*?(Article\\s+12\\s*[-–—])', '\\1', 'g')"))
+
+
 # --- recognisers and small parsers ------------------------------------------
 
 
@@ -344,6 +352,19 @@ def subquery_parse(spark, sf_dir):
     return rows.withColumn("sq_idx", F.col("sq_idx").cast("long"))
 
 
+_flag("rewrite_parse", "reply", lambda c: T.rewritten_question(c, F.lit("question")), f"coalesce(nullif(ltrim(trim(string_split(trim(t, {_WS}), chr(10))[1], {_WS}), '{T.PREFIX_CHARACTERS}'), ''), 'question')")
+
+
+@query("detect_mode", f"""with p as (select conv_id, turn, text || case when conv_id % 3 = 0 and turn < 2 then ' AMI Coéfficient' when conv_id % 3 = 1 and turn > 3 then ' AMI NGAP' else '' end as t, row_number() over (partition by conv_id order by turn, role, text) as n from conversations),
+j as (select conv_id, string_agg(t, chr(10) order by n) as t from p where n <= 3 group by conv_id)
+select conv_id as doc_id, case when (""" + " + ".join(f"contains(upper({_fold}), '{w}')::int" for w in V.DOCUMENT_SIGNALS) + """) >= 2 then 'ngap' else 'generic' end as mode from j""")
+def detect_mode(spark, sf_dir):
+    more = F.when((F.col("conv_id") % 3 == 0) & (F.col("turn") < 2), F.lit(" AMI Coéfficient")).when((F.col("conv_id") % 3 == 1) & (F.col("turn") > 3), F.lit(" AMI NGAP")).otherwise(F.lit(""))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.row_number().over(order).alias("page_no"), F.concat("text", more).alias("text"))
+    return tables.document_mode(rows)
+
+
 # --- joins and caches -------------------------------------------------------
 
 

@@ -34,6 +34,26 @@ def list_files(spark: SparkSession, directory: str, pattern: str = "*.[pP][dD][f
         F.col("length").alias("size_bytes"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss").alias("modified_time"), "content")
 
 
+def check_directory(spark: SparkSession, directory: str) -> None:
+    """``NotADirectoryError`` for what is no folder of Spark's file systems."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path) or not fs.getFileStatus(path).isDirectory():
+        raise NotADirectoryError(directory)
+
+
+def other_files(spark: SparkSession, directory: str, pattern: str = "*.[pP][dD][fF]") -> int:
+    """Files of the folder that the pattern leaves out (dot files do not count)."""
+    every = spark.read.format("binaryFile").load(directory).select("path")
+    return every.join(list_files(spark, directory, pattern).select(F.col("filepath").alias("path")), "path", "left_anti").count()
+
+
+def check_file(path: str) -> None:
+    """``ValueError`` for a file of another kind."""
+    if not path.lower().endswith(".pdf"):
+        raise ValueError(f"not a pdf: {path}")
+
+
 def extract_pages(files: DataFrame, extractor: Callable[[bytes], Iterator[dict]] | None = None) -> DataFrame:
     """A row per page; a failing file gives one row with ``error``."""
     extractor = extractor or PlainExtractor()

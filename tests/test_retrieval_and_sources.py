@@ -134,10 +134,17 @@ def test_index_build_and_answer(spark, tmp_path):
     corpus.mkdir()
     (corpus / "pdf_1_loi.pdf").write_text("Article 1 " + "soins infirmiers à domicile " * 8 + "\f" + "Article 2 " + "forfait de nuit " * 12)
     (corpus / "pdf_2.pdf").write_bytes(b"\xff")
+    (corpus / "note.txt").write_text("x")
     reg = tmp_path / "r.csv"
     reg.write_text(HEADER + "\n1,loi,Titre,2024,s,u,pdf_1,t,1\n")
     counts = pipeline.build_index(spark, str(corpus), str(tmp_path / "index"), str(tmp_path / "cache"), registry_path=str(reg), embedder=providers.HashEmbedder())
-    assert (counts["loaded"], counts["enriched"], counts["skipped"]) == (1, 1, 1) and counts["n_chunks"] >= 1
+    assert (counts["loaded"], counts["enriched"], counts["skipped"]) == (1, 1, 2) and counts["n_chunks"] >= 1
+    assert pipeline.ingest_file(spark, str(corpus / "pdf_1_loi.pdf")).count() == 1
+    for path, error in ((corpus / "note.txt", ValueError), (corpus / "none.pdf", FileNotFoundError)):
+        with pytest.raises(error):
+            pipeline.ingest_file(spark, str(path))
+    with pytest.raises(NotADirectoryError):
+        pipeline.build_index(spark, str(corpus / "none"), "o", "c")
     chat = providers.ScriptedChat(lambda m: "- soins infirmiers à domicile\n- forfait de nuit" if m[0]["role"] == "system" and "sous-questions" in m[0]["content"] else "réponse")
     answer = pipeline.ask(spark, str(tmp_path / "index"), "Quels soins infirmiers ?", providers.HashEmbedder(), chat, top_k=5, retrieval_k=10, least=0.0)
     assert answer.answer == "réponse" and answer.rewritten_query == answer.query and len(answer.sources) >= 1
