@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str =
 # and the distance of all words accepts or rejects them, but for the pairs within
 # MARGIN of the similarity, whose shingle sets are compared.
 
-WIDE, TABLES, SAMPLED = 8, 96, 20
+WIDE, TABLES, SAMPLED = 8, 160, 20
 MARGIN = 0.1
 #: Bits of one word that nominated pairs may differ in (3.5 deviations over the mean at 0.8).
 NOMINATE = 20
