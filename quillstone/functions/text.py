@@ -24,6 +24,11 @@ def let(c: Column, body) -> Column:
     return F.element_at(F.transform(F.array(c), body), 1)
 
 
+def gated(c: Column, needle: str, rewrite) -> Column:
+    """``rewrite(c)`` where ``c`` holds ``needle``, which every match contains; else ``c``."""
+    return let(c, lambda x: F.when(x.contains(needle), rewrite(x)).otherwise(x))
+
+
 def strip(c: Column) -> Column:
     return F.trim(c, F.lit(BLANKS))
 
@@ -61,10 +66,14 @@ def _is_gazette_header(s: Column) -> Column:
 
 def remove_gazette_headers(c: Column) -> Column:
     """Running headers and footers, then the inline "date Texte n sur m" marks."""
-    out = drop_lines(c, _is_gazette_header)
-    for p in (r"(?U)\d{1,2}\s+\w+\s+\d{4}\s+Texte\s+\d+\s+sur\s+\d+", r"(?U)\d{1,2}\s+\w+\s+\d{4}\s*\n\s*Texte\s+\d+\s+sur\s+\d+", r"(?Umd)^Texte\s+\d+\s+sur\s+\d+\s*$"):
-        out = F.regexp_replace(out, p, "")
-    return out
+    marks = (r"(?U)\d{1,2}\s+\w+\s+\d{4}\s+Texte\s+\d+\s+sur\s+\d+", r"(?U)\d{1,2}\s+\w+\s+\d{4}\s*\n\s*Texte\s+\d+\s+sur\s+\d+", r"(?Umd)^Texte\s+\d+\s+sur\s+\d+\s*$")
+
+    def unmark(x):
+        for p in marks:
+            x = F.regexp_replace(x, p, "")
+        return x
+
+    return gated(drop_lines(c, _is_gazette_header), "Texte", unmark)
 
 
 def remove_separator_lines(c: Column) -> Column:
@@ -114,7 +123,7 @@ NOISE_LINE = r"(?iuU)^(?:\d{1,2}\.|[a-z°]{1,3}\)|ou|et|ou\s+:|[-–•]\s*|[ivx
 
 def remove_noise_lines(c: Column) -> Column:
     """Orphan markers go where both neighbours are blank or missing."""
-    return filter_lines_in_context(c, lambda s, p, n: s.rlike(NOISE_LINE) & (p == "") & (n == ""))
+    return filter_lines_in_context(c, lambda s, p, n: (p == "") & (n == "") & s.rlike(NOISE_LINE))
 
 
 def dedupe_adjacent_lines(c: Column) -> Column:
@@ -141,7 +150,7 @@ def remove_legislative_notes(c: Column) -> Column:
     state = "struct<inside:boolean,out:array<string>>"
 
     def step(a, x):
-        closes, opens = x.contains(")"), x.rlike(LEGISLATIVE_START)
+        closes, opens = x.contains(")"), x.contains("(") & x.rlike(LEGISLATIVE_START)
         inside = F.when(a["inside"] | opens, ~closes).otherwise(F.lit(False))
         out = F.when(a["inside"] | opens, a["out"]).otherwise(F.concat(a["out"], F.array(x)))
         return F.struct(inside.alias("inside"), out.alias("out")).cast(state)
@@ -155,14 +164,18 @@ def remove_legislative_notes(c: Column) -> Column:
 
 def split_inline_conditions(c: Column) -> Column:
     """"... | condition: x" becomes a line of its own, capitalised."""
-    out = F.regexp_replace(c, r"(?iuU)\s*\|\s*(conditions?|remarque|note)\s*:", "\n  $1 :")
-    for word in ("conditions", "condition", "remarque", "note"):
-        out = F.regexp_replace(out, f"(?i)\n  {word} :", f"\n  {word.capitalize()} :")
-    return out
+
+    def capitalize(x):
+        for word in ("conditions", "condition", "remarque", "note"):
+            x = F.regexp_replace(x, f"(?i)\n  {word} :", f"\n  {word.capitalize()} :")
+        return x
+
+    split = gated(c, "|", lambda x: F.regexp_replace(x, r"(?iuU)\s*\|\s*(conditions?|remarque|note)\s*:", "\n  $1 :"))
+    return gated(split, "\n  ", capitalize)
 
 
 def remove_markers(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?Umd)^---\s*Cotations\s+extraites\s*---\s*$", "")
+    return gated(c, "Cotations", lambda x: F.regexp_replace(x, r"(?Umd)^---\s*Cotations\s+extraites\s*---\s*$", ""))
 
 
 def remove_obsolete_articles(c: Column) -> Column:
@@ -170,9 +183,10 @@ def remove_obsolete_articles(c: Column) -> Column:
 
 
 def normalize_spaces(c: Column) -> Column:
-    out = F.regexp_replace(c, r"(?U)[\s\x1c-\x1f&&[^\n]]{2,}", " ")
-    out = F.regexp_replace(out, " +\n", "\n")
-    return strip(F.regexp_replace(out, "\n{3,}", "\n\n"))
+    blanks = "".join(x for x in BLANKS if x != "\n")
+    out = F.regexp_replace(c, f"[{blanks}]{{2,}}", " ")
+    out = gated(out, " \n", lambda x: F.regexp_replace(x, " +\n", "\n"))
+    return strip(gated(out, "\n\n\n", lambda x: F.regexp_replace(x, "\n{3,}", "\n\n")))
 
 
 def replace_characters(c: Column, table: dict[str, str]) -> Column:
