@@ -245,6 +245,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str =
 
 WIDE, TABLES, SAMPLED = 8, 160, 20
 MARGIN = 0.1
+#: The samples are used in two rounds: what the first has linked need not be nominated in the second.
+ROUNDS = ((0, 32), (32, TABLES))
 #: Bits of one word that nominated pairs may differ in (3.5 deviations over the mean at 0.8).
 NOMINATE = 20
 
@@ -287,34 +289,36 @@ def wide_fingerprint(text: bytes, k: int) -> np.ndarray:
     return np.packbits(ones.ravel() * 2 > len(pair)).view(np.uint64)
 
 
-def sampled_keys(fp: np.ndarray) -> np.ndarray:
-    """``TABLES`` keys of ``SAMPLED`` bits each; the samples are fixed."""
+def sampled_keys(fp: np.ndarray, first: int, end: int) -> np.ndarray:
+    """Keys of ``SAMPLED`` bits each for the samples from ``first``; the samples are fixed."""
     bits = np.unpackbits(fp.view(np.uint8))
-    return bits[_SAMPLES] @ (1 << np.arange(SAMPLED, dtype=np.int64)) | np.arange(TABLES, dtype=np.int64) << 40
+    return bits[_SAMPLES[first:end]] @ (1 << np.arange(SAMPLED, dtype=np.int64)) | np.arange(first, end, dtype=np.int64) << 40
 
 
 _SAMPLES = np.stack([np.random.default_rng(j).choice(WIDE * 64, SAMPLED, replace=False) for j in range(TABLES)])
 
 
-def nominated(keys: np.ndarray, nodes: np.ndarray, points: np.ndarray):
+def nominated(keys: np.ndarray, nodes: np.ndarray, points: np.ndarray, labels: np.ndarray):
     """At most one partner for every point of a shard: the first vantage point near it.
     Equal keys stand together.  Dense groups have few vantage points, and the work is
-    a distance per point and vantage point, never a pair per two members."""
+    a distance per point and vantage point, never a pair per two members.  Points of
+    one label are linked already, and their pair would change nothing."""
     out_a, out_b = [], []
     start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
     size = np.diff(np.r_[start, len(keys)])
     pair = start[size == 2]
-    near = pair[distance(points[pair], points[pair + 1]) <= NOMINATE]
+    near = pair[(distance(points[pair], points[pair + 1]) <= NOMINATE) & (labels[pair] != labels[pair + 1])]
     out_a.append(nodes[near])
     out_b.append(nodes[near + 1])
     for s, m in zip(start[size > 2].tolist(), size[size > 2].tolist()):
         order = np.argsort(nodes[s:s + m], kind="stable")
-        own, at = nodes[s:s + m][order], points[s:s + m][order]
+        own, at, of = (x[s:s + m][order] for x in (nodes, points, labels))
         while len(own) > 1:
             close = distance(at[1:], at[0]) <= NOMINATE
-            out_a.append(own[1:][close])
-            out_b.append(np.full(int(close.sum()), own[0]))
-            own, at = own[1:][~close], at[1:][~close]
+            new = close & (of[1:] != of[0])
+            out_a.append(own[1:][new])
+            out_b.append(np.full(int(new.sum()), own[0]))
+            own, at, of = own[1:][~close], at[1:][~close], of[1:][~close]
     a, b = np.concatenate(out_a), np.concatenate(out_b)
     return a[a != b], b[a != b]
 
@@ -372,33 +376,39 @@ def similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
     rows = materialize(docs.select(id_col, text_or_empty(text_col).cast("binary").alias("_text")).mapInArrow(run, schema).withColumn("fp", F.xxhash64(*names)), "simhash-wide")
     points = materialize(rows.groupBy("fp", *names).agg(F.min(id_col).alias("_first")), "simhash-points")
 
-    def keyed(batches):
-        for b in batches:
-            fps = np.stack([b.column(1 + i).to_numpy() for i in range(WIDE)], 1).view(np.uint64) if b.num_rows else np.empty((0, WIDE), np.uint64)
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) * TABLES + 1, TABLES, dtype=np.int32)), pa.array(np.concatenate([sampled_keys(x) for x in fps]) if len(fps) else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), keys], names=["fp", "w0", "keys"])
-
     def pairs(batches):
-        keys, nodes, at = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        keys, nodes, labels, at = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
         for b in batches:
-            keys, nodes = np.r_[keys, b.column(2).to_numpy()], np.r_[nodes, b.column(0).to_numpy()]
+            keys, nodes, labels = np.r_[keys, b.column(3).to_numpy()], np.r_[nodes, b.column(0).to_numpy()], np.r_[labels, b.column(2).to_numpy()]
             at = np.r_[at, b.column(1).to_numpy().view(np.uint64)]
             cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last shard may go on
-            a, c = nominated(keys[:cut], nodes[:cut], at[:cut])
+            a, c = nominated(keys[:cut], nodes[:cut], at[:cut], labels[:cut])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["a", "b"])
-            keys, nodes, at = keys[cut:], nodes[cut:], at[cut:]
-        a, c = nominated(keys, nodes, at)
+            keys, nodes, labels, at = keys[cut:], nodes[cut:], labels[cut:], at[cut:]
+        a, c = nominated(keys, nodes, at, labels)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["a", "b"])
 
-    dealt = points.select("fp", *names).mapInArrow(keyed, "fp long, w0 long, keys array<long>").select("fp", "w0", F.explode("keys").alias("key"))
-    found = dealt.repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key").mapInArrow(pairs, "a long, b long").distinct()
     left, right = points.select(F.col("fp").alias("a"), F.array(*names).alias("x")), points.select(F.col("fp").alias("b"), F.array(*names).alias("y"))
     differ = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(1, WIDE)), F.bit_count(F.col("x")[0].bitwiseXOR(F.col("y")[0])))
-    close = materialize(found.join(left, "a").join(right, "b").withColumn("differ", differ).where(F.col("differ") <= most_bits(max(0.0, similarity - MARGIN))).select("a", "b", "differ"), "simhash-close")
-    sure = F.col("differ") <= most_bits(min(1.0, similarity + MARGIN))
-    checked = _compared(docs, points, close.where(~sure).select("a", "b"), k, similarity, id_col, text_col)
-    roots = components(close.where(sure).select("a", "b").unionByName(checked))
-    rooted = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "_first", F.coalesce("root", "fp").alias("root"))
+    linked, rooted = None, points.select("fp", "_first", *names, F.col("fp").alias("root"))
+    for first, end in ROUNDS:
+        def keyed(batches, first=first, end=end):
+            n = end - first
+            for b in batches:
+                fps = np.stack([b.column(2 + i).to_numpy() for i in range(WIDE)], 1).view(np.uint64) if b.num_rows else np.empty((0, WIDE), np.uint64)
+                flat = np.concatenate([sampled_keys(x, first, end) for x in fps]) if len(fps) else np.empty(0, np.int64)
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) * n + 1, n, dtype=np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(1), keys], names=["fp", "w0", "root", "keys"])
+
+        dealt = rooted.select("fp", "root", *names).mapInArrow(keyed, "fp long, w0 long, root long, keys array<long>").select("fp", "w0", "root", F.explode("keys").alias("key"))
+        found = dealt.repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key").mapInArrow(pairs, "a long, b long").distinct()
+        close = materialize(found.join(left, "a").join(right, "b").withColumn("differ", differ).where(F.col("differ") <= most_bits(max(0.0, similarity - MARGIN))).select("a", "b", "differ"), "simhash-close")
+        sure = F.col("differ") <= most_bits(min(1.0, similarity + MARGIN))
+        checked = _compared(docs, points, close.where(~sure).select("a", "b"), k, similarity, id_col, text_col)
+        now = close.where(sure).select("a", "b").unionByName(checked)
+        linked = materialize(now if linked is None else linked.unionByName(now), "simhash-linked")
+        roots = components(linked)
+        rooted = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "_first", *names, F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
     return rows.select(id_col, "fp").join(rooted.join(named, "root").select("fp", "component_id"), "fp").select(id_col, "component_id")
 
