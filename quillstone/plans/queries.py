@@ -525,7 +525,7 @@ def _structured(spark, sf_dir) -> DataFrame:
 
 @query("chunk_semantic")
 def chunk_semantic(spark, sf_dir):
-    return chunking.chunk_documents(_structured(spark, sf_dir).where("doc_id % 3 <> 1"), "semantic")
+    return chunking.chunk_documents(_structured(spark, sf_dir), "semantic")
 
 
 @query("chunk_ngap_acts")
