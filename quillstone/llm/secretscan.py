@@ -206,9 +206,34 @@ class Index:
         return [sorted(x) for x in found]
 
 
+def _of_ascii(items) -> bool:
+    """Whether the items are only ASCII characters, classes that list such, and groups, choices and repeats of these."""
+    for op, arg in items:
+        if op is C.LITERAL:
+            good = arg < 128
+        elif op is C.IN:
+            good = all((o is C.LITERAL and x < 128) or (o is C.RANGE and x[1] < 128) for o, x in arg)
+        elif op is C.SUBPATTERN:
+            good = _of_ascii(arg[3])
+        elif op is C.BRANCH:
+            good = all(map(_of_ascii, arg[1]))
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT):
+            good = _of_ascii(arg[2])
+        else:
+            good = False
+        if not good:
+            return False
+    return True
+
+
 def _probe(rule: Rule):
-    """For a full scan: the rule over bytes, so that only texts with a long enough match are decoded."""
-    pattern = rule.pattern[:-1] + "{%d,}" % rule.least if rule.pattern.endswith("+") and rule.group == 0 and rule.least else rule.pattern
+    """For a full scan: a pattern over bytes that every text with a match satisfies, so that the others
+    are not decoded, or None.  Only for one repeated class does ``least`` bound the repeats."""
+    items = list(parser.parse(rule.pattern, rule.flags))
+    if not _of_ascii(items):
+        return None
+    single = len(items) == 1 and items[0][0] is C.MAX_REPEAT and items[0][1][:2] == (1, C.MAXREPEAT) and len(items[0][1][2]) == 1 and items[0][1][2][0][0] is C.IN
+    pattern = rule.pattern[:-1] + "{%d,}" % rule.least if single and rule.pattern.endswith("]+") and rule.group == 0 and rule.least else rule.pattern
     return re.compile(pattern.encode(), rule.flags)
 
 

@@ -238,6 +238,17 @@ def test_secrets_against_brute_force(spark):
     assert secretscan.scan(rows.limit(0)).count() == 0
 
 
+def test_every_rule_against_plain_matching(spark):
+    rules = secretscan.RULES + [secretscan.Rule("dotted", "é.{2}[0-9]+", 0, 0, 6), secretscan.Rule("run", "[A-Z]+", 0, 0, 50)]
+    texts = [f"{head} gh{c}_{'aB3' * 20}"[:len(head) + 1 + n] + tail for c in "pousr" for n in (39, 40, 43, 44) for head, tail in (("key", " end"), ("é", ""))]
+    texts += ["ééa12345", "é😀é123", "Z" * 49, "Z" * 50, None, "", "eyJ" + "a" * 9 + ".eyJ" + "b" * 9 + "." + "c" * 9, "AIza" + "x" * 35]
+    found = {r.doc_id: [(s.start, s.kind_order, s.end, s.kind) for s in r.spans] for r in secretscan.scan(frame(spark, texts), rules).collect()}
+    for i, t in enumerate(texts):
+        plain = [(m.start(), k, m.end(), r.kind) for k, r in enumerate(rules) for m in re.finditer(r.pattern, t or "", r.flags | re.ASCII) if len(m[r.group]) >= r.least]
+        assert found[i] == sorted(plain)
+    assert sum(s[3] == "forge" for x in found.values() for s in x) == 30
+
+
 def test_trigram_queries_are_necessary_conditions():
     assert secretscan.trigram_query("[0-9a-f]+") == secretscan.ANY
     assert secretscan.trigrams(secretscan.trigram_query("AKIA[A-Z0-9]+")) == {"aki", "kia"}
