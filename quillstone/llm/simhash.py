@@ -241,12 +241,15 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str =
 # similarity form takes WIDE words of 64 bits: TABLES samples of SAMPLED bits
 # deal the points to shards, in a shard the distance of one word nominates pairs,
 # and the distance of all words accepts or rejects them, but for the pairs within
-# MARGIN of the similarity, whose shingle sets are compared.
+# MARGIN of the similarity, whose shingle sets are compared.  Two rounds nominate
+# one partner a point and shard, which links most groups; a pair that they left
+# out and that no link implies is then compared on its own (``open_pairs``), so
+# every pair that meets in a shard is linked, rejected or implied.
 
 WIDE, TABLES, SAMPLED = 8, 160, 20
 MARGIN = 0.1
-#: The samples are used in two rounds: what the first has linked need not be nominated in the second.
-ROUNDS = ((0, 32), (32, TABLES))
+#: Samples of the two rounds: what the first has linked need not be nominated in the second, which looks at all samples for what is left open.
+ROUNDS = ((0, 32), (0, TABLES))
 #: Bits of one word that nominated pairs may differ in (3.5 deviations over the mean at 0.8).
 NOMINATE = 20
 
@@ -302,8 +305,11 @@ def nominated(keys: np.ndarray, nodes: np.ndarray, points: np.ndarray, labels: n
     """At most one partner for every point of a shard: the first vantage point near it.
     Equal keys stand together.  Dense groups have few vantage points, and the work is
     a distance per point and vantage point, never a pair per two members.  Points of
-    one label are linked already, and their pair would change nothing."""
-    out_a, out_b = [], []
+    one label are linked already, and their pair would change nothing.
+
+    Third comes what this leaves open: the points with a near one of another label
+    that they are not paired with."""
+    out_a, out_b, left = [], [], [nodes[:0]]
     start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
     size = np.diff(np.r_[start, len(keys)])
     pair = start[size == 2]
@@ -313,14 +319,58 @@ def nominated(keys: np.ndarray, nodes: np.ndarray, points: np.ndarray, labels: n
     for s, m in zip(start[size > 2].tolist(), size[size > 2].tolist()):
         order = np.argsort(nodes[s:s + m], kind="stable")
         own, at, of = (x[s:s + m][order] for x in (nodes, points, labels))
+        if (of == of[0]).all():
+            continue
+        todo, number, everyone = near_others(at, of), np.arange(m), own
         while len(own) > 1:
             close = distance(at[1:], at[0]) <= NOMINATE
             new = close & (of[1:] != of[0])
             out_a.append(own[1:][new])
             out_b.append(np.full(int(new.sum()), own[0]))
-            own, at, of = own[1:][~close], at[1:][~close], of[1:][~close]
+            todo[number[1:][new]] -= 1
+            todo[number[0]] -= int(new.sum())
+            own, at, of, number = own[1:][~close], at[1:][~close], of[1:][~close], number[1:][~close]
+        left.append(everyone[todo > 0])
     a, b = np.concatenate(out_a), np.concatenate(out_b)
-    return a[a != b], b[a != b]
+    return a[a != b], b[a != b], np.unique(np.concatenate(left))
+
+
+def _across(at: np.ndarray, of: np.ndarray):
+    """Blocks (numbers, nearness to every point) of the near pairs of two labels.  Points of
+    the most frequent label are never rows: each of their pairs has its other point as row."""
+    kinds, which, count = np.unique(of, return_inverse=True, return_counts=True)
+    big = which == np.argmax(count)
+    rows = np.flatnonzero(~big)
+    step = max(1, (1 << 22) // max(1, len(at)))
+    for k in range(0, len(rows), step):
+        some = rows[k:k + step]
+        yield some, (distance(at[some, None], at[None, :]) <= NOMINATE) & (of[some, None] != of[None, :]), big
+
+
+def near_others(at: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """For every point of a shard the number of near points of other labels."""
+    out = np.zeros(len(at), dtype=np.int64)
+    for some, near, big in _across(at, of):
+        out[some] += near.sum(1)
+        out[big] += near[:, big].sum(0)
+    return out
+
+
+def open_pairs(keys: np.ndarray, nodes: np.ndarray, labels: np.ndarray, wide: np.ndarray, most: int):
+    """All near pairs (larger, smaller node) of two labels in a shard that differ in at most ``most`` bits of all words."""
+    out = [np.empty((0, 2), np.int64)]
+    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    size = np.diff(np.r_[start, len(keys)])
+    for s, m in zip(start[size > 1].tolist(), size[size > 1].tolist()):
+        own, of, at = nodes[s:s + m], labels[s:s + m], wide[s:s + m]
+        for some, near, _ in _across(at[:, 0], of):
+            a, b = np.nonzero(near)
+            a = some[a]
+            for k in range(0, len(a), 1 << 18):
+                x, y = a[k:k + (1 << 18)], b[k:k + (1 << 18)]
+                within = distance(at[x], at[y]).sum(1, dtype=np.int64) <= most
+                out.append(np.stack([np.maximum(own[x], own[y])[within], np.minimum(own[x], own[y])[within]], 1))
+    return np.unique(np.concatenate(out), axis=0)
 
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
@@ -337,6 +387,23 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
 
 
+def _by_shard(batches, wanted, run):
+    """``run`` over the columns of whole shards; rows come in order of their key, the first column of ``wanted``."""
+    held = None
+    for b in batches:
+        b = pa.Table.from_batches([b.select(wanted)])
+        held = b if held is None else pa.concat_tables([held, b])
+        keys = held.column(0).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last shard may go on
+        if cut:
+            a, c = run(held.slice(0, cut))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["a", "b"])
+            held = held.slice(cut)
+    if held is not None and held.num_rows:
+        a, c = run(held)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["a", "b"])
+
+
 def _compared(docs: DataFrame, points: DataFrame, doubtful: DataFrame, k: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """The doubtful pairs whose shingle sets really have the similarity."""
     nodes = doubtful.select(F.col("a").alias("fp")).union(doubtful.select("b")).distinct()
@@ -366,10 +433,10 @@ def similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
     of k-word shingles have the similarity; a null id takes no part in comparisons."""
     names = [f"w{i}" for i in range(WIDE)]
     kept = docs.select(id_col)
-
     def run(batches):
         for b in batches:
-            fps = np.array([wide_fingerprint(t.as_buffer().to_pybytes(), k) for t in b.column(1)], dtype=np.uint64).reshape(-1, WIDE).view(np.int64)
+            texts = [t.as_buffer().to_pybytes() for t in b.column(1)]
+            fps = np.array([wide_fingerprint(t, k) for t in texts], dtype=np.uint64).reshape(-1, WIDE).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(fps[:, i].copy()) for i in range(WIDE)]], names=[id_col, *names])
 
     schema = f"`{id_col}` {kept.schema[0].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names)
@@ -382,33 +449,63 @@ def similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
             keys, nodes, labels = np.r_[keys, b.column(3).to_numpy()], np.r_[nodes, b.column(0).to_numpy()], np.r_[labels, b.column(2).to_numpy()]
             at = np.r_[at, b.column(1).to_numpy().view(np.uint64)]
             cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last shard may go on
-            a, c = nominated(keys[:cut], nodes[:cut], at[:cut], labels[:cut])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["a", "b"])
+            a, c, left = nominated(keys[:cut], nodes[:cut], at[:cut], labels[:cut])
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[a, left]), pa.array(np.r_[c, left])], names=["a", "b"])
             keys, nodes, labels, at = keys[cut:], nodes[cut:], labels[cut:], at[cut:]
-        a, c = nominated(keys, nodes, at, labels)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["a", "b"])
+        a, c, left = nominated(keys, nodes, at, labels)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[a, left]), pa.array(np.r_[c, left])], names=["a", "b"])
 
     left, right = points.select(F.col("fp").alias("a"), F.array(*names).alias("x")), points.select(F.col("fp").alias("b"), F.array(*names).alias("y"))
     differ = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(1, WIDE)), F.bit_count(F.col("x")[0].bitwiseXOR(F.col("y")[0])))
-    linked, rooted = None, points.select("fp", "_first", *names, F.col("fp").alias("root"))
-    for first, end in ROUNDS:
-        def keyed(batches, first=first, end=end):
+    linked, rooted, seen = None, points.select("fp", "_first", *names, F.col("fp").alias("root")), None
+
+    def keyed(wanted, first, end):
+        """``wanted`` points, a row per sample from ``first``."""
+        def run(batches):
             n = end - first
             for b in batches:
                 fps = np.stack([b.column(2 + i).to_numpy() for i in range(WIDE)], 1).view(np.uint64) if b.num_rows else np.empty((0, WIDE), np.uint64)
                 flat = np.concatenate([sampled_keys(x, first, end) for x in fps]) if len(fps) else np.empty(0, np.int64)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) * n + 1, n, dtype=np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(1), keys], names=["fp", "w0", "root", "keys"])
+                yield pa.RecordBatch.from_arrays([*b.columns, keys], names=[*b.schema.names, "keys"])
+
+        return wanted.select("fp", "root", *names).mapInArrow(run, "fp long, root long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>")
 
-        dealt = rooted.select("fp", "root", *names).mapInArrow(keyed, "fp long, w0 long, root long, keys array<long>").select("fp", "w0", "root", F.explode("keys").alias("key"))
-        found = dealt.repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key").mapInArrow(pairs, "a long, b long").distinct()
-        close = materialize(found.join(left, "a").join(right, "b").withColumn("differ", differ).where(F.col("differ") <= most_bits(max(0.0, similarity - MARGIN))).select("a", "b", "differ"), "simhash-close")
+    def dealt(wanted, *columns):
+        return wanted.select(*columns, F.explode("keys").alias("key")).repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key")
+
+    def verified(pairs):
+        """The pairs of the similarity, and all that were near enough to be looked at."""
+        close = materialize(pairs.join(left, "a").join(right, "b").withColumn("differ", differ).where(F.col("differ") <= limit).select("a", "b", "differ"), "simhash-close")
         sure = F.col("differ") <= most_bits(min(1.0, similarity + MARGIN))
-        checked = _compared(docs, points, close.where(~sure).select("a", "b"), k, similarity, id_col, text_col)
-        now = close.where(sure).select("a", "b").unionByName(checked)
-        linked = materialize(now if linked is None else linked.unionByName(now), "simhash-linked")
+        return close.where(sure).select("a", "b").unionByName(_compared(docs, points, close.where(~sure).select("a", "b"), k, similarity, id_col, text_col)), close
+
+    def with_roots(linked):
         roots = components(linked)
-        rooted = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "_first", *names, F.coalesce("root", "fp").alias("root"))
+        return points.join(roots, points["fp"] == roots["node"], "left").select("fp", "_first", *names, F.coalesce("root", "fp").alias("root"))
+
+    limit = most_bits(max(0.0, similarity - MARGIN))
+    for first, end in ROUNDS:
+        found = materialize(dealt(keyed(rooted, first, end), "fp", "w0", "root").mapInArrow(pairs, "a long, b long").distinct(), "simhash-found")
+        now, close = verified(found.where("a <> b"))
+        linked = materialize(now if linked is None else linked.unionByName(now), "simhash-linked")
+        rooted = with_roots(linked)
+        seen = close if seen is None else seen.unionByName(close)
+
+    def rest(batches):
+        def run(t):
+            column = lambda c: t.column(c).to_numpy()
+            found = open_pairs(column("key"), column("fp"), column("root"), np.stack([column(n) for n in names], 1).view(np.uint64), limit)
+            return found[:, 0], found[:, 1]
+
+        return _by_shard(batches, ["key", "fp", "root", *names], run)
+
+    # what the last round, over all samples, left open
+    remaining = rooted.join(found.where("a = b").select(F.col("a").alias("fp")), "fp", "left_semi")
+    pairs_left = dealt(keyed(remaining, 0, TABLES), "fp", "root", *names).mapInArrow(rest, "a long, b long").distinct()
+    known = seen.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now, _ = verified(pairs_left.join(known, ["a", "b"], "left_anti"))
+    rooted = with_roots(materialize(linked.unionByName(now), "simhash-linked"))
     named = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
     return rows.select(id_col, "fp").join(rooted.join(named, "root").select("fp", "component_id"), "fp").select(id_col, "component_id")
 

@@ -395,6 +395,33 @@ def test_similar_documents_go_and_others_stay(spark, docs):
     assert set(range(80)) <= got and set(range(120, 160)) <= got and got & set(range(160, 170)) == {165}
 
 
+def test_many_copies_that_only_the_original_links(spark):
+    rng = random.Random(31)
+    base = [f"w{rng.getrandbits(40)}" for _ in range(304)]
+    copies = []
+    for i in range(300):
+        w = list(base)
+        for j, k in enumerate(sorted(rng.sample(range(1, 60), 6))):
+            w[k * 5 - 1] = f"edit{i}_{j}"
+        copies.append(" ".join(w))
+    got = simhash.similar(frame(spark, [" ".join(base)] + copies)).collect()
+    assert len(got) == 301 and sum(r.component_id == 0 for r in got) >= 298
+
+
+def test_open_pairs_are_all_near_pairs_of_two_labels():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 8, dtype=np.uint64)
+    wide = np.stack([base ^ np.packbits(rng.random(512) < 0.1).view(np.uint64) for _ in range(60)])
+    nodes, labels, keys = np.arange(60), rng.integers(0, 5, 60), np.repeat([1, 2, 3], [30, 29, 1])
+    got = {tuple(x) for x in simhash.open_pairs(keys, nodes, labels, wide, 90).tolist()}
+    bits = lambda a, b: int(np.bitwise_count(a ^ b).sum())
+    near = {(i, j) for i in range(60) for j in range(i) if keys[i] == keys[j] and labels[i] != labels[j] and bits(wide[i, :1], wide[j, :1]) <= simhash.NOMINATE}
+    assert got == {(i, j) for i, j in near if bits(wide[i], wide[j]) <= 90} and got
+    a, b, left = simhash.nominated(keys, nodes, wide[:, 0], labels)
+    paired = {(max(x, y), min(x, y)) for x, y in zip(a.tolist(), b.tolist())}
+    assert paired <= near and set(left.tolist()) == {x for pair in near - paired for x in pair}
+
+
 def test_links_of_dense_and_chained_points(spark):
     rng = random.Random(6)
     points = [rng.getrandbits(64) for _ in range(300)]
