@@ -244,12 +244,16 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str =
 # MARGIN of the similarity, whose shingle sets are compared.  Two rounds nominate
 # one partner a point and shard, which links most groups; a pair that they left
 # out and that no link implies is then compared on its own (``open_pairs``), so
-# every pair that meets in a shard is linked, rejected or implied.
+# every pair that meets in a shard is linked, rejected or implied.  Majority bits
+# of few shingles are too coarse for the angle: texts under SMALL shingles are
+# compared exactly, by a prefix of their sorted shingle sets.
 
 WIDE, TABLES, SAMPLED = 8, 160, 20
 MARGIN = 0.1
 #: Samples of the two rounds: what the first has linked need not be nominated in the second, which looks at all samples for what is left open.
 ROUNDS = ((0, 32), (0, TABLES))
+#: Texts of fewer shingles are compared by their shingle sets.
+SMALL = 16
 #: Bits of one word that nominated pairs may differ in (3.5 deviations over the mean at 0.8).
 NOMINATE = 20
 
@@ -387,6 +391,45 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
 
 
+def prefix_size(n: int, similarity: float) -> int:
+    """Of two sets of the similarity, in one order, the first so many members of each share one."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1
+
+
+def set_links(keys: np.ndarray, nodes: np.ndarray, sets: list[bytes], similarity: float):
+    """A star per local component of the sets of each shard; equal keys stand together."""
+    out_a, out_b = [nodes[:0]], [nodes[:0]]
+    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    size = np.diff(np.r_[start, len(keys)])
+    for s, m in zip(start[size > 1].tolist(), size[size > 1].tolist()):
+        own = nodes[s:s + m]
+        n = np.array([len(x) // 8 for x in sets[s:s + m]])
+        _, codes = np.unique(np.frombuffer(b"".join(sets[s:s + m]), dtype=np.uint64), return_inverse=True)
+        held = np.zeros((m, int(codes.max()) + 1), dtype=bool) if m <= 64 else None
+        owner = np.repeat(np.arange(m), n)
+        if held is not None:
+            held[owner, codes] = True
+        else:  # members by code, for counts by lookup
+            by = np.argsort(codes, kind="stable")
+            edge = np.searchsorted(codes[by], np.arange(int(codes.max()) + 2))
+        first = np.r_[0, np.cumsum(n)]
+        forest = Forest(m)
+        for i in range(m - 1):
+            if held is not None:
+                common = (held[i + 1:] & held[i]).sum(1)
+            else:
+                common = np.bincount(np.concatenate([owner[by[edge[c]:edge[c + 1]]] for c in codes[first[i]:first[i + 1]].tolist()]), minlength=m)[i + 1:]
+            like = i + 1 + np.flatnonzero(common / (n[i] + n[i + 1:] - common) >= similarity)
+            like = like[forest.label[like] != forest.label[i]]
+            if len(like):
+                forest.link(np.full(len(like), i), like)
+        other = np.flatnonzero(forest.label != np.arange(m))
+        out_a.append(own[other])
+        out_b.append(own[forest.label[other]])
+    a, b = np.concatenate(out_a), np.concatenate(out_b)
+    return a[a != b], b[a != b]
+
+
 def _by_shard(batches, wanted, run):
     """``run`` over the columns of whole shards; rows come in order of their key, the first column of ``wanted``."""
     held = None
@@ -404,6 +447,23 @@ def _by_shard(batches, wanted, run):
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["a", "b"])
 
 
+def small_links(small: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect all of ``small`` (fp, shingles) of the similarity."""
+    def heads(batches):
+        for b in batches:
+            sets = b.column(1).to_pylist()
+            lead = [np.frombuffer(x, dtype=np.int64)[:prefix_size(len(x) // 8, similarity)] for x in sets]
+            times = np.array([len(x) for x in lead], dtype=np.int64)
+            at = pa.array(np.repeat(np.arange(len(sets)), times))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lead) if lead else np.empty(0, np.int64)), b.column(0).take(at), b.column(1).take(at)], names=["key", "fp", "shingles"])
+
+    def run(t):
+        return set_links(t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_pylist(), similarity)
+
+    dealt = small.mapInArrow(heads, "key long, fp long, shingles binary").repartition(shuffle_partitions(small.sparkSession), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(lambda batches: _by_shard(batches, ["key", "fp", "shingles"], run), "a long, b long").distinct()
+
+
 def _compared(docs: DataFrame, points: DataFrame, doubtful: DataFrame, k: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """The doubtful pairs whose shingle sets really have the similarity."""
     nodes = doubtful.select(F.col("a").alias("fp")).union(doubtful.select("b")).distinct()
@@ -433,13 +493,19 @@ def similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
     of k-word shingles have the similarity; a null id takes no part in comparisons."""
     names = [f"w{i}" for i in range(WIDE)]
     kept = docs.select(id_col)
+    most = int((SMALL - 1) / max(similarity, 0.1) + 1e-9)  # shingles of what a small text can be similar to
+
+    def small_set(text):
+        return shingle_set(text, k).tobytes() if 0 < len(text.split(None, most + k)) < most + k else None
+
     def run(batches):
         for b in batches:
             texts = [t.as_buffer().to_pybytes() for t in b.column(1)]
             fps = np.array([wide_fingerprint(t, k) for t in texts], dtype=np.uint64).reshape(-1, WIDE).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(fps[:, i].copy()) for i in range(WIDE)]], names=[id_col, *names])
+            sets = pa.array([small_set(t) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(fps[:, i].copy()) for i in range(WIDE)], sets], names=[id_col, *names, "shingles"])
 
-    schema = f"`{id_col}` {kept.schema[0].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names)
+    schema = f"`{id_col}` {kept.schema[0].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names) + ", shingles binary"
     rows = materialize(docs.select(id_col, text_or_empty(text_col).cast("binary").alias("_text")).mapInArrow(run, schema).withColumn("fp", F.xxhash64(*names)), "simhash-wide")
     points = materialize(rows.groupBy("fp", *names).agg(F.min(id_col).alias("_first")), "simhash-points")
 
@@ -457,7 +523,7 @@ def similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
 
     left, right = points.select(F.col("fp").alias("a"), F.array(*names).alias("x")), points.select(F.col("fp").alias("b"), F.array(*names).alias("y"))
     differ = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(1, WIDE)), F.bit_count(F.col("x")[0].bitwiseXOR(F.col("y")[0])))
-    linked, rooted, seen = None, points.select("fp", "_first", *names, F.col("fp").alias("root")), None
+    linked, rooted, seen = small_links(rows.where("shingles is not null").select("fp", "shingles").distinct(), similarity), points.select("fp", "_first", *names, F.col("fp").alias("root")), None
 
     def keyed(wanted, first, end):
         """``wanted`` points, a row per sample from ``first``."""
@@ -488,7 +554,7 @@ def similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
     for first, end in ROUNDS:
         found = materialize(dealt(keyed(rooted, first, end), "fp", "w0", "root").mapInArrow(pairs, "a long, b long").distinct(), "simhash-found")
         now, close = verified(found.where("a <> b"))
-        linked = materialize(now if linked is None else linked.unionByName(now), "simhash-linked")
+        linked = materialize(linked.unionByName(now), "simhash-linked")
         rooted = with_roots(linked)
         seen = close if seen is None else seen.unionByName(close)
 

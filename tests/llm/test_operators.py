@@ -422,6 +422,27 @@ def test_open_pairs_are_all_near_pairs_of_two_labels():
     assert paired <= near and set(left.tolist()) == {x for pair in near - paired for x in pair}
 
 
+def test_short_texts_are_compared_exactly(spark):
+    rng = random.Random(32)
+    texts = [" ".join(f"s{rng.getrandbits(30)}" for _ in range(rng.choice([8, 8, 9, 13, 18]))) for _ in range(60)]
+    rows = frame(spark, texts + [t + " more" for t in texts] + ["a", "a b", None, ""])
+    got = {r.doc_id: r.component_id for r in simhash.similar(rows).collect()}
+    assert all(got[i] == got[60 + i] == i for i in range(60)) and [got[120 + i] for i in range(4)] == [120, 121, 122, 122]
+    few = [" ".join(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(150)]
+    sets = [set(simhash.shingle_set(t.encode(), 5).tolist()) for t in few]
+    root = list(range(150))
+    for i in range(150):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    small = spark.createDataFrame([(i, bytearray(simhash.shingle_set(t.encode(), 5).tobytes())) for i, t in enumerate(few)], "fp long, shingles binary")
+    edges = [(r.a, r.b) for r in simhash.small_links(small, 0.8).collect()]
+    found = list(range(150))
+    for i, j in edges:
+        found = [min(found[i], found[j]) if r in (found[i], found[j]) else r for r in found]
+    assert found == root and edges
+
+
 def test_links_of_dense_and_chained_points(spark):
     rng = random.Random(6)
     points = [rng.getrandbits(64) for _ in range(300)]
