@@ -11,13 +11,23 @@ threshold are retrieved with block-max WAND, after the sum of its terms' upper
 bounds discards a passage that cannot reach it; then the overlap with the item's
 question and with its answer is verified on token n-grams.
 
-The index is built on the driver and shipped with the task closure, in blocks
-of at most ``BLOCK_ITEMS`` items; a larger benchmark takes one pass over the
-corpus for each block.  The corpus is only streamed: no shuffle.
-
-Items with under ``LEAST_TOKENS`` tokens (null and empty ones too) cannot be
-told from common wording and are not indexed.  Null or empty documents match
-nothing.  ``doc_id`` may be null or repeated; each row is judged alone.
+Items of under ``LEAST_TOKENS`` tokens say too little for a partial overlap:
+they are indexed alike and match only where the text holds all their tokens in
+a row.  An item of one token has no pair and is looked up by its word.
+
+Document frequencies and the mean length are taken over all items first, then
+the index is built in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_BYTES``
+bytes, so a score does not depend on the block.  A block is broadcast; a larger
+benchmark takes one pass over the corpus for each.  The driver holds the pair
+frequencies of the benchmark, the small side; the corpus is only streamed: no
+shuffle.
+
+An item is a row of the benchmark: ids may be null or repeated and are only
+carried; repeated rows match alike.  Items without tokens (null, empty, marks
+only) match nothing.  Null or empty documents match nothing; very long ones are
+read window by window.  ``doc_id`` may be null or repeated; each row is judged
+alone.  Of both tables only ``doc_id``, ``text`` and ``item_id`` are read, so
+further columns of any name do not matter; ``decontaminate`` keeps them.
 """
 
 from __future__ import annotations
@@ -36,23 +46,29 @@ from pyspark.sql import functions as F
 WINDOW, STRIDE = 128, 64
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
+#: Items of fewer tokens must stand in the text word for word.
 LEAST_TOKENS = 8
-#: Items of one index: the bound on what a task holds.
-BLOCK_ITEMS = 20000
+#: Bounds of one index: what a task holds.
+BLOCK_ITEMS, BLOCK_BYTES = 20000, 1 << 25
 POSTINGS_BLOCK = 64
 NGRAM, OVERLAP = 5, 0.6
-_tokens = re.compile(r"\w+").findall
-_sentence = re.compile(r"(?<=[.!?])\s+")
+#: Scripts without spaces between words: each character is a token.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_plain = re.compile(r"\w+").findall
+_mixed = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+").findall
+_unspaced = re.compile(f"[{UNSPACED}]").search
+_sentence = re.compile(r"(?<=[.!?])\s+|(?<=[\u3002\uff01\uff1f])")
 
 
 def tokenize(text: str | None) -> list[str]:
-    return _tokens((text or "").lower())
+    text = (text or "").lower()
+    return _plain(text) if text.isascii() or not _unspaced(text) else _mixed(text)
 
 
 def question_answer(text: str) -> tuple[list[str], list[str]]:
     """The last sentence is the answer, what stands before it the question; of a
     single sentence the last quarter is the answer."""
-    parts = [p for p in _sentence.split(text.strip()) if _tokens(p)]
+    parts = [p for p in _sentence.split(text.strip()) if tokenize(p)]
     if len(parts) > 1:
         return tokenize(" ".join(parts[:-1])), tokenize(parts[-1])
     words = tokenize(text)
@@ -73,34 +89,64 @@ def coverage(part: list[str], words: list[str]) -> float:
     return len(own & grams(words, n)) / len(own)
 
 
-class Index:
-    """Block-max inverted index of one block of test items."""
+def parts_of(words: list[str]) -> list[list[str]]:
+    """An item's tokens in parts of at most ``STRIDE``; none for a single token."""
+    if len(words) < 2:
+        return []
+    size = math.ceil(len(words) / math.ceil(len(words) / STRIDE))
+    return [words[k:k + size] for k in range(0, len(words), size)]
+
+
+class Frequencies:
+    """Over all items: in how many parts a pair stands, how many parts there are, and their mean length."""
+
+    def __init__(self, texts):
+        self.df: Counter = Counter()
+        self.parts = total = 0
+        for text in texts:
+            for part in parts_of(tokenize(text)):
+                pairs = list(zip(part, part[1:]))
+                self.df.update(set(pairs))
+                self.parts += 1
+                total += len(pairs)
+        self.mean = total / max(1, self.parts)
+
+    def idf(self, pair: tuple[str, str]) -> float:
+        n = self.df[pair]
+        return math.log(1 + (self.parts - n + 0.5) / (n + 0.5))
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items = {i: (t, len(tokenize(t))) for i, t in items if t and len(tokenize(t)) >= LEAST_TOKENS}
+
+class Index:
+    """Block-max inverted index of one block of test items (id, text), known by their place in it."""
+
+    def __init__(self, items: list[tuple], known: Frequencies | None = None):
+        known = known or Frequencies(t for _, t in items)
+        words = [tokenize(t) for _, t in items]
+        #: Per item: id, tokens of the question, of the answer, and all.
+        self.items = [(i, *question_answer(t or ""), w) for (i, t), w in zip(items, words)]
+        self.single: dict[str, list[int]] = {}
         parts = []
-        for i in sorted(self.items):
-            words = tokenize(self.items[i][0])
-            pieces = math.ceil(len(words) / STRIDE)
-            size = math.ceil(len(words) / pieces)
-            parts += [(i, words[k:k + size]) for k in range(0, len(words), size)]
+        for place, own in enumerate(words):
+            if len(own) == 1:
+                self.single.setdefault(own[0], []).append(place)
+            parts += [(place, p) for p in parts_of(own)]
         self.part_item = [i for i, _ in parts]
         self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in parts for w in ws}))}
         self.base = len(self.vocabulary) + 1
-        pairs = [self._pairs(np.array([self.vocabulary[w] for w in ws])).tolist() for _, ws in parts]
-        df = Counter(t for p in pairs for t in set(p))
-        mean = sum(map(len, pairs)) / max(1, len(pairs))
-        idf = {t: math.log(1 + (len(pairs) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
-        self.terms = np.array(sorted(df), dtype=np.int64)
+        code = lambda pair: self.vocabulary[pair[0]] * self.base + self.vocabulary[pair[1]]
+        weights = []
+        for _, ws in parts:
+            raw = {p: known.idf(p) * f * (K1 + 1) / (f + K1 * (1 - B + B * (len(ws) - 1) / known.mean)) for p, f in Counter(zip(ws, ws[1:])).items()}
+            total = sum(raw.values())
+            weights.append({code(p): w / total for p, w in raw.items()})
+        self.terms = np.array(sorted({t for w in weights for t in w}), dtype=np.int64)
         number = {t: k for k, t in enumerate(self.terms.tolist())}
         self.docs: list[list[int]] = [[] for _ in number]
         self.impacts: list[list[float]] = [[] for _ in number]
-        for p, own in enumerate(pairs):
-            raw = {t: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(own) / mean)) for t, f in Counter(own).items()}
-            total = sum(raw.values())
-            for t, w in raw.items():
+        for p, own in enumerate(weights):
+            for t, w in own.items():
                 self.docs[number[t]].append(p)
-                self.impacts[number[t]].append(w / total)
+                self.impacts[number[t]].append(w)
         self.top = [max(x, default=0.0) for x in self.impacts]
         cut = range(0, 1 << 62, POSTINGS_BLOCK)
         self.block_last = [[d[min(len(d), a + POSTINGS_BLOCK) - 1] for a in cut[:math.ceil(len(d) / POSTINGS_BLOCK)]] for d in self.docs]
@@ -115,7 +161,7 @@ class Index:
         """Term number at every position but the last; ``len(terms)`` where there is none."""
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), dtype=np.int64, count=len(words))
         out = np.full(max(0, len(words) - 1), len(self.terms), dtype=np.int64)
-        at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+        at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0)) if len(self.terms) else np.empty(0, np.int64)
         codes = self._pairs(ids)[at]
         found = np.minimum(np.searchsorted(self.terms, codes), len(self.terms) - 1)
         known = self.terms[found] == codes
@@ -178,60 +224,72 @@ class Index:
         return (np.flatnonzero(both[:last] >= THRESHOLD - 1e-9) * STRIDE).tolist()
 
     def matches(self, text: str) -> list[tuple[int, float, float, float, int]]:
-        """(item, score, question overlap, answer overlap, token offset) of every verified item."""
+        """(place of the item, score, question overlap, answer overlap, token offset) of every verified item."""
         words = tokenize(text)
-        if len(words) < 2 or not self.items:
-            return []
-        numbers = self.term_numbers(words)
         best: dict[int, tuple] = {}
-        for start in self.passages(numbers):
-            terms = np.unique(numbers[start:start + WINDOW])
-            for part, score in self.search(terms[terms < len(self.terms)].tolist()):
-                item = self.part_item[part]
-                raw, n = self.items[item]
-                around = words[max(0, start - n):start + WINDOW + n]
-                question, answer = question_answer(raw)
-                q, a = coverage(question, around), coverage(answer, around)
-                if q >= OVERLAP and a >= OVERLAP and (item not in best or (score, -start) > (best[item][1], -best[item][4])):
-                    best[item] = (item, score, q, a, start)
+        if self.single:
+            for word in self.single.keys() & set(words):
+                at = words.index(word)
+                best.update({place: (place, 1.0, 1.0, 1.0, at) for place in self.single[word]})
+        if len(words) > 1 and len(self.terms):
+            numbers = self.term_numbers(words)
+            for start in self.passages(numbers):
+                terms = np.unique(numbers[start:start + WINDOW])
+                for part, score in self.search(terms[terms < len(self.terms)].tolist()):
+                    place = self.part_item[part]
+                    _, question, answer, own = self.items[place]
+                    around = words[max(0, start - len(own)):start + WINDOW + len(own)]
+                    if len(own) < LEAST_TOKENS:
+                        q = a = float(tuple(own) in grams(around, len(own)))
+                    else:
+                        q, a = coverage(question, around), coverage(answer, around)
+                    if q >= OVERLAP and a >= OVERLAP and (place not in best or (score, -start) > (best[place][1], -best[place][4])):
+                        best[place] = (place, score, q, a, start)
         return [best[i] for i in sorted(best)]
 
 
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):
-    """Indexes of at most ``BLOCK_ITEMS`` items each."""
-    block = []
-    for r in benchmark.select(F.col(id_col).cast("long"), text_col).where(F.col(text_col).isNotNull()).toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == BLOCK_ITEMS:
-            yield Index(block)
-            block = []
+    """Indexes of at most ``BLOCK_ITEMS`` items and ``BLOCK_BYTES`` bytes (or one item) each, in order of id and text."""
+    rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t <> ''").orderBy("i", "t")
+    known = Frequencies(r.t for r in rows.select("t").toLocalIterator())
+    block, size = [], 0
+    for r in rows.toLocalIterator():
+        own = len(r.t.encode())
+        if block and (len(block) == BLOCK_ITEMS or size + own > BLOCK_BYTES):
+            yield Index(block, known)
+            block, size = [], 0
+        block.append((r.i, r.t))
+        size += own
     if block:
-        yield Index(block)
+        yield Index(block, known)
 
 
 MATCH_DDL = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, token_offset long"
+_KINDS = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row per document row and verified test item."""
-    out = None
+    spark, out, names = docs.sparkSession, None, [c.split()[0] for c in MATCH_DDL.split(", ")]
     for index in indexes(benchmark):
-        def run(batches, index=index):
+        def run(batches, shared=spark.sparkContext.broadcast(index)):
+            index = shared.value
             for b in batches:
-                rows = [(i, *m) for i, t in zip(b.column(0).to_pylist(), b.column(1)) for m in index.matches(t.as_py())]
-                columns = list(zip(*rows)) or [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()])], names=[c.split()[0] for c in MATCH_DDL.split(", ")])
+                rows = [(i, index.items[m[0]][0], *m[1:]) for i, t in zip(b.column(0).to_pylist(), b.column(1)) for m in index.matches(t.as_py())]
+                columns = list(zip(*rows)) or [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], names=names)
 
         found = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("text").isNotNull()).mapInArrow(run, MATCH_DDL)
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], MATCH_DDL)
+    return out if out is not None else spark.createDataFrame([], MATCH_DDL)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a verified test item, all columns; texts are not shuffled."""
-    at = docs.columns.index("text")
+    at, spark = docs.columns.index("text"), docs.sparkSession
     for index in indexes(benchmark):
-        def run(batches, index=index):
+        def run(batches, shared=spark.sparkContext.broadcast(index)):
+            index = shared.value
             for b in batches:
                 yield b.filter(pa.array([not index.matches(t.as_py()) for t in b.column(at)], pa.bool_()))
 

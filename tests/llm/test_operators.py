@@ -127,6 +127,71 @@ def test_leaks_are_found_and_clean_documents_stay(spark, docs):
     assert decontam.find_matches(both.limit(0), bench).count() == 0
 
 
+def matches_by_force(items, text):
+    """(place, score) of the items that a text holds: every window against every part, without an index."""
+    split = [decontam.tokenize(t) for _, t in items]
+    parts = [(k, p) for k, ws in enumerate(split) for p in decontam.parts_of(ws)]
+    pairs = [list(zip(p, p[1:])) for _, p in parts]
+    df = collections.Counter(x for p in pairs for x in set(p))
+    mean = sum(map(len, pairs)) / max(1, len(pairs))
+    idf = {x: np.log(1 + (len(pairs) - n + 0.5) / (n + 0.5)) for x, n in df.items()}
+    own, best = decontam.tokenize(text), {}
+    for k, ws in enumerate(split):
+        if len(ws) == 1 and ws[0] in own:
+            best[k] = 1.0
+    for start in range(0, max(1, len(own) - decontam.WINDOW + decontam.STRIDE), decontam.STRIDE):
+        held = set(zip(own[start:start + decontam.WINDOW + 1], own[start + 1:start + decontam.WINDOW + 1]))
+        for (k, _), p in zip(parts, pairs):
+            raw = {x: idf[x] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(p) / mean)) for x, f in collections.Counter(p).items()}
+            score = sum(w for x, w in raw.items() if x in held) / sum(raw.values())
+            if score < 0.5 - 1e-9:
+                continue
+            around = own[max(0, start - len(split[k])):start + 128 + len(split[k])]
+            if len(split[k]) < 8:
+                good = " ".join(split[k]) in [" ".join(around[i:i + len(split[k])]) for i in range(len(around))]
+            else:
+                good = all(decontam.coverage(part, around) >= 0.6 for part in decontam.question_answer(items[k][1]))
+            if good:
+                best[k] = max(best.get(k, 0), score)
+    return best
+
+
+@pytest.mark.parametrize("block", [20000, 3])
+def test_every_item_is_indexed_whatever_its_size_and_id(spark, monkeypatch, block):
+    rng = random.Random(14)
+    long = [f"{words(rng, n)}. {words(rng, 5)}" for n in (9, 12, 30, 70, 140, 30)]
+    items = [(1, "What is the capital of France? Paris."), (None, "Who wrote it? Nobody."), (1, long[0]), (1, long[1]), (None, long[2]), (None, long[2]),
+             (7, long[3]), (8, long[4]), (9, "Quokka"), (10, "two tokens"), (11, "..."), (12, None), (13, ""), (14, long[5]), (15, "\u6771\u4eac\u306f\u65e5\u672c\u306e\u9996\u90fd\u3067\u3059\u304b\uff1f\u306f\u3044\u3002")]
+    texts = [f"{words(rng, 20)} {t or ''} {words(rng, 150)}" for _, t in items] + [
+        "what is the capital of France", "the capital of france paris what is", "a quokka, two  TOKENS!", "two other tokens", None, "", "x" * 5000,
+        f"{words(rng, 9)} {' '.join(long[3].split()[:40])} {words(rng, 9)}", long[1] + " " + long[1], "\u6771\u4eac\u306f\u65e5\u672c\u306e\u9996\u90fd"]
+    rows = frame(spark, texts).withColumn("item_id", F.lit(5)).withColumn("score", F.lit("x"))
+    bench = spark.createDataFrame([(*x, 3) for x in items], "item_id long, text string, doc_id int").repartition(3)
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", block)
+    got = collections.Counter((r.doc_id, r.item_id, round(r.score, 9)) for r in decontam.find_matches(rows, bench).collect())
+    expect = collections.Counter((d, items[k][0], round(s, 9)) for d, t in enumerate(texts) if t for k, s in matches_by_force(items, t).items())
+    assert got == expect
+    assert {(d, items[d][0]) for d in range(15) if d not in (10, 11, 12)} <= {k[:2] for k in got}
+    kept = decontam.decontaminate(rows, bench)
+    assert kept.columns == rows.columns and {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {k[0] for k in got}
+
+
+def test_items_by_single_words_are_found_by_pairs():
+    """Whatever single-word BM25 retrieves and the overlaps confirm, the pairs retrieve too."""
+    rng = random.Random(15)
+    bag = [words(rng, 1) for _ in range(300)]
+    items = [(i, f"{' '.join(rng.choices(bag, k=rng.randint(10, 50)))}. {' '.join(rng.choices(bag, k=7))}") for i in range(40)]
+    index, total, found = decontam.Index(items), 0, 0
+    for _, t in items:
+        for share in (0.02, 0.05, 0.1):
+            ws = [w if rng.random() > share else "other" for w in t.split()]
+            text = " ".join(rng.choices(bag, k=60) + ws + rng.choices(bag, k=60))
+            own = decontam.tokenize(text)
+            sure = {k for k, (_, i) in enumerate(items) if all(decontam.coverage(p, own) >= 0.6 for p in decontam.question_answer(i))}
+            total, found = total + len(sure), found + len(sure & {m[0] for m in index.matches(text)})
+    assert total > 60 and found == total
+
+
 # --- 3 sharding -------------------------------------------------------------
 
 
