@@ -3,7 +3,9 @@ Parquet and read again as the next one's input.
 
 All but the last stage return the columns of ``documents``; the last adds the
 shard.  Stages work on whole tables and whole texts.  Null texts count as empty,
-empty tables pass through, and further columns of ``documents`` are kept.
+empty tables pass through, and further columns of ``documents`` are kept.  Of
+equal texts the smallest doc_id stays; rows of equal doc_id are one document and
+stay or go together; without labels no document is rejected.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import decontam, mixing, quality, sharding, simhash
-from quillstone.llm.common import materialize, read
+from quillstone.llm.common import materialize, read, scratch
 
 SHARDS = 24
 
@@ -58,5 +60,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark):  # what a stage wrote on its way goes when its output stands
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}", lasting=True)
     return docs
