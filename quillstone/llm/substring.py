@@ -1,29 +1,39 @@
 """Substring deduplication over a compacted de Bruijn graph of tokens.
 
-Edges are k-mers of tokens (k = ``WINDOW``), nodes their overlaps.  An edge is
-repeated when it starts in more than one document; its source is the smallest
-doc_id it starts in.  Consecutive repeated edges of a document whose sources run
-on in the same document form a nonbranching path and are compacted to one
-segment (start, length, source document).  Each segment is verified against the
-source's own words by a join on the source's coordinates before its words go.
+Edges are k-mers of tokens (k = ``WINDOW``), nodes the (k - 1)-mers that they
+lead from and to.  An edge is repeated when it starts in more than one document;
+its source is the place where it starts in the smallest doc_id.  Over the graph
+of the repeated edges a join on the node brings together the edges that enter
+and leave it: a node with one of each is passed through, any other ends a path.
+So the repeated edges of a document compact to pieces of nonbranching paths
+(start, length, source place), cut where the source changes.  Each piece is
+verified against the source's own words, by a join on the source's coordinates,
+before its words go.
 
 How it is kept small:
 
 * documents are dealt into chunks by a hash, and everything that moves between
   chunks is keyed by chunk or by hash bucket, packed in binary blobs: a chunk
-  sends each distinct edge once, so an edge that a third of all documents hold
-  costs one entry a chunk, and no task ever gathers an edge's documents;
+  sends each distinct edge or node once, so an edge that a third of all documents
+  hold costs one entry a chunk, and no task ever gathers an edge's documents;
 * only windows around repeated minimizers (of ``SPAN``-token mers) are candidate
   edges: equal windows have equal minimizers, so none is missed, and windows
-  that occur once, nearly all, are never sent.
+  that occur once, nearly all, are never sent;
+* the numbers of chunks and of buckets grow with the bytes, so that what one task
+  holds does not.
 
 Texts are shuffled once; the chunk stages reuse that exchange.  Hashes are
-polynomial prefix sums over whole batches in numpy.
+polynomial prefix sums over whole batches in numpy.  An edge is known by 96 bits
+of two such sums.  Should two different windows share them (expected less than
+once in a thousand corpora of 100 TB), the verification of a piece fails; that
+is an error, never a silently incomplete result.
 
 Null text has no words.  Words of a window in a document with a smaller doc_id
 go; rows of equal doc_id count as one document (neither removes the other's
 words); a null doc_id is larger than all others.  The result has one row per
-input row.
+input row; an empty table gives an empty one.  A very long text makes its chunk
+longer.  Only the id and the text are read, so other columns of any name do not
+matter.
 """
 
 from __future__ import annotations
@@ -38,10 +48,15 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import shuffle_partitions, text_or_empty
 
 WINDOW, SPAN = 13, 7
-CHUNK_BYTES = 6_000_000
+#: Bytes of text of a chunk; above ``MANY_CHUNKS`` of them chunks grow to at most ``MOST_BYTES``.
+CHUNK_BYTES, MOST_BYTES, MANY_CHUNKS = 6_000_000, 32_000_000, 50_000
+#: Bytes of text whose entries one bucket holds.
+BUCKET_BYTES = 32_000_000
 NULL_ID = np.iinfo(np.int64).max
 _U = np.uint64
-_P, _Q = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
+_P, _Q, _R = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1, 0xC2B2AE3D27D4EB4F | 1
+#: No, and several, edges at a side of a node.
+NONE, SEVERAL = np.uint32(0), np.uint32(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -89,6 +104,16 @@ class Tokens:
         self.prefix = np.r_[_U(0), np.cumsum(self.word * up[:len(self.word)])]
         self.down = down
 
+    def mer(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of the k words from each position."""
+        return mixed((self.prefix[at + k] - self.prefix[at]) * self.down[at])
+
+    def checks(self, at: np.ndarray, k: int) -> np.ndarray:
+        """32 bits of a second hash of the k words from each position."""
+        up, down = powers(_R, len(self.word) + 1)
+        prefix = np.r_[_U(0), np.cumsum(self.word * up[:len(self.word)])]
+        return (mixed((prefix[at + k] - prefix[at]) * down[at]) >> _U(32)).astype(np.uint32)
+
     @staticmethod
     def _hash(texts: list[bytes]) -> tuple[np.ndarray, list[int]]:
         data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
@@ -107,7 +132,7 @@ class Tokens:
         if n <= 0:
             return np.empty(0, _U), np.empty(0, np.int64)
         at = np.flatnonzero(self.doc[:n] == self.doc[k - 1:])
-        return mixed((self.prefix[at + k] - self.prefix[at]) * self.down[at]), at
+        return self.mer(at, k), at
 
     def digest(self, start: int, length: int) -> bytes:
         """Digest of the words from a position in one document, as they stand."""
@@ -155,13 +180,27 @@ def _order(table: pa.Table) -> tuple[np.ndarray, list[int]]:
     return np.array(ids, dtype=np.int64)[order], order
 
 
+def _bounds(sorted_values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts, and the end."""
+    n = len(sorted_values)
+    return np.r_[np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]]), n] if n else np.zeros(1, np.int64)
+
+
 def _blobs(hashes: np.ndarray, buckets: int, *columns: np.ndarray):
     """Splits columns that stand beside sorted hashes by bucket: (bucket, blob...)."""
-    width = (1 << 64) // buckets + 1
-    cut = np.searchsorted(hashes, np.array([i * width for i in range(buckets)], dtype=_U))
-    cut = np.r_[cut, len(hashes)]
-    for b in np.flatnonzero(np.diff(cut)).tolist():
-        yield b, *[c[cut[b]:cut[b + 1]].tobytes() for c in columns]
+    width = _U((1 << 64) // buckets + 1)
+    bucket = (hashes // width).astype(np.int64)
+    cut = _bounds(bucket)
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        yield int(bucket[a]), *[c[a:b].tobytes() for c in columns]
+
+
+def _by_row(row: np.ndarray, use: np.ndarray, *columns: np.ndarray):
+    """The used entries of each row, which stand in row order: (row, blob...)."""
+    at = np.flatnonzero(use)
+    cut = _bounds(row[at])
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        yield int(row[at[a]]), *[c[at[a:b]].tobytes() for c in columns]
 
 
 def short(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -169,8 +208,12 @@ def short(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (hashes // _U((1 << 64) // buckets + 1)) << _U(32) | hashes & _U(0xFFFFFFFF)
 
 
+def low(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & _U(0xFFFFFFFF)).astype(np.uint32)
+
+
 def _concat(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
-    """All blobs of a column, and the row of each entry."""
+    """All blobs of a column, and the row of each entry among the rows that have one."""
     parts = [np.frombuffer(x.as_buffer(), dtype=kind) for x in column if x.is_valid]
     size = [len(p) for p in parts]
     return (np.concatenate(parts) if parts else np.empty(0, kind)), np.repeat(np.arange(len(parts)), size)
@@ -181,17 +224,24 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-_SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hash", pa.binary()), ("many", pa.binary())])
-_HOT = pa.schema([("chunk", pa.int32()), ("hash", pa.binary())])
-_EDGES = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hash", pa.binary()), ("doc", pa.binary()), ("at", pa.binary()), ("many", pa.binary())])
-_SOURCES = pa.schema([("chunk", pa.int32()), ("hash", pa.binary()), ("doc", pa.binary()), ("at", pa.binary()), ("home", pa.binary())])
-_ASKED = pa.schema([("home", pa.int32()), ("chunk", pa.int32()), ("source", pa.int64()), ("offset", pa.int32()), ("length", pa.int32()), ("digest", pa.binary()), ("places", pa.binary())])
-_VERIFIED = pa.schema([("chunk", pa.int32()), ("length", pa.int32()), ("places", pa.binary())])
-_DONE = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("n_segments", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())])
+def _schema(**kinds) -> pa.Schema:
+    return pa.schema(list(kinds.items()))
+
+
+_INT, _LONG, _BLOB, _TEXT = pa.int32(), pa.int64(), pa.binary(), pa.string()
+_SENT = _schema(bucket=_INT, chunk=_INT, hash=_BLOB, many=_BLOB)
+_HOT = _schema(chunk=_INT, hash=_BLOB)
+_EDGES = _schema(bucket=_INT, chunk=_INT, hash=_BLOB, check=_BLOB, doc=_BLOB, own=_BLOB, many=_BLOB)
+_SOURCES = _schema(chunk=_INT, own=_BLOB, home=_BLOB, there=_BLOB, every=_BLOB)
+_NODES = _schema(bucket=_INT, chunk=_INT, hash=_BLOB, enters=_BLOB, leaves=_BLOB)
+_ENDS = _schema(chunk=_INT, node=_BLOB)
+_ASKED = _schema(home=_INT, chunk=_INT, there=_INT, length=_INT, digest=_BLOB, places=_BLOB)
+_VERIFIED = _schema(chunk=_INT, length=_INT, places=_BLOB)
+_DONE = _schema(id=_LONG, n_words=_LONG, n_removed=_LONG, n_segments=_LONG, kept=_TEXT, kept_sha256=_TEXT)
 
 
 def _ddl(schema: pa.Schema) -> str:
-    kinds = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
+    kinds = {_INT: "int", _LONG: "long", _BLOB: "binary", _TEXT: "string"}
     return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
@@ -201,10 +251,9 @@ def send_minimizers(table: pa.Table, chunk: int, buckets: int) -> pa.Table:
     ids = ids[tokens.doc[at]]
     order = np.lexsort((ids, least))
     least, ids = least[order], ids[order]
-    first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]]) if len(least) else np.empty(0, np.int64)
-    last = np.r_[first[1:], len(least)] - 1 if len(first) else first
-    low = (least[first] & _U(0xFFFFFFFF)).astype(np.uint32)
-    return _table([(b, chunk, h, m) for b, h, m in _blobs(least[first], buckets, low, ids[first] != ids[last])], _SENT)
+    cut = _bounds(least)
+    first, last = cut[:-1], cut[1:] - 1
+    return _table([(b, chunk, h, m) for b, h, m in _blobs(least[first], buckets, low(least[first]), ids[first] != ids[last])], _SENT)
 
 
 def hot_minimizers(table: pa.Table) -> pa.Table:
@@ -216,18 +265,13 @@ def hot_minimizers(table: pa.Table) -> pa.Table:
     same = np.r_[False, h[1:] == h[:-1]] if len(h) else np.empty(0, bool)
     hot = np.empty(len(h), dtype=bool)
     hot[order] = same | np.r_[same[1:], False] if len(h) else same
-    hot |= many
-    chunks, bucket = table["chunk"].to_pylist(), _U(table["bucket"][0].as_py() << 32)
-    return _table([(chunks[r], (bucket | hashes[hot & (row == r)].astype(_U)).tobytes()) for r in np.unique(row[hot]).tolist()], _HOT)
-
-
-def edges_of(tokens: Tokens, at: np.ndarray) -> np.ndarray:
-    return mixed((tokens.prefix[at + WINDOW] - tokens.prefix[at]) * tokens.down[at])
+    chunks, bucket = table["chunk"].to_numpy(), _U(table["bucket"][0].as_py() << 32)
+    return _table([(int(chunks[r]), x) for r, x in _by_row(row, hot | many, bucket | hashes.astype(_U))], _HOT)
 
 
 def send_edges(table: pa.Table, hot: pa.Table, chunk: int, buckets: int) -> pa.Table:
-    """A chunk's distinct edges around hot minimizers, each with its first document and
-    whether the chunk has a later one."""
+    """A chunk's distinct edges around hot minimizers, each with its first place and
+    document, and whether the chunk has it in a later one."""
     ids, tokens = _load(table)
     least, at = tokens.minimizers()
     known = np.sort(_concat(hot["hash"], _U)[0])
@@ -236,85 +280,151 @@ def send_edges(table: pa.Table, hot: pa.Table, chunk: int, buckets: int) -> pa.T
     wanted = short(least, buckets)
     found = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
     at = at[known[found] == wanted]
-    edges = edges_of(tokens, at)
-    doc, own = ids[tokens.doc[at]], (at - tokens.first[tokens.doc[at]]).astype(np.int32)
-    order = np.lexsort((own, doc, edges))
-    edges, doc, own = edges[order], doc[order], own[order]
-    first = np.flatnonzero(np.r_[True, edges[1:] != edges[:-1]]) if len(edges) else np.empty(0, np.int64)
+    edges, check = tokens.mer(at, WINDOW), tokens.checks(at, WINDOW)
+    order = np.lexsort((at, check, edges))  # places stand in order of doc_id
+    edges, check, at = edges[order], check[order], at[order]
+    doc = ids[tokens.doc[at]]
+    new = np.r_[True, (edges[1:] != edges[:-1]) | (check[1:] != check[:-1])] if len(edges) else np.empty(0, bool)
+    first = np.flatnonzero(new)
     last = np.r_[first[1:], len(edges)] - 1 if len(first) else first
-    return _table([(b, chunk, *x) for b, *x in _blobs(edges[first], buckets, edges[first], doc[first], own[first], doc[last] != doc[first])], _EDGES)
+    columns = (edges[first], check[first], doc[first], at[first].astype(np.int32), doc[last] != doc[first])
+    return _table([(b, chunk, *x) for b, *x in _blobs(edges[first], buckets, *columns)], _EDGES)
 
 
 def edge_sources(table: pa.Table) -> pa.Table:
-    """Per chunk, the sources of its edges that some larger document of the chunk repeats."""
+    """Per chunk, its repeated edges with their sources, and whether the source stands
+    before every document of the chunk that has the edge (else before the later ones)."""
+    table = table.sort_by("chunk")
     hashes, row = _concat(table["hash"], _U)
-    doc, at, many = (_concat(table[c], k)[0] for c, k in (("doc", np.int64), ("at", np.int32), ("many", np.bool_)))
-    chunks = np.array(table["chunk"].to_pylist(), dtype=np.int32)
+    check, doc, own, many = (_concat(table[c], k)[0] for c, k in (("check", np.uint32), ("doc", np.int64), ("own", np.int32), ("many", np.bool_)))
+    chunks = table["chunk"].to_numpy().astype(np.int32)
     if not len(hashes):
         return _table([], _SOURCES)
-    order = np.lexsort((at, doc, hashes))
-    group = np.cumsum(np.r_[True, hashes[order][1:] != hashes[order][:-1]]) - 1
-    best = order[np.r_[True, group[1:] != group[:-1]]][group]
+    order = np.lexsort((row, doc, check, hashes))
+    new = np.r_[True, (hashes[order][1:] != hashes[order][:-1]) | (check[order][1:] != check[order][:-1])]
+    group = np.cumsum(new) - 1
     source = np.empty(len(hashes), dtype=np.int64)
-    source[order] = best
-    use = many | (doc > doc[source])
-    out = []
-    for r in np.unique(row[use]).tolist():
-        mine = np.flatnonzero(use & (row == r))
-        s = source[mine]
-        out.append((int(chunks[r]), hashes[mine].tobytes(), doc[s].tobytes(), at[s].tobytes(), chunks[row[s]].tobytes()))
-    return _table(out, _SOURCES)
-
-
-def repeated_paths(ids: np.ndarray, tokens: Tokens, sources: pa.Table):
-    """A chunk's nonbranching paths: first word, number of edges, source document, offset and chunk."""
-    known = _concat(sources["hash"], _U)[0]
+    source[order] = order[new][group]
+    every = doc > doc[source]
+    use = np.empty(len(hashes), dtype=bool)
+    use[order] = np.logical_or.reduceat((every | many)[order], np.flatnonzero(new))[group]
+    found = _by_row(row, use, own, chunks[row[source]], own[source], every)
+    return _table([(int(chunks[r]), *x) for r, *x in found], _SOURCES)
+
+
+def _repeated(sources: pa.Table) -> tuple[np.ndarray, ...]:
+    """A chunk's repeated edges: first place, chunk and place of the source, whether it stands before all."""
+    return tuple(_concat(sources[c], k)[0] for c, k in (("own", np.int32), ("home", np.int32), ("there", np.int32), ("every", np.bool_)))
+
+
+def _side(nodes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct nodes, and the edge at one side of each: its word, or ``SEVERAL``."""
+    order = np.lexsort((words, nodes))
+    nodes, words = nodes[order], words[order]
+    cut = _bounds(nodes)
+    first, last = cut[:-1], cut[1:] - 1
+    return nodes[first], np.where(words[first] == words[last], words[first], SEVERAL)
+
+
+def node_edges(tokens: Tokens, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes of the edges at the places, with the edges that enter and leave them.
+    At a node an edge is known by the word that it adds."""
+    at = own.astype(np.int64)
+    word = lambda i: (tokens.word[i] >> _U(32)).astype(np.uint32) | np.uint32(2)
+    tails, leaving = _side(tokens.mer(at, WINDOW - 1), word(at + WINDOW - 1))
+    heads, entering = _side(tokens.mer(at + 1, WINDOW - 1), word(at))
+    nodes = np.union1d(tails, heads)
+    enters, leaves = np.full(len(nodes), NONE), np.full(len(nodes), NONE)
+    leaves[np.searchsorted(nodes, tails)] = leaving
+    enters[np.searchsorted(nodes, heads)] = entering
+    return nodes, enters, leaves
+
+
+def send_nodes(table: pa.Table, sources: pa.Table, chunk: int, buckets: int) -> pa.Table:
+    """The nodes of a chunk's repeated edges with their edges."""
+    own = _repeated(sources)[0]
+    if not len(own):
+        return _table([], _NODES)
+    nodes, enters, leaves = node_edges(_load(table)[1], own)
+    return _table([(b, chunk, *x) for b, *x in _blobs(nodes, buckets, low(nodes), enters, leaves)], _NODES)
+
+
+def path_ends(table: pa.Table) -> pa.Table:
+    """Per chunk, its nodes that several edges enter or leave: the join of each node's
+    edges with their successors.  (A clash of short hashes only ends a path early.)"""
+    nodes, row = _concat(table["hash"], np.uint32)
+    enters, leaves = (_concat(table[c], np.uint32)[0] for c in ("enters", "leaves"))
+    order = np.argsort(nodes, kind="stable")
+    start = _bounds(nodes[order])[:-1]
+    several = np.zeros(len(start), dtype=bool)
+    for side in (enters, leaves):
+        own = side[order]
+        most = np.maximum.reduceat(own, start) if len(start) else own
+        known = np.where(own == NONE, np.iinfo(np.uint32).max, own)
+        least = np.minimum.reduceat(known, start) if len(start) else known
+        several |= (least == SEVERAL) | ((most != NONE) & (least != most))
+    branching = np.empty(len(nodes), dtype=bool)
+    branching[order] = np.repeat(several, np.diff(np.r_[start, len(nodes)]))
+    chunks, bucket = table["chunk"].to_numpy(), _U(table["bucket"][0].as_py() << 32)
+    return _table([(int(chunks[r]), x) for r, x in _by_row(row, branching, bucket | nodes.astype(_U))], _ENDS)
+
+
+def repeated_paths(ids: np.ndarray, tokens: Tokens, repeated: tuple[np.ndarray, ...], ends: np.ndarray, buckets: int):
+    """A chunk's pieces of nonbranching paths that some smaller document has: first word,
+    number of edges, chunk and place of the source.  ``ends`` are the short hashes of the nodes that end paths."""
+    own, home, there, every = repeated
     n = len(tokens.word) - WINDOW + 1
-    empty = np.empty(0, np.int64)
-    if not len(known) or n <= 0:
-        return [empty] * 5
+    if not len(own) or n <= 0:
+        return [np.empty(0, np.int64)] * 4
     at = np.flatnonzero(tokens.doc[:n] == tokens.doc[WINDOW - 1:])
-    edges = edges_of(tokens, at)
-    rank = np.argsort(known)
-    known = known[rank]
-    doc, word, home = (_concat(sources[c], k)[0][rank] for c, k in (("doc", np.int64), ("at", np.int32), ("home", np.int32)))
-    found = np.minimum(np.searchsorted(known, edges), len(known) - 1)
-    use = (known[found] == edges) & (doc[found] < ids[tokens.doc[at]])
+    edges, known = tokens.mer(at, WINDOW), tokens.mer(own.astype(np.int64), WINDOW)
+    check, known_check = tokens.checks(at, WINDOW), tokens.checks(own.astype(np.int64), WINDOW)
+    rank = np.argsort(known, kind="stable")
+    place = np.minimum(np.searchsorted(known[rank], edges), len(known) - 1)
+    while True:  # on to the next edge of the same 64 bits
+        found = rank[place]
+        other = (known[found] == edges) & (known_check[found] != check) & (place + 1 < len(known))
+        if not other.any():
+            break
+        place[other] += 1
+    use = (known[found] == edges) & (known_check[found] == check) & (every[found] | (ids[tokens.doc[at]] > ids[tokens.doc[own[found]]]))
     at, found = at[use], found[use]
     if not len(at):
-        return [empty] * 5
-    doc, word, home = doc[found], word[found].astype(np.int64), home[found]
-    runs_on = (at[1:] == at[:-1] + 1) & (tokens.doc[at[1:]] == tokens.doc[at[:-1]]) & (doc[1:] == doc[:-1]) & (word[1:] == word[:-1] + 1) & (home[1:] == home[:-1])
+        return [np.empty(0, np.int64)] * 4
+    home, there = home[found], there[found].astype(np.int64)
+    ending = np.isin(short(tokens.mer(at, WINDOW - 1), buckets), ends)
+    runs_on = (at[1:] == at[:-1] + 1) & (tokens.doc[at[1:]] == tokens.doc[at[:-1]]) & (home[1:] == home[:-1]) & (there[1:] == there[:-1] + 1) & ~ending[1:]
     first = np.flatnonzero(np.r_[True, ~runs_on])
-    return [at[first], np.diff(np.r_[first, len(at)]), doc[first], word[first], home[first]]
+    return [at[first], np.diff(np.r_[first, len(at)]), home[first], there[first]]
 
 
-def ask_sources(table: pa.Table, sources: pa.Table, chunk: int) -> pa.Table:
-    """The distinct segments of a chunk with all places of theirs, addressed to the chunks of their sources."""
+def ask_sources(table: pa.Table, told: pa.Table, chunk: int, buckets: int) -> pa.Table:
+    """The distinct pieces of a chunk with all places of theirs, addressed to the chunks of their sources."""
+    repeated = _repeated(told)
+    if not len(repeated[0]):
+        return _table([], _ASKED)
     ids, tokens = _load(table)
     asked: dict[tuple, list[int]] = {}
-    for at, edges, doc, word, home in zip(*[p.tolist() for p in repeated_paths(ids, tokens, sources)]):
+    for at, edges, home, there in zip(*[p.tolist() for p in repeated_paths(ids, tokens, repeated, _concat(told["node"], _U)[0], buckets)]):
         length = edges + WINDOW - 1
-        asked.setdefault((home, chunk, doc, word, length, tokens.digest(at, length)), []).append(at)
+        asked.setdefault((home, chunk, there, length, tokens.digest(at, length)), []).append(at)
     return _table([(*k, np.array(asked[k], dtype=np.int64).tobytes()) for k in sorted(asked)], _ASKED)
 
 
 def answer(table: pa.Table, asked: pa.Table) -> pa.Table:
-    """The asked segments whose words the source document of this chunk really has."""
-    if not len(asked) or not len(table):
+    """The asked pieces, whose words must stand at their places in this chunk."""
+    if not len(asked):
         return _table([], _VERIFIED)
-    ids, tokens = _load(table)
-    seen: dict[tuple, set[bytes]] = {}
+    tokens = _load(table)[1]
+    seen: dict[tuple, bytes] = {}
     out = []
-    for r in sorted(asked.to_pylist(), key=lambda r: (r["source"], r["offset"], r["length"])):
-        key = (r["source"], r["offset"], r["length"])
+    for r in sorted(asked.to_pylist(), key=lambda r: (r["there"], r["length"])):
+        key = (r["there"], r["length"])
         if key not in seen:
-            seen[key] = set()
-            for d in range(int(np.searchsorted(ids, key[0])), int(np.searchsorted(ids, key[0], side="right"))):
-                if key[1] + key[2] <= tokens.count[d]:
-                    seen[key].add(tokens.digest(int(tokens.first[d]) + key[1], key[2]))
-        if r["digest"] in seen[key]:
-            out.append((r["chunk"], r["length"], r["places"]))
+            seen = {key: tokens.digest(*key)}
+        if r["digest"] != seen[key]:
+            raise ValueError("two different windows share a 96-bit hash: change the multipliers in substring.py and run again")
+        out.append((r["chunk"], r["length"], r["places"]))
     return _table(out, _VERIFIED)
 
 
@@ -348,8 +458,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     One plan: the exchange that deals the texts by chunk is written once and read
     by every chunk stage."""
     size = docs.agg(F.sum(F.octet_length(text_or_empty(text_col)).cast("long"))).first()[0] or 0
-    buckets = max(4, shuffle_partitions(docs.sparkSession))
-    chunks = max(buckets, -(-size // CHUNK_BYTES))
+    tasks = max(4, shuffle_partitions(docs.sparkSession))
+    buckets = max(tasks, -(-size // BUCKET_BYTES))
+    chunks = max(tasks, -(-size // max(CHUNK_BYTES, min(MOST_BYTES, size // MANY_CHUNKS))))
     dealt = chunk_of(docs, chunks, id_col, text_col).groupBy("chunk")
     one = lambda key: int(key[0].as_py())
 
@@ -357,7 +468,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hot = sent.groupBy("bucket").applyInArrow(hot_minimizers, _ddl(_HOT))
     edges = dealt.cogroup(hot.groupBy("chunk")).applyInArrow(lambda key, t, h: send_edges(t, h, one(key), buckets), _ddl(_EDGES))
     sources = edges.groupBy("bucket").applyInArrow(edge_sources, _ddl(_SOURCES))
-    asked = dealt.cogroup(sources.groupBy("chunk")).applyInArrow(lambda key, t, s: ask_sources(t, s, one(key)), _ddl(_ASKED))
+    nodes = dealt.cogroup(sources.groupBy("chunk")).applyInArrow(lambda key, t, s: send_nodes(t, s, one(key), buckets), _ddl(_NODES))
+    ends = nodes.groupBy("bucket").applyInArrow(path_ends, _ddl(_ENDS))
+    told = sources.unionByName(ends, allowMissingColumns=True)
+    asked = dealt.cogroup(told.groupBy("chunk")).applyInArrow(lambda key, t, s: ask_sources(t, s, one(key), buckets), _ddl(_ASKED))
     verified = dealt.cogroup(asked.groupBy("home")).applyInArrow(answer, _ddl(_VERIFIED))
     done = dealt.cogroup(verified.groupBy("chunk")).applyInArrow(lambda t, v: finish(t, v, with_text), _ddl(_DONE))
     return done.withColumnRenamed("id", id_col)

@@ -348,20 +348,67 @@ def removed_by_force(texts, ids):
     return sorted(out)
 
 
+def pieces_by_force(texts):
+    """Pieces of nonbranching paths per document, from the graph of all repeated windows of distinct documents 0, 1, ..."""
+    split = [(t or "").encode().split() for t in texts]
+    starts = collections.defaultdict(list)
+    for i, w in enumerate(split):
+        for k in range(len(w) - 12):
+            starts[tuple(w[k:k + 13])].append((i, k))
+    repeated = {e: min(at) for e, at in starts.items() if len({i for i, _ in at}) > 1}
+    enters, leaves = collections.defaultdict(set), collections.defaultdict(set)
+    for e in repeated:
+        leaves[e[:-1]].add(e)
+        enters[e[1:]].add(e)
+    out = []
+    for i, w in enumerate(split):
+        n, last = 0, None
+        for k in range(len(w) - 12):
+            e = tuple(w[k:k + 13])
+            source = repeated.get(e)
+            if source is None or source[0] >= i:
+                last = None
+                continue
+            node = e[:-1]
+            n += not (last == (source[0], source[1] - 1) and len(enters[node]) == 1 and len(leaves[node]) == 1)
+            last = source
+        out.append(n)
+    return out
+
+
 def test_substrings_against_brute_force(spark, docs, empty, monkeypatch):
     texts = corpus(4, 80)
     rng = random.Random(8)
     loop = words(rng, 13)
     texts += [" ".join([loop] * 5), loop, loop + " tail", " ".join(["same"] * 60), " ".join(["same"] * 20)]
+    shared = words(rng, 50).split()
+    texts += [" ".join(shared[:a] + words(rng, 4).split() + shared[b:]) for a, b in ((30, 30), (20, 25), (50, 50), (0, 0), (40, 10))]
     rows = frame(spark, texts)
     for size in (substring.CHUNK_BYTES, 2000):
         monkeypatch.setattr(substring, "CHUNK_BYTES", size)
+        monkeypatch.setattr(substring, "BUCKET_BYTES", size)
         got = substring.remove_repeats(rows).collect()
         assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == removed_by_force(texts, range(len(texts)))
         assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in got)
+        assert [r.n_segments for r in sorted(got)] == pieces_by_force(texts)
     assert substring.remove_repeats(empty).count() == 0
 
 
+def test_edges_of_equal_hashes_are_told_apart(monkeypatch):
+    """With 64-bit hashes cut to a few bits the check still decides."""
+    monkeypatch.setattr(substring, "mixed", lambda x, plain=substring.mixed: plain(x) & np.uint64(0xFF))
+    monkeypatch.setattr(substring.Tokens, "checks", lambda self, at, k: np.array([zlib.crc32(b" ".join(self.split(int(self.doc[i]))[int(i - self.first[self.doc[i]]):][:k])) for i in at], dtype=np.uint32))
+    rng = random.Random(5)
+    texts = [words(rng, 40).encode() for _ in range(4)]
+    texts.append(texts[1])
+    tokens = substring.Tokens(texts)
+    own = np.flatnonzero(tokens.doc[:len(tokens.word) - 12] == tokens.doc[12:])
+    own = own[tokens.doc[own] < 4].astype(np.int32)
+    repeated = own, np.zeros(len(own), np.int32), own, np.zeros(len(own), bool)
+    at, edges, home, there = substring.repeated_paths(np.arange(5), tokens, repeated, np.empty(0, np.uint64), 4)
+    assert edges.sum() == 28 and (there == at - (tokens.first[4] - tokens.first[1])).all() and (tokens.doc[at] == 4).all()
+
+
 def test_substrings_of_repeated_and_null_ids(spark):
     text = words(random.Random(1), 30)
     rows = spark.createDataFrame([(5, text), (5, text), (None, text), (9, text)], "doc_id long, text string")
