@@ -137,8 +137,8 @@ class Tokens:
     def digest(self, start: int, length: int) -> bytes:
         """Digest of the words from a position in one document, as they stand."""
         doc = int(self.doc[start])
-        words = self.split(doc)[start - int(self.first[doc]):][:length]
-        return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+        at = start - int(self.first[doc])
+        return hashlib.blake2b(b" ".join(self.split(doc)[at:at + length]), digest_size=16).digest()
 
     def split(self, doc: int) -> list[bytes]:
         if getattr(self, "_at", None) != doc:
@@ -186,21 +186,66 @@ def _bounds(sorted_values: np.ndarray) -> np.ndarray:
     return np.r_[np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]]), n] if n else np.zeros(1, np.int64)
 
 
-def _blobs(hashes: np.ndarray, buckets: int, *columns: np.ndarray):
-    """Splits columns that stand beside sorted hashes by bucket: (bucket, blob...)."""
-    width = _U((1 << 64) // buckets + 1)
-    bucket = (hashes // width).astype(np.int64)
-    cut = _bounds(bucket)
+class Codec:
+    """How a column of numbers stands in a blob: as it is, or as differences, in byte planes, compressed."""
+
+    def __init__(self, kind, packed: bool = True, differences: bool = False):
+        self.kind, self.packed, self.differences = np.dtype(kind), packed, differences
+
+    def pack(self, values: np.ndarray) -> bytes:
+        if self.kind == np.bool_:
+            return len(values).to_bytes(4, "little") + np.packbits(values).tobytes()
+        if not self.packed:
+            return values.astype(self.kind).tobytes()
+        if self.differences:
+            values = np.diff(values.astype(self.kind), prepend=self.kind.type(0))
+        planes = np.ascontiguousarray(values.astype(self.kind).view(np.uint8).reshape(-1, self.kind.itemsize).T)
+        return len(values).to_bytes(4, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+    def size(self, blob: memoryview) -> int:
+        return int.from_bytes(blob[:4], "little") if self.packed or self.kind == np.bool_ else len(blob) // self.kind.itemsize
+
+    def unpack(self, blob: memoryview) -> np.ndarray:
+        if self.kind == np.bool_:
+            return np.unpackbits(np.frombuffer(blob[4:], np.uint8), count=int.from_bytes(blob[:4], "little")).astype(bool)
+        if not self.packed:
+            return np.frombuffer(blob, self.kind)
+        n = int.from_bytes(blob[:4], "little")
+        planes = np.frombuffer(pa.decompress(pa.py_buffer(blob[4:]), n * self.kind.itemsize, "zstd"), np.uint8)
+        values = np.ascontiguousarray(planes.reshape(self.kind.itemsize, n).T).view(self.kind).ravel()
+        return np.cumsum(values, dtype=self.kind) if self.differences else values
+
+
+#: By column: random bits as they are, sorted or slowly changing numbers as differences.
+CODECS = {
+    "low": Codec(np.uint32, differences=True), "hash": Codec(np.uint64, packed=False), "check": Codec(np.uint32, packed=False),
+    "doc": Codec(np.int64, differences=True), "own": Codec(np.int32, differences=True), "home": Codec(np.int32, differences=True),
+    "ahead": Codec(np.int32, differences=True), "many": Codec(np.bool_), "every": Codec(np.bool_),
+    "enters": Codec(np.uint32, packed=False), "leaves": Codec(np.uint32, packed=False),
+}
+
+
+def _bounds(sorted_values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts, and the end."""
+    n = len(sorted_values)
+    return np.r_[np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]]), n] if n else np.zeros(1, np.int64)
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return (hashes // _U((1 << 64) // buckets + 1)).astype(np.int64)
+
+
+def _blobs(groups: np.ndarray, **columns: np.ndarray):
+    """The columns cut by runs of equal group numbers: (group, blob...)."""
+    cut = _bounds(groups)
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        yield int(bucket[a]), *[c[a:b].tobytes() for c in columns]
+        yield int(groups[a]), *[CODECS[name].pack(c[a:b]) for name, c in columns.items()]
 
 
-def _by_row(row: np.ndarray, use: np.ndarray, *columns: np.ndarray):
+def _by_row(row: np.ndarray, use: np.ndarray, **columns: np.ndarray):
     """The used entries of each row, which stand in row order: (row, blob...)."""
     at = np.flatnonzero(use)
-    cut = _bounds(row[at])
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        yield int(row[at[a]]), *[c[at[a:b]].tobytes() for c in columns]
+    return _blobs(row[at], **{name: c[at] for name, c in columns.items()})
 
 
 def short(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -212,11 +257,31 @@ def low(hashes: np.ndarray) -> np.ndarray:
     return (hashes & _U(0xFFFFFFFF)).astype(np.uint32)
 
 
-def _concat(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
-    """All blobs of a column, and the row of each entry among the rows that have one."""
-    parts = [np.frombuffer(x.as_buffer(), dtype=kind) for x in column if x.is_valid]
-    size = [len(p) for p in parts]
-    return (np.concatenate(parts) if parts else np.empty(0, kind)), np.repeat(np.arange(len(parts)), size)
+def _read(table: pa.Table, *names: str) -> list[np.ndarray]:
+    """All entries of the named columns of blobs; rows without a blob have none."""
+    out = []
+    for name in names:
+        parts = [CODECS[name].unpack(memoryview(x.as_buffer())) for x in table[name] if x.is_valid]
+        out.append(np.concatenate(parts) if parts else np.empty(0, CODECS[name].kind))
+    return out
+
+
+def _rows(table: pa.Table, name: str) -> np.ndarray:
+    """The row of each entry."""
+    return np.repeat(np.arange(len(table)), [CODECS[name].size(memoryview(x.as_buffer())) if x.is_valid else 0 for x in table[name]])
+
+
+def _short(table: pa.Table) -> np.ndarray:
+    """Sorted short hashes of rows of bucket and low bits."""
+    parts = [CODECS["low"].unpack(memoryview(x.as_buffer())).astype(_U) | _U(b << 32) for b, x in zip(table["bucket"].to_pylist(), table["low"]) if x.is_valid]
+    return np.sort(np.concatenate(parts)) if parts else np.empty(0, _U)
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values stand among the sorted ones."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -229,12 +294,11 @@ def _schema(**kinds) -> pa.Schema:
 
 
 _INT, _LONG, _BLOB, _TEXT = pa.int32(), pa.int64(), pa.binary(), pa.string()
-_SENT = _schema(bucket=_INT, chunk=_INT, hash=_BLOB, many=_BLOB)
-_HOT = _schema(chunk=_INT, hash=_BLOB)
+_SENT = _schema(bucket=_INT, chunk=_INT, low=_BLOB, many=_BLOB)
+_HOT = _schema(bucket=_INT, chunk=_INT, low=_BLOB)
 _EDGES = _schema(bucket=_INT, chunk=_INT, hash=_BLOB, check=_BLOB, doc=_BLOB, own=_BLOB, many=_BLOB)
-_SOURCES = _schema(chunk=_INT, own=_BLOB, home=_BLOB, there=_BLOB, every=_BLOB)
-_NODES = _schema(bucket=_INT, chunk=_INT, hash=_BLOB, enters=_BLOB, leaves=_BLOB)
-_ENDS = _schema(chunk=_INT, node=_BLOB)
+_SOURCES = _schema(chunk=_INT, own=_BLOB, home=_BLOB, ahead=_BLOB, every=_BLOB)
+_NODES = _schema(bucket=_INT, chunk=_INT, low=_BLOB, enters=_BLOB, leaves=_BLOB)
 _ASKED = _schema(home=_INT, chunk=_INT, there=_INT, length=_INT, digest=_BLOB, places=_BLOB)
 _VERIFIED = _schema(chunk=_INT, length=_INT, places=_BLOB)
 _DONE = _schema(id=_LONG, n_words=_LONG, n_removed=_LONG, n_segments=_LONG, kept=_TEXT, kept_sha256=_TEXT)
@@ -253,50 +317,51 @@ def send_minimizers(table: pa.Table, chunk: int, buckets: int) -> pa.Table:
     least, ids = least[order], ids[order]
     cut = _bounds(least)
     first, last = cut[:-1], cut[1:] - 1
-    return _table([(b, chunk, h, m) for b, h, m in _blobs(least[first], buckets, low(least[first]), ids[first] != ids[last])], _SENT)
+    least = least[first]
+    order = np.argsort(short(least, buckets), kind="stable")
+    first, last, least = first[order], last[order], least[order]
+    return _table([(b, chunk, *x) for b, *x in _blobs(_bucket(least, buckets), low=low(least), many=ids[first] != ids[last])], _SENT)
 
 
 def hot_minimizers(table: pa.Table) -> pa.Table:
     """Per chunk, which of its minimizers occur in more than one document (or chunk)."""
-    hashes, row = _concat(table["hash"], np.uint32)
-    many, _ = _concat(table["many"], np.bool_)
+    (hashes, many), row = _read(table, "low", "many"), _rows(table, "low")
     order = np.argsort(hashes, kind="stable")
     h = hashes[order]
     same = np.r_[False, h[1:] == h[:-1]] if len(h) else np.empty(0, bool)
     hot = np.empty(len(h), dtype=bool)
     hot[order] = same | np.r_[same[1:], False] if len(h) else same
-    chunks, bucket = table["chunk"].to_numpy(), _U(table["bucket"][0].as_py() << 32)
-    return _table([(int(chunks[r]), x) for r, x in _by_row(row, hot | many, bucket | hashes.astype(_U))], _HOT)
+    chunks, bucket = table["chunk"].to_numpy(), table["bucket"][0].as_py()
+    return _table([(bucket, int(chunks[r]), x) for r, x in _by_row(row, hot | many, low=hashes)], _HOT)
 
 
 def send_edges(table: pa.Table, hot: pa.Table, chunk: int, buckets: int) -> pa.Table:
     """A chunk's distinct edges around hot minimizers, each with its first place and
     document, and whether the chunk has it in a later one."""
+    known = _short(hot)
+    if not len(known):
+        return _table([], _EDGES)
     ids, tokens = _load(table)
     least, at = tokens.minimizers()
-    known = np.sort(_concat(hot["hash"], _U)[0])
-    if not len(known) or not len(least):
-        return _table([], _EDGES)
-    wanted = short(least, buckets)
-    found = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-    at = at[known[found] == wanted]
+    at = at[_among(short(least, buckets), known)]
     edges, check = tokens.mer(at, WINDOW), tokens.checks(at, WINDOW)
     order = np.lexsort((at, check, edges))  # places stand in order of doc_id
     edges, check, at = edges[order], check[order], at[order]
     doc = ids[tokens.doc[at]]
     new = np.r_[True, (edges[1:] != edges[:-1]) | (check[1:] != check[:-1])] if len(edges) else np.empty(0, bool)
     first = np.flatnonzero(new)
-    last = np.r_[first[1:], len(edges)] - 1 if len(first) else first
-    columns = (edges[first], check[first], doc[first], at[first].astype(np.int32), doc[last] != doc[first])
-    return _table([(b, chunk, *x) for b, *x in _blobs(edges[first], buckets, *columns)], _EDGES)
+    many = doc[np.r_[first[1:], len(edges)] - 1] != doc[first] if len(first) else np.empty(0, bool)
+    bucket = _bucket(edges[first], buckets)
+    order = np.lexsort((at[first], bucket))
+    first, many = first[order], many[order]
+    return _table([(b, chunk, *x) for b, *x in _blobs(bucket[order], hash=edges[first], check=check[first], doc=doc[first], own=at[first], many=many)], _EDGES)
 
 
 def edge_sources(table: pa.Table) -> pa.Table:
     """Per chunk, its repeated edges with their sources, and whether the source stands
     before every document of the chunk that has the edge (else before the later ones)."""
     table = table.sort_by("chunk")
-    hashes, row = _concat(table["hash"], _U)
-    check, doc, own, many = (_concat(table[c], k)[0] for c, k in (("check", np.uint32), ("doc", np.int64), ("own", np.int32), ("many", np.bool_)))
+    (hashes, check, doc, own, many), row = _read(table, "hash", "check", "doc", "own", "many"), _rows(table, "own")
     chunks = table["chunk"].to_numpy().astype(np.int32)
     if not len(hashes):
         return _table([], _SOURCES)
@@ -308,13 +373,14 @@ def edge_sources(table: pa.Table) -> pa.Table:
     every = doc > doc[source]
     use = np.empty(len(hashes), dtype=bool)
     use[order] = np.logical_or.reduceat((every | many)[order], np.flatnonzero(new))[group]
-    found = _by_row(row, use, own, chunks[row[source]], own[source], every)
+    found = _by_row(row, use, own=own, home=chunks[row[source]], ahead=own[source] - own, every=every)
     return _table([(int(chunks[r]), *x) for r, *x in found], _SOURCES)
 
 
 def _repeated(sources: pa.Table) -> tuple[np.ndarray, ...]:
     """A chunk's repeated edges: first place, chunk and place of the source, whether it stands before all."""
-    return tuple(_concat(sources[c], k)[0] for c, k in (("own", np.int32), ("home", np.int32), ("there", np.int32), ("every", np.bool_)))
+    own, home, ahead, every = _read(sources, "own", "home", "ahead", "every")
+    return own, home, own + ahead, every
 
 
 def _side(nodes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -346,14 +412,15 @@ def send_nodes(table: pa.Table, sources: pa.Table, chunk: int, buckets: int) ->
     if not len(own):
         return _table([], _NODES)
     nodes, enters, leaves = node_edges(_load(table)[1], own)
-    return _table([(b, chunk, *x) for b, *x in _blobs(nodes, buckets, low(nodes), enters, leaves)], _NODES)
+    order = np.argsort(short(nodes, buckets), kind="stable")
+    nodes = nodes[order]
+    return _table([(b, chunk, *x) for b, *x in _blobs(_bucket(nodes, buckets), low=low(nodes), enters=enters[order], leaves=leaves[order])], _NODES)
 
 
 def path_ends(table: pa.Table) -> pa.Table:
     """Per chunk, its nodes that several edges enter or leave: the join of each node's
     edges with their successors.  (A clash of short hashes only ends a path early.)"""
-    nodes, row = _concat(table["hash"], np.uint32)
-    enters, leaves = (_concat(table[c], np.uint32)[0] for c in ("enters", "leaves"))
+    (nodes, enters, leaves), row = _read(table, "low", "enters", "leaves"), _rows(table, "low")
     order = np.argsort(nodes, kind="stable")
     start = _bounds(nodes[order])[:-1]
     several = np.zeros(len(start), dtype=bool)
@@ -365,34 +432,37 @@ def path_ends(table: pa.Table) -> pa.Table:
         several |= (least == SEVERAL) | ((most != NONE) & (least != most))
     branching = np.empty(len(nodes), dtype=bool)
     branching[order] = np.repeat(several, np.diff(np.r_[start, len(nodes)]))
-    chunks, bucket = table["chunk"].to_numpy(), _U(table["bucket"][0].as_py() << 32)
-    return _table([(int(chunks[r]), x) for r, x in _by_row(row, branching, bucket | nodes.astype(_U))], _ENDS)
+    chunks, bucket = table["chunk"].to_numpy(), table["bucket"][0].as_py()
+    return _table([(bucket, int(chunks[r]), x) for r, x in _by_row(row, branching, low=nodes)], _HOT)
 
 
 def repeated_paths(ids: np.ndarray, tokens: Tokens, repeated: tuple[np.ndarray, ...], ends: np.ndarray, buckets: int):
     """A chunk's pieces of nonbranching paths that some smaller document has: first word,
-    number of edges, chunk and place of the source.  ``ends`` are the short hashes of the nodes that end paths."""
+    number of edges, chunk and place of the source.  ``ends`` are the sorted short hashes of the nodes that end paths."""
     own, home, there, every = repeated
     n = len(tokens.word) - WINDOW + 1
     if not len(own) or n <= 0:
         return [np.empty(0, np.int64)] * 4
     at = np.flatnonzero(tokens.doc[:n] == tokens.doc[WINDOW - 1:])
     edges, known = tokens.mer(at, WINDOW), tokens.mer(own.astype(np.int64), WINDOW)
-    check, known_check = tokens.checks(at, WINDOW), tokens.checks(own.astype(np.int64), WINDOW)
     rank = np.argsort(known, kind="stable")
-    place = np.minimum(np.searchsorted(known[rank], edges), len(known) - 1)
+    known = known[rank]
+    place = np.minimum(np.searchsorted(known, edges), len(known) - 1)
+    use = known[place] == edges
+    at, edges, place = at[use], edges[use], place[use]
+    check, known_check = tokens.checks(at, WINDOW), tokens.checks(own[rank].astype(np.int64), WINDOW)
     while True:  # on to the next edge of the same 64 bits
-        found = rank[place]
-        other = (known[found] == edges) & (known_check[found] != check) & (place + 1 < len(known))
+        other = (known[place] == edges) & (known_check[place] != check) & (place + 1 < len(known))
         if not other.any():
             break
         place[other] += 1
-    use = (known[found] == edges) & (known_check[found] == check) & (every[found] | (ids[tokens.doc[at]] > ids[tokens.doc[own[found]]]))
+    found = rank[place]
+    use = (known[place] == edges) & (known_check[place] == check) & (every[found] | (ids[tokens.doc[at]] > ids[tokens.doc[own[found]]]))
     at, found = at[use], found[use]
     if not len(at):
         return [np.empty(0, np.int64)] * 4
     home, there = home[found], there[found].astype(np.int64)
-    ending = np.isin(short(tokens.mer(at, WINDOW - 1), buckets), ends)
+    ending = _among(short(tokens.mer(at, WINDOW - 1), buckets), ends)
     runs_on = (at[1:] == at[:-1] + 1) & (tokens.doc[at[1:]] == tokens.doc[at[:-1]]) & (home[1:] == home[:-1]) & (there[1:] == there[:-1] + 1) & ~ending[1:]
     first = np.flatnonzero(np.r_[True, ~runs_on])
     return [at[first], np.diff(np.r_[first, len(at)]), home[first], there[first]]
@@ -405,7 +475,7 @@ def ask_sources(table: pa.Table, told: pa.Table, chunk: int, buckets: int) -> pa
         return _table([], _ASKED)
     ids, tokens = _load(table)
     asked: dict[tuple, list[int]] = {}
-    for at, edges, home, there in zip(*[p.tolist() for p in repeated_paths(ids, tokens, repeated, _concat(told["node"], _U)[0], buckets)]):
+    for at, edges, home, there in zip(*[p.tolist() for p in repeated_paths(ids, tokens, repeated, _short(told), buckets)]):
         length = edges + WINDOW - 1
         asked.setdefault((home, chunk, there, length, tokens.digest(at, length)), []).append(at)
     return _table([(*k, np.array(asked[k], dtype=np.int64).tobytes()) for k in sorted(asked)], _ASKED)
@@ -469,7 +539,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     edges = dealt.cogroup(hot.groupBy("chunk")).applyInArrow(lambda key, t, h: send_edges(t, h, one(key), buckets), _ddl(_EDGES))
     sources = edges.groupBy("bucket").applyInArrow(edge_sources, _ddl(_SOURCES))
     nodes = dealt.cogroup(sources.groupBy("chunk")).applyInArrow(lambda key, t, s: send_nodes(t, s, one(key), buckets), _ddl(_NODES))
-    ends = nodes.groupBy("bucket").applyInArrow(path_ends, _ddl(_ENDS))
+    ends = nodes.groupBy("bucket").applyInArrow(path_ends, _ddl(_HOT))
     told = sources.unionByName(ends, allowMissingColumns=True)
     asked = dealt.cogroup(told.groupBy("chunk")).applyInArrow(lambda key, t, s: ask_sources(t, s, one(key), buckets), _ddl(_ASKED))
     verified = dealt.cogroup(asked.groupBy("home")).applyInArrow(answer, _ddl(_VERIFIED))
