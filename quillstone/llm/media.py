@@ -8,9 +8,17 @@ digest; only the reference and what was computed from the stored bytes travel
 through the join, never the payload, and positions and captions stay beside
 their reference throughout.
 
+Markup is taken as it comes: figures may nest, a caption may stand before or
+after its media, ``</figure>`` closes an open caption, and what is never closed
+ends with the page.  No text is lost: a caption without media, or outside a
+figure, is a text item, and so is what an unclosed ``noscript`` or ``template`` hides.
+
 Null html or payload counts as empty; a reference that the store lacks stays,
 unresolved (``resolved`` false); equal payloads share a digest and so all their
-values, however many copies there are; repeated rows stay repeated.
+values, however many copies there are; repeated rows stay repeated; an empty
+table gives an empty one.  A very long payload is one image of many lines, held by
+one task at a time.  Rows carry the columns of ``keep``, named by the caller; the
+names position, ref, caption, digest, resolved and those of the features are taken.
 """
 
 from __future__ import annotations
@@ -28,13 +36,22 @@ from quillstone.llm.common import table_path
 
 WIDTH = 64
 MEDIA_TAGS = {"img", "audio", "video", "source", "embed"}
-SKIPPED = {"script", "style", "noscript", "template"}
+SKIPPED = {"script", "style"}
+#: Not shown, if they are closed.
+HIDDEN = {"noscript", "template"}
 BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "table", "section", "article", "blockquote", "pre", "br", "hr", "ul", "ol", "body", "figure", "figcaption", "title", "nav", "td", "th"}
 ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())])
 ITEM_DDL = "array<struct<position: int, kind: string, text: string, ref: string, caption: string>>"
 FEATURES_DDL = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+class _Figure:
+    def __init__(self):
+        self.media: list[dict] = []
+        self.words: list[str] = []
+        self.in_caption = False
+
+
 class _Sequence(HTMLParser):
     """Collects the ordered items of one page."""
 
@@ -42,51 +59,86 @@ class _Sequence(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.text: list[str] = []
-        self.skip = 0
-        self.figure: list[dict] | None = None
-        self.caption: list[str] | None = None
+        self.skipping: str | None = None
+        self.hidden: list[tuple[str, list[str]]] = []
+        self.figures: list[_Figure] = []
+
+    def add(self, kind: str, **values) -> dict:
+        self.items.append({"position": len(self.items), "kind": kind, "text": None, "ref": None, "caption": None, **values})
+        return self.items[-1]
 
     def flush(self):
         text = " ".join("".join(self.text).split())
         self.text = []
         if text:
-            self.items.append({"position": len(self.items), "kind": "text", "text": text, "ref": None, "caption": None})
+            self.add("text", text=text)
+
+    def in_caption(self) -> bool:
+        return bool(self.figures) and self.figures[-1].in_caption
+
+    def end_figure(self):
+        self.flush()
+        figure = self.figures.pop()
+        caption = " ".join("".join(figure.words).split())
+        for item in figure.media:
+            item["caption"] = caption or item["caption"]
+        if caption and not figure.media:
+            self.add("text", text=caption)
 
     def handle_starttag(self, tag, attrs):
         if tag in SKIPPED:
-            self.skip += 1
-        if tag in BLOCKS and self.caption is None:
+            self.skipping = tag
+        elif tag in HIDDEN:
+            self.hidden.append((tag, []))
+        if tag in BLOCKS and tag != "figcaption" and self.in_caption():
+            self.figures[-1].words.append(" ")
+        elif tag in BLOCKS:
             self.flush()
         a = dict(attrs)
         if tag == "figure":
-            self.figure = []
-        elif tag == "figcaption":
-            self.caption = []
+            self.flush()
+            self.figures.append(_Figure())
+        elif tag == "figcaption" and self.figures:
+            self.figures[-1].words.append(" ")
+            self.figures[-1].in_caption = True
         elif tag in MEDIA_TAGS and a.get("src"):
             self.flush()
-            item = {"position": len(self.items), "kind": "media", "text": None, "ref": a["src"], "caption": a.get("alt") or a.get("title")}
-            self.items.append(item)
-            if self.figure is not None:
-                self.figure.append(item)
+            item = self.add("media", ref=a["src"], caption=a.get("alt") or a.get("title"))
+            if self.figures:
+                self.figures[-1].media.append(item)
 
-    handle_startendtag = handle_starttag
+    def handle_startendtag(self, tag, attrs):
+        if tag not in SKIPPED | HIDDEN | {"figure", "figcaption"}:
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if tag in SKIPPED and self.skip:
-            self.skip -= 1
-        if tag == "figcaption" and self.caption is not None:
-            words = " ".join("".join(self.caption).split())
-            for item in self.figure or []:
-                item["caption"] = words or item["caption"]
-            self.caption = None
-        elif tag in BLOCKS and self.caption is None:
+        if tag == self.skipping:
+            self.skipping = None
+        for i in range(len(self.hidden) - 1, -1, -1):
+            if self.hidden[i][0] == tag:
+                del self.hidden[i:]
+                break
+        if tag == "figcaption" and self.in_caption():
+            self.figures[-1].in_caption = False
+        elif tag == "figure" and self.figures:
+            self.end_figure()
+        elif tag in BLOCKS and self.in_caption():
+            self.figures[-1].words.append(" ")
+        elif tag in BLOCKS:
             self.flush()
-        if tag == "figure":
-            self.figure = None
 
     def handle_data(self, data):
-        if not self.skip:
-            (self.text if self.caption is None else self.caption).append(data)
+        if self.skipping is None:
+            (self.hidden[-1][1] if self.hidden else self.figures[-1].words if self.in_caption() else self.text).append(data)
+
+    def finish(self) -> list[dict]:
+        self.flush()
+        while self.figures:
+            self.end_figure()
+        for _, words in self.hidden:
+            self.text += words
+        self.flush()
+        return self.items
 
 
 def parse_html(html: str | None) -> list[dict]:
@@ -94,8 +146,7 @@ def parse_html(html: str | None) -> list[dict]:
     parser = _Sequence()
     parser.feed(html or "")
     parser.close()
-    parser.flush()
-    return parser.items
+    return parser.finish()
 
 
 def interleave(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:

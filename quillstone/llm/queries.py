@@ -15,12 +15,16 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", text_or_empty().cast("binary").alias("payload"))
     digest = F.sha2(media.padded(F.col("payload")), 256)
     path = media.write_store(docs.select(digest.alias("digest"), "payload"))
-    page = F.concat(F.lit("<article><p>Payload of a document</p><figure><img src='sha256:"), digest, F.lit("'><figcaption>"),
-                    F.octet_length("payload").cast("string"), F.lit(" bytes</figcaption></figure></article>"))
+    image, caption = F.concat(F.lit("<img src='sha256:"), digest, F.lit("'>")), F.concat(F.octet_length("payload").cast("string"), F.lit(" bytes"))
+    # captions before, after, and not closed
+    figure = F.when(F.octet_length("payload") % 3 == 0, F.concat(F.lit("<figcaption>"), caption, F.lit("</figcaption>"), image)).when(
+        F.octet_length("payload") % 3 == 1, F.concat(image, F.lit("<figcaption>"), caption, F.lit("</figcaption>"))).otherwise(F.concat(image, F.lit("<figcaption>"), caption))
+    page = F.concat(F.lit("<article><p>Payload of a document</p><figure>"), figure, F.lit("</figure><p>End of the page</article>"))
     pages = docs.select("doc_id", F.octet_length("payload").cast("long").alias("n_bytes"), page.alias("html"))
     sequences = media.interleave(pages, ["doc_id", "n_bytes"])
-    found = media.resolve(sequences, ["doc_id", "n_bytes"], media.store_features(spark, path))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    found = media.resolve(sequences, ["doc_id", "n_bytes", "items"], media.store_features(spark, path))
+    texts = F.transform(F.filter("items", lambda x: x["kind"] == "text"), lambda x: F.concat_ws(":", x["position"], x["text"]))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", F.array_join(texts, "|").alias("texts"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import base64
 import collections
 import gzip
 import hashlib
+import html as html_module
 import random
 import re
 import zlib
@@ -67,6 +68,46 @@ def test_html_sequence_keeps_order_positions_and_captions():
     assert media.parse_html(None) == [] and media.parse_html("<<p><img") is not None
 
 
+@pytest.mark.parametrize("html, expect", [
+    ("<figure><img src=a><figcaption>cap</figure><p>rest", ["a=cap", "rest"]),
+    ("<figure><figcaption>cap</figcaption><img src=a></figure>rest", ["a=cap", "rest"]),
+    ("<figcaption>loose</figcaption><img src=a>", ["loose", "a=None"]),
+    ("<figure><figure><img src=a><figcaption>in</figcaption></figure><img src=b><figcaption>out</figcaption></figure>", ["a=in", "b=out"]),
+    ("<figure><figcaption>first</figcaption><figure><img src=a></figure><img src=b alt=x></figure>", ["a=None", "b=first"]),
+    ("one<script/>two<style/>three", ["onetwothree"]),
+    ("<p>one<script>var a='<p>no</p>'</script>two", ["onetwo"]),
+    ("one<noscript>no</noscript>two<template>kept", ["onetwo", "kept"]),
+    ("<figure><img src=a><img src=b alt=x><figcaption>both <p>of</p>them", ["a=both of them", "b=both of them"]),
+    ("<figure><figcaption>alone</figcaption></figure>x", ["alone", "x"]),
+    ("</figure></figcaption><p>x</p></p><figure/>y<img src=''><img alt=z>", ["x", "y"]),
+    ("a &amp; b &#233;<br>c<!-- no -->", ["a & b \u00e9", "c"]), ("", []), (None, []), ("<figure><figcaption>", []),
+])
+def test_figures_captions_and_unclosed_markup(html, expect):
+    items = media.parse_html(html)
+    assert [i["text"] if i["kind"] == "text" else f"{i['ref']}={i['caption']}" for i in items] == expect
+    assert [i["position"] for i in items] == list(range(len(items)))
+
+
+def test_no_text_of_the_pages_is_lost(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    for r in media.interleave(pages, ["page_id", "html"]).collect():
+        bare = re.sub(r"(?s)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<[^>]*>", " ", r.html or "")
+        text = "".join(x["text"] for x in r["items"] if x["kind"] == "text")
+        assert "".join(text.split()) == "".join(html_module.unescape(bare).split())
+    assert media.interleave(pages.limit(0), ["page_id"]).count() == 0
+
+
+def test_media_of_nothing_and_of_null_ids(spark, empty):
+    payload = empty.select("doc_id", F.lit(b"x").alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    features = media.store_features(spark, media.write_store(payload.select("digest", "payload")))
+    assert features.count() == 0
+    page = f"<img src='sha256:{'0' * 64}'><img src=x>"
+    seq = media.interleave(spark.createDataFrame([(None, page), (None, page), (1, None)], "doc_id long, html string"), ["doc_id"])
+    rows = media.resolve(seq, ["doc_id"], features).collect()
+    assert len(rows) == 4 and not any(r.resolved for r in rows)
+    assert media.resolve(media.interleave(empty.select("doc_id", F.col("text").alias("html")), ["doc_id"]), ["doc_id"], features).count() == 0
+
+
 def test_media_round_trip(spark, docs):
     texts = texts_of(docs)
     payload = docs.select("doc_id", common.text_or_empty().cast("binary").alias("payload")).withColumn("digest", F.sha2(media.padded(F.col("payload")), 256))
@@ -576,6 +617,70 @@ def test_links_of_dense_and_chained_points(spark):
     assert {int(x): int(y) for x, y in zip(a, b)} == {p: r for p, r in root.items() if p != r}
 
 
+def test_trees_hold_the_points_and_find_all_links(spark):
+    """On a whole table: the links come through trees, and equal those of all pairs."""
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    fps = sorted({r.fp % (1 << 64) for r in simhash.fingerprints(table, ["doc_id"]).select("fp").collect()})
+    own = np.array(fps, dtype=np.uint64)
+    masks = simhash.shard_masks(4, len(own))
+    assert len(masks) == 5
+    inner = outer = 0
+    for m in masks:
+        keys = own & np.uint64(m)
+        for key in np.unique(keys):
+            tree = simhash.Tree(own, np.flatnonzero(keys == key), 4)
+            inner, outer = inner + tree.nodes(), outer + (len(tree.own) if not tree.sides else 0)
+    assert inner > 2000 and outer == 0
+    pairs = []
+    for i in range(len(own)):
+        near = i + 1 + np.flatnonzero(simhash.distance(own[i + 1:], own[i]) <= 4)
+        pairs += [(i, j) for j in near.tolist()]
+    label = list(range(len(own)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        label[max(a, b)] = min(a, b)
+    points = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in fps], "fp long")
+    place = {p - (1 << 64) if p >> 63 else p: i for i, p in enumerate(fps)}
+    got = list(range(len(own)))
+    edges = [(place[r.a], place[r.b]) for r in simhash.links(points).collect()]
+    assert all(find(a) == find(b) for a, b in edges)
+    truth, label = [find(i) for i in range(len(own))], got
+    for i, j in edges:
+        a, b = find(i), find(j)
+        label[max(a, b)] = min(a, b)
+    assert [find(i) for i in range(len(own))] == truth and len(pairs) >= 10
+
+
+@pytest.mark.parametrize("points", [1, 2048, 100_000, 10**7, 10**10])
+def test_blocks_follow_from_the_points(points):
+    rng = random.Random(points)
+    masks = simhash.shard_masks(4, points)
+    fixed = min(bin(m).count("1") for m in masks)
+    assert points / 2**fixed <= simhash.SHARD
+    for _ in range(200):
+        x = rng.getrandbits(64)
+        y = x ^ sum(1 << b for b in rng.sample(range(64), 4))
+        assert any(x & m == y & m for m in masks)
+
+
+def test_near_duplicates_without_or_with_equal_ids(spark):
+    rng = random.Random(33)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    rows = [(5, a), (5, b), (3, b), (None, a), (None, c), (None, c), (None, c + " more"), (7, d), (7, d), (8, ''.join(c.upper() if c.isascii() else c for c in d)), (None, None), (None, ""), (9, None)]
+    df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "doc_id long, text string, _key string, _id int, n int").repartition(3)
+    kept = simhash.deduplicate(df)
+    got = collections.Counter((r.doc_id, (r.text or "")[:20]) for r in kept.collect())
+    assert kept.columns == df.columns
+    same = [(5, a[:20]), (3, b[:20]), (None, c[:20]), (7, d[:20]), (9, "")]
+    assert got == collections.Counter({x: 2 if x[0] == 7 else 1 for x in same})
+
+
 # --- 9 mixing ---------------------------------------------------------------
 
 
