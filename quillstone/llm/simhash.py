@@ -2,14 +2,18 @@
 
 Fingerprints are 64 majority bits over word shingles.  Equal fingerprints are
 one point.  Points are dealt to shards such that every pair within ``radius``
-differing bits meets in one: of ``BLOCKS`` bit blocks at least ``BLOCKS -
-radius`` agree, and a shard is a choice of that many blocks with their bits.
-(A ball around a vantage point alone cannot deal random 64-bit points: the
+differing bits meets in one: of a number of bit blocks all but ``radius`` agree,
+and a shard is a choice of that many blocks with their bits.  The blocks follow
+from the number of points, so that a shard holds about ``SHARD`` of them at any
+size.  (A ball around a vantage point alone cannot deal random 64-bit points: the
 distances crowd at 32 and the boundary shell of width ``radius`` would take most
 points.)  In a shard, points are partitioned by Hamming distance to vantage
 points; queries go down both sides only where the triangle bound allows it, so
 points in the overlap of a boundary are compared on both sides and no pair is
-lost.  A shard emits a star per local component, never all pairs of a group.
+lost.  The bound works the other way too: a point so near a vantage point that
+all of its side must lie within ``radius`` is linked with that side at once, so a
+dense group costs no comparison per pair.  A shard emits a star per local
+component, never all pairs of a group.
 
 Components come from alternating large-star and small-star steps in Spark, each
 written to the shared folder; no link, component or fingerprint reaches the
@@ -17,7 +21,10 @@ driver.
 
 Null or empty text has fingerprint zero and is linked like any other.  Rows
 with null ``doc_id`` take part but do not name a component unless nothing else
-can; repeated rows fall in one component.
+can; repeated rows fall in one component, as do rows of any ids with equal texts.
+An empty table gives an empty one.  Very long texts are read whole, a batch of
+shingles at a time.  Only the id and the text are read, so other columns of any
+name do not matter; ``deduplicate`` keeps them.
 """
 
 from __future__ import annotations
@@ -33,9 +40,8 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import materialize, shuffle_partitions, text_or_empty
 
 SEED = 42
-#: Bit blocks of a fingerprint; with radius 4 a shard fixes two of the six.
-BLOCKS = 6
-LEAF = 64
+#: Points that a shard holds on average, and points that a leaf of its tree holds at most.
+SHARD, LEAF = 2048, 16
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _PLACES = (np.arange(8) * 256).astype(np.int64)
 
@@ -71,11 +77,17 @@ def fingerprints(docs: DataFrame, keep: list[str], k: int = 4, text_col: str = "
     return docs.select(*keep, text_or_empty(text_col).cast("binary").alias("_text")).mapInArrow(run, schema)
 
 
-def shard_masks(radius: int) -> list[int]:
-    """Bit masks of the block choices that a pair within ``radius`` must share one of."""
-    edges = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
-    blocks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
-    return [sum(c) for c in combinations(blocks, BLOCKS - radius)]
+def shard_masks(radius: int, points: int) -> list[int]:
+    """Bit masks of the block choices that a pair within ``radius`` must share one of, for so many points."""
+    need = max(0, int(np.ceil(np.log2(max(1, points / SHARD)))))
+    if not need:
+        return [0]
+    for blocks in range(radius + 1, 65):
+        width = -(-need // (blocks - radius))
+        if blocks * width <= 64:
+            break
+    masks = [((1 << width) - 1) << i * width for i in range(blocks)]
+    return [sum(c) for c in combinations(masks, blocks - radius)]
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -114,86 +126,101 @@ class Forest:
 class Tree:
     """A vantage-point tree over points given by number."""
 
-    def __init__(self, points: np.ndarray, own: np.ndarray):
-        self.own, self.vantage = own, None
-        if len(own) <= LEAF:
-            return
-        v = points[own[0]]
-        d = distance(points[own], v).astype(np.int64)
-        cut = int(np.median(d))
-        inside = d <= cut
-        if inside.all():
-            cut = int(d.max()) - 1
-            inside = d <= cut
-        if not inside.any() or inside.all():
+    def __init__(self, points: np.ndarray, own: np.ndarray, radius: int):
+        self.own, self.points, self.radius = own, points, radius
+        self.vantage, d = points[own[0]], distance(points[own], points[own[0]]).astype(np.int64)
+        self.reach = int(d.max())
+        self.sides = ()
+        if len(own) <= LEAF or self.reach <= radius:
             return
-        self.vantage, self.cut = v, cut
-        self.inside, self.outside = Tree(points, own[inside]), Tree(points, own[~inside])
-
-    def query(self, points: np.ndarray, asking: np.ndarray, radius: int, forest: Forest):
-        """Links every asking point with the tree's points within ``radius``."""
+        self.cut = int(np.median(d))
+        if self.cut == self.reach:
+            self.cut -= 1
+        inside = d <= self.cut
+        self.sides = Tree(points, own[inside], radius), Tree(points, own[~inside], radius)
+
+    def nodes(self) -> int:
+        """Vantage points that part the tree's points."""
+        return sum(1 + side.nodes() for side in self.sides[:1]) + sum(side.nodes() for side in self.sides[1:])
+
+    def query(self, asking: np.ndarray, forest: Forest):
+        """Links every asking point with the tree's points within the radius."""
+        label = forest.label[self.own]
+        if (label == label[0]).all():  # what is linked with all of the side already need not ask
+            asking = asking[forest.label[asking] != label[0]]
         if not len(asking):
             return
-        if self.vantage is None:
-            for at in range(0, len(self.own), LEAF):
-                some = self.own[at:at + LEAF]
-                for k in range(0, len(asking), 4096):
-                    a, b = np.nonzero(distance(points[asking[k:k + 4096], None], points[None, some]) <= radius)
-                    forest.link(asking[k:k + 4096][a], some[b])
+        d = distance(self.points[asking], self.vantage).astype(np.int64)
+        if self.reach <= self.radius:  # the side hangs together, and so does what is near enough to reach over it
+            forest.link(self.own, np.full(len(self.own), self.own[0]))
+            over = d + self.reach <= self.radius
+            forest.link(asking[over], np.full(int(over.sum()), self.own[0]))
+            asking, d = asking[~over], d[~over]
+        if self.sides:
+            inside, outside = self.sides
+            inside.query(asking[d - self.radius <= self.cut], forest)
+            outside.query(asking[d + self.radius > self.cut], forest)
             return
-        d = distance(points[asking], self.vantage).astype(np.int64)
-        self.inside.query(points, asking[d - radius <= self.cut], radius, forest)
-        self.outside.query(points, asking[d + radius > self.cut], radius, forest)
+        asking = asking[d - self.radius <= self.reach]
+        for at in range(0, len(self.own), 256):
+            some = self.own[at:at + 256]
+            for k in range(0, len(asking), 4096):
+                a, b = np.nonzero(distance(self.points[asking[k:k + 4096], None], self.points[None, some]) <= self.radius)
+                forest.link(asking[k:k + 4096][a], some[b])
 
 
 def shard_links(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A star (point, smallest number linked) per component of one shard's distinct points."""
     everything = np.arange(len(points))
     forest = Forest(len(points))
-    Tree(points, everything).query(points, everything, radius, forest)
+    Tree(points, everything, radius).query(everything, forest)
     other = np.flatnonzero(forest.label != everything)
     return points[other], points[forest.label[other]]
 
 
-def partition_links(keys: np.ndarray, points: np.ndarray, radius: int):
-    """Links of many whole shards; equal keys stand together."""
-    n = len(keys)
-    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if n else np.empty(0, np.int64)
-    size = np.diff(np.r_[start, n])
-    out_a, out_b = [], []
-    for s, m in zip(start[size > LEAF].tolist(), size[size > LEAF].tolist()):
-        a, b = shard_links(np.unique(points[s:s + m]), radius)
-        out_a.append(a)
-        out_b.append(b)
-    small = np.repeat(size <= LEAF, size)
-    keys, points = keys[small], points[small]
-    for step in range(1, LEAF):
-        same = np.flatnonzero(keys[step:] == keys[:-step])
-        if not len(same):
-            break
-        near = same[distance(points[same], points[same + step]) <= radius]
-        out_a.append(points[near])
-        out_b.append(points[near + step])
-    cat = lambda x: np.concatenate(x) if x else np.empty(0, np.uint64)
-    return cat(out_a), cat(out_b)
+def whole_shards(batches, wanted: list[str]):
+    """Tables of the ``wanted`` columns that hold whole shards; rows come in order of their key, the first of them."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        b = b.select(wanted)
+        if not b.num_rows:
+            continue
+        keys = b.column(0).to_numpy()
+        if held and held[-1].column(0)[-1].as_py() != keys[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        cut = int(np.searchsorted(keys, keys[-1]))  # the last shard may go on
+        if cut:
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held = []
+        held.append(b.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _spans(keys: np.ndarray, least: int):
+    """Start and size of the runs of at least so many equal keys."""
+    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    size = np.diff(np.r_[start, len(keys)])
+    return list(zip(start[size >= least].tolist(), size[size >= least].tolist()))
+
+
+def _edges(a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 def links(points: DataFrame, radius: int = 4) -> DataFrame:
     """Edges (a, b) that connect all distinct ``fp`` within ``radius`` of one another."""
-    shards = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, m in enumerate(shard_masks(radius))])
+    masks = shard_masks(radius, points.count())
+    shards = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, m in enumerate(masks)])
     dealt = points.select("fp", F.explode(shards).alias("key")).repartition(shuffle_partitions(points.sparkSession), "key").sortWithinPartitions("key")
 
     def run(batches):
-        keys, fps = np.empty(0, np.int64), np.empty(0, np.uint64)
-        for b in batches:
-            keys = np.r_[keys, b.column(1).to_numpy()]
-            fps = np.r_[fps, b.column(0).to_numpy().view(np.uint64)]
-            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last shard may go on
-            a, c = partition_links(keys[:cut], fps[:cut], radius)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], names=["a", "b"])
-            keys, fps = keys[cut:], fps[cut:]
-        a, c = partition_links(keys, fps, radius)
-        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], names=["a", "b"])
+        for t in whole_shards(batches, ["key", "fp"]):
+            fps, found = t.column(1).to_numpy().view(np.uint64), [np.empty((2, 0), np.uint64)]
+            for s, m in _spans(t.column(0).to_numpy(), 2):
+                found.append(np.stack(shard_links(np.unique(fps[s:s + m]), radius)))
+            yield _edges(*np.concatenate(found, axis=1).view(np.int64))
 
     return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
@@ -240,8 +267,9 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str =
 # is far outside the radius that 64 bits can be searched at exactly.  So the
 # similarity form takes WIDE words of 64 bits: TABLES samples of SAMPLED bits
 # deal the points to shards, in a shard the distance of one word nominates pairs,
-# and the distance of all words accepts or rejects them, but for the pairs within
-# MARGIN of the similarity, whose shingle sets are compared.  Two rounds nominate
+# and the shingle sets of every nominated pair are compared: only they accept.
+# Bits alone reject a pair only where they differ by DEVIATIONS standard
+# deviations more than pairs of the similarity do.  Two rounds nominate
 # one partner a point and shard, which links most groups; a pair that they left
 # out and that no link implies is then compared on its own (``open_pairs``), so
 # every pair that meets in a shard is linked, rejected or implied.  Majority bits
@@ -249,7 +277,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str =
 # compared exactly, by a prefix of their sorted shingle sets.
 
 WIDE, TABLES, SAMPLED = 8, 160, 20
-MARGIN = 0.1
+DEVIATIONS = 5
 #: Samples of the two rounds: what the first has linked need not be nominated in the second, which looks at all samples for what is left open.
 ROUNDS = ((0, 32), (0, TABLES))
 #: Texts of fewer shingles are compared by their shingle sets.
@@ -259,9 +287,10 @@ NOMINATE = 20
 
 
 def most_bits(similarity: float) -> int:
-    """Differing bits of the wide fingerprint at the similarity: equal-sized sets of Jaccard
-    similarity s have cosine 2s / (1 + s), and a bit differs with probability angle / pi."""
-    return round(WIDE * 64 * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+    """Bits of the wide fingerprint that a pair of the similarity may differ in: equal-sized sets of
+    Jaccard similarity s have cosine 2s / (1 + s), and a bit differs with probability angle / pi."""
+    p = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
+    return int(np.ceil(WIDE * 64 * p + DEVIATIONS * np.sqrt(WIDE * 64 * p * (1 - p))))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -270,11 +299,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide_fingerprint(text: bytes, k: int) -> np.ndarray:
-    """``WIDE`` words of majority bits over the set of k-word shingles."""
+def wide_fingerprint(text: bytes, k: int) -> tuple[np.ndarray, int]:
+    """``WIDE`` words of majority bits over the set of k-word shingles, and the size of the set."""
     words = text.lower().split()
     if not words:
-        return np.zeros(WIDE, dtype=np.uint64)
+        return np.zeros(WIDE, dtype=np.uint64), 0
     buf = b" ".join(words)
     if len(words) <= k:
         made = xxhash.xxh3_128_digest(buf, SEED)
@@ -293,7 +322,7 @@ def wide_fingerprint(text: bytes, k: int) -> np.ndarray:
             octets = _mix(some[:, :1] + some[:, 1:] * np.arange(1, WIDE + 1, dtype=np.uint64)).view(np.uint8).reshape(len(some), -1)
             seen += np.bincount((octets + place).ravel(), minlength=len(seen))
     ones = seen.reshape(-1, 256) @ _BITS
-    return np.packbits(ones.ravel() * 2 > len(pair)).view(np.uint64)
+    return np.packbits(ones.ravel() * 2 > len(pair)).view(np.uint64), len(pair)
 
 
 def sampled_keys(fp: np.ndarray, first: int, end: int) -> np.ndarray:
@@ -430,23 +459,6 @@ def set_links(keys: np.ndarray, nodes: np.ndarray, sets: list[bytes], similarity
     return a[a != b], b[a != b]
 
 
-def _by_shard(batches, wanted, run):
-    """``run`` over the columns of whole shards; rows come in order of their key, the first column of ``wanted``."""
-    held = None
-    for b in batches:
-        b = pa.Table.from_batches([b.select(wanted)])
-        held = b if held is None else pa.concat_tables([held, b])
-        keys = held.column(0).to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last shard may go on
-        if cut:
-            a, c = run(held.slice(0, cut))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["a", "b"])
-            held = held.slice(cut)
-    if held is not None and held.num_rows:
-        a, c = run(held)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["a", "b"])
-
-
 def small_links(small: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) that connect all of ``small`` (fp, shingles) of the similarity."""
     def heads(batches):
@@ -457,26 +469,32 @@ def small_links(small: DataFrame, similarity: float) -> DataFrame:
             at = pa.array(np.repeat(np.arange(len(sets)), times))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lead) if lead else np.empty(0, np.int64)), b.column(0).take(at), b.column(1).take(at)], names=["key", "fp", "shingles"])
 
-    def run(t):
-        return set_links(t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_pylist(), similarity)
+    def run(batches):
+        for t in whole_shards(batches, ["key", "fp", "shingles"]):
+            yield _edges(*set_links(t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_pylist(), similarity))
 
     dealt = small.mapInArrow(heads, "key long, fp long, shingles binary").repartition(shuffle_partitions(small.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(lambda batches: _by_shard(batches, ["key", "fp", "shingles"], run), "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def text_key(text_col: str):
+    """64 bits that stand for a text beside its id."""
+    return F.xxhash64(text_or_empty(text_col))
 
 
 def _compared(docs: DataFrame, points: DataFrame, doubtful: DataFrame, k: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The doubtful pairs whose shingle sets really have the similarity."""
+    """The pairs whose shingle sets really have the similarity."""
     nodes = doubtful.select(F.col("a").alias("fp")).union(doubtful.select("b")).distinct()
     # a written table: broadcast only if its true size is under the session's threshold
-    wanted = materialize(points.join(nodes, "fp", "left_semi").select("fp", F.col("_first").alias(id_col)), "simhash-doubtful")
+    wanted = materialize(points.join(nodes, "fp", "left_semi").select("fp", F.coalesce("_first.id", "_first.key").alias("_id"), F.col("_first.key").alias("_key")), "simhash-wanted")
 
     def sets(batches):
         for b in batches:
             made = [shingle_set(t.as_buffer().to_pybytes(), k).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["fp", "shingles"])
 
-    texts = docs.select(id_col, text_or_empty(text_col).cast("binary").alias("_text")).join(wanted, id_col).select("fp", "_text")
-    sized = texts.mapInArrow(sets, "fp long, shingles binary").dropDuplicates(["fp"])
+    keyed = docs.select(text_or_empty(text_col).cast("binary").alias("_text"), F.coalesce(F.col(id_col).cast("long"), text_key(text_col)).alias("_id"), text_key(text_col).alias("_key"))
+    sized = keyed.join(wanted, ["_id", "_key"]).select("fp", "_text").mapInArrow(sets, "fp long, shingles binary").dropDuplicates(["fp"])
 
     def compare(batches):
         for b in batches:
@@ -489,10 +507,10 @@ def _compared(docs: DataFrame, points: DataFrame, doubtful: DataFrame, k: int, s
 
 
 def similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document row: id and component_id, where documents link whose sets
-    of k-word shingles have the similarity; a null id takes no part in comparisons."""
+    """One row per document row: ``id_col``, ``text_key``, and component_id and component_key, the
+    smallest id (null last) and text key reachable, where documents link whose sets of k-word
+    shingles have the similarity.  Rows without words link with one another."""
     names = [f"w{i}" for i in range(WIDE)]
-    kept = docs.select(id_col)
     most = int((SMALL - 1) / max(similarity, 0.1) + 1e-9)  # shingles of what a small text can be similar to
 
     def small_set(text):
@@ -500,30 +518,32 @@ def similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
 
     def run(batches):
         for b in batches:
-            texts = [t.as_buffer().to_pybytes() for t in b.column(1)]
-            fps = np.array([wide_fingerprint(t, k) for t in texts], dtype=np.uint64).reshape(-1, WIDE).view(np.int64)
+            texts = [t.as_buffer().to_pybytes() for t in b.column(2)]
+            made = [wide_fingerprint(t, k) for t in texts]
+            fps = np.array([fp for fp, _ in made], dtype=np.uint64).reshape(-1, WIDE).view(np.int64)
             sets = pa.array([small_set(t) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(fps[:, i].copy()) for i in range(WIDE)], sets], names=[id_col, *names, "shingles"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), *[pa.array(fps[:, i].copy()) for i in range(WIDE)], pa.array([n for _, n in made], pa.int32()), sets],
+                names=["id", "key", *names, "n", "shingles"])
 
-    schema = f"`{id_col}` {kept.schema[0].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names) + ", shingles binary"
-    rows = materialize(docs.select(id_col, text_or_empty(text_col).cast("binary").alias("_text")).mapInArrow(run, schema).withColumn("fp", F.xxhash64(*names)), "simhash-wide")
-    points = materialize(rows.groupBy("fp", *names).agg(F.min(id_col).alias("_first")), "simhash-points")
+    schema = "id long, key long, " + ", ".join(f"{n} long" for n in names) + ", n int, shingles binary"
+    read = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"), text_or_empty(text_col).cast("binary").alias("_text"))
+    rows = materialize(read.mapInArrow(run, schema).withColumn("fp", F.xxhash64(*names)), "simhash-wide")
+    name = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    points = materialize(rows.groupBy("fp", *names).agg(F.min(name).alias("_first"), F.min("n").alias("n"), F.max("n").alias("most")), "simhash-points")
 
     def pairs(batches):
-        keys, nodes, labels, at = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-        for b in batches:
-            keys, nodes, labels = np.r_[keys, b.column(3).to_numpy()], np.r_[nodes, b.column(0).to_numpy()], np.r_[labels, b.column(2).to_numpy()]
-            at = np.r_[at, b.column(1).to_numpy().view(np.uint64)]
-            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last shard may go on
-            a, c, left = nominated(keys[:cut], nodes[:cut], at[:cut], labels[:cut])
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[a, left]), pa.array(np.r_[c, left])], names=["a", "b"])
-            keys, nodes, labels, at = keys[cut:], nodes[cut:], labels[cut:], at[cut:]
-        a, c, left = nominated(keys, nodes, at, labels)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[a, left]), pa.array(np.r_[c, left])], names=["a", "b"])
-
-    left, right = points.select(F.col("fp").alias("a"), F.array(*names).alias("x")), points.select(F.col("fp").alias("b"), F.array(*names).alias("y"))
+        for t in whole_shards(batches, ["key", "fp", "w0", "root"]):
+            keys, nodes, at, labels = (t.column(i).to_numpy() for i in range(4))
+            a, c, left = nominated(keys, nodes, at.view(np.uint64), labels)
+            yield _edges(np.r_[a, left], np.r_[c, left])
+
+    side = lambda x, y: points.select(F.col("fp").alias(x), F.array(*names).alias(y), F.col("n").alias(f"{y}n"), F.col("most").alias(f"{y}m"))
+    left, right = side("a", "x"), side("b", "y")
     differ = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(1, WIDE)), F.bit_count(F.col("x")[0].bitwiseXOR(F.col("y")[0])))
+    sizes = (F.col("xm") >= similarity * F.col("yn") - 1e-6) & (F.col("ym") >= similarity * F.col("xn") - 1e-6)  # no set is similar to one so much larger
     linked, rooted, seen = small_links(rows.where("shingles is not null").select("fp", "shingles").distinct(), similarity), points.select("fp", "_first", *names, F.col("fp").alias("root")), None
+    limit = most_bits(similarity)
 
     def keyed(wanted, first, end):
         """``wanted`` points, a row per sample from ``first``."""
@@ -541,16 +561,14 @@ def similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
         return wanted.select(*columns, F.explode("keys").alias("key")).repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key")
 
     def verified(pairs):
-        """The pairs of the similarity, and all that were near enough to be looked at."""
-        close = materialize(pairs.join(left, "a").join(right, "b").withColumn("differ", differ).where(F.col("differ") <= limit).select("a", "b", "differ"), "simhash-close")
-        sure = F.col("differ") <= most_bits(min(1.0, similarity + MARGIN))
-        return close.where(sure).select("a", "b").unionByName(_compared(docs, points, close.where(~sure).select("a", "b"), k, similarity, id_col, text_col)), close
+        """The pairs of the similarity, and all that were near enough to be compared."""
+        close = materialize(pairs.join(left, "a").join(right, "b").where((differ <= limit) & sizes).select("a", "b"), "simhash-close")
+        return _compared(docs, points, close, k, similarity, id_col, text_col), close
 
     def with_roots(linked):
         roots = components(linked)
         return points.join(roots, points["fp"] == roots["node"], "left").select("fp", "_first", *names, F.coalesce("root", "fp").alias("root"))
 
-    limit = most_bits(max(0.0, similarity - MARGIN))
     for first, end in ROUNDS:
         found = materialize(dealt(keyed(rooted, first, end), "fp", "w0", "root").mapInArrow(pairs, "a long, b long").distinct(), "simhash-found")
         now, close = verified(found.where("a <> b"))
@@ -559,12 +577,10 @@ def similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
         seen = close if seen is None else seen.unionByName(close)
 
     def rest(batches):
-        def run(t):
-            column = lambda c: t.column(c).to_numpy()
+        for t in whole_shards(batches, ["key", "fp", "root", *names]):
+            column = lambda c: t.column(c).to_numpy()  # noqa: E731, B023
             found = open_pairs(column("key"), column("fp"), column("root"), np.stack([column(n) for n in names], 1).view(np.uint64), limit)
-            return found[:, 0], found[:, 1]
-
-        return _by_shard(batches, ["key", "fp", "root", *names], run)
+            yield _edges(found[:, 0], found[:, 1])
 
     # what the last round, over all samples, left open
     remaining = rooted.join(found.where("a = b").select(F.col("a").alias("fp")), "fp", "left_semi")
@@ -572,15 +588,25 @@ def similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
     known = seen.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now, _ = verified(pairs_left.join(known, ["a", "b"], "left_anti"))
     rooted = with_roots(materialize(linked.unionByName(now), "simhash-linked"))
-    named = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
-    return rows.select(id_col, "fp").join(rooted.join(named, "root").select("fp", "component_id"), "fp").select(id_col, "component_id")
+    named = rooted.groupBy("root").agg(F.min("_first").alias("_name"))
+    found = rows.select("id", "key", "fp").join(rooted.join(named, "root").select("fp", "_name"), "fp")
+    return found.select(F.col("id").alias(id_col), F.col("key").alias("text_key"), F.col("_name.id").alias("component_id"), F.col("_name.key").alias("component_key"))
 
 
-def deduplicate(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id") -> DataFrame:
+def deduplicate(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns, one of each group of near duplicates: that with the smallest id.
 
-    Rows of equal id are one document and stay or go together."""
-    found = similar(docs, k, similarity, id_col)
-    # a written table: broadcast only if its true size is under the session's threshold
-    gone = materialize(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "simhash-gone")
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    Rows of equal id and text are one document and stay or go together.  Rows without an id
+    go where their group has a document with one; else one row of the group's smallest text
+    key stays."""
+    found = materialize(similar(docs, k, similarity, id_col, text_col), "simhash-found")
+    # written tables: broadcast only if their true size is under the session's threshold
+    gone = materialize(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).cast("long").alias("_id"), F.col("text_key").alias("_key")).distinct(), "simhash-gone")
+    names = [f"_d{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    own, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    keyed = plain.withColumns({"_id": F.col(own).cast("long"), "_key": text_key(text)})
+    kept = keyed.where(F.col("_id").isNotNull()).join(gone, ["_id", "_key"], "left_anti").select(*names)
+    named = materialize(found.where(f"`{id_col}` is null and component_id is null and text_key = component_key").select(F.col("text_key").alias("_key")).distinct(), "simhash-nameless")
+    nameless = keyed.where(F.col("_id").isNull()).join(named, "_key", "left_semi").dropDuplicates(["_key"]).select(*names)
+    return kept.unionByName(nameless).toDF(*docs.columns)
