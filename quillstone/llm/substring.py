@@ -222,6 +222,8 @@ CODECS = {
     "doc": Codec(np.int64, differences=True), "own": Codec(np.int32, differences=True), "home": Codec(np.int32, differences=True),
     "ahead": Codec(np.int32, differences=True), "many": Codec(np.bool_), "every": Codec(np.bool_),
     "enters": Codec(np.uint32, packed=False), "leaves": Codec(np.uint32, packed=False),
+    "there": Codec(np.int32, differences=True), "length": Codec(np.int32), "digest": Codec("V16", packed=False),
+    "times": Codec(np.int32), "places": Codec(np.int32, differences=True),
 }
 
 
@@ -299,8 +301,8 @@ _HOT = _schema(bucket=_INT, chunk=_INT, low=_BLOB)
 _EDGES = _schema(bucket=_INT, chunk=_INT, hash=_BLOB, check=_BLOB, doc=_BLOB, own=_BLOB, many=_BLOB)
 _SOURCES = _schema(chunk=_INT, own=_BLOB, home=_BLOB, ahead=_BLOB, every=_BLOB)
 _NODES = _schema(bucket=_INT, chunk=_INT, low=_BLOB, enters=_BLOB, leaves=_BLOB)
-_ASKED = _schema(home=_INT, chunk=_INT, there=_INT, length=_INT, digest=_BLOB, places=_BLOB)
-_VERIFIED = _schema(chunk=_INT, length=_INT, places=_BLOB)
+_ASKED = _schema(home=_INT, chunk=_INT, there=_BLOB, length=_BLOB, digest=_BLOB, times=_BLOB, places=_BLOB)
+_VERIFIED = _schema(chunk=_INT, length=_BLOB, times=_BLOB, places=_BLOB)
 _DONE = _schema(id=_LONG, n_words=_LONG, n_removed=_LONG, n_segments=_LONG, kept=_TEXT, kept_sha256=_TEXT)
 
 
@@ -474,11 +476,18 @@ def ask_sources(table: pa.Table, told: pa.Table, chunk: int, buckets: int) -> pa
     if not len(repeated[0]):
         return _table([], _ASKED)
     ids, tokens = _load(table)
-    asked: dict[tuple, list[int]] = {}
+    asked: dict[int, dict[tuple, list[int]]] = {}
     for at, edges, home, there in zip(*[p.tolist() for p in repeated_paths(ids, tokens, repeated, _short(told), buckets)]):
         length = edges + WINDOW - 1
-        asked.setdefault((home, chunk, there, length, tokens.digest(at, length)), []).append(at)
-    return _table([(*k, np.array(asked[k], dtype=np.int64).tobytes()) for k in sorted(asked)], _ASKED)
+        asked.setdefault(home, {}).setdefault((there, length, tokens.digest(at, length)), []).append(at)
+    out = []
+    for home, pieces in sorted(asked.items()):
+        keys = sorted(pieces)
+        columns = {
+            "there": np.array([k[0] for k in keys]), "length": np.array([k[1] for k in keys]), "digest": np.frombuffer(b"".join(k[2] for k in keys), "V16"),
+            "times": np.array([len(pieces[k]) for k in keys]), "places": np.concatenate([pieces[k] for k in keys])}
+        out.append((home, chunk, *[CODECS[name].pack(c) for name, c in columns.items()]))
+    return _table(out, _ASKED)
 
 
 def answer(table: pa.Table, asked: pa.Table) -> pa.Table:
@@ -486,16 +495,11 @@ def answer(table: pa.Table, asked: pa.Table) -> pa.Table:
     if not len(asked):
         return _table([], _VERIFIED)
     tokens = _load(table)[1]
-    seen: dict[tuple, bytes] = {}
-    out = []
-    for r in sorted(asked.to_pylist(), key=lambda r: (r["there"], r["length"])):
-        key = (r["there"], r["length"])
-        if key not in seen:
-            seen = {key: tokens.digest(*key)}
-        if r["digest"] != seen[key]:
+    pieces = sorted({x for r in asked.to_batches() for x in zip(*[v.tolist() for v in _read(pa.Table.from_batches([r]), "there", "length", "digest")])})
+    for there, length, digest in pieces:
+        if tokens.digest(there, length) != digest:
             raise ValueError("two different windows share a 96-bit hash: change the multipliers in substring.py and run again")
-        out.append((r["chunk"], r["length"], r["places"]))
-    return _table(out, _VERIFIED)
+    return asked.select(_VERIFIED.names).cast(_VERIFIED)
 
 
 def finish(table: pa.Table, verified: pa.Table, with_text: bool) -> pa.Table:
@@ -504,14 +508,10 @@ def finish(table: pa.Table, verified: pa.Table, with_text: bool) -> pa.Table:
     texts = [table["text"][i].as_py() for i in order]
     words = [t.split() for t in texts]
     first = np.r_[0, np.cumsum([len(w) for w in words])].astype(np.int64)
-    gone, starts = np.zeros(first[-1] + 1, dtype=np.int64), []
-    for length, places in zip(verified["length"].to_pylist(), verified["places"]):
-        at = np.frombuffer(places.as_buffer(), dtype=np.int64)
-        starts.append(at)
-        np.add.at(gone, at, 1)
-        np.add.at(gone, at + length, -1)
-    used = np.bincount(np.searchsorted(first, np.concatenate(starts), side="right") - 1, minlength=len(ids)) if starts else np.zeros(len(ids), int)
-    keep = np.cumsum(gone)[:-1] == 0
+    length, times, at = _read(verified, "length", "times", "places")
+    edge = np.bincount(at, minlength=first[-1] + 1) - np.bincount(at + np.repeat(length, times), minlength=first[-1] + 1)
+    used = np.bincount(np.searchsorted(first, at, side="right") - 1, minlength=len(ids))
+    keep = np.cumsum(edge)[:-1] == 0
     out = []
     for d, w in enumerate(words):
         kept = keep[first[d]:first[d + 1]]
