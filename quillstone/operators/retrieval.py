@@ -54,10 +54,8 @@ def search(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
                 if m.shape[1] != matrix.shape[1]:
                     raise ValueError("vectors of unequal size")
                 scores = matrix @ _unit(m).T
-                best = np.lexsort((np.broadcast_to(ids, scores.shape), -scores))[:, :k]
-                n = best.shape[1]
-                columns = [np.repeat(labels[:, i], n) for i in range(labels.shape[1])]
-                columns += [ids[best].ravel(), np.take_along_axis(scores, best, 1).ravel()]
+                asker, hit = best_of(scores, ids, k)
+                columns = [labels[asker, i] for i in range(labels.shape[1])] + [ids[hit], scores[asker, hit]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*keys, "cosine_score"])
 
         part = rows.mapInArrow(run, schema)
@@ -68,6 +66,22 @@ def search(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the ``k`` highest scores of each row; of equal ones those of the smallest ids.
+
+    Only what reaches the k-th score is sorted, not the whole row."""
+    if scores.shape[1] > k:
+        least = np.partition(scores, -k, axis=1)[:, -k]
+        row, column = np.nonzero(scores >= least[:, None])
+    else:
+        row, column = (x.ravel() for x in np.indices(scores.shape))
+    order = np.lexsort((ids[column], -scores[row, column], row))
+    row, column = row[order], column[order]
+    first = np.searchsorted(row, np.arange(len(scores)))
+    keep = np.arange(len(row)) - first[row] < k
+    return row[keep], column[keep]
+
+
 def _blocks(queries: DataFrame):
     block = []
     for r in queries.toLocalIterator():
@@ -149,11 +163,13 @@ def ranked(scored: DataFrame, top_k: int, id_col: str = "vec_id") -> DataFrame:
     return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= top_k)
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, top_k: int = 10, retrieval_k: int = 30, least: float = 0.68, model_scores: DataFrame | None = None, dedup: bool = False, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def retrieve(chunks: DataFrame, queries: DataFrame, top_k: int = 10, retrieval_k: int = 30, least: float = 0.68, model_scores: DataFrame | None = None, dedup: bool = False, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", merged: DataFrame | None = None) -> DataFrame:
     """Search, merge, fuse, filter, rank.  Vectors stay out of the plan after the
     search unless duplicates are removed; the filter stands before the fusion, as
-    it reads the cosine only."""
-    merged = filter_by_score(merge_best(search(chunks, queries, retrieval_k, id_col, vector_col), id_col), least)
+    it reads the cosine only.  ``merged`` candidates, if given, are not searched again."""
+    if merged is None:
+        merged = merge_best(search(chunks, queries, retrieval_k, id_col, vector_col), id_col)
+    merged = filter_by_score(merged, least)
     extra = [vector_col] if dedup else []
     carried = chunks.select(id_col, "priorite", "annee", *extra)
     scored = fuse(merged.join(carried, id_col), model_scores, id_col)

@@ -36,6 +36,24 @@ def outside_boxes(objects: DataFrame, boxes: DataFrame, keys: list[str], margin:
     return o.join(b, inside, "left_anti")
 
 
+def text_outside(objects: Column, boxes: Column, margin: float = 2.0) -> Column:
+    """The words of a page that lie in no box (grown by ``margin``), line by line: words
+    whose tops are within 3 points of the line's first share it."""
+    within = lambda o, b: (o["x0"] >= b["x0"] - margin) & (o["top"] >= b["top"] - margin) & (o["x1"] <= b["x1"] + margin) & (o["bottom"] <= b["bottom"] + margin)
+    kept = F.filter(objects, lambda o: ~F.exists(boxes, lambda b: within(o, b)))
+    placed = F.array_sort(F.transform(kept, lambda o: F.struct(o["top"].alias("top"), o["x0"].alias("x0"), o["text"].alias("text"))))
+    kind = "struct<lines:array<array<struct<x0:double,text:string>>>,top:double>"
+
+    def step(acc, o):
+        word, n = F.array(F.struct(o["x0"].alias("x0"), o["text"].alias("text"))), F.size(acc["lines"])
+        new = F.struct(F.concat(acc["lines"], F.array(word)).alias("lines"), o["top"].alias("top")).cast(kind)
+        longer = F.concat(F.slice(acc["lines"], F.lit(1), n - 1), F.array(F.concat(F.element_at(acc["lines"], -1), word)))
+        return F.when((n > 0) & (o["top"] - acc["top"] <= 3.0), F.struct(longer.alias("lines"), acc["top"].alias("top")).cast(kind)).otherwise(new)
+
+    lines = F.aggregate(placed, F.struct(F.array().alias("lines"), F.lit(0.0).alias("top")).cast(kind), step, lambda a: a["lines"])
+    return F.array_join(F.transform(lines, lambda words: F.array_join(F.transform(F.array_sort(words), lambda w: w["text"]), " ")), "\n")
+
+
 def pathology_lines(grid: Column) -> Column:
     at = lambda r, i: cell(F.get(r, F.lit(i)))
     rows = F.filter(grid, lambda r: (F.size(r) >= 4) & T.is_pathology_code(at(r, 0)) & T.is_numeric_coefficient(at(r, 3)))
@@ -55,12 +73,18 @@ def spa_lines(grid: Column) -> Column:
 
 
 def role_scores(grids: DataFrame, key: str, grid_col: str) -> DataFrame:
-    """Per column, how many of the first ten cells look like a coefficient, a code, or text."""
-    rows = grids.select(key, F.explode(F.slice(grid_col, F.lit(1), F.lit(10))).alias("_r"))
-    cells = rows.select(key, F.posexplode("_r").alias("col", "_c")).withColumn("_v", cell(F.col("_c")))
-    number, code = T.is_numeric_coefficient(F.col("_v")), T.has_letter_key(F.col("_v"))
-    return cells.groupBy(key, "col").agg(
-        F.count_if(number).alias("coeff_score"), F.count_if(code).alias("lk_score"), F.count_if((F.col("_v") != "") & ~number & ~code).alias("text_score"))
+    """Per column, how many of the first ten cells look like a coefficient, a code, or text.
+
+    Each row's grid is scored where it stands; ``key`` is unique, so nothing is shuffled."""
+    top = F.slice(grid_col, F.lit(1), F.lit(10))
+    code = lambda v, yes, no: F.when(T.has_letter_key(v), yes).otherwise(no)
+    kind = lambda v: F.when(T.is_numeric_coefficient(v), code(v, "both", "number")).otherwise(code(v, "code", F.when(v != "", "text")))
+    kinds = F.transform(top, lambda r: F.transform(r, lambda c: kind(cell(c))))
+    width = F.coalesce(F.array_max(F.transform("_k", lambda r: F.coalesce(F.size(r), F.lit(0)))), F.lit(0))
+    column = grids.select(key, kinds.alias("_k")).select(key, "_k", F.explode(F.when(width > 0, F.sequence(F.lit(0), width - 1))).alias("col"))
+    have = column.select(key, "col", F.filter("_k", lambda r: F.size(r) > F.col("col")).alias("_k"))
+    count = lambda *names: F.size(F.filter("_k", lambda r: F.get(r, F.col("col")).isin(*names))).cast("long")
+    return have.select(key, "col", count("number", "both").alias("coeff_score"), count("code", "both").alias("lk_score"), count("text").alias("text_score"))
 
 
 # --- recognisers for the folds ----------------------------------------------
@@ -376,26 +400,33 @@ def page_text(raw: str, grids: list, inherited: dict | None) -> tuple[str, dict
 
 def append_key(page: str, key: str) -> str:
     """Adds an orphan code to the page's last line with a code."""
-    lines = page.splitlines()
-    for i in range(len(lines) - 1, -1, -1):
-        if "lettre clé" in lines[i].lower():
-            lines[i] = f"{lines[i].rstrip()} {key}"
-            break
-    return "\n".join(lines)
+    head, mark, tail = _last_line_with(page, "lettre clé")
+    return f"{head}{mark.rstrip()} {key}{tail}" if mark else page
+
+
+def _last_line_with(text: str, word: str) -> tuple[str, str, str]:
+    """What stands before the last line that holds the word, that line, and what follows; normal line ends."""
+    lines = text.splitlines()
+    held = [i for i, x in enumerate(lines) if word in x.lower()]
+    if not held:
+        return "\n".join(lines), "", ""
+    before, after = lines[:held[-1]], lines[held[-1] + 1:]
+    return "".join(x + "\n" for x in before), lines[held[-1]], "".join("\n" + x for x in after)
+
+
+_goes_on = re.compile(rf"(?:{'|'.join(sorted(V.LETTER_KEYS))}|[A-Z]{{1,4}}\s+OU)")
 
 
 def join_boundary(before: str, after: str) -> tuple[str, str]:
     """Moves a code that completes the last line of a page back to it."""
-    old, new = before.splitlines(), after.splitlines()
-    last = next((i for i in range(len(old) - 1, -1, -1) if old[i].strip()), None)
-    first = next((i for i, x in enumerate(new) if x.strip() and not _part_header.match(x.strip())), None)
-    if last is None or first is None or not _open_suffix.search(old[last]):
-        return before, after
-    rest = new[first].strip()
-    if rest.upper() not in _keys and not _open_key.fullmatch(rest.upper()):
+    useful = [(i, x.strip()) for i, x in enumerate(after.splitlines()) if x.strip() and not _part_header.match(x.strip())]
+    body = "\n".join(before.splitlines()).rstrip()
+    open_line = body.rpartition("\n")[2]
+    if not useful or not _open_suffix.search(open_line) or not _goes_on.fullmatch(useful[0][1].upper()):
         return before, after
-    old[last], new[first] = f"{old[last].rstrip()} {rest}", ""
-    return "\n".join(old).strip(), "\n".join(new).strip()
+    at, code = useful[0]
+    rest = ["" if i == at else x for i, x in enumerate(after.splitlines())]
+    return f"{body} {code}".strip(), "\n".join(rest).strip()
 
 
 def fold_document(pages: list[tuple[str, list]], mode: str) -> str:
@@ -437,9 +468,10 @@ def document_mode(pages: DataFrame, sample: int = 3) -> DataFrame:
     return head.groupBy("doc_id").agg(F.when(T.is_billing_document(joined), F.lit("ngap")).otherwise(F.lit("generic")).alias("mode"))
 
 
-def fold_pages(pages: DataFrame, mode: str = "ngap") -> DataFrame:
-    """doc_id, text, error, from (doc_id, page_no, text, tables).  A document whose fold
-    fails keeps its message in ``error``; the others are not touched.
+def fold_pages(pages: DataFrame, mode: str | Column = "ngap") -> DataFrame:
+    """doc_id, text, error, from (doc_id, page_no, text, tables); ``mode`` may be a column,
+    equal on all pages of a document.  A document whose fold fails keeps its message in
+    ``error``; the others are not touched.
 
     Pages are dealt and sorted by document and folded as a stream: a task holds one
     document's pages at a time."""
@@ -447,7 +479,7 @@ def fold_pages(pages: DataFrame, mode: str = "ngap") -> DataFrame:
 
     def fold(doc, own):
         try:
-            return doc, fold_document([(t or "", [g or [] for g in x or []]) for t, x in own], mode), None
+            return doc, fold_document([(t or "", [g or [] for g in x or []]) for t, x, _ in own], own[0][2]), None
         except Exception as e:  # noqa: BLE001  isolation per document
             return doc, None, f"{type(e).__name__}: {e}"
 
@@ -455,16 +487,17 @@ def fold_pages(pages: DataFrame, mode: str = "ngap") -> DataFrame:
         doc, own = None, []
         for b in batches:
             done = []
-            for d, t, x in zip(*[b.column(i).to_pylist() for i in (0, 2, 3)]):
+            for d, t, x, m in zip(*[b.column(i).to_pylist() for i in (0, 2, 3, 4)]):
                 if own and d != doc:
                     done.append(fold(doc, own))
                     own = []
                 doc = d
-                own.append((t, x))
+                own.append((t, x, m))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*done)) or [[]] * 3, result)], schema=result)
         if own:
             yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(fold(doc, own), result)], schema=result)
 
     tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = pages.select("doc_id", "page_no", "text", "tables").repartition(tasks, "doc_id").sortWithinPartitions("doc_id", "page_no")
+    how = F.lit(mode) if isinstance(mode, str) else mode
+    rows = pages.select("doc_id", "page_no", "text", "tables", how.alias("mode")).repartition(tasks, "doc_id").sortWithinPartitions("doc_id", "page_no")
     return rows.mapInArrow(run, "doc_id long, text string, error string")

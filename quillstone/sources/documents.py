@@ -1,19 +1,25 @@
 """Directories of files, and their page texts through a pluggable extractor.
 
 PDF layout extraction is a boundary: an extractor maps a file's bytes to pages
-``{"page_no", "text", "tables"}``.  The engine ships ``PlainExtractor``, which
-reads UTF-8 text with form feeds between pages; a PDF extractor plugs in the
-same way.  A file that fails is reported, never fatal.
+``{"page_no", "text", "tables"}``, and may add ``plain`` (the text without layout,
+taken where the layout text is blank), ``objects`` (words with their boxes) and
+``boxes`` (of the tables), from which the text outside the tables is made.  The
+engine ships ``PlainExtractor``, which reads UTF-8 text with form feeds between
+pages; a PDF extractor plugs in the same way.  A file that fails is reported,
+never fatal.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PAGE_ROWS = "path string, page_no int, text string, tables array<array<array<string>>>, error string"
+from quillstone.operators.tables import text_outside
+
+_BOX = "x0: double, top: double, x1: double, bottom: double"
+PAGE_ROWS = f"path string, page_no int, text string, tables array<array<array<string>>>, error string, plain string, objects array<struct<{_BOX}, text: string>>, boxes array<struct<{_BOX}>>"
 
 
 class PlainExtractor:
@@ -65,14 +71,25 @@ def extract_pages(files: DataFrame, extractor: Callable[[bytes], Iterator[dict]]
             rows = []
             for path, content in zip(batch["filepath"], batch["content"]):
                 try:
-                    rows += [(path, p["page_no"], p["text"], p.get("tables") or [], None) for p in extractor(bytes(content))]
+                    rows += [(path, p["page_no"], p["text"], p.get("tables") or [], None, p.get("plain"), p.get("objects"), p.get("boxes")) for p in extractor(bytes(content))]
                 except Exception as e:  # noqa: BLE001  isolation per file
-                    rows.append((path, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "page_no", "text", "tables", "error"])
+                    rows.append((path, None, None, None, f"{type(e).__name__}: {e}", None, None, None))
+            yield pd.DataFrame(rows, columns=["path", "page_no", "text", "tables", "error", "plain", "objects", "boxes"])
 
     return files.select("filepath", "content").mapInPandas(run, PAGE_ROWS)
 
 
+def page_texts(pages: DataFrame, outside: bool | Column = False) -> DataFrame:
+    """The pages with their text: the layout text, else the plain one, else empty; with
+    ``outside``, where words and tables are known, the words that lie in no table."""
+    blank = lambda c: F.trim(F.regexp_replace(c, "\\s", " ")) == ""
+    text = F.coalesce(F.when(~blank(F.col("text")), F.col("text")), F.col("plain"), F.col("text"), F.lit(""))
+    if outside is not False:
+        known = F.lit(outside) & F.col("objects").isNotNull() & (F.size("boxes") > 0)
+        text = F.when(known, text_outside(F.col("objects"), F.col("boxes"))).otherwise(text)
+    return pages.withColumn("text", F.when(F.col("error").isNull(), text)).drop("plain", "objects", "boxes")
+
+
 def ingest_counts(documents: DataFrame) -> DataFrame:
     """Documents loaded, enriched and skipped."""
     ok = F.col("error").isNull()

@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.sources.schemas import CACHE, INDEX
+from quillstone.functions import vector
+from quillstone.sources.schemas import CACHE, INDEX, META
+
+
+def _first_character(spark: SparkSession, path: str) -> str:
+    """Of the first file that is not blank; ``path`` may be a file, a folder or a pattern."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f for s in fs.globStatus(target) or [] for f in (fs.listStatus(s.getPath()) if s.isDirectory() else [s])]
+    for f in sorted((f.getPath() for f in found if f.isFile() and f.getPath().getName()[0] not in "._"), key=lambda x: x.toString()):
+        stream = fs.open(f)
+        try:
+            while (c := stream.read()) >= 0:
+                if not chr(c).isspace() and c not in (0xEF, 0xBB, 0xBF):  # a byte order mark
+                    return chr(c)
+        finally:
+            stream.close()
+    return ""
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of chunks.  A missing top-level key is an error."""
-    rows = spark.read.schema(INDEX).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    """Chunks from JSON, as an array or as lines.  A missing top-level key is an error."""
+    array = _first_character(spark, path) == "["
+    rows = spark.read.schema(INDEX).option("multiLine", array).option("mode", "FAILFAST").json(path)
     checked = [F.when(F.col(c).isNull(), F.raise_error(F.lit(f"index rows need {c}")).cast(INDEX[c].dataType)).otherwise(F.col(c)).alias(c) for c in ("text", "embedding", "chunk_index", "total_chunks", "strategy")]
     return rows.select(*checked, "metadata")
 
@@ -20,13 +40,50 @@ def save_index(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").parquet(path)
 
 
-def export_json(chunks: DataFrame, path: str) -> None:
-    """JSON lines; ``multiLine`` readers of single arrays can join the files."""
-    chunks.write.mode("overwrite").json(path)
+def metadata(chunks: DataFrame) -> Column:
+    """The metadata of a row as one struct; columns that the rows lack are null."""
+    return F.struct(*[(F.col(f.name) if f.name in chunks.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in META])
+
+
+def metadata_json(chunks: DataFrame) -> Column:
+    """The metadata of a row as a JSON object with every key."""
+    return F.to_json(metadata(chunks), {"ignoreNullFields": "false"})
+
+
+def as_index(chunks: DataFrame) -> DataFrame:
+    """Rows of the index at its JSON boundary, from embedded chunks."""
+    if "metadata" in chunks.columns:
+        return chunks.select(*INDEX.names)
+    return chunks.select(F.col("chunk").alias("text"), vector.doubles(F.col("embedding")).alias("embedding"), "chunk_index", "total_chunks", "strategy", metadata(chunks).alias("metadata"))
+
+
+def export_json(chunks: DataFrame, path: str, array: bool = False) -> None:
+    """JSON lines, written in parallel.  With ``array`` one file with one JSON array,
+    for readers of whole files; it streams through one task."""
+    rows = as_index(chunks)
+    if not array:
+        rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+        return
+
+    def run(batches):
+        head = "["
+        for b in batches:
+            lines = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([(head if i == 0 else ",") + x for i, x in enumerate(lines)], pa.string())], names=["value"])
+            head = "," if lines else head
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if head == "," else "[]"], pa.string())], names=["value"])
+
+    lines = rows.select(F.to_json(F.struct(*INDEX.names), {"ignoreNullFields": "false"}).alias("value"))
+    lines.coalesce(1).mapInArrow(run, "value string").write.mode("overwrite").text(path)
 
 
-def save_texts(docs: DataFrame, path: str, text_col: str = "text") -> None:
-    docs.select(text_col).write.mode("overwrite").text(path)
+def save_texts(docs: DataFrame, path: str, text_col: str = "text", name_col: str | None = None) -> None:
+    """The texts as UTF-8 lines, or with ``name_col`` a folder per document that holds its text file."""
+    if name_col is None:
+        docs.select(text_col).write.mode("overwrite").text(path)
+        return
+    rows = docs.select(F.col(text_col).alias("value"), F.col(name_col).alias("name"))
+    rows.write.mode("overwrite").partitionBy("name").option("lineSep", "\n").text(path)
 
 
 def cache_key(text) -> F.Column:

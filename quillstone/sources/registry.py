@@ -17,13 +17,15 @@ def whole(c):
 
 def load_registry(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header.  Missing columns raise ``ValueError``; a null or non-numeric
-    ``id`` fails the job; bad years and priorities are null; a fractional year is an error."""
+    ``id`` fails the job; bad years and priorities are null; a fractional year is an error.
+    ``position`` counts the rows in the order of the file."""
     extension = path.rsplit(".", 1)[-1].lower()
     if extension in ("xlsx", "xls"):
         return _from_excel(spark, path)
     if extension != "csv":
         raise ValueError(f"unsupported registry format: .{extension}")
-    return checked(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path))
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)  # one task reads a file whole, in order
+    return checked(rows.withColumn("position", F.monotonically_increasing_id()))
 
 
 def _from_excel(spark: SparkSession, path: str) -> DataFrame:
@@ -31,7 +33,8 @@ def _from_excel(spark: SparkSession, path: str) -> DataFrame:
     import pandas as pd
 
     frame = pd.read_excel(path, dtype=str)
-    return checked(spark.createDataFrame(frame.astype(object).where(frame.notna(), None)))
+    frame["position"] = range(len(frame))
+    return checked(spark.createDataFrame(frame.astype(object).where(frame.notna(), None)).withColumn("position", F.col("position").cast("long")))
 
 
 def checked(raw: DataFrame) -> DataFrame:
@@ -41,7 +44,7 @@ def checked(raw: DataFrame) -> DataFrame:
     fraction = lambda c: F.when(F.expr(f"try_cast({c} as double)") % 1 != 0, F.raise_error(F.lit(f"fractional {c} in the registry")).cast("int")).otherwise(whole(c))
     note = F.coalesce(F.col("commentaire").cast("string"), F.lit("")) if "commentaire" in raw.columns else F.lit("")
     texts = [F.col(c).cast("string").alias(c) for c in ("type_document", "titre", "source", "url", "nom_pdf", "theme")]
-    return raw.select(F.col("id").cast("int").alias("id"), *texts, fraction("annee").alias("annee"), fraction("priorite").alias("priorite"), note.alias("commentaire"))
+    return raw.select(F.col("id").cast("int").alias("id"), *texts, fraction("annee").alias("annee"), fraction("priorite").alias("priorite"), note.alias("commentaire"), *(["position"] if "position" in raw.columns else []))
 
 
 def last_wins(registry: DataFrame, order_col: str, key: str = "nom_pdf") -> DataFrame:
