@@ -120,13 +120,16 @@ def post(url: str, payload: dict, key: str, timeout: float = 120) -> dict:
 
 @dataclass(frozen=True)
 class _Http:
+    """Executors need the key's variable too, by ``spark.executorEnv``, or an env file that they can read."""
+
     address: str
     model: str
     key_variable: str
     timeout: float = 120
+    env_file: str = ".env"
 
     def call(self, path: str, payload: dict) -> dict:
-        return post(f"{self.address}/{path}", {"model": self.model, **payload}, api_key(self.key_variable), self.timeout)
+        return post(f"{self.address}/{path}", {"model": self.model, **payload}, api_key(self.key_variable, self.env_file), self.timeout)
 
 
 @dataclass(frozen=True)
@@ -155,7 +158,7 @@ def embedder_of(config: EmbeddingConfig) -> HttpEmbedder:
     """The embedder of a known provider; its key must be set."""
     c = config.resolved()
     api_key(c.KEY[c.provider])
-    return HttpEmbedder(c.ADDRESS[c.provider], c.model, c.KEY[c.provider], 120, c.batch_size, c.delay)
+    return HttpEmbedder(c.ADDRESS[c.provider], c.model, c.KEY[c.provider], batch=c.batch_size, delay=c.delay)
 
 
 def embed_query(embedder: Embedder, text: str) -> list[float]:
