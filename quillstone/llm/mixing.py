@@ -6,14 +6,13 @@ Poisson distribution function at it gives the document's count, so the counts
 are the same on every run and on every cluster.  Each document is exploded by
 its count and the copies are dealt globally by another hash and ordered by it.
 
-Native: DataFrame functions only.  Rates of at most ``STEP`` are inverted
-directly; a larger rate is the sum of equal independent parts, which keeps
-``exp(-rate)`` in range.
+Native: DataFrame functions only.  One distribution is inverted at any rate; its
+terms are carried as logarithms, which keeps them in range.
 
 Null sources form one source of their own.  Rows with equal ``doc_id`` get
 equal counts, null ``doc_id`` counts as an empty key.  Sources without a target
 weight get rate zero only if weights are given explicitly.  An empty table
-gives an empty result.
+gives an empty result.  Texts are carried along whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -23,8 +22,6 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import materialize
 
-#: Largest rate inverted in one piece.
-STEP = 64.0
 SEED = "mix-1"
 
 
@@ -49,22 +46,17 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
 
 
 def poisson_count(rate, *key):
-    """The Poisson quantile of the hash of ``key`` at mean ``rate``."""
-    parts = F.greatest(F.lit(1), F.ceil(rate / F.lit(STEP))).cast("int")
+    """The Poisson quantile of the hash of ``key`` at mean ``rate``: the first count whose
+    distribution function is over it."""
+    u = _key(F.lit(SEED), *key, F.lit(1)) / F.lit(float(2**52))
+    counts = F.sequence(F.lit(1), F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int"))
+    start = F.struct((-rate).alias("log"), F.exp(-rate).alias("below"), F.lit(0).alias("k"))
 
-    def one(j):
-        u = _key(F.lit(SEED), *key, j) / F.lit(float(2**52))
-        mean = rate / parts
-        steps = F.sequence(F.lit(1), F.ceil(mean + 12 * F.sqrt(mean) + 30).cast("int"))
-        start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("k"))
+    def step(a, i):
+        log = a["log"] + F.log(rate / i)
+        return F.struct(log.alias("log"), (a["below"] + F.exp(log)).alias("below"), (a["k"] + (a["below"] <= u).cast("int")).alias("k"))
 
-        def step(a, i):
-            p = a["p"] * mean / i
-            return F.struct(p.alias("p"), (a["c"] + p).alias("c"), (a["k"] + (a["c"] <= u).cast("int")).alias("k"))
-
-        return F.aggregate(steps, start, step, lambda a: a["k"])
-
-    return F.aggregate(F.transform(F.sequence(F.lit(1), parts), one), F.lit(0), lambda a, x: a + x)
+    return F.when(rate > 0, F.aggregate(counts, start, step, lambda a: a["k"])).otherwise(0)
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 2.0, source_col: str = "source") -> DataFrame:

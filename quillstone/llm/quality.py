@@ -4,13 +4,19 @@ Boosted trees are grown over document statistics, every tree path becomes a
 conjunctive rule, an L1-penalised logistic regression weighs the rules, and the
 rules that keep a weight are compiled into one Spark column expression.
 
-Statistics are computed for every document over its whole text; the trees and
-weights are fitted on about ``SAMPLE`` labelled rows at most (a documented bound),
-those with a small hash of doc_id.
-
-Null text counts as empty; an empty text has all statistics zero and a score
-like any other.  Repeated rows get equal scores.  Without labels of both
-classes the score is the share of label 1 (0.5 if there are no labels).
+Statistics are taken over whole texts; the trees and weights are fitted on about
+``SAMPLE`` labelled documents at most (a documented bound), those with a small hash of
+doc_id.  The sample is drawn from the labels, so a bounded table is broadcast and
+no text moves.
+
+Null text counts as empty; an empty text has a score like any other, with most
+statistics zero; very long texts are counted whole, by patterns of linear cost.
+Repeated rows get equal scores; of conflicting labels of a document the smaller
+holds, of several texts of one doc_id one is learned from.  A null doc_id is
+scored and never learned from or held out.  A score of exactly 0.5 predicts 1.
+Without labels of both classes the score is the share of label 1 (0.5 if there
+are no labels, which keeps every document).  An empty table gives an empty one.
+``score`` returns ``keep`` and its own columns; ``keep_good`` keeps columns of any name.
 """
 
 from __future__ import annotations
@@ -48,7 +54,7 @@ def statistics(docs: DataFrame, keep: list[str], text_col: str = "text") -> Data
         "marks": per("[#$%*&@^~<>{}\\[\\]=_\\\\]"),
         "bangs": per("[!?]"),
         "distinct": F.size(F.array_distinct("_w")) / words,
-        "repeats": F.regexp_count(t, F.lit("(?<![^\\x20\\t-\\r])([^\\x20\\t-\\r]{1,64})\\x20\\1(?![^\\x20\\t-\\r])")) / words,
+        "repeats": F.regexp_count(t, F.lit("(?<![^\\x20\\t-\\r])([^\\x20\\t-\\r]++)\\x20\\1(?![^\\x20\\t-\\r])")) / words,
         "line_chars": F.log1p(chars / (F.regexp_count(t, F.lit("\n")) + 1)),
         "short_words": F.size(F.filter("_w", lambda w: F.length(w) <= 3)) / words,
         "commas": per("[,.]"),
@@ -80,24 +86,31 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def _marks(labels: DataFrame) -> DataFrame:
-    return labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_q"))
+def learnable(labels: DataFrame) -> DataFrame:
+    """(doc_id, _q) of the labels that may be learned, about ``SAMPLE`` at most."""
+    marks = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("_q"))
+    n = marks.count()
+    if n > SAMPLE:
+        marks = marks.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) < F.lit(int(SAMPLE / n * (1 << 40))))
+    return marks
+
+
+def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are learned from, with ``_q``.  The labels are broadcast: there are about ``SAMPLE`` at most."""
+    return docs.withColumn("_id", F.col("doc_id").cast("long")).join(F.broadcast(learnable(labels)), "_id")
 
 
-def fit_on(stats: DataFrame, labels: DataFrame) -> tuple[float, list[tuple[tuple, float]]]:
-    """The ensemble fitted on the rows of ``stats`` whose labels may be learned."""
-    known = stats.where(~held_out()).join(_marks(labels), "doc_id").select("doc_id", "_q", *FEATURES)
-    n = known.count()
-    if n > SAMPLE:  # by hash, so that the tasks together send about SAMPLE rows
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.lit(int(SAMPLE / n * (1 << 40))))
-    data = np.array([r[1:] for r in sorted(known.collect(), key=lambda r: r["doc_id"])], dtype=float).reshape(-1, len(FEATURES) + 1)
+def fit_on(known: DataFrame) -> tuple[float, list[tuple[tuple, float]]]:
+    """The ensemble fitted on ``known`` rows (_id, _q and the statistics), one for each document."""
+    rows = known.groupBy("_id", "_q").agg(F.min(F.struct(*FEATURES)).alias("_s")).collect()
+    data = np.array([[r["_q"], *r["_s"]] for r in sorted(rows, key=lambda r: r["_id"])], dtype=float).reshape(-1, len(FEATURES) + 1)
     return fit(data[:, 1:], data[:, 0])
 
 
 def score(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns, ``held_out``, ``score`` and ``predicted`` for every row of ``docs``."""
-    stats = materialize(statistics(docs, keep), "quality-stats")
-    bias, weighted = fit_on(stats, labels)
+    stats = materialize(statistics(docs, list(dict.fromkeys([*keep, "doc_id"]))), "quality-stats")
+    bias, weighted = fit_on(sampled(stats, labels))
     s = F.round(score_column(bias, weighted), 6)
     return stats.select(*keep, held_out().alias("held_out"), s.alias("score"), (s >= 0.5).cast("int").alias("predicted"))
 
@@ -105,9 +118,9 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are predicted good, all columns.
 
-    The model is fitted on the documents' narrow statistics; the rules are then
+    The model is fitted on the statistics of the sample alone; the rules are then
     applied to every row where it stands, so texts are not shuffled."""
-    bias, weighted = fit_on(materialize(statistics(docs, ["doc_id"]), "quality-stats"), labels)
+    bias, weighted = fit_on(statistics(sampled(docs.select("doc_id", "text"), labels), ["_id", "_q"]))
     names = [f"_d{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]))
     scored = statistics(plain, names).where(F.round(score_column(bias, weighted), 6) >= 0.5)

@@ -9,31 +9,35 @@ A group is the set of rows with equal text and is the unit of placement.  The
 placement itself runs on the driver over a bounded number of units, whatever
 the size of the corpus:
 
-* groups are dealt by hash into ``LOTS`` lots, so no more than ``LOTS`` vectors
-  exist (a small corpus has about one group per lot);
-* a hot group, over ``1 / (HOT_PARTS * shards)`` of all bytes, tokens or rows,
-  cannot be placed whole without unbalancing the shards.  It is split by a hash
-  of ``doc_id`` into slices of lot size.  There are at most
-  ``3 * HOT_PARTS * shards`` such groups, so the table of hot groups and the
-  table of units are broadcast within a fixed bound.
+* the ``SINGLE`` largest groups are units of their own; the others, each small
+  beside a shard, are dealt by hash into ``LOTS`` lots (a corpus of up to
+  ``SINGLE`` groups has no lot);
+* only a group that exceeds a whole shard in bytes, tokens or rows is split, by a
+  hash of ``doc_id``, into slices of lot size.  There are fewer than ``3 * shards``
+  such groups; their rows are marked ``split``.
+
+So the table of single groups and the table of units are broadcast within fixed
+bounds.  How far apart the shards' bytes remain is logged and given by ``gap``.
 
 Nothing is dropped.  Null text counts as no bytes and is grouped with the empty
 text; null or repeated ``doc_id`` values are rows like any other; an empty
-table gives an empty result; ties are broken by unit number.
+table gives an empty result; ties are broken by unit number.  A very long text is
+a unit that may outweigh a shard; it is not cut.  ``shard_documents`` keeps columns
+of any name but ``shard``.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import materialize, text_or_empty
 
-#: Hash lots: the bound on what the driver places.
-LOTS = 32768
-#: A group over this fraction of a shard is split.
-HOT_PARTS = 4
+#: Groups placed singly, and hash lots of the others: the bounds on what the driver places.
+SINGLE, LOTS = 16384, 16384
 ROW_BYTES = 8
 #: Weights of bytes, tokens and rows in the dot product.
 WEIGHTS = (4.0, 1.0, 1.0)
@@ -51,34 +55,29 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def _with_units(rows: DataFrame, hot: list[tuple[int, int, int]]) -> DataFrame:
-    """Adds ``_unit``; ``hot`` has (group, first unit, slices) for each hot group."""
+def _with_units(rows: DataFrame, single: list[tuple[int, int, int]]) -> DataFrame:
+    """Adds ``_unit`` and ``split``; ``single`` has (group, first unit, slices) of the largest groups, ``SINGLE`` at most."""
     lot = F.pmod(F.col("_group"), F.lit(LOTS)).cast("long")
-    if not hot:
-        return rows.withColumn("_unit", lot)
-    table = rows.sparkSession.createDataFrame(hot, "_group long, _first long, _slices long")
+    table = rows.sparkSession.createDataFrame(single, "_group long, _first long, _slices long")
     spread = F.col("_first") + F.pmod(F.xxhash64("doc_id", "_group"), F.col("_slices"))
-    return rows.join(F.broadcast(table), "_group", "left").withColumn("_unit", F.coalesce(spread, lot)).drop("_first", "_slices")
+    found = rows.join(F.broadcast(table), "_group", "left")
+    return found.withColumns({"_unit": F.coalesce(spread, lot), "split": F.coalesce(F.col("_slices") > 1, F.lit(False))}).drop("_first", "_slices")
 
 
-def hot_groups(rows: DataFrame, shards: int) -> tuple[list[tuple[int, int, int]], np.ndarray]:
-    """Hot groups with their slices, and the totals of bytes, tokens and rows."""
+def largest_groups(rows: DataFrame, shards: int) -> list[tuple[int, int, int]]:
+    """(group, first unit, slices) of the largest groups; one slice unless the group exceeds a shard."""
     total = rows.agg(F.sum("size"), F.sum("_tokens"), F.count(F.lit(1))).first()
-    totals = np.array([float(x or 0) for x in total])
+    totals = [float(x or 0) for x in total]
     if not totals[2]:
-        return [], totals
-    part = HOT_PARTS * shards
+        return []
     share = F.greatest(*[F.col(c) / F.lit(max(t, 1.0)) for c, t in zip(("b", "t", "n"), totals)])
-    heavy = (
-        rows.groupBy("_group").agg(F.sum("size").alias("b"), F.sum("_tokens").alias("t"), F.count(F.lit(1)).alias("n"))
-        .withColumn("share", share).where((F.col("share") > 1.0 / part) & (F.col("n") > 1)).select("_group", "share", "n").orderBy("_group").collect()
-    )
+    groups = rows.groupBy("_group").agg(F.sum("size").alias("b"), F.sum("_tokens").alias("t"), F.count(F.lit(1)).alias("n")).select("_group", share.alias("share"), "n")
     out, first = [], LOTS
-    for g, s, n in heavy:
-        slices = int(min(n, max(2, np.ceil(s * LOTS / 8))))
+    for g, s, n in groups.orderBy(F.desc("share"), "_group").limit(SINGLE).collect():
+        slices = int(min(n, np.ceil(max(s * LOTS / 8, 4 * s * shards)))) if s * shards > 1 else 1
         out.append((g, first, slices))
         first += slices
-    return out, totals
+    return out
 
 
 def pack(vectors: np.ndarray, shards: int, weights=WEIGHTS) -> np.ndarray:
@@ -95,12 +94,13 @@ def pack(vectors: np.ndarray, shards: int, weights=WEIGHTS) -> np.ndarray:
     return out
 
 
-def level(vectors: np.ndarray, out: np.ndarray, shards: int, rounds: int = 2000) -> np.ndarray:
+def level(vectors: np.ndarray, out: np.ndarray, shards: int) -> np.ndarray:
     """Swaps units of equal row counts between the fullest and the emptiest shard, as
-    long as that brings their bytes closer; rows and the number of units stay."""
+    long as that brings their bytes closer, which ends as every swap does; rows and the
+    number of units stay."""
     size, rows, out = vectors[:, 0], vectors[:, 2], out.copy()
     load = np.bincount(out, size, minlength=shards)
-    for _ in range(rounds):
+    while True:
         high, low = int(np.argmax(load)), int(np.argmin(load))
         gap = load[high] - load[low]
         best = None
@@ -115,18 +115,23 @@ def level(vectors: np.ndarray, out: np.ndarray, shards: int, rounds: int = 2000)
                 if left[i] < gap and (best is None or left[i] < best[0]):
                     best = (left[i], u[i], v[k[i]])
         if best is None:
-            break
+            return out
         _, x, y = best
         out[x], out[y] = low, high
         load[high] += size[y] - size[x]
         load[low] += size[x] - size[y]
-    return out
+
+
+def gap(vectors: np.ndarray, where: np.ndarray, shards: int) -> np.ndarray:
+    """Fullest less emptiest shard, over the mean one, in bytes, tokens and rows."""
+    load = np.stack([np.bincount(where, vectors[:, i], minlength=shards) for i in range(vectors.shape[1])])
+    return (load.max(axis=1) - load.min(axis=1)) / np.maximum(load.mean(axis=1), 1e-9)
 
 
 def plan(rows: DataFrame, shards: int) -> tuple[list, DataFrame]:
-    """Hot groups, and the table (_unit, shard, _offset) that places every unit."""
+    """Largest groups, and the table (_unit, shard, _offset) that places every unit."""
     spark = rows.sparkSession
-    hot, _ = hot_groups(rows, shards)
+    hot = largest_groups(rows, shards)
     units = (
         _with_units(rows, hot).groupBy("_unit")
         .agg(F.sum("size").alias("b"), F.sum("_tokens").alias("t"), F.count(F.lit(1)).alias("n")).orderBy("_unit").collect()
@@ -135,6 +140,7 @@ def plan(rows: DataFrame, shards: int) -> tuple[list, DataFrame]:
         return hot, spark.createDataFrame([], "_unit long, shard int, _offset long")
     vectors = np.array([[u.b, u.t, u.n] for u in units], dtype=float)
     where = level(vectors, pack(vectors, shards), shards)
+    logging.getLogger(__name__).info("%d units in %d shards; gap of bytes, tokens, rows: %s", len(units), shards, gap(vectors, where, shards))
     seen, placed = [0] * shards, []
     for u, k in zip(units, where.tolist()):
         placed.append((u["_unit"], k, seen[k]))
@@ -143,7 +149,7 @@ def plan(rows: DataFrame, shards: int) -> tuple[list, DataFrame]:
 
 
 def shard_rows(docs: DataFrame, shards: int) -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, shard, slot.
+    """One row per document: doc_id, size, text_crc32, shard, slot, split (whether its group exceeds a shard).
 
     Slots are gapless within a shard: the unit's offset plus the rank in the
     unit, so no task ever numbers a whole shard."""
@@ -153,7 +159,7 @@ def shard_rows(docs: DataFrame, shards: int) -> DataFrame:
     return (
         _with_units(rows, hot).withColumn("_rank", F.row_number().over(in_unit) - 1)
         .join(F.broadcast(placed), "_unit")
-        .select("doc_id", "size", "text_crc32", "shard", (F.col("_offset") + F.col("_rank")).alias("slot"))
+        .select("doc_id", "size", "text_crc32", "shard", (F.col("_offset") + F.col("_rank")).alias("slot"), "split")
     )
 
 
