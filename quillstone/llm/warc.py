@@ -8,12 +8,16 @@ revisit without payload.
 Reading does not trust the magic: payloads may contain it.  Each task emits
 every position that looks like a record together with the offset where its
 successor must start; pointer jumping from the start of the file keeps the
-records that the chain reaches and rejects the rest.  Files hold at most
-``RECORDS`` records, so what a task or a chain holds is bounded.
+records that the chain reaches and rejects the rest.  A file holds at most
+``FILE_BYTES`` bytes before compression, or one record, so what a task or a chain
+holds is bounded.  Where a chain ends before its file does, a damaged record say,
+``damage`` reports the rest; ``read`` gives the records up to there.
 
 Null html is the empty payload, which is deduplicated like any other; a null
 url is empty.  Rows with the same page_id and payload are all responses; a null
-page_id reads back as null, and among equal payloads it revisits.
+page_id reads back as null, and among equal payloads it revisits.  Records are
+those of the rows, repeated rows included; an empty table gives none.  Only
+page_id, url and html are read, so other columns of any name do not matter.
 """
 
 from __future__ import annotations
@@ -30,7 +34,8 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import materialize, table_path
 
-RECORDS = 2000
+#: Bytes of a file before compression, and of the records that are written most to a file.
+FILE_BYTES, SMALL = 1 << 26, 1 << 15
 CRLF = "\r\n"
 _magic = re.compile(rb"WARC/1\.[01]\r\n")
 RECORD_DDL = "file string, position long, successor long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -63,12 +68,22 @@ def records(pages: DataFrame) -> DataFrame:
         F.when(revisit, F.concat(F.lit(f"{CRLF}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}WARC-Refers-To: "), name(F.col("first")))).otherwise(F.lit("")),
         F.lit(f"{CRLF}Content-Type: application/http;msgtype=response{CRLF}Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF * 2),
     )
-    return joined.select(F.concat(head, block).alias("value"))
+    return joined.select(F.concat(head, block).alias("value"), size_class(F.octet_length("payload")).alias("class"))
+
+
+def size_class(n: Column) -> Column:
+    """0 for pages of up to ``SMALL`` bytes less room for a header, 3 for up to 8 times as many, and so on."""
+    steps = F.ceil(F.log2((n + 4096) / F.lit(float(SMALL))) / 3)
+    return (F.greatest(steps, F.lit(0)) * 3).cast("int")
 
 
 def write(pages: DataFrame, path: str) -> None:
-    """Archives in ``path``, gzipped, at most ``RECORDS`` records each."""
-    records(pages).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    """Archives in ``path``, gzipped; pages of like size share files, so that a count of records bounds the bytes."""
+    made = records(pages)
+    classes = pages.groupBy(size_class(F.coalesce(F.octet_length("html"), F.lit(0))).alias("class")).count().collect()  # a row per power of 8
+    for k in sorted(r["class"] for r in classes) or [0]:
+        most = max(1, FILE_BYTES // (SMALL << k))
+        made.where(F.col("class") == k).select("value").write.mode("append").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def _fields(head: bytes) -> dict[bytes, bytes]:
@@ -140,23 +155,40 @@ def reachable(position: np.ndarray, successor: np.ndarray) -> np.ndarray:
     return mark[:n]
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The verified records of all archives in ``path``."""
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """The verified records of all archives in ``path``, and a row of type ``unreached`` for each
+    file that goes on where the chain from its start ends: from ``position`` up to ``successor``."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def emit(batches):
         for b in batches:
             for file, content in zip(b.column(0).to_pylist(), b.column(1)):
-                rows = candidates(file, unzipped(content.as_buffer().to_pybytes()))
+                data = unzipped(content.as_buffer().to_pybytes())
+                rows = candidates(file, data) + [(file, len(data), len(data), None, None, None, "unreached", None)]
                 yield pa.RecordBatch.from_pylist([dict(zip(_RECORD.names, r)) for r in rows], schema=_RECORD)
 
     def chain(table: pa.Table) -> pa.Table:
         table = table.sort_by("position")
-        return table.filter(pa.array(reachable(table["position"].to_numpy(), table["successor"].to_numpy())))
+        end, table = table.slice(len(table) - 1), table.slice(0, len(table) - 1)  # nothing starts as far on as the end of the file
+        table = table.filter(pa.array(reachable(table["position"].to_numpy(), table["successor"].to_numpy()), pa.bool_()))
+        last = max(table["successor"].to_pylist(), default=0)
+        if last == end["position"][0].as_py():
+            return table
+        return pa.concat_tables([table, end.set_column(1, _RECORD.field("position"), pa.array([last], pa.int64()))])
 
     return files.mapInArrow(emit, RECORD_DDL).groupBy("file").applyInArrow(chain, RECORD_DDL)
 
 
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The verified records of all archives in ``path``."""
+    return scan(spark, path).where("record_type <> 'unreached'")
+
+
+def damage(spark: SparkSession, path: str) -> DataFrame:
+    """file, position, successor: what no chain reaches of the archives in ``path``."""
+    return scan(spark, path).where("record_type = 'unreached'").select("file", "position", "successor")
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write the pages as archives in the shared folder and read them back."""
     path = table_path(pages.sparkSession, "warc")

@@ -477,6 +477,31 @@ def test_warc_round_trip_rejects_magic_in_payloads(spark):
     assert warc.round_trip(rows.limit(0)).count() == 0
 
 
+def test_files_are_bounded_and_damage_is_reported(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SMALL", 1 << 13)
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 15)
+    html = ["a" * 100] + [f"{i}" * 3000 for i in range(9)] + [chr(97 + i) * 40000 for i in range(3)] + [None, "z" * 200000]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)] + [(None, None, "n" * 10)], "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "w")
+    warc.write(pages, path)
+    files = sorted((tmp_path / "w").glob("part-*"))
+    data = {f.name: warc.unzipped(f.read_bytes()) for f in files}
+    counts = {n: x.count(b"WARC/1.1\r\n") for n, x in data.items()}
+    assert sum(counts.values()) == 16 and all(len(x) <= 1 << 15 or counts[n] == 1 for n, x in data.items())
+    got = warc.read(spark, path)
+    assert sorted((r.page_id is None, r.page_id or 0, r.payload_bytes) for r in got.collect()) == sorted((i >= 15, i if i < 15 else 0, len(h or "")) for i, h in enumerate([*html, "n" * 10]))
+    assert warc.damage(spark, path).count() == 0
+    big = max(files, key=lambda f: counts[f.name])
+    whole, starts = data[big.name], [m.start() for m in re.finditer(b"WARC/1.1\r\n", data[big.name])]
+    broken = whole[:starts[2] + 5] + b"?" + whole[starts[2] + 6:]
+    other = tmp_path / "broken"
+    other.mkdir()
+    (other / "x.gz").write_bytes(gzip.compress(broken))
+    (other / "y.gz").write_bytes(gzip.compress(b"no archive"))
+    assert warc.read(spark, str(other)).count() == 2
+    assert sorted((r.file[-4:], r.position, r.successor) for r in warc.damage(spark, str(other)).collect()) == [("x.gz", starts[2], len(whole)), ("y.gz", 0, 10)]
+
+
 def test_pointer_jumping():
     position, successor = np.array([0, 5, 10, 12, 40]), np.array([10, 9, 40, 40, 99])
     assert warc.reachable(position, successor).tolist() == [True, False, True, False, True]
