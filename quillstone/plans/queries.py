@@ -14,6 +14,7 @@ from quillstone.functions import text as T
 from quillstone.functions import vector
 from quillstone.functions import vocabulary as V
 from quillstone.operators import chunking, cleaning, prompt, retrieval, tables
+from quillstone.plans import oracles
 from quillstone.sources import index as store
 from quillstone.sources import registry as reg
 
@@ -231,12 +232,16 @@ NOISE = {
     "adjacent": f"case doc_id % 3 when 1 then 'abc' || {_N} || ' abc ' || {_N} || {_N} || 'abc' || {_N} || text when 2 then 'abc' || {_N} || 'abd' || {_N} || 'abc' || {_N} || text else text end",
     "broken": f"case doc_id % 3 when 1 then text || {_N} || 'infir-' || {_N} || 'mier,' || {_N} || 'Suite' || {_N} || '1' when 2 then text || '.' || {_N} || 'é-' || {_N} || 'à' || {_N} || 'x' else text end",
     "articles": f"case doc_id % 3 when 1 then text || {_N} || 'Article 11 - Soins infirmiers à domicile pour un patient, quel que soit son âge x' || {_N} || 'y Article 12 – fin' when 2 then text || ' Article 11 - Soins infirmiers à domicile pour un patient, quel que soit son âge' else text end",
+    "hyphens": f"case doc_id % 4 when 1 then text || ' masseur-' || {_N} || 'kinésithérapeute infir-' || {_N} || ' mier a-' || {_N} || 'b-' || {_N} || 'c' when 2 then text || ' Ile-' || {_N} || 'Rousse DI-' || {_N} || 'x quatre-  ' || {_N} || 'dix 3-' || {_N} || 'x fin-' when 3 then 'pré-' || {_N} || 'avis x-' || {_N} || 'Social ' || text else text end",
+    "sections": f"case doc_id % 5 when 1 then text || {_N} || 'Stations  thermales Orientations thérapeutiques a' || {_N} || 'b CHAPITRE V fin' when 2 then 'REFERENCES DES TEXTES REGLEMENTAIRES ' || repeat('mot ', 3000) || 'ANNEXE 1' || {_N} || text when 3 then text || {_N} || 'Tableau 2 : Règles de classement des forfaits BSI a' || {_N} || 'b' when 4 then text || ' REFERENCES DES TEXTES' || {_N} || 'REGLEMENTAIRES x ANNEXE 2 y' else text end",
+    "structure": f"case doc_id % 4 when 0 then text when 1 then text || {_N} || '  TITRE II' || {_N} || 'Préambule court' || {_N} || {_N} || text || {_N} || 'Article 3 - objet' || {_N} || left(text, 90) || {_N} || 'ANNEXE' || {_N} || 'bref' when 2 then left(text, 700) || {_N} || {_N} || 'court' || {_N} || {_N} || text || {_N} || {_N} || {_N} || 'fin de document' else 'TITRE I' || {_N} || 'Article 2' || {_N} || left(text, 300) || {_N} || '- Soin : coefficient 1, lettre clé AMI' || {_N} || '- Bilan : coefficient 2,5, lettre clé SFI' || {_N} || 'CHAPITRE II' || {_N} || '===== PAGE 3' || {_N} || '- c : Coefficient 3' || {_N} || text end",
+    "acts_only": f"'Chapitre I' || {_N} || case when doc_id % 2 = 0 then text || {_N} else '' end || '- a ' || doc_id || ' : coefficient 1, lettre clé AMI' || {_N} || 'suite' || {_N} || '- b : coefficient 2' || {_N} || 'Article 7' || {_N} || text || {_N} || '- c : coefficient 3, lettre clé SFI, AMX'",
     "signals": "case doc_id % 5 when 1 then text || ' AMI 4' when 2 then text || ' famille, coéfficient, Lettre  clé ngap' when 3 then text || ' AMX et SFI' else text end",
     "acts": f"case doc_id % 3 when 1 then text || {_N} || '- a : coefficient 1, lettre clé AMI' || {_N} || ' - b : coefficient 2,5' || {_N} || '- c : Coefficient 3' when 2 then text || {_N} || '- a : coefficient 1, lettre clé AMI sfi' else text end",
-    "keys": "case doc_id % 5 when 0 then 'ami ou xyz AMX' when 1 then 'AMI ou' || chr(10) || ' AMI AMI , SFI;' when 2 then 'rien' when 3 then 'TE2 ou ou K' else 'pAMI' end",
-    "numbers": "case doc_id % 6 when 0 then '1 5' when 1 then 'x' || chr(10) || ' 2,5 ' when 2 then '3.' when 3 then 'a1' when 4 then '' else '12,5b' end",
-    "headers": "case doc_id % 4 when 0 then '  Désignation  de' || chr(10) || 'l''acte ' when 1 then 'COEFFICIENT' when 2 then 'Lettre clé Ë' else 'ç ô ï' end",
-    "reply": f"case doc_id % 4 when 0 then '- première question longue' || {_N} || '2) seconde question longue' || {_N} || 'court' when 1 then '' when 2 then '  1. ... une autre question  ' else {_N} || '•• -- 12 questions de plus' end",
+    "keys": "case doc_id % 6 when 0 then text || ' ami ou xyz AMX' when 1 then 'AMI ou' || chr(10) || ' AMI AMI , SFI; ' || text when 2 then text when 3 then 'TE2 ou ou K' || chr(10) || text when 4 then '' else text || ' pAMI AMIx' end",
+    "numbers": "case doc_id % 7 when 0 then text || chr(10) || '1 5' when 1 then text || chr(10) || ' 2,5 ' || chr(10) || text when 2 then '3.' when 3 then text || chr(10) || 'a1' when 4 then '' when 5 then text else text || ' 12,5' end",
+    "headers": "case doc_id % 5 when 0 then '  Désignation  de' || chr(10) || text when 1 then 'COEFFICIENT ' || text when 2 then text || ' Lettre clé Ë ' when 3 then left(text, 12) else text || ' ç ô ï' end",
+    "reply": f"case doc_id % 6 when 0 then '- première question longue' || {_N} || '2) ' || text || {_N} || 'court' when 1 then '' when 2 then '  1. ... ' || left(text, 40) when 3 then text when 4 then ' - ' || {_N} || '...........' else {_N} || '•• -- 12 ' || text end",
     "files": "case doc_id % 4 when 0 then 'pdf_' || doc_id || '_x.pdf' when 1 then 'xpdf_1.pdf' when 2 then 'pdf_7' else 'note.pdf' end",
 }
 _LINES = "string_split(t, chr(10))"
@@ -334,7 +339,7 @@ _fold = f"translate(regexp_replace(lower(trim(t, {_WS})), '\\s+', ' ', 'g'), 'é
 _flag("ngap_doc_detect", "signals", T.is_billing_document, "(" + " + ".join(f"contains(upper({_fold}), '{w}')::int" for w in V.DOCUMENT_SIGNALS) + ") >= 2")
 _flag("act_text_detect", "acts", T.is_act_text, "((" + " + ".join(f"contains(lower(t), '{w}')::int" for w in V.ACT_SIGNALS) + f") >= 3) and len([x for x in {_LINES} if regexp_matches(x, '(?i)^\\s*-\\s+.+?:\\s*coefficient\\s+\\d+')]) >= 3")
 _flag("header_name_normalize", "headers", T.header_name, _fold)
-_flag("lettre_cle_detect", "keys", T.has_letter_key, f"regexp_matches(upper(t), '\\b({'|'.join(V.LETTER_KEYS)})\\b')")
+_flag("lettre_cle_detect", "keys", T.has_letter_key, f"regexp_matches(upper(t), '(^|[^\\pL\\pN_])({'|'.join(V.LETTER_KEYS)})($|[^\\pL\\pN_])')")
 _flag("numeric_coeff_detect", "numbers", T.is_numeric_coefficient, f"len([x for x in {_LINES} if regexp_matches(replace(trim(x, {_WS}), ' ', ''), '^\\d+[,.]?\\d*$')]) > 0")
 _flag("lk_normalize", "keys", T.normalize_letter_keys, "array_to_string([k[i] for i in range(1, len(k) + 1) if i = 1 or k[i] <> k[i - 1]], ' ')")
 ORACLE_SQL["lk_normalize"] = f"""with d as (select doc_id, {NOISE['keys']} as t from documents),
@@ -471,83 +476,109 @@ def bbox_anti_join(spark, sf_dir):
 
 
 def _grids(spark, sf_dir) -> DataFrame:
-    """A grid of four rows per order, made from its fields."""
+    """A grid of four rows per order, made from its fields; some codes, prices and names are not what a format wants."""
     key = F.col("o_orderkey")
-    row = lambda i: F.array(F.concat(F.lit("00"), ((key + i) % 90 + 10).cast("string")), F.concat(F.lit("acte "), F.col("o_orderpriority"), F.lit(" séance")), F.when((key + i) % 3 == 0, F.lit(None)).otherwise(F.lit("AMI")), ((key * (i + 1)) % 7).cast("string"))
+    code = lambda i: F.concat(F.when((key + i) % 4 == 1, F.lit("1")).otherwise(F.lit("00")), ((key + i) % 90 + 10).cast("string"))
+    name = lambda i: F.concat(F.lit("acte "), F.col("o_orderpriority"), F.when((key + i) % 5 == 2, F.lit(" jour")).otherwise(F.lit(" Séance")))
+    price = lambda i: F.concat(((key * (i + 1)) % 7).cast("string"), F.when((key + i) % 7 == 3, F.lit(" x")).otherwise(F.lit("")))
+    row = lambda i: F.array(code(i), name(i), F.when((key + i) % 3 == 0, F.lit(None)).otherwise(F.lit("AMI")), price(i))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.array(*[row(i) for i in range(4)]).alias("grid"))
 
 
-_GRID = "g as (select o_orderkey, i, '00' || ((o_orderkey + i) % 90 + 10) as c0, 'acte ' || o_orderpriority || ' séance' as c1, case when (o_orderkey + i) % 3 = 0 then null else 'AMI' end as c2, ((o_orderkey * (i + 1)) % 7)::varchar as c3 from orders, range(0, 4) r(i))"
+_GRID = """g as (select o_orderkey, i, case when (o_orderkey + i) % 4 = 1 then '1' else '00' end || ((o_orderkey + i) % 90 + 10) as c0, 'acte ' || o_orderpriority || case when (o_orderkey + i) % 5 = 2 then ' jour' else ' Séance' end as c1,
+ case when (o_orderkey + i) % 3 = 0 then null else 'AMI' end as c2, ((o_orderkey * (i + 1)) % 7)::varchar || case when (o_orderkey + i) % 7 = 3 then ' x' else '' end as c3 from orders, range(0, 4) r(i))"""
 
 
-@query("anatpath_format", f"with {_GRID} select o_orderkey, '- Acte ' || c0 || ' : ' || c1 || ' — coefficient P ' || c3 as line, i::bigint as i from g where regexp_matches(c0, '^0{{1,2}}\\d{{2,3}}$')")
+@query("anatpath_format", f"""with {_GRID} select o_orderkey, '- Acte ' || c0 || ' : ' || c1 || ' — coefficient P ' || c3 as line, (row_number() over (partition by o_orderkey order by i) - 1)::bigint as i
+from g where regexp_matches(c0, '^0{{1,2}}\\d{{2,3}}$') and regexp_matches(replace(c3, ' ', ''), '^\\d+[,.]?\\d*$')""")
 def anatpath_format(spark, sf_dir):
     return _grids(spark, sf_dir).select("o_orderkey", F.posexplode(tables.pathology_lines(F.col("grid"))).alias("i", "line")).withColumn("i", F.col("i").cast("long"))
 
 
-@query("thermal_format", f"with {_GRID} select o_orderkey, '- ' || c0 || ' : honoraires ' || c1 as line, i::bigint as i from g")
+@query("thermal_format", f"with {_GRID} select o_orderkey, '- ' || c0 || ' : honoraires ' || c1 as line, (row_number() over (partition by o_orderkey order by i) - 1)::bigint as i from g where contains(lower(c1), 'séance')")
 def thermal_format(spark, sf_dir):
     return _grids(spark, sf_dir).select("o_orderkey", F.posexplode(tables.spa_lines(F.col("grid"))).alias("i", "line")).withColumn("i", F.col("i").cast("long"))
 
 
 @query("table_role_scores", f"""with {_GRID}, u as (select o_orderkey, unnest([0, 1, 2, 3]) as col, unnest([c0, c1, coalesce(c2, ''), c3]) as v from g),
-f as (select *, regexp_matches(v, '^\\d+[,.]?\\d*$') as num, regexp_matches(upper(v), '\\b({"|".join(V.LETTER_KEYS)})\\b') as lk from u)
+f as (select *, regexp_matches(replace(v, ' ', ''), '^\\d+[,.]?\\d*$') as num, regexp_matches(upper(v), '\\b({"|".join(V.LETTER_KEYS)})\\b') as lk from u)
 select o_orderkey, col::int as col, sum(num::int)::bigint as coeff_score, sum(lk::int)::bigint as lk_score, sum((v <> '' and not num and not lk)::int)::bigint as text_score from f group by o_orderkey, col""")
 def table_role_scores(spark, sf_dir):
     return tables.role_scores(_grids(spark, sf_dir), "o_orderkey", "grid")
 
 
-# --- rows only: no SQL form, held by goldens in the tests -------------------
+# --- steps that depend on one another ----------------------------------------
 
 
-@query("fix_hyphenation")
+@query("fix_hyphenation", f"with d as (select doc_id, {NOISE['hyphens']} as t from documents), {oracles.hyphens('r', 'd')} {oracles.DIGEST} from r")
 def fix_hyphenation(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" masseur-\nkinésithérapeute infir-\n mier"))).otherwise(F.col("text")).alias("t"))
-    return rows.select("doc_id", cleaning.fix_hyphenation("t").alias("text"))
+    return noised(spark, sf_dir, "hyphens").select("doc_id", *_digest(cleaning.fix_hyphenation("t")))
 
 
-def _everything(spark, sf_dir) -> DataFrame:
-    """Each document with the cases of one kind."""
-    kinds = ("pages", "separators", "markers", "notes", "conditions", "gazette", "spaces")
-    text = F.coalesce(*[F.when(F.floor(F.col("doc_id") / 4) % len(kinds) == i, F.expr(NOISE[k])) for i, k in enumerate(kinds)])
-    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+@query("section_removal", f"with d as (select doc_id, {NOISE['sections']} as t from documents), {oracles.sections('r', 'd')} {oracles.DIGEST} from r2")
+def section_removal(spark, sf_dir):
+    return noised(spark, sf_dir, "sections").select("doc_id", *_digest(cleaning.remove_sections("t")))
 
 
-@query("clean_text_full")
+#: Each document with the cases of one kind.
+_KINDS = ("pages", "separators", "markers", "notes", "conditions", "gazette", "spaces", "hyphens", "sections", "articles", "unicode", "ingest_marks", "symbols", "indents")
+_EVERYTHING = f"case (doc_id // 20) % {len(_KINDS)} " + " ".join(f"when {i} then {NOISE[k]}" for i, k in enumerate(_KINDS)) + " end"
+
+
+@query("clean_text_full", oracles.cleaned(f"select doc_id, {_EVERYTHING} as t from documents"))
 def clean_text_full(spark, sf_dir):
-    return cleaning.clean_documents(_everything(spark, sf_dir))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(_EVERYTHING.replace("(doc_id // 20)", "(doc_id div 20)")).alias("text"))
+    return cleaning.clean_documents(rows)
 
 
-def _structured(spark, sf_dir) -> DataFrame:
-    acts = F.expr(NOISE["acts"])
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("TITRE I\n"), acts, F.lit("\nCHAPITRE II\nsuite du texte\nArticle 3 - objet\n"), acts).alias("text"))
+def _structured(spark, sf_dir, kind: str) -> DataFrame:
+    out = chunking.chunk_documents(noised(spark, sf_dir, kind).withColumnRenamed("t", "text"), "semantic")
+    return out.withColumns({c: F.col(c).cast("long") for c in ("chunk_index", "total_chunks")})
 
 
-@query("chunk_semantic")
+@query("chunk_semantic", oracles.chunked(f"select doc_id, {NOISE['structure']} as t from documents"))
 def chunk_semantic(spark, sf_dir):
-    return chunking.chunk_documents(_structured(spark, sf_dir), "semantic")
+    """Windows, sections, paragraphs and acts."""
+    return _structured(spark, sf_dir, "structure")
 
 
-@query("chunk_ngap_acts")
+@query("chunk_ngap_acts", oracles.chunked(f"select doc_id, {NOISE['acts_only']} as t from documents"))
 def chunk_ngap_acts(spark, sf_dir):
-    return chunking.chunk_documents(_structured(spark, sf_dir).withColumn("text", F.concat("text", F.lit("\nAMI SFI"))), "semantic")
+    return _structured(spark, sf_dir, "acts_only")
 
 
 def _pages(spark, sf_dir) -> DataFrame:
-    grids = _grids(spark, sf_dir).select(F.floor(F.col("o_orderkey") / 8).alias("doc_id"), (F.col("o_orderkey") % 8).cast("int").alias("page_no"), F.transform("grid", lambda r: F.array(r[1], r[3], F.coalesce(r[2], F.lit("SFI")))).alias("grid"))
-    return grids.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").select("doc_id", "page_no", F.concat(F.lit("page de texte "), F.col("page_no").cast("string")).alias("text"), F.array("grid").alias("tables"))
-
-
-@query("table_classify")
+    """Eight orders are the pages of a document; see ``oracles.PAGE_TEXT``."""
+    key, name = F.col("o_orderkey"), F.col("o_orderpriority")
+    row = lambda *cells: F.array(*[F.lit(c) if c is None or isinstance(c, str) else c for c in cells]).cast("array<string>")
+    said = lambda head, c: F.concat(F.lit(head), c.cast("string"))
+    grids = {
+        1: [row("Désignation de l'acte", "Coefficient", "Lettre clé"), row(said("Pansement ", name), F.concat((key % 7).cast("string"), F.lit(",5")), "AMI"),
+            row("Injection", "2", "ami ou AMX"), row("Par dérogation au tarif", None, None), row("suite du texte", "", "")],
+        2: [row("", "", "SFI"), row(said("Bilan ", name), "3\n4", "AMK\nAMO"), row("", "6", "")],
+        3: [row("Groupe 1", "x", "AMI"), row("Acte", "2", "AMI")],
+        4: [row("Code", "Libellé", "x", "P"), row(said("00", key % 90 + 10), said("Examen ", name), "", (key % 5).cast("string")), row("0x", "non", "", "3"), row("0012", "Frottis\nsanguin", "", "1,5")],
+        5: [row(said("Soin ", name), "maximum de 3 séances"), row("Bain", "Une Séance"), row("x", "rien"), row("", "séance")],
+    }
+    found = F.array().cast("array<array<array<string>>>")
+    for k, rows in grids.items():
+        found = F.when(key % 8 == k, F.array(F.array(*rows))).otherwise(found)
+    text = F.expr(oracles.PAGE_TEXT.replace("o_orderkey // 8", "(o_orderkey div 8)"))
+    return table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 8").alias("doc_id"), (key % 8).cast("int").alias("page_no"), text.alias("text"), found.alias("tables"))
+
+
+@query("table_classify", oracles.CLASSES)
 def table_classify(spark, sf_dir):
-    return _pages(spark, sf_dir).select("doc_id", "page_no", tables.classify("tables").alias("kinds"))
+    return _pages(spark, sf_dir).select("doc_id", "page_no", F.array_join(tables.classify("tables"), ",").alias("kinds"))
 
 
-@query("table_format_cotation")
+@query("table_format_cotation", oracles.BILLING)
 def table_format_cotation(spark, sf_dir):
-    return _pages(spark, sf_dir).select("doc_id", "page_no", tables.format_billing("tables").alias("lines"))
+    billing = _pages(spark, sf_dir).withColumn("_k", tables.classify("tables")).where(F.array_contains("_k", "cotation_ngap"))
+    return billing.select("doc_id", "page_no", F.array_join(tables.format_billing("tables"), "\n").alias("lines"))
 
 
-@query("page_fold")
+@query("page_fold", oracles.FOLD)
 def page_fold(spark, sf_dir):
-    return tables.fold_pages(_pages(spark, sf_dir))
+    mode = F.when(F.col("doc_id") % 5 == 4, F.lit("generic")).otherwise(F.lit("ngap"))
+    return tables.fold_pages(_pages(spark, sf_dir), mode).select("doc_id", F.coalesce("text", "error").alias("text"))
