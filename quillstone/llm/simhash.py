@@ -29,6 +29,7 @@ name do not matter; ``deduplicate`` keeps them.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -265,32 +266,48 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str =
 #
 # A link at a Jaccard similarity of 0.8 differs in about 15 % of the bits, which
 # is far outside the radius that 64 bits can be searched at exactly.  So the
-# similarity form takes WIDE words of 64 bits: TABLES samples of SAMPLED bits
-# deal the points to shards, in a shard the distance of one word nominates pairs,
-# and the shingle sets of every nominated pair are compared: only they accept.
-# Bits alone reject a pair only where they differ by DEVIATIONS standard
-# deviations more than pairs of the similarity do.  Two rounds nominate
-# one partner a point and shard, which links most groups; a pair that they left
-# out and that no link implies is then compared on its own (``open_pairs``), so
-# every pair that meets in a shard is linked, rejected or implied.  Majority bits
+# similarity form takes WIDE words of 64 bits.  Samples of the bits deal the points
+# to shards; how many bits and samples follows from the number of points, so that
+# shards stay small and a pair of the similarity misses all of them with
+# probability MISS.  In a shard the first words nominate pairs: two rounds name
+# one partner a point and shard, which links most groups; of what they leave open
+# a third does by signatures of LONG words, and then every pair that is still open
+# is looked at (``open_pairs``).  So every pair that meets in a shard is linked,
+# rejected or implied.
+#
+# Only the shingle sets of a pair accept it.  Bits reject a pair where they differ
+# by DEVIATIONS standard deviations more than pairs of the similarity do; first
+# the wide fingerprint's, then those of the long signature, which is made for the
+# points of nominated pairs only.  Majority bits
 # of few shingles are too coarse for the angle: texts under SMALL shingles are
 # compared exactly, by a prefix of their sorted shingle sets.
 
-WIDE, TABLES, SAMPLED = 8, 160, 20
-DEVIATIONS = 5
-#: Samples of the two rounds: what the first has linked need not be nominated in the second, which looks at all samples for what is left open.
-ROUNDS = ((0, 32), (0, TABLES))
+WIDE, LONG, NEAR = 8, 64, 3
+DEVIATIONS, MISS = 5, 0.001
+#: Points of a shard that meet by chance; the fewest bits of a sample where first words and where long signatures are compared; the most.
+CHANCE, FEWEST, FEWEST_LONG, MOST = 64, 12, 6, 40
+#: Share of the samples that the first round takes: what it has linked need not be nominated again.
+FIRST = 0.25
 #: Texts of fewer shingles are compared by their shingle sets.
 SMALL = 16
-#: Bits of one word that nominated pairs may differ in (3.5 deviations over the mean at 0.8).
-NOMINATE = 20
 
 
-def most_bits(similarity: float) -> int:
-    """Bits of the wide fingerprint that a pair of the similarity may differ in: equal-sized sets of
-    Jaccard similarity s have cosine 2s / (1 + s), and a bit differs with probability angle / pi."""
-    p = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
-    return int(np.ceil(WIDE * 64 * p + DEVIATIONS * np.sqrt(WIDE * 64 * p * (1 - p))))
+def differing(similarity: float) -> float:
+    """The share of bits that differ: equal-sized sets of Jaccard similarity s have cosine
+    2s / (1 + s), and a bit differs with probability angle / pi."""
+    return float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
+
+
+def most_bits(similarity: float, words: int) -> int:
+    """Bits of so many words that a pair of the similarity may differ in."""
+    p, n = differing(similarity), 64 * words
+    return int(np.ceil(n * p + DEVIATIONS * np.sqrt(n * p * (1 - p))))
+
+
+def sampling(points: int, similarity: float, fewest: int = FEWEST) -> tuple[int, int]:
+    """Bits of a sample, and samples, for so many points."""
+    bits = int(np.clip(np.ceil(np.log2(max(1.0, points / CHANCE))), fewest, MOST))
+    return bits, int(np.ceil(np.log(MISS) / np.log1p(-((1 - differing(similarity)) ** bits))))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -299,64 +316,75 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide_fingerprint(text: bytes, k: int) -> tuple[np.ndarray, int]:
-    """``WIDE`` words of majority bits over the set of k-word shingles, and the size of the set."""
+def shingle_digests(text: bytes, k: int) -> np.ndarray:
+    """128 bits for each of the set of k-word shingles, in no order."""
     words = text.lower().split()
+    digest = xxhash.xxh3_128_digest
     if not words:
-        return np.zeros(WIDE, dtype=np.uint64), 0
+        return np.empty((0, 2), dtype=np.uint64)
     buf = b" ".join(words)
     if len(words) <= k:
-        made = xxhash.xxh3_128_digest(buf, SEED)
+        made = digest(buf, SEED)
     else:
         size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
         end = np.cumsum(size) - 1
         start = end - size + 1
-        digest = xxhash.xxh3_128_digest
         made = b"".join({digest(buf[s:e], SEED) for s, e in zip(start[: len(words) - k + 1].tolist(), end[k - 1:].tolist())})
-    pair = np.frombuffer(made, dtype=np.uint64).reshape(-1, 2)
-    seen = np.zeros(WIDE * 8 * 256, dtype=np.int64)
-    place = np.arange(WIDE * 8) * 256
+    return np.frombuffer(made, dtype=np.uint64).reshape(-1, 2)
+
+
+def signature(pair: np.ndarray, words: int) -> np.ndarray:
+    """Words of majority bits over a set of shingle digests; the first ones are those of any shorter signature."""
+    seen = np.zeros(words * 8 * 256, dtype=np.int64)
+    place = np.arange(words * 8) * 256
     with np.errstate(over="ignore"):
         for at in range(0, len(pair), 4096):
             some = pair[at:at + 4096]
-            octets = _mix(some[:, :1] + some[:, 1:] * np.arange(1, WIDE + 1, dtype=np.uint64)).view(np.uint8).reshape(len(some), -1)
+            octets = _mix(some[:, :1] + some[:, 1:] * np.arange(1, words + 1, dtype=np.uint64)).view(np.uint8).reshape(len(some), -1)
             seen += np.bincount((octets + place).ravel(), minlength=len(seen))
     ones = seen.reshape(-1, 256) @ _BITS
-    return np.packbits(ones.ravel() * 2 > len(pair)).view(np.uint64), len(pair)
+    return np.packbits(ones.ravel() * 2 > len(pair)).view(np.uint64)
+
 
+@lru_cache(4)
+def _samples(bits: int, tables: int) -> np.ndarray:
+    return np.stack([np.random.default_rng(j).choice(WIDE * 64, bits, replace=False) for j in range(tables)])
 
-def sampled_keys(fp: np.ndarray, first: int, end: int) -> np.ndarray:
-    """Keys of ``SAMPLED`` bits each for the samples from ``first``; the samples are fixed."""
-    bits = np.unpackbits(fp.view(np.uint8))
-    return bits[_SAMPLES[first:end]] @ (1 << np.arange(SAMPLED, dtype=np.int64)) | np.arange(first, end, dtype=np.int64) << 40
 
+def sampled_keys(fps: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """A row of keys for every wide fingerprint: the sample's bits and its number.  The samples are fixed."""
+    ones = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1)
+    places, power = _samples(bits, tables), 1 << np.arange(bits, dtype=np.int64)
+    out = np.empty((len(fps), tables), dtype=np.int64)
+    for at in range(0, len(fps), 512):
+        out[at:at + 512] = ones[at:at + 512][:, places] @ power
+    return out | np.arange(tables, dtype=np.int64) << 44
 
-_SAMPLES = np.stack([np.random.default_rng(j).choice(WIDE * 64, SAMPLED, replace=False) for j in range(TABLES)])
 
+def differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of points of several words."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
-def nominated(keys: np.ndarray, nodes: np.ndarray, points: np.ndarray, labels: np.ndarray):
-    """At most one partner for every point of a shard: the first vantage point near it.
+
+def nominated(keys: np.ndarray, nodes: np.ndarray, points: np.ndarray, labels: np.ndarray, most: int):
+    """At most one partner for every point of a shard: the first vantage point within ``most`` bits.
     Equal keys stand together.  Dense groups have few vantage points, and the work is
     a distance per point and vantage point, never a pair per two members.  Points of
     one label are linked already, and their pair would change nothing.
 
     Third comes what this leaves open: the points with a near one of another label
     that they are not paired with."""
-    out_a, out_b, left = [], [], [nodes[:0]]
-    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-    size = np.diff(np.r_[start, len(keys)])
-    pair = start[size == 2]
-    near = pair[(distance(points[pair], points[pair + 1]) <= NOMINATE) & (labels[pair] != labels[pair + 1])]
-    out_a.append(nodes[near])
-    out_b.append(nodes[near + 1])
-    for s, m in zip(start[size > 2].tolist(), size[size > 2].tolist()):
+    out_a, out_b, left = [nodes[:0]], [nodes[:0]], [nodes[:0]]
+    for s, m in _spans(keys, 2):
         order = np.argsort(nodes[s:s + m], kind="stable")
         own, at, of = (x[s:s + m][order] for x in (nodes, points, labels))
         if (of == of[0]).all():
             continue
-        todo, number, everyone = near_others(at, of), np.arange(m), own
+        todo, number, everyone = near_others(at, of, most), np.arange(m), own
+        busy = todo > 0  # the others are near to no point of another label
+        own, at, of, number = own[busy], at[busy], of[busy], number[busy]
         while len(own) > 1:
-            close = distance(at[1:], at[0]) <= NOMINATE
+            close = differ(at[1:], at[0]) <= most
             new = close & (of[1:] != of[0])
             out_a.append(own[1:][new])
             out_b.append(np.full(int(new.sum()), own[0]))
@@ -368,41 +396,36 @@ def nominated(keys: np.ndarray, nodes: np.ndarray, points: np.ndarray, labels: n
     return a[a != b], b[a != b], np.unique(np.concatenate(left))
 
 
-def _across(at: np.ndarray, of: np.ndarray):
+def _across(at: np.ndarray, of: np.ndarray, most: int):
     """Blocks (numbers, nearness to every point) of the near pairs of two labels.  Points of
     the most frequent label are never rows: each of their pairs has its other point as row."""
     kinds, which, count = np.unique(of, return_inverse=True, return_counts=True)
     big = which == np.argmax(count)
     rows = np.flatnonzero(~big)
-    step = max(1, (1 << 22) // max(1, len(at)))
+    step = max(1, (1 << 21) // max(1, at.size))
     for k in range(0, len(rows), step):
         some = rows[k:k + step]
-        yield some, (distance(at[some, None], at[None, :]) <= NOMINATE) & (of[some, None] != of[None, :]), big
+        yield some, (differ(at[some, None], at[None, :]) <= most) & (of[some, None] != of[None, :]), big
 
 
-def near_others(at: np.ndarray, of: np.ndarray) -> np.ndarray:
+def near_others(at: np.ndarray, of: np.ndarray, most: int) -> np.ndarray:
     """For every point of a shard the number of near points of other labels."""
     out = np.zeros(len(at), dtype=np.int64)
-    for some, near, big in _across(at, of):
+    for some, near, big in _across(at, of, most):
         out[some] += near.sum(1)
         out[big] += near[:, big].sum(0)
     return out
 
 
-def open_pairs(keys: np.ndarray, nodes: np.ndarray, labels: np.ndarray, wide: np.ndarray, most: int):
-    """All near pairs (larger, smaller node) of two labels in a shard that differ in at most ``most`` bits of all words."""
+def open_pairs(keys: np.ndarray, nodes: np.ndarray, labels: np.ndarray, points: np.ndarray, most: int) -> np.ndarray:
+    """All pairs (larger, smaller node) of two labels in a shard that differ in at most ``most`` bits."""
     out = [np.empty((0, 2), np.int64)]
-    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-    size = np.diff(np.r_[start, len(keys)])
-    for s, m in zip(start[size > 1].tolist(), size[size > 1].tolist()):
-        own, of, at = nodes[s:s + m], labels[s:s + m], wide[s:s + m]
-        for some, near, _ in _across(at[:, 0], of):
+    for s, m in _spans(keys, 2):
+        own, of, at = nodes[s:s + m], labels[s:s + m], points[s:s + m]
+        for some, near, _ in _across(at, of, most):
             a, b = np.nonzero(near)
             a = some[a]
-            for k in range(0, len(a), 1 << 18):
-                x, y = a[k:k + (1 << 18)], b[k:k + (1 << 18)]
-                within = distance(at[x], at[y]).sum(1, dtype=np.int64) <= most
-                out.append(np.stack([np.maximum(own[x], own[y])[within], np.minimum(own[x], own[y])[within]], 1))
+            out.append(np.stack([np.maximum(own[a], own[b]), np.minimum(own[a], own[b])], 1))
     return np.unique(np.concatenate(out), axis=0)
 
 
@@ -482,28 +505,109 @@ def text_key(text_col: str):
     return F.xxhash64(text_or_empty(text_col))
 
 
-def _compared(docs: DataFrame, points: DataFrame, doubtful: DataFrame, k: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose shingle sets really have the similarity."""
-    nodes = doubtful.select(F.col("a").alias("fp")).union(doubtful.select("b")).distinct()
-    # a written table: broadcast only if its true size is under the session's threshold
-    wanted = materialize(points.join(nodes, "fp", "left_semi").select("fp", F.coalesce("_first.id", "_first.key").alias("_id"), F.col("_first.key").alias("_key")), "simhash-wanted")
+class _Search:
+    """The state of one search: documents, points, and what is known of them."""
 
-    def sets(batches):
-        for b in batches:
-            made = [shingle_set(t.as_buffer().to_pybytes(), k).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["fp", "shingles"])
+    def __init__(self, docs: DataFrame, points: DataFrame, k: int, similarity: float, id_col: str, text_col: str):
+        self.docs, self.points, self.k, self.similarity, self.id_col, self.text_col = docs, points, k, similarity, id_col, text_col
+        self.sampled = sampling(points.count(), similarity)
+        self.names = [f"w{i}" for i in range(WIDE)]
 
-    keyed = docs.select(text_or_empty(text_col).cast("binary").alias("_text"), F.coalesce(F.col(id_col).cast("long"), text_key(text_col)).alias("_id"), text_key(text_col).alias("_key"))
-    sized = keyed.join(wanted, ["_id", "_key"]).select("fp", "_text").mapInArrow(sets, "fp long, shingles binary").dropDuplicates(["fp"])
+    def described(self, nodes: DataFrame) -> DataFrame:
+        """fp, long (the long signature) and shingles of the nodes' texts, written."""
+        # a written table: broadcast only if its true size is under the session's threshold
+        wanted = materialize(self.points.join(nodes.select("fp").distinct(), "fp", "left_semi").select("fp", F.coalesce("_first.id", "_first.key").alias("_id"), F.col("_first.key").alias("_key")), "simhash-wanted")
+        k = self.k
 
-    def compare(batches):
-        for b in batches:
-            load = lambda x: np.frombuffer(x.as_buffer(), dtype=np.uint64)
-            keep = [jaccard(load(x), load(y)) >= similarity for x, y in zip(b.column(2), b.column(3))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        def run(batches):
+            for b in batches:
+                texts = [t.as_buffer().to_pybytes() for t in b.column(1)]
+                longs = [signature(shingle_digests(t, k), LONG).tobytes() for t in texts]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(longs, pa.binary()), pa.array([shingle_set(t, k).tobytes() for t in texts], pa.binary())], names=["fp", "long", "shingles"])
+
+        key = text_key(self.text_col)
+        keyed = self.docs.select(text_or_empty(self.text_col).cast("binary").alias("_text"), F.coalesce(F.col(self.id_col).cast("long"), key).alias("_id"), key.alias("_key"))
+        one = keyed.join(wanted, ["_id", "_key"]).select("fp", "_text").mapInArrow(run, "fp long, long binary, shingles binary")
+        return materialize(one.dropDuplicates(["fp"]), "simhash-described")
+
+    def joined(self, pairs: DataFrame, described: DataFrame, column: str) -> DataFrame:
+        """The pairs with the column of a as x and of b as y."""
+        side = lambda node, name: described.select(F.col("fp").alias(node), F.col(column).alias(name))
+        return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+
+    def verified(self, pairs: DataFrame, described: DataFrame) -> DataFrame:
+        """The pairs whose shingle sets really have the similarity."""
+        most, similarity = most_bits(self.similarity, LONG), self.similarity
+        load = lambda x: np.frombuffer(x.as_buffer(), dtype=np.uint64)
+
+        def keep(test):
+            def run(batches):
+                for b in batches:
+                    kept = [test(load(x), load(y)) for x, y in zip(b.column(2), b.column(3))]
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+            return run
+
+        near = self.joined(pairs, described, "long").mapInArrow(keep(lambda x, y: differ(x, y) <= most), "a long, b long")
+        return self.joined(near, described, "shingles").mapInArrow(keep(lambda x, y: jaccard(x, y) >= similarity), "a long, b long")
+
+    def near_pairs(self, pairs: DataFrame) -> DataFrame:
+        """The nominated pairs that neither the wide fingerprints nor the sizes of the sets reject."""
+        side = lambda x, y: self.points.select(F.col("fp").alias(x), F.array(*self.names).alias(y), F.col("n").alias(f"{y}n"), F.col("most").alias(f"{y}m"))
+        s = self.similarity
+        sizes = (F.col("xm") >= s * F.col("yn") - 1e-6) & (F.col("ym") >= s * F.col("xn") - 1e-6)  # no set is similar to one so much larger
+        bits = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+        return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(sizes & (bits <= most_bits(s, WIDE))).select("a", "b")
+
+    def dealt(self, rows: DataFrame, bits: int, tables: int, keep: str, kinds: str) -> DataFrame:
+        """``rows`` (columns of ``keep`` and the words) to the shards of so many samples: key and keep, in order of the key."""
+        n = len(keep.split())
 
-    left, right = sized.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), sized.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
-    return doubtful.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+        def run(batches):
+            for b in batches:
+                fps = np.stack([b.column(n + i).to_numpy() for i in range(WIDE)], 1).view(np.uint64) if b.num_rows else np.empty((0, WIDE), np.uint64)
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) * tables + 1, tables, dtype=np.int32)), pa.array(sampled_keys(fps, bits, tables).ravel()))
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], keys], names=[*keep.split(), "keys"])
+
+        keyed = rows.select(*keep.split(), *[F.col(w).alias(f"_{w}") for w in self.names]).mapInArrow(run, f"{kinds}, keys array<long>")
+        return keyed.select(F.explode("keys").alias("key"), *keep.split()).repartition(shuffle_partitions(self.docs.sparkSession), "key").sortWithinPartitions("key")
+
+    def nominate(self, rooted: DataFrame, tables: int) -> DataFrame:
+        """Pairs of nodes; a node with itself where pairs are left open."""
+        most, near = most_bits(self.similarity, NEAR), self.names[:NEAR]
+
+        def run(batches):
+            for t in whole_shards(batches, ["key", "fp", "root", *near]):
+                keys, nodes, labels = (t.column(i).to_numpy() for i in range(3))
+                a, b, left = nominated(keys, nodes, np.stack([t.column(w).to_numpy() for w in near], 1).view(np.uint64), labels, most)
+                yield _edges(np.r_[a, left], np.r_[b, left])
+
+        rows = self.dealt(rooted, self.sampled[0], tables, " ".join(["fp", "root", *near]), "fp long, root long, " + ", ".join(f"{w} long" for w in near))
+        return materialize(rows.mapInArrow(run, "a long, b long").distinct(), "simhash-found")
+
+    def by_long(self, remaining: DataFrame, described: DataFrame, every: bool) -> DataFrame:
+        """Pairs of the remaining points that meet in a shard and that their long signatures do
+        not reject: one partner a point and shard, or every pair."""
+        most = most_bits(self.similarity, LONG)
+
+        def run(batches):
+            for t in whole_shards(batches, ["key", "fp", "root", "long"]):
+                longs = np.frombuffer(b"".join(t.column("long").to_pylist()), np.uint64).reshape(-1, LONG)
+                keys, nodes, labels = (t.column(i).to_numpy() for i in range(3))
+                if every:
+                    found = open_pairs(keys, nodes, labels, longs, most)
+                    yield _edges(found[:, 0], found[:, 1])
+                else:
+                    a, b, _ = nominated(keys, nodes, longs, labels, most)
+                    yield _edges(np.maximum(a, b), np.minimum(a, b))
+
+        bits, tables = sampling(remaining.count(), self.similarity, FEWEST_LONG)
+        rows = self.dealt(remaining.join(described.select("fp", "long"), "fp"), bits, tables, "fp root long", "fp long, root long, long binary")
+        return rows.mapInArrow(run, "a long, b long").distinct()
+
+    def roots(self, linked: DataFrame) -> DataFrame:
+        roots = components(linked)
+        return self.points.join(roots, self.points["fp"] == roots["node"], "left").select("fp", "_first", *self.names, F.coalesce("root", "fp").alias("root"))
 
 
 def similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -513,17 +617,17 @@ def similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
     names = [f"w{i}" for i in range(WIDE)]
     most = int((SMALL - 1) / max(similarity, 0.1) + 1e-9)  # shingles of what a small text can be similar to
 
-    def small_set(text):
-        return shingle_set(text, k).tobytes() if 0 < len(text.split(None, most + k)) < most + k else None
+    def small_set(text, n):
+        return shingle_set(text, k).tobytes() if 0 < n <= most else None
 
     def run(batches):
         for b in batches:
             texts = [t.as_buffer().to_pybytes() for t in b.column(2)]
-            made = [wide_fingerprint(t, k) for t in texts]
-            fps = np.array([fp for fp, _ in made], dtype=np.uint64).reshape(-1, WIDE).view(np.int64)
-            sets = pa.array([small_set(t) for t in texts], pa.binary())
+            made = [shingle_digests(t, k) for t in texts]
+            fps = np.array([signature(d, WIDE) for d in made], dtype=np.uint64).reshape(-1, WIDE).view(np.int64)
+            sets = pa.array([small_set(t, len(d)) for t, d in zip(texts, made)], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), *[pa.array(fps[:, i].copy()) for i in range(WIDE)], pa.array([n for _, n in made], pa.int32()), sets],
+                [b.column(0), b.column(1), *[pa.array(fps[:, i].copy()) for i in range(WIDE)], pa.array([len(d) for d in made], pa.int32()), sets],
                 names=["id", "key", *names, "n", "shingles"])
 
     schema = "id long, key long, " + ", ".join(f"{n} long" for n in names) + ", n int, shingles binary"
@@ -531,63 +635,28 @@ def similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
     rows = materialize(read.mapInArrow(run, schema).withColumn("fp", F.xxhash64(*names)), "simhash-wide")
     name = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     points = materialize(rows.groupBy("fp", *names).agg(F.min(name).alias("_first"), F.min("n").alias("n"), F.max("n").alias("most")), "simhash-points")
-
-    def pairs(batches):
-        for t in whole_shards(batches, ["key", "fp", "w0", "root"]):
-            keys, nodes, at, labels = (t.column(i).to_numpy() for i in range(4))
-            a, c, left = nominated(keys, nodes, at.view(np.uint64), labels)
-            yield _edges(np.r_[a, left], np.r_[c, left])
-
-    side = lambda x, y: points.select(F.col("fp").alias(x), F.array(*names).alias(y), F.col("n").alias(f"{y}n"), F.col("most").alias(f"{y}m"))
-    left, right = side("a", "x"), side("b", "y")
-    differ = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(1, WIDE)), F.bit_count(F.col("x")[0].bitwiseXOR(F.col("y")[0])))
-    sizes = (F.col("xm") >= similarity * F.col("yn") - 1e-6) & (F.col("ym") >= similarity * F.col("xn") - 1e-6)  # no set is similar to one so much larger
-    linked, rooted, seen = small_links(rows.where("shingles is not null").select("fp", "shingles").distinct(), similarity), points.select("fp", "_first", *names, F.col("fp").alias("root")), None
-    limit = most_bits(similarity)
-
-    def keyed(wanted, first, end):
-        """``wanted`` points, a row per sample from ``first``."""
-        def run(batches):
-            n = end - first
-            for b in batches:
-                fps = np.stack([b.column(2 + i).to_numpy() for i in range(WIDE)], 1).view(np.uint64) if b.num_rows else np.empty((0, WIDE), np.uint64)
-                flat = np.concatenate([sampled_keys(x, first, end) for x in fps]) if len(fps) else np.empty(0, np.int64)
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) * n + 1, n, dtype=np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*b.columns, keys], names=[*b.schema.names, "keys"])
-
-        return wanted.select("fp", "root", *names).mapInArrow(run, "fp long, root long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>")
-
-    def dealt(wanted, *columns):
-        return wanted.select(*columns, F.explode("keys").alias("key")).repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key")
-
-    def verified(pairs):
-        """The pairs of the similarity, and all that were near enough to be compared."""
-        close = materialize(pairs.join(left, "a").join(right, "b").where((differ <= limit) & sizes).select("a", "b"), "simhash-close")
-        return _compared(docs, points, close, k, similarity, id_col, text_col), close
-
-    def with_roots(linked):
-        roots = components(linked)
-        return points.join(roots, points["fp"] == roots["node"], "left").select("fp", "_first", *names, F.coalesce("root", "fp").alias("root"))
-
-    for first, end in ROUNDS:
-        found = materialize(dealt(keyed(rooted, first, end), "fp", "w0", "root").mapInArrow(pairs, "a long, b long").distinct(), "simhash-found")
-        now, close = verified(found.where("a <> b"))
-        linked = materialize(linked.unionByName(now), "simhash-linked")
-        rooted = with_roots(linked)
-        seen = close if seen is None else seen.unionByName(close)
-
-    def rest(batches):
-        for t in whole_shards(batches, ["key", "fp", "root", *names]):
-            column = lambda c: t.column(c).to_numpy()  # noqa: E731, B023
-            found = open_pairs(column("key"), column("fp"), column("root"), np.stack([column(n) for n in names], 1).view(np.uint64), limit)
-            yield _edges(found[:, 0], found[:, 1])
-
-    # what the last round, over all samples, left open
-    remaining = rooted.join(found.where("a = b").select(F.col("a").alias("fp")), "fp", "left_semi")
-    pairs_left = dealt(keyed(remaining, 0, TABLES), "fp", "root", *names).mapInArrow(rest, "a long, b long").distinct()
-    known = seen.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now, _ = verified(pairs_left.join(known, ["a", "b"], "left_anti"))
-    rooted = with_roots(materialize(linked.unionByName(now), "simhash-linked"))
+    search = _Search(docs, points, k, similarity, id_col, text_col)
+
+    linked = materialize(small_links(rows.where("shingles is not null").select("fp", "shingles").distinct(), similarity), "simhash-linked")
+    rooted, seen = search.roots(linked), None
+    for tables in (max(1, int(search.sampled[1] * FIRST)), search.sampled[1]):
+        found = search.nominate(rooted, tables)
+        near = search.near_pairs(found.where("a <> b"))
+        near = materialize(near if seen is None else near.join(seen, ["a", "b"], "left_anti"), "simhash-near")
+        described = search.described(near.select(F.col("a").alias("fp")).union(near.select("b")))
+        linked = materialize(linked.unionByName(search.verified(near, described)), "simhash-linked")
+        rooted = search.roots(linked)
+        seen = near if seen is None else seen.unionByName(near)
+
+    # what the last round, over all samples, left open: again by partners, then every pair that is still open
+    opened = materialize(found.where("a = b").select(F.col("a").alias("fp")), "simhash-left")
+    remaining = lambda: rooted.join(opened, "fp", "left_semi").select("fp", "root", *names)
+    described = search.described(remaining())
+    seen = seen.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    for every in (False, True):
+        near = materialize(search.by_long(remaining(), described, every).join(seen, ["a", "b"], "left_anti"), "simhash-near")
+        linked = materialize(linked.unionByName(search.verified(near, described)), "simhash-linked")
+        rooted, seen = search.roots(linked), seen.unionByName(near)
     named = rooted.groupBy("root").agg(F.min("_first").alias("_name"))
     found = rows.select("id", "key", "fp").join(rooted.join(named, "root").select("fp", "_name"), "fp")
     return found.select(F.col("id").alias(id_col), F.col("key").alias("text_key"), F.col("_name.id").alias("component_id"), F.col("_name.key").alias("component_key"))

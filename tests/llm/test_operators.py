@@ -591,15 +591,34 @@ def test_open_pairs_are_all_near_pairs_of_two_labels():
     base = rng.integers(0, 1 << 63, 8, dtype=np.uint64)
     wide = np.stack([base ^ np.packbits(rng.random(512) < 0.1).view(np.uint64) for _ in range(60)])
     nodes, labels, keys = np.arange(60), rng.integers(0, 5, 60), np.repeat([1, 2, 3], [30, 29, 1])
-    got = {tuple(x) for x in simhash.open_pairs(keys, nodes, labels, wide, 90).tolist()}
     bits = lambda a, b: int(np.bitwise_count(a ^ b).sum())
-    near = {(i, j) for i in range(60) for j in range(i) if keys[i] == keys[j] and labels[i] != labels[j] and bits(wide[i, :1], wide[j, :1]) <= simhash.NOMINATE}
-    assert got == {(i, j) for i, j in near if bits(wide[i], wide[j]) <= 90} and got
-    a, b, left = simhash.nominated(keys, nodes, wide[:, 0], labels)
+    near = {(i, j) for i in range(60) for j in range(i) if keys[i] == keys[j] and labels[i] != labels[j] and bits(wide[i], wide[j]) <= 90}
+    assert {tuple(x) for x in simhash.open_pairs(keys, nodes, labels, wide, 90).tolist()} == near and near
+    a, b, left = simhash.nominated(keys, nodes, wide, labels, 90)
     paired = {(max(x, y), min(x, y)) for x, y in zip(a.tolist(), b.tolist())}
     assert paired <= near and set(left.tolist()) == {x for pair in near - paired for x in pair}
 
 
+def test_samples_follow_from_the_points_and_meet_pairs_of_the_similarity():
+    assert [simhash.sampling(n, 0.8) for n in (0, 200_000, 10**6, 10**10)] == [(12, 47), (12, 47), (14, 66), (28, 684)]
+    rng = np.random.default_rng(8)
+    for points in (1000, 10**7):
+        bits, tables = simhash.sampling(points, 0.8)
+        met = 0
+        for _ in range(150):
+            fp = rng.integers(0, 1 << 63, 8, dtype=np.uint64)
+            other = fp ^ np.packbits(rng.random(512) < simhash.differing(0.8)).view(np.uint64)
+            keys = simhash.sampled_keys(np.stack([fp, other]), bits, tables)
+            met += bool((keys[0] == keys[1]).any())
+        assert met >= 148
+    text = " ".join(f"w{i}" for i in range(400)).encode()
+    other = text.replace(b"w200 ", b"x ")
+    a, b = (simhash.signature(simhash.shingle_digests(t, 5), 32) for t in (text, other))
+    share = simhash.differing(391 / 401)
+    assert abs(int(simhash.differ(a, b)) - 2048 * share) < 6 * np.sqrt(2048 * share)
+    assert (simhash.signature(simhash.shingle_digests(text, 5), 8) == a[:8]).all()
+
+
 def test_short_texts_are_compared_exactly(spark):
     rng = random.Random(32)
     texts = [" ".join(f"s{rng.getrandbits(30)}" for _ in range(rng.choice([8, 8, 9, 13, 18]))) for _ in range(60)]
