@@ -289,6 +289,11 @@ def clean_letter_keys(c: Column) -> Column:
     return normalize_letter_keys(strip(F.regexp_replace(s, r"[;,:\-–—]+\z", "")))
 
 
+def open_code(c: Column) -> Column:
+    """The end of a line whose code goes on elsewhere ("... lettre clé AMI ou"), or null."""
+    return F.nullif(F.regexp_extract(c, r"(?iuU)(lettre clé\s+[A-Z]{1,4}\s+ou(?:\s+[A-Z]{1,4}\s+ou)*)\s*\z", 1), F.lit(""))
+
+
 def pdf_name(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"(?U)^(pdf_\d+)", 1), F.lit(""))
 

@@ -13,7 +13,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from quillstone.functions import text as T
 from quillstone.functions import vocabulary as V
@@ -455,6 +455,22 @@ def classify(tables: pa.Array) -> pa.Array:
     return pa.array([[kind_of(g or []) for g in x or []] for x in tables.to_pylist()], pa.list_(pa.string()))
 
 
+_ROLES = ArrayType(StructType([StructField(k, IntegerType()) for k in (*ROLES, "header_row")]))
+
+
+@F.arrow_udf(_ROLES)
+def roles(tables: pa.Array) -> pa.Array:
+    """Columns of the roles in every table of a page; null for tables without cells."""
+    kind = pa.list_(pa.struct([(k, pa.int32()) for k in (*ROLES, "header_row")]))
+    return pa.array([[infer_roles(g) if any(g or []) else None for g in x or []] for x in tables.to_pylist()], kind)
+
+
+@F.arrow_udf(StringType())
+def leading_code(tables: pa.Array) -> pa.Array:
+    """The code that opens a page's first table and belongs to the page before, by the default roles."""
+    return pa.array([leading_key([g or [] for g in x or []], DEFAULT_ROLES) for x in tables.to_pylist()], pa.string())
+
+
 @F.arrow_udf(ArrayType(StringType()))
 def format_billing(tables: pa.Array) -> pa.Array:
     """Billing lines of all tables of a page."""

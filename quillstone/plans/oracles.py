@@ -109,6 +109,21 @@ def cleaned(source: str) -> str:
     return "with recursive " + ",\n".join(steps) + "\nselect doc_id, t as text from c16"
 
 
+def page_normalized(source: str) -> str:
+    """What ingestion does to a page's text."""
+    text = f"translate(t, '{''.join(k for k, v in V.INGEST_CHARACTERS.items() if v == ' ')}', '    ')".replace("'    ')", "'" + " " * sum(v == " " for v in V.INGEST_CHARACTERS.values()) + "')")
+    for k, v in V.INGEST_CHARACTERS.items():
+        if v != " ":
+            text = f"replace({text}, chr({ord(k)}), {'chr(10)' if v == chr(10) else chr(39) + v + chr(39)})"
+    letters = "a-zàâçéèêëîïôûùüÿñæœ"
+    return "with " + ",\n".join([
+        f"d as ({source})", rewrite("c1", "d", text),
+        drop("c2", "c1", r"regexp_matches(s, '^Version en vigueur du \d{2}/\d{2}/\d{4}$') or regexp_matches(s, '^\d{1,3}$') or regexp_matches(s, '^(Première|Deuxième|Troisième|Quatrième)\s+partie\s*[:\-–]')").replace(f"string_agg(x, {N}", f"string_agg(case when s = '' then '' else x end, {N}"),
+        rewrite("c3", "c2", rf"regexp_replace(regexp_replace(t, '([\w\pL])-\n([\w\pL])', '\1\2', 'g'), '(?i)([{letters},;])\n([{letters}])', '\1 \2', 'g')"),
+        rewrite("c4", "c3", f"array_to_string([rtrim(x, ' ' || chr(9)) for x in string_split(t, {N})], {N})"),
+        rewrite("c5", "c4", rf"trim(regexp_replace(regexp_replace(t, '[ \t]{{2,}}', ' ', 'g'), '\n{{3,}}', {N} || {N}, 'g'), {WS})")]) + f" {DIGEST} from c5"
+
+
 # --- structural chunks --------------------------------------------------------
 
 
@@ -197,3 +212,7 @@ x as (select doc_id, page_no, case when doc_id % 5 = 4 then case page_no when 0
   when 4 then t || {_MARK}{_PATHOLOGY} when 5 then t || {_MARK}{_SPA} when 6 then t || case when ends and doc_id % 2 = 0 then ' SFI' else '' end
   when 7 then case when doc_id % 2 = 0 then 'fin ' || o_orderkey else t end else t end end as t from p)
 select doc_id, string_agg(t, {N} || {N} order by page_no) filter (where t <> '') as text from x group by doc_id"""
+ROLES = """select o_orderkey // 8 as doc_id, (o_orderkey % 8)::int as page_no, (case o_orderkey % 8 when 4 then 1 when 5 then 1 else 0 end)::int as designation,
+ (case o_orderkey % 8 when 5 then 0 else 1 end)::int as coefficient, (case o_orderkey % 8 when 5 then 0 else 2 end)::int as lettre_cle,
+ (case when o_orderkey % 8 in (1, 4) then 0 end)::int as header_row from orders where o_orderkey % 8 between 1 and 5"""
+LEADING = "select o_orderkey // 8 as doc_id, (o_orderkey % 8)::int as page_no, case o_orderkey % 8 when 2 then 'SFI' else '' end as code from orders"

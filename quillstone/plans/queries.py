@@ -48,11 +48,17 @@ def vec_norm(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vector.norm(F.col("embedding")), 6).alias("norm"))
 
 
-@query("cosine_topk", f"with {_VECS} select c.vec_id, round({_COS}, 6) as score from v q, v c where q.vec_id = 0 order by {_COS} desc, c.vec_id limit 10")
+@query("vec_dot", f"with {_VECS} select vec_id, round(list_sum([e[i] * e[len(e) + 1 - i] for i in range(1, len(e) + 1)]), 6) as dot from v")
+def vec_dot(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vector.dot(F.col("embedding"), F.reverse("embedding")), 6).alias("dot"))
+
+
+@query("cosine_topk", f"""with {_VECS}, s as (select q.vec_id as query_id, c.vec_id, {_COS} as s from v q, v c where q.vec_id % 50 = 0),
+h as (select *, row_number() over (partition by query_id order by s desc, vec_id) as rk from s) select query_id, vec_id, round(s, 6) as score from h where rk <= 10""")
 def cosine_topk(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    found = retrieval.search(rows, rows.where("vec_id = 0").select(F.lit(0).alias("query_id"), F.lit(0).alias("sq_idx"), F.col("embedding").alias("vec")), 10)
-    return found.select("vec_id", F.round("cosine_score", 6).alias("score"))
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("sq_idx"), F.col("embedding").alias("vec"))
+    return retrieval.search(rows, asked, 10).select("query_id", "vec_id", F.round("cosine_score", 6).alias("score"))
 
 
 @query("cosine_matrix_stats", f"""with {_VECS}, s as (select q.vec_id as query_id, {_COS} as s from v q, v c where q.vec_id % 50 = 0)
@@ -232,6 +238,8 @@ NOISE = {
     "adjacent": f"case doc_id % 3 when 1 then 'abc' || {_N} || ' abc ' || {_N} || {_N} || 'abc' || {_N} || text when 2 then 'abc' || {_N} || 'abd' || {_N} || 'abc' || {_N} || text else text end",
     "broken": f"case doc_id % 3 when 1 then text || {_N} || 'infir-' || {_N} || 'mier,' || {_N} || 'Suite' || {_N} || '1' when 2 then text || '.' || {_N} || 'é-' || {_N} || 'à' || {_N} || 'x' else text end",
     "articles": f"case doc_id % 3 when 1 then text || {_N} || 'Article 11 - Soins infirmiers à domicile pour un patient, quel que soit son âge x' || {_N} || 'y Article 12 – fin' when 2 then text || ' Article 11 - Soins infirmiers à domicile pour un patient, quel que soit son âge' else text end",
+    "opens": f"case doc_id % 5 when 1 then text || ' lettre clé AMI ou' when 2 then text || ' Lettre clé' || {_N} || 'ami  ou AMX ou  ' when 3 then text || ' lettre clé AMI' when 4 then 'lettre clé AMI ou ' || text else text end",
+    "codes": f"case doc_id % 5 when 1 then 'AMI' || {_N} || 'ou  ' || text || ' AMX;:' when 2 then text || ' sfi, AMI –' when 3 then '' when 4 then left(text, 30) || ' K K ou P' else text end",
     "hyphens": f"case doc_id % 4 when 1 then text || ' masseur-' || {_N} || 'kinésithérapeute infir-' || {_N} || ' mier a-' || {_N} || 'b-' || {_N} || 'c' when 2 then text || ' Ile-' || {_N} || 'Rousse DI-' || {_N} || 'x quatre-  ' || {_N} || 'dix 3-' || {_N} || 'x fin-' when 3 then 'pré-' || {_N} || 'avis x-' || {_N} || 'Social ' || text else text end",
     "sections": f"case doc_id % 5 when 1 then text || {_N} || 'Stations  thermales Orientations thérapeutiques a' || {_N} || 'b CHAPITRE V fin' when 2 then 'REFERENCES DES TEXTES REGLEMENTAIRES ' || repeat('mot ', 3000) || 'ANNEXE 1' || {_N} || text when 3 then text || {_N} || 'Tableau 2 : Règles de classement des forfaits BSI a' || {_N} || 'b' when 4 then text || ' REFERENCES DES TEXTES' || {_N} || 'REGLEMENTAIRES x ANNEXE 2 y' else text end",
     "structure": f"case doc_id % 4 when 0 then text when 1 then text || {_N} || '  TITRE II' || {_N} || 'Préambule court' || {_N} || {_N} || text || {_N} || 'Article 3 - objet' || {_N} || left(text, 90) || {_N} || 'ANNEXE' || {_N} || 'bref' when 2 then left(text, 700) || {_N} || {_N} || 'court' || {_N} || {_N} || text || {_N} || {_N} || {_N} || 'fin de document' else 'TITRE I' || {_N} || 'Article 2' || {_N} || left(text, 300) || {_N} || '- Soin : coefficient 1, lettre clé AMI' || {_N} || '- Bilan : coefficient 2,5, lettre clé SFI' || {_N} || 'CHAPITRE II' || {_N} || '===== PAGE 3' || {_N} || '- c : Coefficient 3' || {_N} || text end",
@@ -324,6 +332,16 @@ _cleaner("obsolete_article_removal", "articles", T.remove_obsolete_articles, _sq
     "articles", "regexp_replace(t, '(?s)Article\\s+11\\s*[-–—]\\s*Soins\\s+infirmiers\\s+.{0,5}domicile\\s+pour\\s+un\\s+patient,\\s+quel\\s+que\\s+soit\\s+son\\s+.ge.*?(Article\\s+12\\s*[-–—])', '\\1', 'g')"))
 
 
+_PAGE_KINDS = ("ingest", "running", "broken", "spaces", "indents", "pages")
+_PAGE = f"case (doc_id // 12) % {len(_PAGE_KINDS)} " + " ".join(f"when {i} then {NOISE[k]}" for i, k in enumerate(_PAGE_KINDS)) + " end"
+
+
+@query("page_text_normalize", oracles.page_normalized(f"select doc_id, {_PAGE} as t from documents"))
+def page_text_normalize(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(_PAGE.replace("(doc_id // 12)", "(doc_id div 12)")).alias("t"))
+    return rows.withColumn("x", T.normalize_page_text(F.col("t"))).select("doc_id", *_digest(F.col("x")))
+
+
 # --- recognisers and small parsers ------------------------------------------
 
 
@@ -348,6 +366,14 @@ select doc_id, array_to_string([k[i] for i in range(1, len(k) + 1) if i = 1 or k
 _flag("pdf_name_extract", "files", T.pdf_name, "nullif(regexp_extract(t, '^(pdf_\\d+)', 1), '')")
 
 
+_flag("open_code_extract", "opens", T.open_code, r"nullif(regexp_extract(t, '(?i)(lettre clé\s+[A-Z]{1,4}\s+ou(?:\s+[A-Z]{1,4}\s+ou)*)\s*$', 1), '')")
+_flag("lk_clean", "codes", T.clean_letter_keys, "''")
+ORACLE_SQL["lk_clean"] = f"""with d as (select doc_id, {NOISE['codes']} as t from documents),
+s as (select doc_id, trim(regexp_replace(trim(regexp_replace(t, '\\s+', ' ', 'g'), {_WS}), '[;,:\\-–—]+$', ''), {_WS}) as t from d),
+k as (select doc_id, [case when lower(x) = 'ou' then 'ou' else upper(x) end for x in string_split(t, ' ') if lower(x) = 'ou' or upper(x) in ('{"', '".join(V.LETTER_KEYS)}')] as k from s)
+select doc_id, array_to_string([k[i] for i in range(1, len(k) + 1) if i = 1 or k[i] <> k[i - 1]], ' ') as v from k"""
+
+
 @query("subquery_parse", f"""with d as (select doc_id, {NOISE['reply']} as t from documents),
 p as (select doc_id, [ltrim(trim(x, {_WS}), '{T.PREFIX_CHARACTERS}') for x in {_LINES} if length(trim(x, {_WS})) > 10] as k from d),
 q as (select doc_id, case when len(k) > 0 then k else ['question'] end as k from p)
@@ -439,6 +465,46 @@ def ingest_counts(spark, sf_dir):
     return count(reg.enrich(files, reg.last_wins(_registry(spark, sf_dir), "pos")))
 
 
+@query("metadata_json", f"""with r as (select doc_id, quality::int as p from labels), d as (select doc_id, {NOISE['files']} as source, n_chars from documents),
+j as (select d.*, r.doc_id as rid, r.p from d left join r on 'pdf_' || r.doc_id = nullif(regexp_extract(d.source, '^(pdf_\\d+)', 1), ''))
+select doc_id, json_object('source', source, 'filepath', '/x/' || source, 'extension', '.pdf', 'size_bytes', n_chars, 'modified_time', null, 'registry_id', rid::int, 'type_document', case when rid is null then '' else 'loi' end,
+  'titre', coalesce('t' || rid, ''), 'annee', case when rid is null then null else (2000 + rid % 20 + (rid % 7 = 0)::int)::int end, 'source_juridique', case when rid is null then '' else 's' end, 'url', case when rid is null then '' else 'u' end,
+  'nom_pdf', coalesce('pdf_' || rid, ''), 'theme', case when rid is null then '' else 'th' end, 'priorite', p, 'commentaire', '', 'extraction_mode', 'generic')::varchar as meta from j""")
+def metadata_json(spark, sf_dir):
+    files = table(spark, sf_dir, "documents").select("doc_id", F.expr(NOISE["files"]).alias("source"), F.col("n_chars").alias("size_bytes"))
+    files = files.withColumns({"filepath": F.concat(F.lit("/x/"), "source"), "extension": F.lit(".pdf"), "extraction_mode": F.lit("generic")})
+    out = reg.enrich(files, reg.last_wins(_registry(spark, sf_dir), "pos"))
+    return out.select("doc_id", store.metadata_json(out).alias("meta"))
+
+
+_YEARS = "case doc_id % 6 when 0 then '2019' when 1 then '2020.0' when 2 then 'inconnue' when 3 then null when 4 then '' else ' 1998 ' end"
+
+
+@query("registry_checked", f"""with r as (select doc_id, {_YEARS} as y, case doc_id % 4 when 0 then '3' when 1 then 'x' when 2 then '7.0' end as p, case when doc_id % 2 = 0 then 'c' || doc_id end as c from labels)
+select doc_id::int as id, 'pdf_' || doc_id as nom_pdf, try_cast(y as double)::int as annee, try_cast(p as double)::int as priorite, coalesce(c, '') as commentaire from r""")
+def registry_checked(spark, sf_dir):
+    text = lambda v, name: F.lit(v).alias(name)
+    priority = F.when(F.col("doc_id") % 4 == 0, "3").when(F.col("doc_id") % 4 == 1, "x").when(F.col("doc_id") % 4 == 2, "7.0")
+    raw = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").cast("string").alias("id"), text("loi", "type_document"), text("t", "titre"), F.expr(_YEARS).alias("annee"), text("s", "source"), text("u", "url"),
+        F.concat(F.lit("pdf_"), "doc_id").alias("nom_pdf"), text("th", "theme"), priority.alias("priorite"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("c"), "doc_id")).alias("commentaire"))
+    return reg.checked(raw).select("id", "nom_pdf", "annee", "priorite", "commentaire")
+
+
+@query("rerank_candidates", """with r as (select conv_id, text, row_number() over (partition by conv_id order by turn, role, text) - 1 as vec_id from conversations),
+q as (select conv_id, list_distinct(regexp_extract_all(lower(text), '[\\pL\\pN_]+')) as w from r where vec_id = 0),
+d as (select conv_id, vec_id, regexp_extract_all(lower(text), '[\\pL\\pN_]+') as x from r)
+select conv_id as query_id, vec_id, round(len([y for y in w if list_contains(x, y)]) / greatest(1, len(w)), 6) as relevance_score from d join q using (conv_id)""")
+def rerank_candidates(spark, sf_dir):
+    from quillstone.sources.providers import LexicalReranker
+    from quillstone.sources.providers import rerank_candidates as rerank
+
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("text").alias("chunk"), (F.row_number().over(order) - 1).cast("long").alias("vec_id"))
+    asked = rows.where("vec_id = 0").select("query_id", F.col("chunk").alias("query"))
+    return rerank(rows.join(asked, "query_id"), LexicalReranker()).withColumn("relevance_score", F.round("relevance_score", 6))
+
+
 # --- prompts ----------------------------------------------------------------
 
 
@@ -453,6 +519,12 @@ def context_assembly(spark, sf_dir):
     return out.select("conv_id", F.md5(F.col("context").cast("binary")).alias("h"), prompt.token_estimate(F.col("context")).alias("tokens"))
 
 
+@query("prompt_user", """select doc_id, md5('Extraits des documents :' || chr(10) || chr(10) || text || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'Question posée : ' || source || chr(10) || chr(10)
+|| 'Répondre d''abord en quelques phrases, puis préciser au besoin. S''en tenir aux extraits et citer le titre, le type et l''année de chaque source.') as h from documents""")
+def prompt_user(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(prompt.user_prompt(F.col("source"), F.col("text")).cast("binary")).alias("h"))
+
+
 @query("prompt_token_estimate", "select doc_id, (length(text) // 4)::bigint as tokens from documents")
 def prompt_token_estimate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", prompt.token_estimate(F.col("text")).alias("tokens"))
@@ -572,6 +644,17 @@ def table_classify(spark, sf_dir):
     return _pages(spark, sf_dir).select("doc_id", "page_no", F.array_join(tables.classify("tables"), ",").alias("kinds"))
 
 
+@query("table_roles", oracles.ROLES)
+def table_roles(spark, sf_dir):
+    rows = _pages(spark, sf_dir).where("size(tables) > 0").withColumn("r", F.element_at(tables.roles("tables"), 1))
+    return rows.select("doc_id", "page_no", "r.designation", "r.coefficient", "r.lettre_cle", "r.header_row")
+
+
+@query("page_leading_code", oracles.LEADING)
+def page_leading_code(spark, sf_dir):
+    return _pages(spark, sf_dir).select("doc_id", "page_no", tables.leading_code("tables").alias("code"))
+
+
 @query("table_format_cotation", oracles.BILLING)
 def table_format_cotation(spark, sf_dir):
     billing = _pages(spark, sf_dir).withColumn("_k", tables.classify("tables")).where(F.array_contains("_k", "cotation_ngap"))
