@@ -262,6 +262,19 @@ def is_act_text(c: Column) -> Column:
     return F.coalesce((count_signals(F.lower(c), V.ACT_SIGNALS) >= 3) & (acts >= 3), F.lit(False))
 
 
+def is_condition_line(c: Column) -> Column:
+    """A line that states a condition of the act before it."""
+    s, out = strip(c), F.lit(False)
+    for word in V.CONDITION_LINE_STARTERS:
+        out = out | s.startswith(word)
+    return F.coalesce(out, F.lit(False))
+
+
+def is_header_line(c: Column) -> Column:
+    """A line that opens a title, chapter, part, section or article."""
+    return F.coalesce(strip(c).rlike(r"(?iuU)^(?:(?:TITRE|CHAPITRE|PARTIE|SECTION)\s|Article\b)"), F.lit(False))
+
+
 def has_letter_key(c: Column) -> Column:
     return F.coalesce(F.upper(c).rlike(rf"(?U)\b(?:{'|'.join(V.LETTER_KEYS)})\b"), F.lit(False))
 

@@ -31,6 +31,11 @@ CONTINUATION_STARTERS = [
     "aux ", "chez ", "dont ", "pour ", "sous ", "sans ", "entre ",
 ]
 
+CONDITION_LINE_STARTERS = [
+    "Condition :", "Conditions :", "Cet acte", "Cette cotation", "Dans le cadre", "Lorsque", "Par dérogation",
+    "Les deux cotations", "L'acte comprend", "Prescription", "Indications", "Au-delà", "facturés,",
+]
+
 GAZETTE_HEADERS = [
     "JOURNAL OFFICIEL DE LA RÉPUBLIQUE FRANÇAISE", "Décrets, arrêtés, circulaires", "Avis et communications",
     "SOMMAIRE ANALYTIQUE", "textes généraux", "Sommaire", "mesures nominatives", "conventions collectives", "avis divers",

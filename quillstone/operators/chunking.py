@@ -150,19 +150,6 @@ def act_chunks(text: str, most: int = 1800, least: int = 80) -> list[str]:
     return [c.strip() for c in out if len(c.strip()) >= LEAST_SECTION]
 
 
-def _by_python(docs: DataFrame, function, text_col: str) -> DataFrame:
-    """``docs`` and ``_chunks``, computed on Arrow batches."""
-    at = docs.columns.index(text_col)
-    schema = docs.schema.simpleString()[len("struct<"):-1] + ",_chunks:array<string>"
-
-    def run(batches):
-        for b in batches:
-            made = pa.array([function(x) if x else [] for x in b.column(at).to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, "_chunks"])
-
-    return docs.mapInArrow(run, schema)
-
-
 # --- dispatch ---------------------------------------------------------------
 
 

@@ -48,9 +48,13 @@ def vec_norm(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vector.norm(F.col("embedding")), 6).alias("norm"))
 
 
-@query("vec_dot", f"with {_VECS} select vec_id, round(list_sum([e[i] * e[len(e) + 1 - i] for i in range(1, len(e) + 1)]), 6) as dot from v")
+_TURNED = "list_sum([e[i] * e[len(e) + 1 - i] for i in range(1, len(e) + 1)])"
+
+
+@query("vec_dot", f"with {_VECS} select vec_id, round({_TURNED}, 6) as dot, round({_TURNED} / (n * n), 6) as cosine from v")
 def vec_dot(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vector.dot(F.col("embedding"), F.reverse("embedding")), 6).alias("dot"))
+    a, b = F.col("embedding"), F.reverse("embedding")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vector.dot(a, b), 6).alias("dot"), F.round(vector.cosine(a, b), 6).alias("cosine"))
 
 
 @query("cosine_topk", f"""with {_VECS}, s as (select q.vec_id as query_id, c.vec_id, {_COS} as s from v q, v c where q.vec_id % 50 = 0),
@@ -238,6 +242,7 @@ NOISE = {
     "adjacent": f"case doc_id % 3 when 1 then 'abc' || {_N} || ' abc ' || {_N} || {_N} || 'abc' || {_N} || text when 2 then 'abc' || {_N} || 'abd' || {_N} || 'abc' || {_N} || text else text end",
     "broken": f"case doc_id % 3 when 1 then text || {_N} || 'infir-' || {_N} || 'mier,' || {_N} || 'Suite' || {_N} || '1' when 2 then text || '.' || {_N} || 'é-' || {_N} || 'à' || {_N} || 'x' else text end",
     "articles": f"case doc_id % 3 when 1 then text || {_N} || 'Article 11 - Soins infirmiers à domicile pour un patient, quel que soit son âge x' || {_N} || 'y Article 12 – fin' when 2 then text || ' Article 11 - Soins infirmiers à domicile pour un patient, quel que soit son âge' else text end",
+    "starts": f"case doc_id % 6 when 1 then ' Cet acte ' || text when 2 then 'Au-delà ' || text when 3 then 'chapitre ' || text when 4 then 'ARTICLE. ' || text when 5 then 'Articles ' || text else text end",
     "opens": f"case doc_id % 5 when 1 then text || ' lettre clé AMI ou' when 2 then text || ' Lettre clé' || {_N} || 'ami  ou AMX ou  ' when 3 then text || ' lettre clé AMI' when 4 then 'lettre clé AMI ou ' || text else text end",
     "codes": f"case doc_id % 5 when 1 then 'AMI' || {_N} || 'ou  ' || text || ' AMX;:' when 2 then text || ' sfi, AMI –' when 3 then '' when 4 then left(text, 30) || ' K K ou P' else text end",
     "hyphens": f"case doc_id % 4 when 1 then text || ' masseur-' || {_N} || 'kinésithérapeute infir-' || {_N} || ' mier a-' || {_N} || 'b-' || {_N} || 'c' when 2 then text || ' Ile-' || {_N} || 'Rousse DI-' || {_N} || 'x quatre-  ' || {_N} || 'dix 3-' || {_N} || 'x fin-' when 3 then 'pré-' || {_N} || 'avis x-' || {_N} || 'Social ' || text else text end",
@@ -366,6 +371,8 @@ select doc_id, array_to_string([k[i] for i in range(1, len(k) + 1) if i = 1 or k
 _flag("pdf_name_extract", "files", T.pdf_name, "nullif(regexp_extract(t, '^(pdf_\\d+)', 1), '')")
 
 
+_flag("condition_line_detect", "starts", T.is_condition_line, " or ".join(f"starts_with(trim(t, {_WS}), '{w.replace(chr(39), chr(39) * 2)}')" for w in V.CONDITION_LINE_STARTERS))
+_flag("header_line_detect", "starts", T.is_header_line, f"regexp_matches(trim(t, {_WS}), '(?i)^((TITRE|CHAPITRE|PARTIE|SECTION)\\s|Article\\b)')")
 _flag("open_code_extract", "opens", T.open_code, r"nullif(regexp_extract(t, '(?i)(lettre clé\s+[A-Z]{1,4}\s+ou(?:\s+[A-Z]{1,4}\s+ou)*)\s*$', 1), '')")
 _flag("lk_clean", "codes", T.clean_letter_keys, "''")
 ORACLE_SQL["lk_clean"] = f"""with d as (select doc_id, {NOISE['codes']} as t from documents),
