@@ -24,6 +24,7 @@ names position, ref, caption, digest, resolved and those of the features are tak
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from html.parser import HTMLParser
 
@@ -199,12 +200,12 @@ def samples_of(media: bytes) -> memoryview:
 def describe(samples: memoryview) -> str:
     """Mean, deviation, entropy and share of high samples."""
     counts = np.bincount(np.frombuffer(samples, dtype=np.uint8), minlength=256)
-    n, level = counts.sum(), np.arange(256)
-    p = counts / n
-    mean = float(p @ level)
-    spread = float(np.sqrt(max(0.0, p @ (level * level) - mean * mean)))
-    some = p[p > 0]
-    return f"mean={mean:.4f};sd={spread:.4f};entropy={float(-(some * np.log2(some)).sum()):.4f};high={float(p[128:].sum()):.4f}"
+    n, level = int(counts.sum()), np.arange(256)
+    mean = int(counts @ level) / n  # whole sums, so that equal samples give equal digits anywhere
+    spread = math.sqrt(max(0.0, int(counts @ (level * level)) / n - mean * mean))
+    some = counts[counts > 0]
+    entropy = math.log2(n) - float((some * np.log2(some)).sum()) / n
+    return f"mean={mean:.4f};sd={spread:.4f};entropy={entropy:.4f};high={int(counts[128:].sum()) / n:.4f}"
 
 
 def store_features(spark, path: str) -> DataFrame:

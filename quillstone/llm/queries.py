@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,7 +88,42 @@ QUERIES = {
     "op9_mixing": op9_mixing, "op10_quality": op10_quality,
 }
 
+def _either(pattern: str) -> str:
+    """ASCII letters in either case, without the folding of other letters."""
+    return re.sub(r"[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", pattern)
+
+
+def _spans_sql(kind: str, order: int, pattern: str, least: int, group: int = 0) -> str:
+    """Kind, start and end in code points of the leftmost non-overlapping matches: a start is the
+    summed length of the gaps and matches before it."""
+    quoted = pattern.replace("'", "''")
+    return f"""select doc_id, '{kind}' as kind, {order} as o, p.s as s, p.s + length(p.m) as e from (
+  select doc_id, unnest([{{'s': list_sum([length(x) for x in g[1:i]]) + coalesce(list_sum([length(x) for x in m[1:i - 1]]), 0), 'm': m[i], 'k': k[i]}} for i in range(1, len(m) + 1)]) as p
+  from (select doc_id, string_split_regex(t, '{quoted}') as g, regexp_extract_all(t, '{quoted}', 0) as m, regexp_extract_all(t, '{quoted}', {group}) as k from d)) where length(p.k) >= {least}"""
+
+
+_ASSIGN = _either("(password|passwd|secret|token|api_?key)") + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_SECRETS = [("assign", _ASSIGN, 8, 2), ("access", "AKIA[A-Z0-9]+", 16, 0), ("hex", "[0-9a-f]+", 32, 0)] + [(r.kind, r.pattern, r.least, r.group) for r in secretscan.MORE]
+#: CRC-32 of a list of bytes.
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, {}), lambda a, b: list_reduce(list_prepend(xor(a, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::bigint)"
+_HEX = "[('0x' || substr(h, 2 * i + 1, 2))::bigint for i in range({}, length(h) // 2)]"
+
 ORACLE_SQL = {
+    "op1_media": f"""
+with d as (select doc_id, octet_length(encode(coalesce(text, ''))) as n, hex(encode(coalesce(text, ''))) as r from documents),
+p as (select *, r || repeat('00', (greatest(64, (n + 63) // 64 * 64) - n)::int) as h from d),
+s as (select *, unhex(h) as b, encode('P5' || chr(10) || '64 ' || (length(h) // 128) || chr(10) || '255' || chr(10)) || unhex(h) as m, {_CRC.format(_HEX.format("length(h) // 2 - 64"))} as crc from p),
+l as (select doc_id, level, count(*) as k from (select doc_id, unnest({_HEX.format(0)}) as level from p) group by doc_id, level),
+q as (select doc_id, sum(k)::double as c, sum(k * level)::double as s1, sum(k * level * level)::double as s2, sum(k * log2(k)) as s3, coalesce(sum(k) filter (where level >= 128), 0)::double as up from l group by doc_id),
+f as (select doc_id, s1 / c as mean, sqrt(greatest(0, s2 / c - (s1 / c) * (s1 / c))) as sd, log2(c) - s3 / c as entropy, up / c as high from q)
+select doc_id, n::bigint as n_bytes, (length(h) // 2)::bigint as payload_bytes, sha256(b) as payload_sha256, crc::bigint as tail_crc32, octet_length(m)::bigint as media_bytes, sha256(m) as media_sha256,
+       printf('mean=%.4f;sd=%.4f;entropy=%.4f;high=%.4f', mean, sd, entropy, high) as feature, 1::int as position, n || ' bytes' as caption, '0:Payload of a document|2:End of the page' as texts
+from s join f using (doc_id)""",
+    "op5_secrets": "with d as (select doc_id, coalesce(text, '') as t from documents),\ns as ("
+    + "\nunion all ".join(_spans_sql(kind, i, pattern, least, group) for i, (kind, pattern, least, group) in enumerate(_SECRETS)) + """)
+select d.doc_id, count(*) filter (where kind = 'assign')::bigint as n_assign, count(*) filter (where kind = 'access')::bigint as n_access, count(*) filter (where kind = 'hex')::bigint as n_hex,
+       sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, o) filter (where o < 3), '')) as base_sha256, coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, o), '') as spans
+from d left join s using (doc_id) group by d.doc_id""",
     "op6_substrings": """
 with w as (select doc_id, [x for x in string_split_regex(coalesce(text, ''), '[\\x20\\t-\\r]+') if x <> ''] as words from documents),
 win as (select doc_id, i, list_aggregate(words[i:i + 12], 'string_agg', ' ') as k from (select doc_id, words, unnest(range(1, len(words) - 11)) as i from w)),
