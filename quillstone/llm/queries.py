@@ -108,7 +108,39 @@ _SECRETS = [("assign", _ASSIGN, 8, 2), ("access", "AKIA[A-Z0-9]+", 16, 0), ("hex
 _CRC = "xor(list_reduce(list_prepend(4294967295::bigint, {}), lambda a, b: list_reduce(list_prepend(xor(a, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::bigint)"
 _HEX = "[('0x' || substr(h, 2 * i + 1, 2))::bigint for i in range({}, length(h) // 2)]"
 
+_TOKENS = r"regexp_extract_all(lower({}), '[\pL\pN_]+')"
+#: Share of a part's n-grams that stand in the list ``w``.
+_COVER = "case when len({0}) = 0 then 1.0 else len([g for g in {1} if list_contains({2}, g)])::double / len({1}) end"
+
+
+def _grams_sql(words: str, n: str) -> str:
+    return f"list_distinct([array_to_string({words}[i:i + {n} - 1], ' ') for i in range(1, len({words}) - {n} + 2)])"
+
+
 ORACLE_SQL = {
+    "op2_decontamination": rf"""
+with items as (select row_number() over (order by item_id, text) as k, item_id, text, {_TOKENS.format("text")} as w from benchmark where text <> ''),
+halves as (select *, [x for x in string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) if len({_TOKENS.format("x")}) > 0] as b from items),
+qa as (select k, item_id, w, case when len(b) > 1 then {_TOKENS.format("array_to_string(b[:-2], ' ')")} else w[:greatest(1, len(w) * 3 // 4)] end as q,
+       case when len(b) > 1 then {_TOKENS.format("b[-1]")} else w[greatest(1, len(w) * 3 // 4) + 1:] end as a from halves),
+parts as (select k, j, w[j * z + 1:(j + 1) * z] as w from (select k, w, z, unnest(range(0, ceil(len(w) / z)::bigint)) as j from (select k, w, ceil(len(w) / ceil(len(w) / 64.0))::bigint as z from items where len(w) > 1))),
+pairs as (select k, j, len(w) - 1 as n, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) as pair from parts),
+stat as (select (select count(*) from parts)::double as parts, (select avg(len(w) - 1) from parts) as mean),
+df as (select pair, count(distinct (k, j))::double as df from pairs group by pair),
+raw as (select k, j, pair, ln(1 + (parts - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean)) as w from (select k, j, n, pair, count(*)::double as f from pairs group by all) join df using (pair), stat),
+impact as (select k, j, pair, w / sum(w) over (partition by k, j) as w from raw),
+docs as (select row_number() over () as r, doc_id, {_TOKENS.format("text")} as w from documents where text is not null),
+held as (select r, pos, pair, greatest(1, ceil((n - 1) / 64.0)::bigint - 1) as last from (select r, len(w) as n, unnest(range(0, len(w) - 1)) as pos, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) as pair from docs) where pair in (select pair from df)),
+win as (select distinct r, 64 * (pos // 64 - d) as s, pair from held, (values (0), (1)) x(d) where pos // 64 - d between 0 and last - 1),
+found as (select r, s, k, j, sum(w) as score from win join impact using (pair) group by r, s, k, j having sum(w) >= 0.5 - 1e-9),
+near as (select found.*, doc_id, item_id, qa.w, q, a, docs.w[greatest(0, s - len(qa.w)) + 1:s + 128 + len(qa.w)] as x from found join docs using (r) join qa using (k)),
+seen as (select *, {_grams_sql("q", "least(5, len(q))")} as gq, {_grams_sql("a", "least(5, len(a))")} as ga, {_grams_sql("x", "least(5, len(q))")} as xq, {_grams_sql("x", "least(5, len(a))")} as xa,
+         list_contains({_grams_sql("x", "len(w)")}, array_to_string(w, ' '))::int::double as whole from near),
+marked as (select r, doc_id, k, item_id, s, score, case when len(w) < 8 then whole else {_COVER.format("q", "gq", "xq")} end as q, case when len(w) < 8 then whole else {_COVER.format("a", "ga", "xa")} end as a from seen),
+best as (select *, row_number() over (partition by r, k order by score desc, s) as b from marked where q >= 0.6 and a >= 0.6),
+single as (select doc_id, item_id, 1.0 as score, 1.0 as q, 1.0 as a, list_position(docs.w, items.w[1]) - 1 as s from docs, items where len(items.w) = 1 and list_contains(docs.w, items.w[1]))
+select doc_id, item_id, round(score, 6) as score, round(q, 6) as question_overlap, round(a, 6) as answer_overlap, s::bigint as token_offset
+from (select doc_id, item_id, score, q, a, s from best where b = 1 union all select doc_id, item_id, score, q, a, s from single)""",
     "op1_media": f"""
 with d as (select doc_id, octet_length(encode(coalesce(text, ''))) as n, hex(encode(coalesce(text, ''))) as r from documents),
 p as (select *, r || repeat('00', (greatest(64, (n + 63) // 64 * 64) - n)::int) as h from d),
