@@ -285,7 +285,9 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str =
 WIDE, LONG, NEAR = 8, 64, 3
 DEVIATIONS, MISS = 5, 0.001
 #: Points of a shard that meet by chance; the fewest bits of a sample where first words and where long signatures are compared; the most.
-CHANCE, FEWEST, FEWEST_LONG, MOST = 64, 12, 6, 40
+CHANCE, FEWEST, FEWEST_LONG, MOST = 256, 10, 6, 40
+#: Hash slots by which texts are passed over before a join (their number bounds what is broadcast).
+SLOTS = 1 << 22
 #: Share of the samples that the first round takes: what it has linked need not be nominated again.
 FIRST = 0.25
 #: Texts of fewer shingles are compared by their shingle sets.
@@ -513,8 +515,12 @@ class _Search:
         self.sampled = sampling(points.count(), similarity)
         self.names = [f"w{i}" for i in range(WIDE)]
 
-    def described(self, nodes: DataFrame) -> DataFrame:
-        """fp, long (the long signature) and shingles of the nodes' texts, written."""
+    def described(self, nodes: DataFrame, with_long: bool = False) -> DataFrame:
+        """fp, shingles and long (the long signature, if wanted) of the nodes' texts, written.
+
+        Few texts are wanted.  Those whose hash slot is free are passed over where they
+        stand, so that the join moves little more than the wanted ones; beyond a slot in
+        four it moves all."""
         # a written table: broadcast only if its true size is under the session's threshold
         wanted = materialize(self.points.join(nodes.select("fp").distinct(), "fp", "left_semi").select("fp", F.coalesce("_first.id", "_first.key").alias("_id"), F.col("_first.key").alias("_key")), "simhash-wanted")
         k = self.k
@@ -522,12 +528,17 @@ class _Search:
         def run(batches):
             for b in batches:
                 texts = [t.as_buffer().to_pybytes() for t in b.column(1)]
-                longs = [signature(shingle_digests(t, k), LONG).tobytes() for t in texts]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(longs, pa.binary()), pa.array([shingle_set(t, k).tobytes() for t in texts], pa.binary())], names=["fp", "long", "shingles"])
+                longs = [signature(shingle_digests(t, k), LONG).tobytes() if with_long else None for t in texts]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, k).tobytes() for t in texts], pa.binary()), pa.array(longs, pa.binary())], names=["fp", "shingles", "long"])
 
         key = text_key(self.text_col)
         keyed = self.docs.select(text_or_empty(self.text_col).cast("binary").alias("_text"), F.coalesce(F.col(self.id_col).cast("long"), key).alias("_id"), key.alias("_key"))
-        one = keyed.join(wanted, ["_id", "_key"]).select("fp", "_text").mapInArrow(run, "fp long, long binary, shingles binary")
+        if wanted.count() <= SLOTS // 4:
+            slot = F.pmod(F.xxhash64("_id", "_key"), F.lit(SLOTS)).cast("int")
+            taken = np.zeros(SLOTS, dtype=np.uint8)
+            taken[wanted.select(slot.alias("s")).toPandas()["s"].to_numpy(dtype=np.int64)] = 1
+            keyed = keyed.where(F.substring(F.lit(bytearray(taken.tobytes())), slot + 1, F.lit(1)) == F.lit(bytearray(b"\x01")))
+        one = keyed.join(wanted, ["_id", "_key"]).select("fp", "_text").mapInArrow(run, "fp long, shingles binary, long binary")
         return materialize(one.dropDuplicates(["fp"]), "simhash-described")
 
     def joined(self, pairs: DataFrame, described: DataFrame, column: str) -> DataFrame:
@@ -535,7 +546,7 @@ class _Search:
         side = lambda node, name: described.select(F.col("fp").alias(node), F.col(column).alias(name))
         return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
 
-    def verified(self, pairs: DataFrame, described: DataFrame) -> DataFrame:
+    def verified(self, pairs: DataFrame, described: DataFrame, by_long: bool = False) -> DataFrame:
         """The pairs whose shingle sets really have the similarity."""
         most, similarity = most_bits(self.similarity, LONG), self.similarity
         load = lambda x: np.frombuffer(x.as_buffer(), dtype=np.uint64)
@@ -548,8 +559,9 @@ class _Search:
 
             return run
 
-        near = self.joined(pairs, described, "long").mapInArrow(keep(lambda x, y: differ(x, y) <= most), "a long, b long")
-        return self.joined(near, described, "shingles").mapInArrow(keep(lambda x, y: jaccard(x, y) >= similarity), "a long, b long")
+        if by_long:
+            pairs = self.joined(pairs, described, "long").mapInArrow(keep(lambda x, y: differ(x, y) <= most), "a long, b long")
+        return self.joined(pairs, described, "shingles").mapInArrow(keep(lambda x, y: jaccard(x, y) >= similarity), "a long, b long")
 
     def near_pairs(self, pairs: DataFrame) -> DataFrame:
         """The nominated pairs that neither the wide fingerprints nor the sizes of the sets reject."""
@@ -639,19 +651,22 @@ def similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
 
     linked = materialize(small_links(rows.where("shingles is not null").select("fp", "shingles").distinct(), similarity), "simhash-linked")
     rooted, seen = search.roots(linked), None
+    known = None
     for tables in (max(1, int(search.sampled[1] * FIRST)), search.sampled[1]):
         found = search.nominate(rooted, tables)
         near = search.near_pairs(found.where("a <> b"))
         near = materialize(near if seen is None else near.join(seen, ["a", "b"], "left_anti"), "simhash-near")
-        described = search.described(near.select(F.col("a").alias("fp")).union(near.select("b")))
-        linked = materialize(linked.unionByName(search.verified(near, described)), "simhash-linked")
+        nodes = near.select(F.col("a").alias("fp")).union(near.select("b"))
+        described = search.described(nodes if known is None else nodes.join(known, "fp", "left_anti"))
+        known = described if known is None else known.unionByName(described)
+        linked = materialize(linked.unionByName(search.verified(near, known)), "simhash-linked")
         rooted = search.roots(linked)
         seen = near if seen is None else seen.unionByName(near)
 
     # what the last round, over all samples, left open: again by partners, then every pair that is still open
     opened = materialize(found.where("a = b").select(F.col("a").alias("fp")), "simhash-left")
     remaining = lambda: rooted.join(opened, "fp", "left_semi").select("fp", "root", *names)
-    described = search.described(remaining())
+    described = search.described(remaining(), True)
     seen = seen.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     for every in (False, True):
         near = materialize(search.by_long(remaining(), described, every).join(seen, ["a", "b"], "left_anti"), "simhash-near")
