@@ -122,10 +122,10 @@ def test_chunk_semantic_runs_over_acts_and_sections(spark, tmp_path):
     from quillstone.functions import text as T
     from quillstone.plans import queries
 
-    rows = [(i, f"texte {i} " + "mot " * (40 * i)) for i in range(12)]
+    rows = [(i, f"texte {i} " + "mot " * (40 * i + 20)) for i in range(12)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    source = queries._structured(spark, str(tmp_path)).withColumn("acts", T.is_act_text(F.col("text"))).collect()
-    assert {r.doc_id for r in source if r.acts} == {1, 4, 7, 10}
+    source = queries.noised(spark, str(tmp_path), "structure").withColumnRenamed("t", "text").withColumn("acts", T.is_act_text(F.col("text"))).collect()
+    assert {r.doc_id for r in source if r.acts} == {3, 7, 11}
     expected = {(r.doc_id, i, c) for r in source for i, c in enumerate(C.act_chunks(r.text, 1500, 100) if r.acts else C.section_chunks(r.text))}
     got = [(r.doc_id, r.chunk_index, r.chunk) for r in queries.chunk_semantic(spark, str(tmp_path)).collect()]
     assert len(got) == len(expected) and set(got) == expected and {d for d, _, _ in got} == set(range(12))
