@@ -9,7 +9,9 @@ mandatory trigrams scans every document.  A segment is a pure function of its
 rows, so a lost executor costs its segments only, and nothing is shuffled.
 
 The index folds ASCII case, so case-insensitive rules share it.  Null text
-counts as empty and has no spans; ``doc_id`` may be null or repeated.
+counts as empty and has no spans; ``doc_id`` may be null or repeated, as each row
+is scanned alone; an empty table gives an empty one.  Very long texts are scanned
+whole.  Only the id and the text are read, so other columns of any name do not matter.
 """
 
 from __future__ import annotations

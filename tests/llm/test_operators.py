@@ -390,6 +390,13 @@ def test_very_many_spans_in_one_text(spark):
     assert [(s.start, s.end, s.kind) for s in got.spans] == [x for i in range(20000) for x in ((18 * i + 2, 18 * i + 8, "email"), (18 * i + 9, 18 * i + 16, "ip"))]
 
 
+def test_overlapping_spans_are_redacted_once(spark):
+    rows = frame(spark, ["call +1 (702) 555-4777 now", "mail a@b.cd,e@f.gh born 1990-03-12"])
+    spans = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find_spans(rows, ["doc_id"]).collect()}
+    assert spans[0] == [("phone", 5, 22), ("local_phone", 8, 22)]
+    assert {r.doc_id: r.text for r in pii.redact(rows).collect()} == {0: "call [phone] now", 1: "mail [email],[email] born [birth_date]"}
+
+
 def test_account_sums(spark):
     rng = random.Random(1)
     rows = [(pii.account(rng), True) for _ in range(50)] + [("DE89370400440532013001", False), ("GB82WEST12345698765432", True), ("GB82WEST12345698765433", False)]
@@ -417,6 +424,13 @@ def test_secrets_against_brute_force(spark):
     assert secretscan.scan(rows.limit(0)).count() == 0
 
 
+def test_secrets_of_null_and_repeated_ids(spark):
+    text = "token=abcdefgh1"
+    rows = spark.createDataFrame([(None, text), (None, None), (5, text), (5, "x"), (5, text)], "doc_id long, text string")
+    got = collections.Counter((r.doc_id, len(r.spans)) for r in secretscan.scan(rows).collect())
+    assert got == collections.Counter({(None, 1): 1, (None, 0): 1, (5, 1): 2, (5, 0): 1})
+
+
 def test_every_rule_against_plain_matching(spark):
     rules = secretscan.RULES + [secretscan.Rule("dotted", "é.{2}[0-9]+", 0, 0, 6), secretscan.Rule("run", "[A-Z]+", 0, 0, 50)]
     texts = [f"{head} gh{c}_{'aB3' * 20}"[:len(head) + 1 + n] + tail for c in "pousr" for n in (39, 40, 43, 44) for head, tail in (("key", " end"), ("é", ""))]
@@ -734,6 +748,13 @@ def test_links_of_dense_and_chained_points(spark):
     assert {int(x): int(y) for x, y in zip(a, b)} == {p: r for p, r in root.items() if p != r}
 
 
+def test_components_of_null_and_repeated_ids(spark):
+    a, b, c = (words(random.Random(i), 40) for i in range(3))
+    rows = spark.createDataFrame([(None, a), (9, a), (4, a.replace(" ", "\n")), (None, b), (None, b), (7, c), (7, c), (7, None), (2, ""), (None, "  ")], "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.component_id) for r in simhash.near_duplicates(rows).collect())
+    assert got == collections.Counter({(None, 4): 1, (9, 4): 1, (4, 4): 1, (None, None): 2, (7, 7): 2, (7, 2): 1, (2, 2): 1, (None, 2): 1})
+
+
 def test_trees_hold_the_points_and_find_all_links(spark):
     """On a whole table: the links come through trees, and equal those of all pairs."""
     table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
