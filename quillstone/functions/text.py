@@ -55,22 +55,17 @@ def drop_lines(c: Column, condition) -> Column:
 
 
 def _is_gazette_header(s: Column) -> Column:
-    return (
-        s.isin(*V.GAZETTE_HEADERS, *V.CHECKBOX_WORDS, V.ANNEX_HEADER)
-        | s.rlike(r"(?U)^Version\s+en\s+vigueur\s+du\s+\d{2}/\d{2}/\d{4}\s*\z")
-        | s.rlike(r"(?iuUd)^Premi.re\s+partie\s*:?\s*Dispositions\s+G.n.rales\s*\z")
-        | s.rlike(r"(?iuUd)^Deuxi.me\s+partie\s*:?.*radiations\s+ionisantes\s*\z")
-        | s.rlike(r"(?iuUd)^Cinqui.me\s+partie\s*:?.*biologie\s+m.dicale\s*\z")
-    )
+    out = s.isin(*V.GAZETTE_HEADERS, *V.CHECKBOX_WORDS, V.ANNEX_HEADER)
+    for pattern in V.GAZETTE_PATTERNS:
+        out = out | s.rlike("(?U)" + pattern)
+    return out
 
 
 def remove_gazette_headers(c: Column) -> Column:
     """Running headers and footers, then the inline "date Texte n sur m" marks."""
-    marks = (r"(?U)\d{1,2}\s+\w+\s+\d{4}\s+Texte\s+\d+\s+sur\s+\d+", r"(?U)\d{1,2}\s+\w+\s+\d{4}\s*\n\s*Texte\s+\d+\s+sur\s+\d+", r"(?Umd)^Texte\s+\d+\s+sur\s+\d+\s*$")
-
     def unmark(x):
-        for p in marks:
-            x = F.regexp_replace(x, p, "")
+        for p in V.GAZETTE_MARKS:
+            x = F.regexp_replace(x, "(?U)" + p, "")
         return x
 
     return gated(drop_lines(c, _is_gazette_header), "Texte", unmark)
@@ -142,7 +137,7 @@ def dedupe_adjacent_lines(c: Column) -> Column:
     return strip(F.aggregate(universal_lines(c), start, step, lambda a: unlines(a["out"])))
 
 
-LEGISLATIVE_START = r"(?iuU)^\s*\((?:Modifi[eé]|Cr[eé]{1,2}|Abrog[eé])\b"
+LEGISLATIVE_START = "(?iuU)" + V.LEGISLATIVE_START
 
 
 def remove_legislative_notes(c: Column) -> Column:
@@ -179,7 +174,7 @@ def remove_markers(c: Column) -> Column:
 
 
 def remove_obsolete_articles(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?sU)Article\s+11\s*[-–—]\s*Soins\s+infirmiers\s+.{0,5}domicile\s+pour\s+un\s+patient,\s+quel\s+que\s+soit\s+son\s+.ge.*?(?=Article\s+12\s*[-–—])", "")
+    return F.regexp_replace(c, "(?sU)" + V.OBSOLETE_ARTICLE, "")
 
 
 def normalize_spaces(c: Column) -> Column:

@@ -97,6 +97,17 @@ PRIORITY_SCORES = {1: 1.0, 2: 0.8, 3: 0.7, 4: 0.6, 6: 0.5, 7: 0.4, 8: 0.3, 9: 0.
 RECENCY_STEPS = [(2, 1.0), (5, 0.8), (10, 0.6)]
 CURRENT_YEAR = 2026
 
+#: What an obsolete article starts with, up to the one after it; (?U) or re decides which letters count.
+OBSOLETE_ARTICLE = r"Article\s+11\s*[-–—]\s*Soins\s+infirmiers\s+.{0,5}domicile\s+pour\s+un\s+patient,\s+quel\s+que\s+soit\s+son\s+.ge.*?(?=Article\s+12\s*[-–—])"
+LEGISLATIVE_START = r"^\s*\((?:Modifi[eé]|Cr[eé]{1,2}|Abrog[eé])\b"
+GAZETTE_PATTERNS = [
+    r"^Version\s+en\s+vigueur\s+du\s+\d{2}/\d{2}/\d{4}\s*\z", r"(?iud)^Premi.re\s+partie\s*:?\s*Dispositions\s+G.n.rales\s*\z",
+    r"(?iud)^Deuxi.me\s+partie\s*:?.*radiations\s+ionisantes\s*\z", r"(?iud)^Cinqui.me\s+partie\s*:?.*biologie\s+m.dicale\s*\z",
+]
+GAZETTE_MARKS = [
+    r"\d{1,2}\s+\w+\s+\d{4}\s+Texte\s+\d+\s+sur\s+\d+", r"\d{1,2}\s+\w+\s+\d{4}\s*\n\s*Texte\s+\d+\s+sur\s+\d+", r"(?md)^Texte\s+\d+\s+sur\s+\d+\s*$",
+]
+
 REGISTRY_COLUMNS = ["id", "type_document", "titre", "annee", "source", "url", "nom_pdf", "theme", "priorite"]
 
 # --- end of fixed values ----------------------------------------------------

@@ -25,7 +25,7 @@ _sections = [
     ("references", re.compile(r"REFERENCES\s+DES\s+TEXTES\s+REGLEMENTAIRES.*?(?=ANNEXE\s+1|ANNEXE\s+2|$)", re.S)),
     ("bundles", re.compile(r"Tableau\s+2\s*:\s*R.gles\s+de\s+classement\s+des\s+forfaits\s+BSI.*?(?=ANNEXE\s+2|$)", re.S)),
 ]
-_obsolete = re.compile(r"Article\s+11\s*[-–—]\s*Soins\s+infirmiers\s+.{0,5}domicile\s+pour\s+un\s+patient,\s+quel\s+que\s+soit\s+son\s+.ge.*?(?=Article\s+12\s*[-–—])", re.S)
+_obsolete = re.compile(V.OBSOLETE_ARTICLE, re.S)
 
 
 def keeps_hyphen(before: str, after: str) -> bool:
