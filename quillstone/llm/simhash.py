@@ -534,10 +534,17 @@ class _Search:
         key = text_key(self.text_col)
         keyed = self.docs.select(text_or_empty(self.text_col).cast("binary").alias("_text"), F.coalesce(F.col(self.id_col).cast("long"), key).alias("_id"), key.alias("_key"))
         if wanted.count() <= SLOTS // 4:
-            slot = F.pmod(F.xxhash64("_id", "_key"), F.lit(SLOTS)).cast("int")
-            taken = np.zeros(SLOTS, dtype=np.uint8)
-            taken[wanted.select(slot.alias("s")).toPandas()["s"].to_numpy(dtype=np.int64)] = 1
-            keyed = keyed.where(F.substring(F.lit(bytearray(taken.tobytes())), slot + 1, F.lit(1)) == F.lit(bytearray(b"\x01")))
+            slot = F.pmod(F.xxhash64("_id", "_key"), F.lit(SLOTS)).cast("int").alias("_slot")
+            taken = np.zeros(SLOTS, dtype=bool)
+            taken[wanted.select(slot).toPandas()["_slot"].to_numpy(dtype=np.int64)] = True
+
+            def pass_over(batches, shared=wanted.sparkSession.sparkContext.broadcast(np.packbits(taken))):
+                taken = np.unpackbits(shared.value).astype(bool)
+                for b in batches:
+                    kept = b.filter(pa.array(taken[b.column(3).to_numpy()]))
+                    yield kept.select(["_text", "_id", "_key"])
+
+            keyed = keyed.select("*", slot).mapInArrow(pass_over, "_text binary, _id long, _key long")
         one = keyed.join(wanted, ["_id", "_key"]).select("fp", "_text").mapInArrow(run, "fp long, shingles binary, long binary")
         return materialize(one.dropDuplicates(["fp"]), "simhash-described")
 
