@@ -8,6 +8,7 @@ import unicodedata
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -63,17 +64,37 @@ def remove_sections(texts: pd.Series) -> pd.Series:
 
 
 def rewritten(docs: DataFrame, text_col: str, function) -> DataFrame:
-    """``docs`` with the texts rewritten in one Arrow pass."""
+    """``docs`` with the texts (an Arrow array) rewritten in one Arrow pass."""
     at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches):
         for b in batches:
-            made = pa.array([None if t is None else function(t) for t in b.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], made, *b.columns[at + 1:]], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], function(b.column(at)), *b.columns[at + 1:]], names=names)
 
     return docs.mapInArrow(run, docs.schema)
 
 
+def _where(texts: pa.Array, pattern: str, function) -> pa.Array:
+    """The function on the texts that match; the others do not become Python strings."""
+    texts = texts.cast(pa.string())
+    touched = pc.fill_null(pc.match_substring_regex(texts, pattern), False)
+    return pc.replace_with_mask(texts, touched, pa.array([function(t) for t in texts.filter(touched).to_pylist()], pa.string()))
+
+
+def composed(texts: pa.Array) -> pa.Array:
+    """NFC; characters under U+0300 are composed as they stand."""
+    return _where(texts, r"[^\x{0}-\x{2FF}]", lambda t: unicodedata.normalize("NFC", t))
+
+
+#: What any text holds that the callback substitutions change.
+_TOUCHED = r"-[\s\pZ\x{B}\x{1C}-\x{1F}\x{85}]*\n|Stations|REFERENCES|Tableau|Article"
+
+
+def substituted(texts: pa.Array) -> pa.Array:
+    """Hyphens, the obsolete article and the sections; only texts that hold a sign of them become Python strings."""
+    return _where(texts, _TOUCHED, lambda t: drop_sections(_obsolete.sub("", join_hyphens(t))))
+
+
 def normalize_unicode(c: Column) -> Column:
     return T.clean_characters(nfc(c))
 
@@ -86,9 +107,9 @@ NATIVE_STEPS = (
 
 def clean_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The whole chain in its fixed order: NFC, native steps, hyphens and sections, native rest."""
-    out = rewritten(docs, text_col, lambda t: unicodedata.normalize("NFC", t))
+    out = rewritten(docs, text_col, composed)
     c = F.col(text_col)
     for step in NATIVE_STEPS:
         c = step(c)
-    out = rewritten(out.withColumn(text_col, c), text_col, lambda t: drop_sections(_obsolete.sub("", join_hyphens(t))))
+    out = rewritten(out.withColumn(text_col, c), text_col, substituted)
     return out.withColumn(text_col, T.normalize_spaces(T.remove_markers(F.col(text_col))))
