@@ -124,13 +124,14 @@ def luhn(value: Column) -> Column:
     return F.coalesce(F.aggregate(places, F.lit(0), lambda a, i: a + F.coalesce(weigh(i), F.lit(0))) % 10 == 0, F.lit(False))
 
 
-def base_candidates(text: Column) -> dict[str, Column]:
+def base_candidates(text: Column, digit: Column) -> dict[str, Column]:
+    """Candidates of the base kinds; ``digit`` tells whether the text has one, so that the others are passed over at once."""
     digit_count = lambda s: F.length(_digits(s["value"]))
     found = {
         "email": candidates(text, EMAIL, text.contains("@")),
-        "ip": F.filter(candidates(text, IP, text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]")), lambda s: s["value"].rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")),
-        "card": F.filter(candidates(text, CARD, text.rlike(CARD)), lambda s: luhn(s["value"])),
-        "phone": F.filter(candidates(text, PHONE, text.contains("+")), lambda s: digit_count(s).between(9, 15)),
+        "ip": F.filter(candidates(text, IP, digit & text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]")), lambda s: s["value"].rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")),
+        "card": F.filter(candidates(text, CARD, digit & text.rlike(CARD)), lambda s: luhn(s["value"])),
+        "phone": F.filter(candidates(text, PHONE, digit & text.contains("+")), lambda s: digit_count(s).between(9, 15)),
     }
     return found
 
@@ -173,9 +174,10 @@ def features(kind: int, s: Column, weights: dict[str, float]) -> Column:
     return F.struct(s["start"].alias("start"), s["end"].alias("end"), *[c.cast("double").alias(f) for f, c in zip(FEATURES, columns)])
 
 
-def loose_candidates(text: Column, weights: list[dict[str, float]]) -> dict[str, Column]:
+def loose_candidates(text: Column, weights: list[dict[str, float]], digit: Column) -> dict[str, Column]:
     scored = lambda i: lambda s: features(i, s, weights[i])
-    return {kind: F.transform(candidates(text, p, text.rlike(gate)), scored(i)) for i, (kind, p, gate) in enumerate(LOOSE)}
+    gates = [text.rlike(gate) if kind == "masked_email" else digit & text.rlike(gate) for kind, _, gate in LOOSE]
+    return {kind: F.transform(candidates(text, p, gate), scored(i)) for i, ((kind, p, _), gate) in enumerate(zip(LOOSE, gates))}
 
 
 #: Training contexts: what people write before data of a kind, and before what only looks like it.
@@ -243,7 +245,7 @@ class Model:
         third = len(made) // 3
         self.weights = self._word_weights(made[:third])
         df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(made) if i >= third], "i long, text string")
-        found = loose_candidates(F.col("text"), self.weights)
+        found = loose_candidates(F.col("text"), self.weights, F.lit(True))
         x, y, kinds, fitted = [], [], [], []
         for r in sorted(df.select("i", *[c.alias(k) for k, c in found.items()]).collect(), key=lambda r: r["i"]):
             _, k, label = made[r["i"]]
@@ -287,23 +289,24 @@ class Model:
             cls._fitted = cls(spark)
         return cls._fitted
 
-    def selected(self, kind: int, s: Column) -> Column:
-        z = F.lit(self.bias)
-        for t in self.trees:
-            z = z + F.lit(0.4) * R.tree_column(t, lambda j: s[FEATURES[j]])
-        return z >= F.lit(self.thresholds[kind])
+    def selected(self, kind: int) -> str:
+        """SQL of whether the candidate ``s`` reaches its kind's threshold."""
+        if not np.isfinite(self.thresholds[kind]):
+            return "false"
+        trees = " + ".join(f"0.4D * {R.tree_sql(t, lambda j: f's.{FEATURES[j]}')}" for t in self.trees)
+        return f"{self.bias!r}D + {trees} >= {self.thresholds[kind]!r}D"
 
 
 def find_spans(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep`` and ``spans``: array<struct<start, kind_order, end, kind>> in order of start, then kind."""
     model = Model.get(docs.sparkSession)
     text = F.col("_text")
-    found = {**base_candidates(text), **loose_candidates(text, model.weights)}
+    found = {**base_candidates(text, F.col("_digit")), **loose_candidates(text, model.weights, F.col("_digit"))}
     plain = lambda k: lambda s: F.struct(s["start"].alias("start"), F.lit(ORDER.index(k)).alias("kind_order"), s["end"].alias("end"), F.lit(k).alias("kind"))
-    chosen = lambda i: lambda s: model.selected(i, s)
-    raw = docs.select(*keep, text_or_empty(text_col).alias("_text")).select(*keep, *[c.alias(f"_{k}") for k, c in found.items()])
+    chosen = lambda i, k: F.expr(f"transform(filter(`_{k}`, s -> {model.selected(i)}), s -> named_struct('start', s.start, 'kind_order', {ORDER.index(k)}, 'end', s.`end`, 'kind', '{k}'))")
+    raw = docs.select(*keep, text_or_empty(text_col).alias("_text")).withColumn("_digit", text.rlike("[0-9]")).select(*keep, *[c.alias(f"_{k}") for k, c in found.items()])
     arrays = [F.transform(F.col(f"_{k}"), plain(k)) for k in BASE]
-    arrays += [F.transform(F.filter(F.col(f"_{k}"), chosen(i)), plain(k)) for i, (k, _, _) in enumerate(LOOSE)]
+    arrays += [chosen(i, k) for i, (k, _, _) in enumerate(LOOSE)]
     return raw.select(*keep, F.array_sort(F.concat(*arrays)).alias("spans"))
 
 

@@ -114,8 +114,8 @@ def rule_column(rule: tuple, names: list[str]):
     return cond
 
 
-def tree_column(node: Node, get):
-    """The tree as nested CASE WHEN; ``get`` gives the column of a feature number."""
+def tree_sql(node: Node, name) -> str:
+    """The tree as nested CASE WHEN; ``name`` gives the SQL of a feature number."""
     if node.feature < 0:
-        return F.lit(node.value)
-    return F.when(get(node.feature) <= F.lit(node.cut), tree_column(node.left, get)).otherwise(tree_column(node.right, get))
+        return f"{node.value!r}D"
+    return f"CASE WHEN {name(node.feature)} <= {node.cut!r}D THEN {tree_sql(node.left, name)} ELSE {tree_sql(node.right, name)} END"
