@@ -270,15 +270,14 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str =
 # to shards; how many bits and samples follows from the number of points, so that
 # shards stay small and a pair of the similarity misses all of them with
 # probability MISS.  In a shard the first words nominate pairs: two rounds name
-# one partner a point and shard, which links most groups; of what they leave open
-# a third does by signatures of LONG words, and then every pair that is still open
-# is looked at (``open_pairs``).  So every pair that meets in a shard is linked,
-# rejected or implied.
+# one partner a point and shard, which links most groups, and of what they leave
+# open all pairs are looked at, by signatures of LONG words (``open_pairs``).  So
+# every pair that meets in a shard is linked, rejected or implied.
 #
 # Only the shingle sets of a pair accept it.  Bits reject a pair where they differ
 # by DEVIATIONS standard deviations more than pairs of the similarity do; first
 # the wide fingerprint's, then those of the long signature, which is made for the
-# points of nominated pairs only.  Majority bits
+# points of nominated or open pairs only.  Majority bits
 # of few shingles are too coarse for the angle: texts under SMALL shingles are
 # compared exactly, by a prefix of their sorted shingle sets.
 
@@ -286,8 +285,8 @@ WIDE, LONG, NEAR = 8, 64, 3
 DEVIATIONS, MISS = 5, 0.001
 #: Points of a shard that meet by chance; the fewest bits of a sample where first words and where long signatures are compared; the most.
 CHANCE, FEWEST, FEWEST_LONG, MOST = 256, 10, 6, 40
-#: Hash slots by which texts are passed over before a join (their number bounds what is broadcast).
-SLOTS = 1 << 22
+#: Hash slots by which texts are passed over before a join; at most a quarter of them is broadcast.
+SLOTS = 1 << 20
 #: Share of the samples that the first round takes: what it has linked need not be nominated again.
 FIRST = 0.25
 #: Texts of fewer shingles are compared by their shingle sets.
@@ -515,12 +514,12 @@ class _Search:
         self.sampled = sampling(points.count(), similarity)
         self.names = [f"w{i}" for i in range(WIDE)]
 
-    def described(self, nodes: DataFrame, with_long: bool = False) -> DataFrame:
-        """fp, shingles and long (the long signature, if wanted) of the nodes' texts, written.
+    def described(self, nodes: DataFrame) -> DataFrame:
+        """fp, shingles and long (the long signature) of the nodes' texts, written.
 
         Few texts are wanted.  Those whose hash slot is free are passed over where they
-        stand, so that the join moves little more than the wanted ones; beyond a slot in
-        four it moves all."""
+        stand, by a broadcast of the taken slots, so that the join moves little more than
+        the wanted ones; beyond a slot in four it moves all."""
         # a written table: broadcast only if its true size is under the session's threshold
         wanted = materialize(self.points.join(nodes.select("fp").distinct(), "fp", "left_semi").select("fp", F.coalesce("_first.id", "_first.key").alias("_id"), F.col("_first.key").alias("_key")), "simhash-wanted")
         k = self.k
@@ -528,23 +527,14 @@ class _Search:
         def run(batches):
             for b in batches:
                 texts = [t.as_buffer().to_pybytes() for t in b.column(1)]
-                longs = [signature(shingle_digests(t, k), LONG).tobytes() if with_long else None for t in texts]
+                longs = [signature(shingle_digests(t, k), LONG).tobytes() for t in texts]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, k).tobytes() for t in texts], pa.binary()), pa.array(longs, pa.binary())], names=["fp", "shingles", "long"])
 
         key = text_key(self.text_col)
         keyed = self.docs.select(text_or_empty(self.text_col).cast("binary").alias("_text"), F.coalesce(F.col(self.id_col).cast("long"), key).alias("_id"), key.alias("_key"))
         if wanted.count() <= SLOTS // 4:
             slot = F.pmod(F.xxhash64("_id", "_key"), F.lit(SLOTS)).cast("int").alias("_slot")
-            taken = np.zeros(SLOTS, dtype=bool)
-            taken[wanted.select(slot).toPandas()["_slot"].to_numpy(dtype=np.int64)] = True
-
-            def pass_over(batches, shared=wanted.sparkSession.sparkContext.broadcast(np.packbits(taken))):
-                taken = np.unpackbits(shared.value).astype(bool)
-                for b in batches:
-                    kept = b.filter(pa.array(taken[b.column(3).to_numpy()]))
-                    yield kept.select(["_text", "_id", "_key"])
-
-            keyed = keyed.select("*", slot).mapInArrow(pass_over, "_text binary, _id long, _key long")
+            keyed = keyed.select("*", slot).join(F.broadcast(wanted.select(slot).distinct()), "_slot", "left_semi").drop("_slot")
         one = keyed.join(wanted, ["_id", "_key"]).select("fp", "_text").mapInArrow(run, "fp long, shingles binary, long binary")
         return materialize(one.dropDuplicates(["fp"]), "simhash-described")
 
@@ -553,7 +543,7 @@ class _Search:
         side = lambda node, name: described.select(F.col("fp").alias(node), F.col(column).alias(name))
         return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
 
-    def verified(self, pairs: DataFrame, described: DataFrame, by_long: bool = False) -> DataFrame:
+    def verified(self, pairs: DataFrame, described: DataFrame) -> DataFrame:
         """The pairs whose shingle sets really have the similarity."""
         most, similarity = most_bits(self.similarity, LONG), self.similarity
         load = lambda x: np.frombuffer(x.as_buffer(), dtype=np.uint64)
@@ -566,8 +556,7 @@ class _Search:
 
             return run
 
-        if by_long:
-            pairs = self.joined(pairs, described, "long").mapInArrow(keep(lambda x, y: differ(x, y) <= most), "a long, b long")
+        pairs = self.joined(pairs, described, "long").mapInArrow(keep(lambda x, y: differ(x, y) <= most), "a long, b long")
         return self.joined(pairs, described, "shingles").mapInArrow(keep(lambda x, y: jaccard(x, y) >= similarity), "a long, b long")
 
     def near_pairs(self, pairs: DataFrame) -> DataFrame:
@@ -604,21 +593,15 @@ class _Search:
         rows = self.dealt(rooted, self.sampled[0], tables, " ".join(["fp", "root", *near]), "fp long, root long, " + ", ".join(f"{w} long" for w in near))
         return materialize(rows.mapInArrow(run, "a long, b long").distinct(), "simhash-found")
 
-    def by_long(self, remaining: DataFrame, described: DataFrame, every: bool) -> DataFrame:
-        """Pairs of the remaining points that meet in a shard and that their long signatures do
-        not reject: one partner a point and shard, or every pair."""
+    def left_open(self, remaining: DataFrame, described: DataFrame) -> DataFrame:
+        """All pairs of the remaining points that meet in a shard and that their long signatures do not reject."""
         most = most_bits(self.similarity, LONG)
 
         def run(batches):
             for t in whole_shards(batches, ["key", "fp", "root", "long"]):
                 longs = np.frombuffer(b"".join(t.column("long").to_pylist()), np.uint64).reshape(-1, LONG)
-                keys, nodes, labels = (t.column(i).to_numpy() for i in range(3))
-                if every:
-                    found = open_pairs(keys, nodes, labels, longs, most)
-                    yield _edges(found[:, 0], found[:, 1])
-                else:
-                    a, b, _ = nominated(keys, nodes, longs, labels, most)
-                    yield _edges(np.maximum(a, b), np.minimum(a, b))
+                found = open_pairs(*(t.column(i).to_numpy() for i in range(3)), longs, most)
+                yield _edges(found[:, 0], found[:, 1])
 
         bits, tables = sampling(remaining.count(), self.similarity, FEWEST_LONG)
         rows = self.dealt(remaining.join(described.select("fp", "long"), "fp"), bits, tables, "fp root long", "fp long, root long, long binary")
@@ -657,7 +640,7 @@ def similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
     search = _Search(docs, points, k, similarity, id_col, text_col)
 
     linked = materialize(small_links(rows.where("shingles is not null").select("fp", "shingles").distinct(), similarity), "simhash-linked")
-    rooted, seen = search.roots(linked), None
+    rooted, seen = points.select("fp", "_first", *names, F.col("fp").alias("root")), None
     known = None
     for tables in (max(1, int(search.sampled[1] * FIRST)), search.sampled[1]):
         found = search.nominate(rooted, tables)
@@ -670,15 +653,13 @@ def similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
         rooted = search.roots(linked)
         seen = near if seen is None else seen.unionByName(near)
 
-    # what the last round, over all samples, left open: again by partners, then every pair that is still open
-    opened = materialize(found.where("a = b").select(F.col("a").alias("fp")), "simhash-left")
-    remaining = lambda: rooted.join(opened, "fp", "left_semi").select("fp", "root", *names)
-    described = search.described(remaining(), True)
+    # what the last round, over all samples, left open
+    opened = found.where("a = b").select(F.col("a").alias("fp"))
+    remaining = materialize(rooted.join(opened, "fp", "left_semi").select("fp", "root", *names), "simhash-left")
+    described = known.unionByName(search.described(remaining.join(known, "fp", "left_anti")))
     seen = seen.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    for every in (False, True):
-        near = materialize(search.by_long(remaining(), described, every).join(seen, ["a", "b"], "left_anti"), "simhash-near")
-        linked = materialize(linked.unionByName(search.verified(near, described)), "simhash-linked")
-        rooted, seen = search.roots(linked), seen.unionByName(near)
+    near = materialize(search.left_open(remaining, described).join(seen, ["a", "b"], "left_anti"), "simhash-near")
+    rooted = search.roots(linked.unionByName(search.verified(near, described)))
     named = rooted.groupBy("root").agg(F.min("_first").alias("_name"))
     found = rows.select("id", "key", "fp").join(rooted.join(named, "root").select("fp", "_name"), "fp")
     return found.select(F.col("id").alias(id_col), F.col("key").alias("text_key"), F.col("_name.id").alias("component_id"), F.col("_name.key").alias("component_key"))
