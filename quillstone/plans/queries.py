@@ -373,7 +373,7 @@ _flag("pdf_name_extract", "files", T.pdf_name, "nullif(regexp_extract(t, '^(pdf_
 
 _flag("condition_line_detect", "starts", T.is_condition_line, " or ".join(f"starts_with(trim(t, {_WS}), '{w.replace(chr(39), chr(39) * 2)}')" for w in V.CONDITION_LINE_STARTERS))
 _flag("header_line_detect", "starts", T.is_header_line, f"regexp_matches(trim(t, {_WS}), '(?i)^((TITRE|CHAPITRE|PARTIE|SECTION)\\s|Article\\b)')")
-_flag("open_code_extract", "opens", T.open_code, r"nullif(regexp_extract(t, '(?i)(lettre clé\s+[A-Z]{1,4}\s+ou(?:\s+[A-Z]{1,4}\s+ou)*)\s*$', 1), '')")
+_flag("partial_code_extract", "opens", T.open_code, r"nullif(regexp_extract(t, '(?i)(lettre clé\s+[A-Z]{1,4}\s+ou(?:\s+[A-Z]{1,4}\s+ou)*)\s*$', 1), '')")
 _flag("lk_clean", "codes", T.clean_letter_keys, "''")
 ORACLE_SQL["lk_clean"] = f"""with d as (select doc_id, {NOISE['codes']} as t from documents),
 s as (select doc_id, trim(regexp_replace(trim(regexp_replace(t, '\\s+', ' ', 'g'), {_WS}), '[;,:\\-–—]+$', ''), {_WS}) as t from d),
