@@ -5,10 +5,17 @@ are streamed against a block as matrix products, and every batch forwards only
 its own best rows per query.  So the work a query causes is one pass over the
 chunks, what is shuffled is at most k rows per query and batch, and no pair of
 query and chunk is ever a row.
+
+A matrix product sums in an order of its own, which can part equal scores and
+move a score over a limit.  So products only choose candidates, with room for
+their rounding; a score is the dot product summed in order of the dimensions
+over the product of the norms, to the last bit the same in any batch and block.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -33,6 +40,36 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
+def _room(m: np.ndarray) -> float:
+    """More than a product of unit vectors and ``_cosine`` can lie apart by rounding."""
+    return 4 * (m.shape[1] + 8) * np.finfo(np.float64).eps
+
+
+def _norms(m: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(m))
+    for column in m.T:
+        total += column * column
+    return np.sqrt(total)
+
+
+def _cosine(a: np.ndarray, b: np.ndarray, norms_a: np.ndarray, norms_b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of the rows ``i`` of a with the rows ``j`` of b; zero where either norm is zero."""
+    total = np.zeros(len(i))
+    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)):
+        total += x[i] * y[j]
+    both = norms_a[i] * norms_b[j]
+    return np.divide(total, both, out=np.zeros_like(total), where=both > 0)
+
+
+def _fewer_copies(ids: np.ndarray, m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Without the rows that have ``k`` copies of smaller ids: they score the same, so none is among the ``k`` best."""
+    _, which = np.unique(np.ascontiguousarray(m).view(np.dtype((np.void, m.itemsize * m.shape[1]))).ravel(), return_inverse=True)
+    order = np.lexsort((ids, which))
+    place = np.arange(len(order)) - np.searchsorted(which[order], which[order])
+    kept = order[place < k]
+    return ids[kept], m[kept]
+
+
 def search(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", key: tuple[str, ...] = ("query_id", "sq_idx"), query_vector: str = "vec") -> DataFrame:
     """(key..., id, cosine_score, rank): the ``k`` best chunks of every query vector.
 
@@ -44,18 +81,20 @@ def search(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     found = None
     for block in _blocks(queries.select(*[F.col(c).cast("long") for c in key], vector.doubles(F.col(query_vector)))):
         labels = np.array([r[:-1] for r in block], dtype=np.int64)
-        matrix = _unit(np.array([r[-1] for r in block], dtype=np.float64))
+        matrix = np.array([r[-1] for r in block], dtype=np.float64)
 
         def run(batches, labels=labels, matrix=matrix):
+            unit, norms = _unit(matrix), _norms(matrix)
             for b in batches:
                 if not b.num_rows:
                     continue
                 ids, m = b.column(0).to_numpy(), _matrix(b.column(1))
                 if m.shape[1] != matrix.shape[1]:
                     raise ValueError("vectors of unequal size")
-                scores = matrix @ _unit(m).T
-                asker, hit = best_of(scores, ids, k)
-                columns = [labels[asker, i] for i in range(labels.shape[1])] + [ids[hit], scores[asker, hit]]
+                ids, m = _fewer_copies(ids, m, k)
+                score = partial(_cosine, matrix, m, norms, _norms(m))
+                asker, hit = best_of(unit @ _unit(m).T, ids, k, score, _room(m))
+                columns = [labels[asker, i] for i in range(labels.shape[1])] + [ids[hit], score(asker, hit)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*keys, "cosine_score"])
 
         part = rows.mapInArrow(run, schema)
@@ -66,18 +105,20 @@ def search(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def best_of(near: np.ndarray, ids: np.ndarray, k: int, score=None, room: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of the ``k`` highest scores of each row; of equal ones those of the smallest ids.
 
-    Only what reaches the k-th score is sorted, not the whole row."""
-    if scores.shape[1] > k:
-        least = np.partition(scores, -k, axis=1)[:, -k]
-        row, column = np.nonzero(scores >= least[:, None])
+    ``near`` is the scores, or within ``room`` of ``score(row, column)``.  Only what may reach the k-th
+    score is scored and sorted, not the whole row."""
+    if near.shape[1] > k:
+        least = np.partition(near, -k, axis=1)[:, -k] - 2 * room
+        row, column = np.nonzero(near >= least[:, None])
     else:
-        row, column = (x.ravel() for x in np.indices(scores.shape))
-    order = np.lexsort((ids[column], -scores[row, column], row))
+        row, column = (x.ravel() for x in np.indices(near.shape))
+    scores = score(row, column) if score else near[row, column]
+    order = np.lexsort((ids[column], -scores, row))
     row, column = row[order], column[order]
-    first = np.searchsorted(row, np.arange(len(scores)))
+    first = np.searchsorted(row, np.arange(len(near)))
     keep = np.arange(len(row)) - first[row] < k
     return row[keep], column[keep]
 

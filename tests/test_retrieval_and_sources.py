@@ -1,6 +1,7 @@
 """Retrieval, joins, sources, providers and plans."""
 
 import json
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -41,6 +42,25 @@ def test_search_equals_brute_force_with_stable_ties(spark, vectors):
     assert retrieval.search(vectors.limit(0), asked(vectors, [5]), 3).count() == 0
 
 
+def in_order(a, b):
+    """Cosine as SQL sums it: dimension by dimension (Python's sum of floats compensates)."""
+    dot = lambda x, y: reduce(float.__add__, (float(p) * float(q) for p, q in zip(x, y)))
+    return dot(a, b) / (dot(a, a) ** 0.5 * dot(b, b) ** 0.5)
+
+
+def test_scores_are_summed_in_order_to_the_last_bit(spark):
+    rng = np.random.default_rng(7)
+    made = rng.normal(size=(300, 64)).astype(np.float32)
+    made[100:200] = made[:100]  # copies score alike, in whatever batch they stand
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(made)], "vec_id long, embedding array<float>").repartition(7)
+    got = retrieval.search(rows, asked(rows, [0, 50, 250]), 20).orderBy("sq_idx", "rank").collect()
+    expect = []
+    for q in (0, 50, 250):
+        scores = {i: in_order(made[q], v) for i, v in enumerate(made)}
+        expect += [(q, i, scores[i]) for i in sorted(scores, key=lambda i: (-scores[i], i))[:20]]
+    assert [(r.sq_idx, r.vec_id, r.cosine_score) for r in got] == expect
+
+
 def test_unequal_sizes_are_an_error(spark, vectors):
     bad = spark.createDataFrame([(0, 0, [1.0, 2.0])], "query_id long, sq_idx long, vec array<double>")
     with pytest.raises(Exception, match="unequal size"):
