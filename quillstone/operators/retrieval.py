@@ -189,9 +189,13 @@ def deduplicate(scored: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
 
     def fold(table: pa.Table) -> pa.Table:
         table = table.sort_by(rank)
-        unit, kept = _unit(_matrix(table[vector_col].combine_chunks())), []
-        for i in range(len(unit)):
-            if not kept or (unit[kept] @ unit[i]).max() <= threshold:
+        m = _matrix(table[vector_col].combine_chunks())
+        unit, norms, room, kept = _unit(m), _norms(m), _room(m), []
+        for i in range(len(m)):
+            near = unit[kept] @ unit[i]
+            over = (near > threshold + room).any()
+            at = np.array(kept, dtype=np.int64)[np.abs(near - threshold) <= room]
+            if not over and not (_cosine(m, m, norms, norms, at, np.full(len(at), i)) > threshold).any():
                 kept.append(i)
         return table.take(pa.array(kept, pa.int64()))
 

@@ -75,6 +75,17 @@ def test_greedy_dedup_keeps_a_and_c_of_a_chain(spark):
     assert {r.vec_id for r in retrieval.deduplicate(rows, 0.93).collect()} == {1, 3, 4}
 
 
+def test_greedy_dedup_compares_scores_summed_in_order(spark):
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(2, 64)).astype(np.float32)
+    orders = [rng.permutation(64) for _ in range(60)]
+    threshold = sorted(in_order(a[o], b[o]) for o in orders)[30]
+    rows = [(q, i, i, v[o].tolist()) for q, o in enumerate(orders) for i, v in ((1, a), (2, b))]
+    kept = retrieval.deduplicate(spark.createDataFrame(rows, "query_id long, vec_id long, position int, embedding array<float>"), threshold).collect()
+    expect = {(q, i) for q, o in enumerate(orders) for i in (1, 2) if i == 1 or in_order(a[o], b[o]) <= threshold}
+    assert {(r.query_id, r.vec_id) for r in kept} == expect
+
+
 def test_retrieve_and_fusion(spark, vectors):
     found = retrieval.retrieve(vectors, asked(vectors, [5, 9]), 4, 30, -1.0).orderBy("position").collect()
     assert [r.position for r in found] == [1, 2, 3, 4] and found[0].vec_id in (5, 9, 201)
