@@ -271,8 +271,9 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str =
 # shards stay small and a pair of the similarity misses all of them with
 # probability MISS.  In a shard the first words nominate pairs: two rounds name
 # one partner a point and shard, which links most groups, and of what they leave
-# open all pairs are looked at, by signatures of LONG words (``open_pairs``).  So
-# every pair that meets in a shard is linked, rejected or implied.
+# open all pairs are looked at, by signatures of LONG words (``open_pairs``).  What
+# these do not reject is compared group by group (``block_links``), not row by row.
+# So every pair that meets in a shard is linked, rejected or implied.
 #
 # Only the shingle sets of a pair accept it.  Bits reject a pair where they differ
 # by DEVIATIONS standard deviations more than pairs of the similarity do; first
@@ -291,6 +292,8 @@ SLOTS = 1 << 20
 FIRST = 0.25
 #: Texts of fewer shingles are compared by their shingle sets.
 SMALL = 16
+#: Points, and bytes of their shingle sets, of a block of an open group; a task compares two blocks.
+BLOCK, BLOCK_BYTES = 2048, 1 << 25
 
 
 def differing(similarity: float) -> float:
@@ -430,6 +433,16 @@ def open_pairs(keys: np.ndarray, nodes: np.ndarray, labels: np.ndarray, points:
     return np.unique(np.concatenate(out), axis=0)
 
 
+def stars(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star (node, smallest node) per component of the pairs."""
+    nodes, place = np.unique(pairs, return_inverse=True)
+    place, forest = place.reshape(-1, 2), Forest(len(nodes))
+    for at in range(0, len(place), 4096):
+        forest.link(place[at:at + 4096, 0], place[at:at + 4096, 1])
+    other = np.flatnonzero(forest.label != np.arange(len(nodes)))
+    return nodes[other], nodes[forest.label[other]]
+
+
 def shingle_set(text: bytes, k: int) -> np.ndarray:
     """Sorted hashes of the set of k-word shingles."""
     words = text.lower().split()
@@ -483,6 +496,36 @@ def set_links(keys: np.ndarray, nodes: np.ndarray, sets: list[bytes], similarity
     return a[a != b], b[a != b]
 
 
+def block_links(keys: np.ndarray, nodes: np.ndarray, labels: np.ndarray, sides: np.ndarray, alone: np.ndarray, points: np.ndarray, sets: list[np.ndarray], most: int, similarity: float):
+    """Links (node, smallest node linked) of what the labels leave apart in each shard: every pair of two labels
+    whose points differ in at most ``most`` bits is compared by its shingle sets, until it is linked.  In a shard
+    of two sides only pairs across them are looked at, where ``alone`` all.  Equal keys stand together."""
+    out_a, out_b = [nodes[:0]], [nodes[:0]]
+    for s, m in _spans(keys, 2):
+        order = s + np.argsort(nodes[s:s + m], kind="stable")
+        own, of, at, side, every = (x[order] for x in (nodes, labels, points, sides, alone))
+        held = [sets[i] for i in order]
+        n, number = np.array([len(x) for x in held]), np.arange(m)
+        _, first, which = np.unique(of, return_index=True, return_inverse=True)
+        forest = Forest(m)
+        forest.label = first[which]
+        for some, near, big in _across(at, of, most):
+            for i, row in zip(some.tolist(), near):
+                ahead = row & (big | (number > i)) & (every | (side != side[i])) & (forest.label != forest.label[i])
+                like = np.flatnonzero(ahead & (n >= similarity * n[i]) & (n[i] >= similarity * n) & (n > 0))
+                if not len(like):
+                    continue
+                values, mine = np.concatenate([held[j] for j in like]), held[i]
+                found = mine[np.minimum(np.searchsorted(mine, values), len(mine) - 1)] == values
+                common = np.add.reduceat(found, np.r_[0, np.cumsum(n[like])[:-1]], dtype=np.int64)
+                like = like[common / (n[i] + n[like] - common) >= similarity]
+                forest.link(np.full(len(like), i), like)
+        moved = first[forest.label[first] != first]
+        out_a.append(own[moved])
+        out_b.append(own[forest.label[moved]])
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
 def small_links(small: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) that connect all of ``small`` (fp, shingles) of the similarity."""
     def heads(batches):
@@ -515,7 +558,7 @@ class _Search:
         self.names = [f"w{i}" for i in range(WIDE)]
 
     def described(self, nodes: DataFrame) -> DataFrame:
-        """fp, shingles and long (the long signature) of the nodes' texts, written.
+        """fp, shingles, size (bytes of them) and long (the long signature) of the nodes' texts, written.
 
         Few texts are wanted.  Those whose hash slot is free are passed over where they
         stand, by a broadcast of the taken slots, so that the join moves little more than
@@ -528,15 +571,19 @@ class _Search:
             for b in batches:
                 texts = [t.as_buffer().to_pybytes() for t in b.column(1)]
                 longs = [signature(shingle_digests(t, k), LONG).tobytes() for t in texts]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, k).tobytes() for t in texts], pa.binary()), pa.array(longs, pa.binary())], names=["fp", "shingles", "long"])
+                sets = [shingle_set(t, k).tobytes() for t in texts]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(longs, pa.binary())], names=["fp", "shingles", "size", "long"])
 
         key = text_key(self.text_col)
         keyed = self.docs.select(text_or_empty(self.text_col).cast("binary").alias("_text"), F.coalesce(F.col(self.id_col).cast("long"), key).alias("_id"), key.alias("_key"))
         if wanted.count() <= SLOTS // 4:
             slot = F.pmod(F.xxhash64("_id", "_key"), F.lit(SLOTS)).cast("int").alias("_slot")
             keyed = keyed.select("*", slot).join(F.broadcast(wanted.select(slot).distinct()), "_slot", "left_semi").drop("_slot")
-        one = keyed.join(wanted, ["_id", "_key"]).select("fp", "_text").mapInArrow(run, "fp long, shingles binary, long binary")
-        return materialize(one.dropDuplicates(["fp"]), "simhash-described")
+        one = keyed.join(wanted, ["_id", "_key"]).select("fp", "_text").mapInArrow(run, "fp long, shingles binary, size long, long binary")
+        made = materialize(one, "simhash-described")
+        if made.groupBy("fp").count().where("count > 1").isEmpty():
+            return made
+        return materialize(made.dropDuplicates(["fp"]), "simhash-described")  # a document stood there in several rows
 
     def joined(self, pairs: DataFrame, described: DataFrame, column: str) -> DataFrame:
         """The pairs with the column of a as x and of b as y."""
@@ -594,18 +641,35 @@ class _Search:
         return materialize(rows.mapInArrow(run, "a long, b long").distinct(), "simhash-found")
 
     def left_open(self, remaining: DataFrame, described: DataFrame) -> DataFrame:
-        """All pairs of the remaining points that meet in a shard and that their long signatures do not reject."""
-        most = most_bits(self.similarity, LONG)
+        """Links of the remaining points: all pairs that meet in a shard and that their long signatures do not
+        reject are compared by their shingle sets.
 
-        def run(batches):
+        Such pairs grow with the square of a group, so none is a row.  A shard names the groups
+        that hang together by them; a group comes to one task, or to one for any two of its blocks, and is
+        compared there."""
+        most, similarity = most_bits(self.similarity, LONG), self.similarity
+        load = lambda column, n: np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, n)
+
+        def shards(batches):
             for t in whole_shards(batches, ["key", "fp", "root", "long"]):
-                longs = np.frombuffer(b"".join(t.column("long").to_pylist()), np.uint64).reshape(-1, LONG)
-                found = open_pairs(*(t.column(i).to_numpy() for i in range(3)), longs, most)
-                yield _edges(found[:, 0], found[:, 1])
+                yield _edges(*stars(open_pairs(*(t.column(i).to_numpy() for i in range(3)), load(t.column("long"), LONG), most)))
+
+        def compare(batches):
+            for t in whole_shards(batches, ["key", "fp", "root", "side", "alone", "long", "shingles"]):
+                sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+                yield _edges(*block_links(*(t.column(i).to_numpy() for i in range(5)), load(t.column("long"), LONG), sets, most, similarity))
 
-        bits, tables = sampling(remaining.count(), self.similarity, FEWEST_LONG)
+        bits, tables = sampling(remaining.count(), similarity, FEWEST_LONG)
         rows = self.dealt(remaining.join(described.select("fp", "long"), "fp"), bits, tables, "fp root long", "fp long, root long, long binary")
-        return rows.mapInArrow(run, "a long, b long").distinct()
+        groups = components(rows.mapInArrow(shards, "a long, b long").distinct())
+        groups = groups.union(groups.select("root", "root").distinct()).toDF("fp", "group")
+        members = materialize(remaining.select("fp", "root").join(groups, "fp").join(described.select("fp", "size"), "fp"), "simhash-open")
+        parts = members.groupBy("group").agg(F.greatest(F.ceil(F.count("size") / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES), F.lit(1)).alias("_parts"))
+        sided = members.join(parts, "group").withColumn("side", F.pmod(F.xxhash64("fp"), "_parts"))
+        other = sided.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_other"))
+        keyed = other.select(F.xxhash64("group", F.least("side", "_other"), F.greatest("side", "_other")).alias("key"), "fp", "root", "side", (F.col("side") == F.col("_other")).alias("alone"))
+        whole = keyed.join(described.select("fp", "long", "shingles"), "fp").select("key", "fp", "root", "side", "alone", "long", "shingles")
+        return whole.repartition(shuffle_partitions(self.docs.sparkSession), "key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long").distinct()
 
     def roots(self, linked: DataFrame) -> DataFrame:
         roots = components(linked)
@@ -657,9 +721,7 @@ def similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
     opened = found.where("a = b").select(F.col("a").alias("fp"))
     remaining = materialize(rooted.join(opened, "fp", "left_semi").select("fp", "root", *names), "simhash-left")
     described = known.unionByName(search.described(remaining.join(known, "fp", "left_anti")))
-    seen = seen.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    near = materialize(search.left_open(remaining, described).join(seen, ["a", "b"], "left_anti"), "simhash-near")
-    rooted = search.roots(linked.unionByName(search.verified(near, described)))
+    rooted = search.roots(linked.unionByName(search.left_open(remaining, described)))
     named = rooted.groupBy("root").agg(F.min("_first").alias("_name"))
     found = rows.select("id", "key", "fp").join(rooted.join(named, "root").select("fp", "_name"), "fp")
     return found.select(F.col("id").alias(id_col), F.col("key").alias("text_key"), F.col("_name.id").alias("component_id"), F.col("_name.key").alias("component_key"))

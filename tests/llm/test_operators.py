@@ -673,6 +673,58 @@ def test_many_copies_that_only_the_original_links(spark):
     assert len(got) == 301 and sum(r.component_id == 0 for r in got) >= 298
 
 
+def test_pairs_just_under_the_similarity_are_no_rows(spark, monkeypatch):
+    """In a group all of whose pairs must be compared, no table grows with the pairs; any blocks give the same."""
+    rng, base, texts = random.Random(4), [f"w{i}" for i in range(600)], []
+    for i in range(80):
+        words = list(base)
+        for at in rng.sample(range(600), 8):
+            words[at] = f"x{i}_{at}"
+        texts.append(" ".join(words))
+    texts += [t.replace("w300 w301", "w300 y") for t in texts[:20]]  # linked with their originals
+    sets = [simhash.shingle_set(t.encode(), 5) for t in texts]
+    alike = {(i, j): simhash.jaccard(sets[i], sets[j]) for i in range(100) for j in range(i)}
+    assert sum(0.74 < x < 0.8 for x in alike.values()) > 3000
+    root = list(range(100))
+    for _ in range(100):
+        for (i, j), x in alike.items():
+            if x >= 0.8:
+                root[i] = root[j] = min(root[i], root[j])
+    written, plain = [], simhash.materialize
+
+    def count(df, name, **kw):
+        made = plain(df, name, **kw)
+        written.append((made.count(), name))
+        return made
+
+    monkeypatch.setattr(simhash, "materialize", count)
+    for block in (2048, 16):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        got = simhash.similar(frame(spark, texts)).collect()
+        assert [r.component_id for r in sorted(got, key=lambda r: r.doc_id)] == [root[i] for i in range(100)]
+    assert max(written)[0] < 2000, max(written)  # the nominated pairs: one partner a point and sample
+
+
+def test_block_links_are_those_of_all_pairs():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(np.r_[np.arange(40)[rng.random(40) < 0.85], rng.integers(1000, 1004, 2)]).astype(np.uint64) for _ in range(60)]
+    nodes, labels, side, none = rng.permutation(60), rng.integers(0, 200, 60), rng.integers(0, 2, 60), np.zeros((60, 1), np.uint64)
+    for alone in (True, False):
+        a, b = simhash.block_links(np.zeros(60, np.int64), nodes, labels, side, np.full(60, alone), none, sets, 0, 0.8)
+        like = [(i, j) for i in range(60) for j in range(i) if labels[i] == labels[j] or ((alone or side[i] != side[j]) and simhash.jaccard(sets[i], sets[j]) >= 0.8)]
+        same = [(i, j) for i in range(60) for j in range(i) if labels[i] == labels[j]]
+        at = {x: i for i, x in enumerate(nodes.tolist())}
+        found = same + [(at[x], at[y]) for x, y in zip(a.tolist(), b.tolist())]
+        parts = []
+        for edges in (like, found):
+            root = list(range(60))
+            for _ in range(60):
+                for i, j in edges:
+                    root[i] = root[j] = min(root[i], root[j])
+            parts.append(root)
+        assert parts[0] == parts[1] and len(a) and len(set(parts[0])) > 1
+
+
 def test_open_pairs_are_all_near_pairs_of_two_labels():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 8, dtype=np.uint64)
