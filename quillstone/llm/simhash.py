@@ -286,8 +286,8 @@ WIDE, LONG, NEAR = 8, 64, 3
 DEVIATIONS, MISS = 5, 0.001
 #: Points of a shard that meet by chance; the fewest bits of a sample where first words and where long signatures are compared; the most.
 CHANCE, FEWEST, FEWEST_LONG, MOST = 256, 10, 6, 40
-#: Hash slots by which texts are passed over before a join; at most a quarter of them is broadcast.
-SLOTS = 1 << 20
+#: Hash slots a wanted row by which others are passed over before a join, and the most slots; 64 of them are a row of the broadcast.
+SPREAD, SLOTS = 16, 1 << 26
 #: Share of the samples that the first round takes: what it has linked need not be nominated again.
 FIRST = 0.25
 #: Texts of fewer shingles are compared by their shingle sets.
@@ -549,6 +549,26 @@ def text_key(text_col: str):
     return F.xxhash64(text_or_empty(text_col))
 
 
+def slotted(rows: DataFrame, wanted: DataFrame, *cols: str) -> DataFrame:
+    """``rows`` and ``_taken``: false only where no row of ``wanted`` has the same ``cols``.
+
+    So what a join would not meet need not move for it.  The taken hash slots are
+    broadcast as a bitmap, of SLOTS / 64 rows at most and never more than ``wanted``
+    has.  True says nothing: about one in SPREAD of the others shares a taken slot,
+    more where SLOTS are too few."""
+    slots = 1 << int(np.clip(np.ceil(np.log2(max(1, SPREAD * wanted.count()))), 10, np.log2(SLOTS)))
+    slot = F.pmod(F.xxhash64(*cols), F.lit(slots))
+    place = {"_word": F.shiftright(slot, 6), "_bit": F.pmod(slot, F.lit(64)).cast("int")}
+    bits = wanted.select(*[c.alias(name) for name, c in place.items()]).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    marked = rows.withColumns(place).join(F.broadcast(bits), "_word", "left")
+    return marked.withColumn("_taken", F.coalesce(F.getbit("_bits", F.col("_bit")) == 1, F.lit(False))).drop("_word", "_bit", "_bits")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The nodes of the pairs, repeats included."""
+    return pairs.select(F.col("a").alias("fp")).union(pairs.select("b"))
+
+
 class _Search:
     """The state of one search: documents, points, and what is known of them."""
 
@@ -561,8 +581,7 @@ class _Search:
         """fp, shingles, size (bytes of them) and long (the long signature) of the nodes' texts, written.
 
         Few texts are wanted.  Those whose hash slot is free are passed over where they
-        stand, by a broadcast of the taken slots, so that the join moves little more than
-        the wanted ones; beyond a slot in four it moves all."""
+        stand, so that the join moves little more than the wanted ones."""
         # a written table: broadcast only if its true size is under the session's threshold
         wanted = materialize(self.points.join(nodes.select("fp").distinct(), "fp", "left_semi").select("fp", F.coalesce("_first.id", "_first.key").alias("_id"), F.col("_first.key").alias("_key")), "simhash-wanted")
         k = self.k
@@ -576,18 +595,16 @@ class _Search:
 
         key = text_key(self.text_col)
         keyed = self.docs.select(text_or_empty(self.text_col).cast("binary").alias("_text"), F.coalesce(F.col(self.id_col).cast("long"), key).alias("_id"), key.alias("_key"))
-        if wanted.count() <= SLOTS // 4:
-            slot = F.pmod(F.xxhash64("_id", "_key"), F.lit(SLOTS)).cast("int").alias("_slot")
-            keyed = keyed.select("*", slot).join(F.broadcast(wanted.select(slot).distinct()), "_slot", "left_semi").drop("_slot")
-        one = keyed.join(wanted, ["_id", "_key"]).select("fp", "_text").mapInArrow(run, "fp long, shingles binary, size long, long binary")
+        one = slotted(keyed, wanted, "_id", "_key").where("_taken").join(wanted, ["_id", "_key"]).select("fp", "_text").mapInArrow(run, "fp long, shingles binary, size long, long binary")
         made = materialize(one, "simhash-described")
         if made.groupBy("fp").count().where("count > 1").isEmpty():
             return made
         return materialize(made.dropDuplicates(["fp"]), "simhash-described")  # a document stood there in several rows
 
     def joined(self, pairs: DataFrame, described: DataFrame, column: str) -> DataFrame:
-        """The pairs with the column of a as x and of b as y."""
-        side = lambda node, name: described.select(F.col("fp").alias(node), F.col(column).alias(name))
+        """The pairs, a written table, with the column of a as x and of b as y."""
+        some = slotted(described.select("fp", column), _ends(pairs), "fp").where("_taken")
+        side = lambda node, name: some.select(F.col("fp").alias(node), F.col(column).alias(name))
         return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
 
     def verified(self, pairs: DataFrame, described: DataFrame) -> DataFrame:
@@ -603,12 +620,13 @@ class _Search:
 
             return run
 
-        pairs = self.joined(pairs, described, "long").mapInArrow(keep(lambda x, y: differ(x, y) <= most), "a long, b long")
+        pairs = materialize(self.joined(pairs, described, "long").mapInArrow(keep(lambda x, y: differ(x, y) <= most), "a long, b long"), "simhash-alike")
         return self.joined(pairs, described, "shingles").mapInArrow(keep(lambda x, y: jaccard(x, y) >= similarity), "a long, b long")
 
     def near_pairs(self, pairs: DataFrame) -> DataFrame:
         """The nominated pairs that neither the wide fingerprints nor the sizes of the sets reject."""
-        side = lambda x, y: self.points.select(F.col("fp").alias(x), F.array(*self.names).alias(y), F.col("n").alias(f"{y}n"), F.col("most").alias(f"{y}m"))
+        points = slotted(self.points, _ends(pairs), "fp").where("_taken")
+        side = lambda x, y: points.select(F.col("fp").alias(x), F.array(*self.names).alias(y), F.col("n").alias(f"{y}n"), F.col("most").alias(f"{y}m"))
         s = self.similarity
         sizes = (F.col("xm") >= s * F.col("yn") - 1e-6) & (F.col("ym") >= s * F.col("xn") - 1e-6)  # no set is similar to one so much larger
         bits = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
@@ -660,7 +678,8 @@ class _Search:
                 yield _edges(*block_links(*(t.column(i).to_numpy() for i in range(5)), load(t.column("long"), LONG), sets, most, similarity))
 
         bits, tables = sampling(remaining.count(), similarity, FEWEST_LONG)
-        rows = self.dealt(remaining.join(described.select("fp", "long"), "fp"), bits, tables, "fp root long", "fp long, root long, long binary")
+        long = slotted(described.select("fp", "long"), remaining, "fp").where("_taken").select("fp", "long")
+        rows = self.dealt(remaining.join(long, "fp"), bits, tables, "fp root long", "fp long, root long, long binary")
         groups = components(rows.mapInArrow(shards, "a long, b long").distinct())
         groups = groups.union(groups.select("root", "root").distinct()).toDF("fp", "group")
         members = materialize(remaining.select("fp", "root").join(groups, "fp").join(described.select("fp", "size"), "fp"), "simhash-open")
@@ -668,7 +687,8 @@ class _Search:
         sided = members.join(parts, "group").withColumn("side", F.pmod(F.xxhash64("fp"), "_parts"))
         other = sided.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_other"))
         keyed = other.select(F.xxhash64("group", F.least("side", "_other"), F.greatest("side", "_other")).alias("key"), "fp", "root", "side", (F.col("side") == F.col("_other")).alias("alone"))
-        whole = keyed.join(described.select("fp", "long", "shingles"), "fp").select("key", "fp", "root", "side", "alone", "long", "shingles")
+        texts = slotted(described.select("fp", "long", "shingles"), members, "fp").where("_taken")
+        whole = keyed.join(texts, "fp").select("key", "fp", "root", "side", "alone", "long", "shingles")
         return whole.repartition(shuffle_partitions(self.docs.sparkSession), "key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long").distinct()
 
     def roots(self, linked: DataFrame) -> DataFrame:
@@ -710,7 +730,7 @@ def similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
         found = search.nominate(rooted, tables)
         near = search.near_pairs(found.where("a <> b"))
         near = materialize(near if seen is None else near.join(seen, ["a", "b"], "left_anti"), "simhash-near")
-        nodes = near.select(F.col("a").alias("fp")).union(near.select("b"))
+        nodes = _ends(near)
         described = search.described(nodes if known is None else nodes.join(known, "fp", "left_anti"))
         known = described if known is None else known.unionByName(described)
         linked = materialize(linked.unionByName(search.verified(near, known)), "simhash-linked")
@@ -740,7 +760,9 @@ def deduplicate(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: st
     plain = docs.toDF(*names)
     own, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
     keyed = plain.withColumns({"_id": F.col(own).cast("long"), "_key": text_key(text)})
-    kept = keyed.where(F.col("_id").isNotNull()).join(gone, ["_id", "_key"], "left_anti").select(*names)
+    # most rows stay where they are: only those whose hash slot one that goes has taken move for the join
+    marked = slotted(keyed.where(F.col("_id").isNotNull()), gone, "_id", "_key")
+    kept = marked.where("not _taken").select(*names).unionByName(marked.where("_taken").join(gone, ["_id", "_key"], "left_anti").select(*names))
     named = materialize(found.where(f"`{id_col}` is null and component_id is null and text_key = component_key").select(F.col("text_key").alias("_key")).distinct(), "simhash-nameless")
     nameless = keyed.where(F.col("_id").isNull()).join(named, "_key", "left_semi").dropDuplicates(["_key"]).select(*names)
     return kept.unionByName(nameless).toDF(*docs.columns)

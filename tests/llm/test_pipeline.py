@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quillstone.llm import simhash
 from tests.llm.test_operators import words
 
 
@@ -69,3 +70,31 @@ def test_run_and_empty_table(spark, planted, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{path}/{t}.parquet").limit(0).write.parquet(f"{empty}/{t}.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_texts_that_stay_are_not_shuffled_for_those_that_go(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(1500)) for _ in range(200)]
+    rows = list(enumerate(texts)) + [(200 + i, t + " more") for i, t in enumerate(texts[:6])] + [(None, texts[7]), (None, texts[8] + " once"), (206, None)]
+    docs = corpus_pipeline.materialize(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "t")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as where neither side of the join is small
+    try:
+        kept = simhash.deduplicate(docs)
+        before = written()
+        found = kept.collect()
+        moved = written() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted(r.doc_id for r in found) == [*range(200), 206] and {r.text for r in found} == {*texts, None}
+    assert moved < sum(map(len, texts)) / 4
+
+
+@pytest.mark.parametrize("slots", [1 << 10, simhash.SLOTS])
+def test_slots_pass_over_no_wanted_row(spark, monkeypatch, slots):
+    monkeypatch.setattr(simhash, "SLOTS", slots)
+    rows, wanted = spark.range(-20000, 20000).withColumn("k", F.col("id") * 7), spark.range(-20000, 20000, 40).withColumn("k", F.col("id") * 7)
+    taken = {r.id for r in simhash.slotted(rows, wanted, "id", "k").where("_taken").collect()}
+    assert taken >= set(range(-20000, 20000, 40)) and len(taken) < (40000 if slots == 1 << 10 else 5000)
+    assert simhash.slotted(rows, wanted.limit(0), "id", "k").where("_taken").isEmpty()
